@@ -39,8 +39,10 @@ TEMPLATES = {
         "Reference code:\n{context}\n\nMember variables:\n{members}\n\n"
         "Existing function:\n{function}\n\nUser request:\n{body}\n"),
     "review": (
-        "Review the changed files of this pull request and list concrete problems.\n\n"
-        "Sources:\n{sources}\n\nReviewer note:\n{body}\n"),
+        "You review a pull request to fix its build errors.\n\n"
+        "Compiler errors:\n{errors}\n\nSource files:\n{sources}\n\n"
+        "Suggest only minimal line changes, as:\nFILE: <path>\nLINE <n>: <old line>\n"
+        "REPLACE WITH: <new line>\n"),
     "agent_task": "Apply this change to the repository and keep the build green:\n{body}\n",
     "intent": ("Choose exactly one intent for the request below from: scaffolding, compilation, "
                "codeadvising, explaining, code_generation, refactor.\n"

@@ -163,3 +163,39 @@ SQL_D7 = """(select page_id, regexp_replace(url, '[?#].*$', '') path from pages)
 SQL_D8 = f"""(select doc_id, i line_no, case
   when i%6=0 then concat('instruction: ', substr(x,1,30)) when i%6=1 then ''
   when i%6=2 then 'response: inline' else x end line from {SQL_LINES})"""
+
+
+def d9_comment_pages(spark, sf_dir):
+    """D9 (ours): landed comment pages derived from ``events``.
+
+    feed by event type (click/signup → issue, view/error → review,
+    purchase → submission), ISO-8601 ``Z`` timestamps, bodies with mentions,
+    commands and empty texts, ``user_id`` as the pull request.
+    """
+    return d9_from_events(read_table(spark, sf_dir, "events"))
+
+
+def d9_from_events(e: DataFrame) -> DataFrame:
+    """D9 as a projection of an events DataFrame (batch or streaming)."""
+    feed = (F.when(F.col("event_type").isin("click", "signup"), "issue")
+            .when(F.col("event_type").isin("view", "error"), "review").otherwise("submission"))
+    k = F.col("event_id") % 5
+    props = F.col("props")
+    body = (F.when(k == 0, F.concat(F.lit("hi @assistant "), props))
+            .when(k == 1, F.lit(""))
+            .when(k == 2, F.concat(F.lit("/agent-build" + NL + "error: undefined reference to foo "), props))
+            .when(k == 3, F.concat(F.lit("/agent-coder" + NL + "please fix "), props))
+            .otherwise(props))
+    return e.select(feed.alias("feed"), F.col("event_id").alias("id"), F.col("user_id").alias("pr"),
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created"),
+                    body.alias("body"),
+                    F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("author"))
+
+
+SQL_D9 = """(select case when event_type in ('click', 'signup') then 'issue'
+    when event_type in ('view', 'error') then 'review' else 'submission' end feed,
+  event_id id, user_id pr, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') created,
+  case event_id % 5 when 0 then concat('hi @assistant ', props) when 1 then ''
+    when 2 then concat('/agent-build', chr(10), 'error: undefined reference to foo ', props)
+    when 3 then concat('/agent-coder', chr(10), 'please fix ', props) else props end body,
+  concat('user', cast(user_id % 7 as varchar)) author from events)"""

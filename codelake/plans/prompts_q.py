@@ -41,6 +41,29 @@ def _sql_first_hit(text: str, pats) -> str:
 SQL_MENTION = S.strip(f"substr(body, instr(lower(body), '{P.DEFAULT_MENTION}') + {len(P.DEFAULT_MENTION)})")
 
 
+def sql_mention(b: str) -> str:
+    """F8 as DuckDB text."""
+    return (f"case when instr(lower({b}), '{P.DEFAULT_MENTION}') > 0 then "
+            + S.strip(f"substr({b}, instr(lower({b}), '{P.DEFAULT_MENTION}') + {len(P.DEFAULT_MENTION)})") + " end")
+
+
+def sql_agent_instruction(b: str) -> str:
+    """F9 as DuckDB text."""
+    ls = S.splitlines(b)
+    rest = S.strip(f"array_to_string(({ls})[2:], chr(10))")
+    return (f"case when starts_with(lower({S.strip(f'({ls})[1]')}), '{P.CODER_COMMAND}') then "
+            f"case when {rest} = '' then '{P.NO_INSTRUCTION}' else {rest} end end")
+
+
+def sql_compiler_block(b: str) -> str:
+    """F10 as DuckDB text."""
+    ls = S.splitlines(b)
+    f = f"coalesce(list_position(list_transform({ls}, lambda l: instr(lower(l), '{P.REVIEW_COMMAND}') > 0), true), 0)"
+    blk = S.strip(f"array_to_string(list_filter({ls}, lambda l, i: {f} > 0 and i > {f} and not "
+                  f"(instr(lower(l), '{P.REVIEW_COMMAND}') > 0)), chr(10))")
+    return f"case when {blk} <> '' then {blk} end"
+
+
 @query("compiler_triage", f"""select conv_id, turn, {_sql_any_contains('lower(body)', P.COMPILER_MARKERS)} has_marker
 from {D2}""")
 def compiler_triage(spark, sf_dir):
