@@ -1 +1,272 @@
-"""Registered queries."""
+"""Registered queries for code evaluation and file versions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from codelake.functions import vectors as V
+from codelake.functions.text import RSTRIP_RE, WS, pystrip
+from codelake.operators import codeeval as CE
+from codelake.operators import diffs as DF
+from codelake.operators import embed as E
+from codelake.plans import fixtures as D
+from codelake.plans import sqltext as S
+from codelake.plans.registry import query
+from codelake.sources.tables import read_table
+
+DIM = E.DEFAULT_DIM
+
+
+def _sql_normalize(x: str) -> str:
+    e = f"regexp_replace({x}, '\\bamrex::', '', 'g')"
+    e = f"regexp_replace({e}, '\\bAMREX_GPU_DEVICE\\b', '', 'g')"
+    e = f"regexp_replace({e}, '\\bAMREX_FORCE_INLINE\\b', '', 'g')"
+    e = f"regexp_replace({e}, '([{{}}();,+\\-*/=])', ' \\1 ', 'g')"
+    e = f"regexp_replace({e}, '{WS}+', ' ', 'g')"
+    return S.strip(e)
+
+
+def _rstrip(x: str) -> str:
+    return f"regexp_replace({x}, '{RSTRIP_RE}', '', 'g')"
+
+
+@query("normalize_code", f"""with t as (select 'doc' src, doc_id id, text x from documents
+  union all select 'page', page_id, html from pages)
+select src, id, {_sql_normalize('x')} normalized from t""")
+def normalize_code(spark, sf_dir):
+    """F18 on every document and every page."""
+    d = read_table(spark, sf_dir, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"),
+                                                      F.col("text").alias("x"))
+    p = read_table(spark, sf_dir, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
+                                                  F.col("html").alias("x"))
+    return d.unionByName(p).select("src", "id", CE.normalize_code("x").alias("normalized"))
+
+
+@query("clean_function")
+def clean_function(spark, sf_dir):
+    """F17 on both sides of D4 (brace matching; checked by golden tests)."""
+    d4 = D.d4_eval_pairs(spark, sf_dir)
+    return d4.select("item_id", CE.clean_function("bench").alias("bench_clean"),
+                     CE.clean_function("gen").alias("gen_clean"))
+
+
+@query("canonicalize_locals")
+def canonicalize_locals(spark, sf_dir):
+    """F19 (declaration-regex approximation) on the cleaned D4 code."""
+    d4 = D.d4_eval_pairs(spark, sf_dir)
+    return d4.select("item_id",
+                     CE.canonicalize_locals(CE.normalize_code(CE.clean_function("bench"))).alias("bench_canon"),
+                     CE.canonicalize_locals(CE.normalize_code(CE.clean_function("gen"))).alias("gen_canon"))
+
+
+_SQL_START = "coalesce(nullif(instr(text, chr(10)), 0), len(text))"
+_SQL_END = (f"case when instr(substr(text, {_SQL_START} + 1), chr(10)) > 0 "
+            f"then {_SQL_START} + instr(substr(text, {_SQL_START} + 1), chr(10)) else len(text) end")
+
+
+@query("conflict_patch", f"""with o as (select doc_id, text, {_SQL_START} s, {_SQL_END} e from documents),
+f as (select *, substr(text, s + 1, greatest(e - s, 0)) orig from o)
+select doc_id, concat(left(text, s), '{CE.CONFLICT_OPEN.strip()}', chr(10), {_rstrip('orig')}, chr(10),
+  '=======', chr(10), '<<<<<<< GENERATED CODE', chr(10), {_rstrip("replace(orig, ' ', '_')")}, chr(10),
+  '{CE.CONFLICT_CLOSE.strip()}', chr(10), substr(text, e + 1)) patched from f""")
+def conflict_patch(spark, sf_dir):
+    """each document's second line replaced by a conflict block against
+    a generated version (spaces turned into underscores)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    t = F.col("text")
+    s = F.coalesce(F.nullif(F.instr(t, "\n"), F.lit(0)), F.length(t))
+    rest_nl = F.instr(F.substring(t, s + 1, 1 << 30), "\n")
+    e = F.when(rest_nl > 0, s + rest_nl).otherwise(F.length(t))
+    orig = F.substring(t, s + 1, F.greatest(e - s, F.lit(0)))
+    return d.select("doc_id", CE.conflict_patch(t, s, e, F.replace(orig, F.lit(" "), F.lit("_"))).alias("patched"))
+
+
+def _versions(spark, sf_dir):
+    v = D.d5_versions(spark, sf_dir)
+    old = v.select("doc_id", "line_no", F.col("old_line").alias("line"))
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    new = v.filter(~F.col("dropped")).select(
+        "doc_id", (F.row_number().over(w) - 1).cast("bigint").alias("line_no"), F.col("new_line").alias("line"))
+    return old, new
+
+
+_SQL_VERSIONS = f"""v as {D.SQL_D5},
+o as (select doc_id, line_no, old_line line from v),
+n as (select doc_id, row_number() over (partition by doc_id order by line_no) - 1 line_no, new_line line from v where not dropped),
+j as (select coalesce(o.doc_id, n.doc_id) doc_id, o.line is not distinct from n.line same
+  from o full outer join n on o.doc_id = n.doc_id and o.line_no = n.line_no),
+cnt as (select doc_id, cast(sum(case when same then 0 else 1 end) as bigint) lines_changed from j group by doc_id
+  having sum(case when same then 0 else 1 end) > 0)"""
+
+
+@query("line_diff", f"""with {_SQL_VERSIONS}
+select doc_id, lines_changed from cnt""")
+def line_diff(spark, sf_dir):
+    """J3 + A4 on D5: changed lines per file (positional), files without change dropped."""
+    old, new = _versions(spark, sf_dir)
+    return DF.changed_line_count(DF.join_before_after(old, new, ["doc_id"]), ["doc_id"])
+
+
+@query("change_status", f"""with {_SQL_VERSIONS},
+f as (select doc_id, concat(lang, '/doc', cast(doc_id as varchar), '.cpp') name,
+  doc_id in (select doc_id from labels) existed from documents),
+r as (select f.doc_id, f.name, case when not f.existed then 'added' when coalesce(c.lines_changed, 0) > 0 then 'modified'
+  else 'none' end status, c.lines_changed from f left join cnt c using (doc_id))
+select doc_id, name, status, cast(case when status = 'modified' then lines_changed else 0 end as bigint) lines_changed,
+  case when status = 'added' then concat('- ', name)
+       when status = 'modified' then concat('- ', name, ': ', cast(lines_changed as varchar), ' lines changed') end message
+from r""")
+def change_status(spark, sf_dir):
+    """A5: added / modified / none per file; a file existed before when it has a labels row."""
+    old, new = _versions(spark, sf_dir)
+    counts = DF.changed_line_count(DF.join_before_after(old, new, ["doc_id"]), ["doc_id"])
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("existed", F.lit(True))
+    files = docs.join(labels, "doc_id", "left").select(
+        "doc_id", F.concat(F.col("lang"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".cpp")).alias("name"),
+        F.coalesce("existed", F.lit(False)).alias("existed"))
+    return DF.change_report(files, counts, ["doc_id"], "name", "existed")
+
+
+@query("conflict_merge")
+def conflict_merge(spark, sf_dir):
+    """F22 on D5: old lines against the kept, edited new lines, per file."""
+    old, new = _versions(spark, sf_dir)
+    agg = lambda df, n: df.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]).alias(n))
+    j = agg(old, "old_lines").join(agg(new, "new_lines"), "doc_id", "full_outer")
+    merged = DF.conflict_merge(F.col("old_lines"), F.col("new_lines"))
+    return j.select("doc_id", F.array_join(merged, "\n").alias("merged"))
+
+
+@query("copy_if_absent", """with src as (select concat(lang, '/doc', cast(doc_id as varchar), '.cpp') relative_path, doc_id from documents),
+dst as (select concat(d.lang, '/doc', cast(d.doc_id as varchar), '.cpp') relative_path from documents d
+  where d.doc_id in (select doc_id from labels))
+select relative_path from src where relative_path not in (select relative_path from dst)""")
+def copy_if_absent(spark, sf_dir):
+    """Example files that a scaffold copy would add (target = labelled documents)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    path = F.concat(F.col("lang"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".cpp")).alias("relative_path")
+    src = docs.select("doc_id", path)
+    dst = docs.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(path)
+    return DF.copy_if_absent(src, dst).select("relative_path")
+
+
+def _eval_inputs(spark, sf_dir):
+    d4 = D.d4_eval_pairs(spark, sf_dir)
+    prompts = d4.select(F.format_string("prompt_%06d.txt", F.col("item_id")).alias("prompt_name"),
+                        pystrip("gen").alias("prompt"))
+    benches = d4.select("item_id", pystrip("bench").alias("bench"))
+    return prompts, benches
+
+
+@query("eval_pairing", f"""with p as (select printf('prompt_%06d.txt', item_id) prompt_name, {S.strip('gen')} prompt from {D.SQL_D4}),
+i as (select *, row_number() over (order by prompt_name) - 1 idx from p)
+select cast(idx as bigint) idx, prompt_name, printf('benchmark_%02d.txt', idx) bench_name from i where prompt <> ''""")
+def eval_pairing(spark, sf_dir):
+    """J2 + W6: prompt files in name order, each paired with the benchmark at
+    its index; a missing benchmark aborts the run."""
+    prompts, benches = _eval_inputs(spark, sf_dir)
+    j = CE.pair_eval(prompts, benches, order=["prompt_name"])
+    # the filter evaluates the missing-benchmark check on every row (it never drops one)
+    return j.filter(F.col("bench").isNotNull()).select(
+        "idx", "prompt_name", F.format_string("benchmark_%02d.txt", F.col("idx")).alias("bench_name"))
+
+
+@query("compile_flags", f"""with e as (select regexp_extract(command, '-c (\\S+)$', 1) file, command, p_partkey pos from {D.SQL_D6}),
+f as (select file, arg_min(command, pos) command from e group by file)
+select file, array_to_string(list_filter(string_split_regex(command, '\\s+'), lambda t: starts_with(t, '-I')
+  or starts_with(t, '-D') or starts_with(t, '-std=') or t = '-fopenmp'), ' ') flags from f""")
+def compile_flags(spark, sf_dir):
+    """P9 + J5: per source file, the flags of its first compile entry."""
+    d6 = D.d6_ast_dumps(spark, sf_dir)
+    entries = d6.select(F.regexp_extract("command", r"-c (\S+)$", 1).alias("file"), "command",
+                        F.col("p_partkey").alias("pos"))
+    files = entries.select("file").distinct()
+    return CE.flags_for_file(files, entries).select("file", F.array_join("flags", " ").alias("flags"))
+
+
+@query("ast_fields", f"""select p_partkey, array_to_string(list_transform(
+  regexp_extract_all(dump, 'Binding for "f":\\s*\\n([^\\n]+)', 1),
+  lambda f: concat(regexp_replace(regexp_replace({S.strip("regexp_replace(f, '^<FieldDecl[^>]*>\\s*', '')")}, ';+$', ''),
+                                  '{WS}+', ' ', 'g'), ';')), chr(10)) fields from {D.SQL_D6}""")
+def ast_fields(spark, sf_dir):
+    """F25 on the D6 dumps."""
+    d6 = D.d6_ast_dumps(spark, sf_dir)
+    return d6.select("p_partkey", F.array_join(CE.ast_fields("dump"), "\n").alias("fields"))
+
+
+def _sql_line_offset(text: str, line: str) -> str:
+    pieces = f"string_split({text}, chr(10))"
+    before = f"({line} - 1)"
+    full = f"list_sum(list_transform(({pieces})[1:{before}], lambda x: len(x) + 1))"
+    return (f"(case when {before} = 0 then 0 when {before} <= len({pieces}) - 1 then {full} "
+            f"when {before} = len({pieces}) and ({pieces})[-1] <> '' then len({text}) end)")
+
+
+_SPAN = "<(.+?):(\\d+):(\\d+),\\s*line:(\\d+):(\\d+)>"
+
+
+@query("ast_span", f"""with s as (select p_partkey, regexp_extract(dump, '{_SPAN}', 1) file,
+  cast(regexp_extract(dump, '{_SPAN}', 2) as integer) start_line, cast(regexp_extract(dump, '{_SPAN}', 3) as integer) start_col,
+  cast(regexp_extract(dump, '{_SPAN}', 4) as integer) end_line, cast(regexp_extract(dump, '{_SPAN}', 5) as integer) end_col
+  from {D.SQL_D6} where regexp_matches(dump, '{_SPAN}')),
+o as (select s.*, d.text, cast({_sql_line_offset('d.text', 's.start_line')} + start_col - 1 as bigint) start_offset,
+  cast({_sql_line_offset('d.text', 's.end_line')} + end_col - 1 + 1 as bigint) end_offset
+  from s join documents d on d.doc_id = s.p_partkey)
+select p_partkey, file, start_line, start_col, end_line, end_col, start_offset, end_offset,
+  substr(text, start_offset + 1, end_offset - start_offset) snippet from o""")
+def ast_span(spark, sf_dir):
+    """F26 + W5: the dumped span located in the document of the same id
+    (end made inclusive), with the code it covers; null past the end."""
+    d6 = D.d6_ast_dumps(spark, sf_dir)
+    sp = d6.select("p_partkey", CE.ast_span("dump").alias("s")).filter(F.col("s").isNotNull()).select("p_partkey", "s.*")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
+    j = sp.join(docs, "p_partkey")
+    so = (CE.line_start_offset(F.col("text"), F.col("start_line")) + F.col("start_col") - 1).cast("bigint")
+    eo = (CE.line_start_offset(F.col("text"), F.col("end_line")) + F.col("end_col") - 1 + 1).cast("bigint")
+    j = j.withColumn("start_offset", so).withColumn("end_offset", eo)
+    return j.select("p_partkey", "file", "start_line", "start_col", "end_line", "end_col", "start_offset",
+                    "end_offset", F.substring("text", F.col("start_offset") + 1,
+                                              F.col("end_offset") - F.col("start_offset")).alias("snippet"))
+
+
+@query("eval_report", f"""with t as (select item_id idx, gen, bench, {_sql_normalize('gen')} gn, {_sql_normalize('bench')} bn from {D.SQL_D4}),
+gv as {S.sparse_hash('t', 'idx', 'gn', DIM)},
+bv as {S.sparse_hash('t', 'idx', 'bn', DIM)},
+gnrm as (select idx, sqrt(sum(cnt * cnt)) n from gv group by idx),
+bnrm as (select idx, sqrt(sum(cnt * cnt)) n from bv group by idx),
+dt as (select g.idx, sum(g.cnt * b.cnt) dot from gv g join bv b using (idx, bucket) group by g.idx),
+c as (select t.*, case when coalesce(gnrm.n, 0) * coalesce(bnrm.n, 0) = 0 then -1.0
+  else coalesce(dt.dot, 0) / (gnrm.n * bnrm.n) end cos
+  from t left join gnrm using (idx) left join bnrm using (idx) left join dt using (idx))
+select cast(idx as bigint) idx, round(cos, 9) cos,
+  concat('{"=" * 35}', chr(10), 'Generated: From inference', chr(10), '{"=" * 35}', chr(10), gen, chr(10),
+  '{"=" * 61}', chr(10), 'Generated: Final cleaned up code', chr(10), '{"=" * 61}', chr(10), gn, chr(10),
+  '{"=" * 68}', chr(10), 'Generated: Normalized code', chr(10), '{"=" * 68}', chr(10), gn, chr(10),
+  '{"=" * 35}', chr(10), 'Benchmark: From saved file', chr(10), '{"=" * 35}', chr(10), bench, chr(10),
+  '{"=" * 68}', chr(10), 'Benchmark: Final cleaned up code', chr(10), '{"=" * 68}', chr(10), bn, chr(10),
+  '{"=" * 68}', chr(10), 'Benchmark: Normalized code', chr(10), '{"=" * 68}', chr(10), bn, chr(10),
+  printf('Cosine similarity: %.4f', cos), chr(10)) report from c""")
+def eval_report(spark, sf_dir):
+    """S9 + X1 + F1 over F18-normalised D4 code (the SQL-checkable part of X4)."""
+    d4 = D.d4_eval_pairs(spark, sf_dir)
+    t = d4.select(F.col("item_id").alias("idx"), "gen", "bench", CE.normalize_code("gen").alias("gn"),
+                  CE.normalize_code("bench").alias("bn"))
+    cos = V.cosine(E.hash_embed("gn", DIM), E.hash_embed("bn", DIM))
+    t = t.withColumn("cos", cos)
+    rep = CE.report_text("gen", "gn", "gn", "bench", "bn", "bn", F.col("cos"))
+    return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
+
+
+@query("eval_score")
+def eval_score(spark, sf_dir):
+    """X4 end to end: pairing (J2/W6) → clean (F17) → normalise (F18) →
+    canonical locals (F19) on both sides → native embedding (X1) → cosine (F1)."""
+    prompts, benches = _eval_inputs(spark, sf_dir)
+    j = CE.pair_eval(prompts, benches, order=["prompt_name"])
+    gen = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("prompt")))
+    ben = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("bench")))
+    cos = V.cosine(E.hash_embed(gen, DIM), E.hash_embed(ben, DIM))
+    return j.select("idx", "prompt_name", F.round(cos, 9).alias("cos"))
