@@ -155,7 +155,9 @@ def compiler_block(body) -> Column:
     lines = splitlines(_c(body))
     has = F.transform(lines, lambda l: F.instr(F.lower(l), REVIEW_COMMAND) > 0)
     first = F.array_position(has, F.lit(True))
-    kept = F.filter(lines, lambda l, i: (first > 0) & (i + 1 > first) & ~(F.instr(F.lower(l), REVIEW_COMMAND) > 0))
+    after = F.when(first > 0, F.slice(lines, F.greatest(first, F.lit(1)) + 1, 1 << 30)).otherwise(
+        F.array().cast("array<string>"))
+    kept = F.filter(after, lambda l: ~(F.instr(F.lower(l), REVIEW_COMMAND) > 0))
     out = pystrip(F.array_join(kept, "\n"))
     return F.when(out != "", out)
 

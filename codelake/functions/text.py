@@ -17,6 +17,10 @@ WS = (r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 # Python str.splitlines() boundaries (fixed values).
 LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
+# The same set as literal characters, for trim(str, chars) (fixed values).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
 STRIP_RE = f"^{WS}+|{WS}+$"
 LSTRIP_RE = f"^{WS}+"
 RSTRIP_RE = f"{WS}+$"
@@ -30,16 +34,16 @@ def _c(x) -> Column:
 
 
 def pystrip(x) -> Column:
-    """``str.strip()``."""
-    return F.regexp_replace(_c(x), STRIP_RE, "")
+    """``str.strip()``: native trim with Python's whitespace set."""
+    return F.trim(_c(x), F.lit(WS_CHARS))
 
 
 def pylstrip(x) -> Column:
-    return F.regexp_replace(_c(x), LSTRIP_RE, "")
+    return F.ltrim(_c(x), F.lit(WS_CHARS))
 
 
 def pyrstrip(x) -> Column:
-    return F.regexp_replace(_c(x), RSTRIP_RE, "")
+    return F.rtrim(_c(x), F.lit(WS_CHARS))
 
 
 def splitlines(x) -> Column:
@@ -60,16 +64,26 @@ def leading_ws(x) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Longest common prefix of two strings."""
+    """Longest common prefix of two strings.
+
+    Written without capturing ``a`` or ``b`` inside a lambda: the two
+    character arrays are zipped first, so each string is evaluated once.
+    """
+    z = F.arrays_zip(F.split(a, "", -1).alias("x"), F.split(b, "", -1).alias("y"))
+    # zip pads the shorter side with nulls: those positions compare as false
+    same = F.transform(z, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))
+    mism = F.array_position(same, F.lit(False))
     n = F.least(F.length(a), F.length(b))
-    mism = F.array_position(
-        F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: F.substring(a, i, 1) == F.substring(b, i, 1)),
-        F.lit(False))
-    keep = F.when(n == 0, F.lit(0)).when(mism == 0, n).otherwise(mism - 1)
+    keep = F.when(mism == 0, n).otherwise(F.least(mism - 1, n))
     return F.substring(a, 1, keep)
 
 
+def with_each(arr: Column, value: Column) -> Column:
+    """``arr`` zipped with ``value`` repeated: lambdas then read ``s.v`` per
+    element instead of re-evaluating ``value`` for every element."""
+    return F.arrays_zip(arr.alias("e"), F.array_repeat(value, F.size(arr)).alias("v"))
+
+
 def dedent_lines(lines: Column) -> Column:
     """``textwrap.dedent`` over an array of lines, returns array of lines.
 
@@ -80,11 +94,10 @@ def dedent_lines(lines: Column) -> Column:
     norm = F.transform(lines, lambda l: F.when(l.rlike(r"^[ \t]+$"), F.lit("")).otherwise(l))
     indents = F.transform(F.filter(norm, lambda l: l != F.lit("")), leading_ws)
     margin = F.coalesce(common_prefix(F.array_min(indents), F.array_max(indents)), F.lit(""))
-    mlen = F.length(margin)
     return F.transform(
-        norm,
-        lambda l: F.when((mlen > 0) & F.startswith(l, margin), F.substring(l, mlen + 1, 1 << 30))
-        .otherwise(l))
+        with_each(norm, margin),
+        lambda s: F.when((F.length(s["v"]) > 0) & s["e"].startswith(s["v"]),
+                         F.substring(s["e"], F.length(s["v"]) + 1, 1 << 30)).otherwise(s["e"]))
 
 
 def dedent(text) -> Column:

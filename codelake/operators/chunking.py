@@ -83,20 +83,24 @@ def mark_cpp_lines(lines: DataFrame, file_keys: list[str]) -> DataFrame:
 
 
 def parse_cpp_metadata(marked: DataFrame, file_keys: list[str]) -> DataFrame:
-    """F2 per metadata line: ``content``, and whether it is intent text or a key/value.
-
-    A line is intent text iff it has no ``:`` and the latest earlier metadata
-    line with a ``:`` starts ``user_intent:``.  Lines with a ``:`` that do not
-    start ``user_intent:`` are key/value pairs split at the first ``:``.
+    """F2 per line of a chunk: ``content``, ``is_intent``, ``is_kv``, ``key``, ``value``.
+
+    Only metadata lines can be intent text or key/value pairs.  A line is
+    intent text iff it has no ``:`` and the latest earlier metadata line
+    with a ``:`` starts ``user_intent:``; lines with a ``:`` that do not
+    start ``user_intent:`` are pairs split at the first ``:``.  Metadata
+    lines come right after the marker, so "earlier lines of the chunk"
+    are the marker and earlier metadata lines.
     """
-    content = pystrip(F.ltrim(F.col("_s"), F.lit("/")))
-    m = marked.filter(F.col("role") == "meta").withColumn("content", content)
+    is_meta = F.col("role") == "meta"
+    content = F.when(is_meta, pystrip(F.ltrim(F.col("_s"), F.lit("/"))))
+    m = marked.withColumn("content", content)
     has_colon = F.instr(F.col("content"), ":") > 0
     wc = (Window.partitionBy(*file_keys, "chunk_no").orderBy("line_no")
           .rowsBetween(Window.unboundedPreceding, -1))
     prev_colon = F.last(F.when(has_colon, F.col("content")), ignorenulls=True).over(wc)
-    is_intent = (~has_colon) & F.coalesce(F.startswith(prev_colon, F.lit(INTENT_KEY)), F.lit(False))
-    is_kv = has_colon & ~F.startswith(F.col("content"), F.lit(INTENT_KEY))
+    is_intent = is_meta & ~has_colon & F.coalesce(F.startswith(prev_colon, F.lit(INTENT_KEY)), F.lit(False))
+    is_kv = is_meta & has_colon & ~F.startswith(F.col("content"), F.lit(INTENT_KEY))
     pos = F.instr(F.col("content"), ":")
     return (m.withColumn("is_intent", is_intent).withColumn("is_kv", is_kv)
              .withColumn("key", F.when(is_kv, pystrip(F.expr("substring(content, 1, instr(content, ':') - 1)"))))
@@ -111,30 +115,30 @@ def chunk_cpp(lines: DataFrame, file_keys: list[str], fixed: dict[str, Column] |
     metadata entries (example, source_file, relative_path, language) as
     columns of the line table; parsed keys override them, ``user_intent``
     is always set last.
+
+    One pass: the line windows, then a single aggregate per chunk (the
+    windows already partition by file, so the aggregate adds no exchange).
     """
     fixed = fixed or {}
-    marked = mark_cpp_lines(lines, file_keys)
-    meta = parse_cpp_metadata(marked, file_keys)
-    body = marked.filter(F.col("role").isin("marker", "code")) \
-        .select(*file_keys, "chunk_no", "line_no", "line", "role",
-                *[v.alias(f"_fx_{k}") for k, v in fixed.items()])
+    marked = mark_cpp_lines(lines.select(*file_keys, "line_no", "line",
+                                         *[v.alias(f"_fx_{k}") for k, v in fixed.items()]), file_keys)
+    parsed = parse_cpp_metadata(marked.filter(F.col("role") != "none"), file_keys)
     g = file_keys + ["chunk_no"]
-    code = body.groupBy(*g).agg(
+    agg = parsed.groupBy(*g).agg(
         _sorted_list(F.col("role") == "code", F.col("line")).alias("_code_lines"),
-        *[F.first(f"_fx_{k}", ignorenulls=True).alias(f"_fx_{k}") for k in fixed])
-    parsed = meta.groupBy(*g).agg(
         _sorted_join(F.col("is_intent"), F.col("content")).alias("_intent"),
-        _sorted_list(F.col("is_kv"), F.struct(F.col("key"), F.col("value"))).alias("_kv"))
-    out = code.join(parsed, g, "left")
+        _sorted_list(F.col("is_kv"), F.struct(F.col("key"), F.col("value"))).alias("_kv"),
+        *[F.first(F.when(F.col("role") == "marker", F.col(f"_fx_{k}")), ignorenulls=True).alias(f"_fx_{k}")
+          for k in fixed])
+    kv_t = "array<struct<key:string,value:string>>"
     fixed_entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_fx_{k}").cast("string").alias("value"))
-                              for k in fixed]) if fixed else F.array().cast("array<struct<key:string,value:string>>")
-    intent = pystrip(F.coalesce(F.col("_intent"), F.lit("")))
-    entries = F.concat(fixed_entries, F.coalesce(F.col("_kv"), F.array().cast(
-        "array<struct<key:string,value:string>>")), F.array(F.struct(F.lit("user_intent").alias("key"),
-                                                                    intent.alias("value"))))
+                              for k in fixed]) if fixed else F.array().cast(kv_t)
+    intent = pystrip(F.col("_intent"))
+    entries = F.concat(fixed_entries, F.col("_kv"),
+                       F.array(F.struct(F.lit("user_intent").alias("key"), intent.alias("value"))))
     fk = F.concat_ws("/", *[F.col(k).cast("string") for k in file_keys])
-    return out.select(
-        *file_keys, "chunk_no",
+    return agg.select(
+        *g,
         chunk_id(fk, F.col("chunk_no")).alias("chunk_id"),
         F.array_join(dedent_lines(F.col("_code_lines")), "\n").alias("code"),
         intent.alias("user_intent"),

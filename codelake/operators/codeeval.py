@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.functions.text import RSTRIP_RE, WS, pystrip
+from codelake.functions.text import WS, pyrstrip, pystrip
 from codelake.operators.ordering import global_index
 
 # Patterns (fixed values; Java syntax).  (?U): Unicode \b and \w, as Python's re.
@@ -103,8 +103,8 @@ def conflict_patch(code, start, end, new) -> Column:
     """replace ``[start, end)`` (0-based) by a conflict block; both sides right-stripped."""
     code, start, end, new = _c(code), _c(start), _c(end), _c(new)
     orig = F.substring(code, start + 1, F.greatest(end - start, F.lit(0)))
-    block = F.concat(F.lit(CONFLICT_OPEN), F.regexp_replace(orig, RSTRIP_RE, ""), F.lit("\n" + CONFLICT_MID),
-                     F.regexp_replace(new, RSTRIP_RE, ""), F.lit("\n" + CONFLICT_CLOSE))
+    block = F.concat(F.lit(CONFLICT_OPEN), pyrstrip(orig), F.lit("\n" + CONFLICT_MID),
+                     pyrstrip(new), F.lit("\n" + CONFLICT_CLOSE))
     return F.concat(F.substring(code, 1, start), block, F.substring(code, end + 1, 1 << 30))
 
 

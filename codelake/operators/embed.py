@@ -57,6 +57,45 @@ def hash_embed(text, dim: int = DEFAULT_DIM, max_chars: int | None = None) -> Co
     return F.when(t.isNull() | (pystrip(t) == F.lit("")), F.lit(None).cast("array<double>")).otherwise(vec)
 
 
+# Above this dimension the table embedder counts (row, bucket) pairs instead
+# of one conditional count per bucket.
+WIDE_DIM = 256
+
+
+def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = DEFAULT_DIM,
+                     out_col: str = "embedding", max_chars: int | None = None,
+                     keep: list[str] | None = None) -> DataFrame:
+    """X1 for a whole table: ``(*keys, *keep, out_col)``; same vectors as ``hash_embed``.
+
+    Tokens are exploded and bucketed by generated code, then counted per row
+    key with one conditional count per bucket.  Every token of a row comes
+    from that one input row, so the partial aggregate leaves one row per key
+    per task and the shuffle carries ``dim`` counts per key.  A sentinel
+    bucket ``-1`` keeps rows without tokens (their vector is ``null``).
+    """
+    keep = keep or []
+    t = F.col(text_col)
+    src = clip_text(t, max_chars) if max_chars else t
+    ex = df.select(*keys, *keep, F.explode(F.concat(F.array(F.lit(None).cast("string")),
+                                                    F.split(F.lower(src), WS + "+", -1))).alias("_t"))
+    ex = ex.filter(F.col("_t").isNull() | (F.col("_t") != "")) \
+        .withColumn("_b", F.when(F.col("_t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("_t"), dim)))
+    firsts = [F.first(c, ignorenulls=False).alias(c) for c in keep]
+    if dim <= WIDE_DIM:
+        counts = [F.count(F.when(F.col("_b") == i, 1)).alias(f"_c{i}") for i in range(dim)]
+        g = ex.groupBy(*keys).agg(F.count(F.when(F.col("_b") >= 0, 1)).alias("_n"), *counts, *firsts)
+        vec = F.array(*[F.col(f"_c{i}").cast("double") for i in range(dim)])
+    else:
+        per = ex.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"), *firsts)
+        g = per.groupBy(*keys).agg(
+            F.sum(F.when(F.col("_b") >= 0, F.col("_k")).otherwise(0)).alias("_n"),
+            F.map_from_entries(F.collect_list(F.struct("_b", "_k"))).alias("_m"),
+            *[F.first(c).alias(c) for c in keep])
+        vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                          lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
+    return g.select(*keys, *keep, F.when(F.col("_n") > 0, vec).alias(out_col))
+
+
 def sparse(vec_col: str, keep: list[str], df: DataFrame) -> DataFrame:
     """``(keep..., bucket, cnt)`` for the non-zero entries of a vector column."""
     return (df.select(*keep, F.posexplode(vec_col).alias("bucket", "cnt"))

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelake.functions import vectors as V
 
@@ -67,6 +68,92 @@ def score_pairs(queries: DataFrame, chunks: DataFrame, *, query_key: str = "qid"
     return joined.select(query_key, *chunk_keys, sim.alias("sim"))
 
 
+def _batch_topk(S, keys_pdf, k: int, min_sim: float, order_keys: list[str]):
+    """Top ``k`` per query column of a similarity block, ties kept exactly.
+
+    ``S`` is (rows x queries).  Per query the k-th largest value is found
+    with ``np.partition``; every row at or above it (and at or above
+    ``min_sim``) is a candidate, so rows tied at the boundary all survive
+    and the final order ``(-sim, order keys)`` is applied on the few
+    candidates only.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n, nq = S.shape
+    if n == 0 or nq == 0:
+        return None
+    if n > k:
+        kth = -np.partition(-S, k - 1, axis=0)[k - 1]
+        cut = np.maximum(kth, min_sim)
+    else:
+        cut = np.full(nq, min_sim)
+    rows, cols = np.nonzero(S >= cut[None, :])
+    if len(rows) == 0:
+        return None
+    cand = keys_pdf.iloc[rows].reset_index(drop=True)
+    cand.insert(0, "q_idx", cols.astype("int64"))
+    cand["sim"] = S[rows, cols]
+    cand = cand.sort_values(["q_idx", "sim", *order_keys], ascending=[True, False] + [True] * len(order_keys),
+                            kind="mergesort")
+    return cand.groupby("q_idx", sort=False).head(k)
+
+
+def score_topk_numpy(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim: float,
+                     query_key: str = "qid", chunk_keys: list[str] | tuple[str, ...] = ("chunk_id",),
+                     query_emb: str = "embedding", chunk_emb: str = "embedding",
+                     max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame | None:
+    """J1 + per-partition top-k with one BLAS product per Arrow batch.
+
+    The query side must pass the size check (at most ``max_broadcast_queries``
+    rows); it is collected once and broadcast as a unit-normalised matrix.
+    Each chunk batch is scored as ``C @ Q.T`` and only its top ``k`` per
+    query (with ties) leaves the task; ``rank_topk`` then merges them.
+    Returns ``None`` when the query side is too large for this strategy.
+    """
+    import numpy as np
+
+    chunk_keys = list(chunk_keys)
+    q = queries.select(query_key, query_emb).filter(F.col(query_emb).isNotNull())
+    if q.count() > max_broadcast_queries:
+        return None
+    q_rows = q.collect()                                  # bounded by the check above
+    spark = chunks.sparkSession
+    qmat = np.array([np.asarray(r[query_emb], dtype=np.float64) for r in q_rows], dtype=np.float64)
+    if qmat.size == 0:
+        qmat = np.zeros((0, 0))
+    qnorm = np.linalg.norm(qmat, axis=1) if qmat.size else np.zeros(0)
+    bq = spark.sparkContext.broadcast((qmat, qnorm))
+    keys_schema = chunks.select(*chunk_keys).schema
+    out_schema = T.StructType([T.StructField("q_idx", T.LongType())] + list(keys_schema.fields)
+                              + [T.StructField("sim", T.DoubleType())])
+
+    def run(batches):
+        import pandas as pd
+        Q, qn = bq.value
+        for pdf in batches:
+            pdf = pdf[pdf[chunk_emb].notna()]
+            if len(pdf) == 0 or Q.shape[0] == 0:
+                continue
+            C = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[chunk_emb]])
+            if C.shape[1] != Q.shape[1]:
+                raise ValueError("cosine: vectors of different length")
+            cn = np.linalg.norm(C, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                S = (C @ Q.T) / np.outer(cn, qn)
+            S[np.outer(cn, qn) == 0] = -1.0             # F1: zero norm scores -1.0
+            top = _batch_topk(S, pdf[chunk_keys].reset_index(drop=True), k, min_sim, chunk_keys)
+            if top is not None:
+                yield top[[f.name for f in out_schema.fields]]
+
+    scored = chunks.select(*chunk_keys, chunk_emb).mapInPandas(run, out_schema)
+    qkeys = spark.createDataFrame([(i, r[query_key]) for i, r in enumerate(q_rows)],
+                                  T.StructType([T.StructField("q_idx", T.LongType()),
+                                                q.schema[query_key]]))
+    # one row per query: a bounded broadcast
+    return scored.join(F.broadcast(qkeys), "q_idx").drop("q_idx")
+
+
 def rank_topk(scored: DataFrame, k: int, *, query_key: str = "qid",
               order_keys: list[str] | tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """W4 + T1 slice: best ``k`` per query by ``(-sim, order_keys)``; adds ``rank``."""
@@ -80,15 +167,29 @@ def retrieve_topk(queries: DataFrame, chunks: DataFrame, *, k: int = DEFAULT_K,
                   min_sim: float = DEFAULT_MIN_SIM, query_key: str = "qid",
                   chunk_keys: list[str] | tuple[str, ...] = ("chunk_id",),
                   query_emb: str = "embedding", chunk_emb: str = "embedding",
-                  max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                  max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+                  strategy: str = "numpy") -> DataFrame:
     """T1 for a whole table of queries: threshold first, then k per query.
 
     ``chunk_keys`` is also the tie-break order (the reference's list
     position), so give ``(file, pos)`` for a loaded index.
+
+    ``strategy="numpy"`` (default): size-checked broadcast of the queries,
+    one matrix product per Arrow batch of chunks, per-batch top-k, final
+    ``WindowGroupLimit``.  ``strategy="native"``: the same plan with the
+    cosine as JVM higher-order functions (no Python workers; slower, since
+    lambdas are interpreted).  Both fall back to the blocked equi-join when
+    the query side is over the broadcast bound.
     """
-    scored = score_pairs(queries, chunks, query_key=query_key, chunk_keys=chunk_keys,
-                         query_emb=query_emb, chunk_emb=chunk_emb, min_sim=min_sim,
-                         max_broadcast_queries=max_broadcast_queries)
+    scored = None
+    if strategy == "numpy":
+        scored = score_topk_numpy(queries, chunks, k=k, min_sim=min_sim, query_key=query_key,
+                                  chunk_keys=chunk_keys, query_emb=query_emb, chunk_emb=chunk_emb,
+                                  max_broadcast_queries=max_broadcast_queries)
+    if scored is None:
+        scored = score_pairs(queries, chunks, query_key=query_key, chunk_keys=chunk_keys,
+                             query_emb=query_emb, chunk_emb=chunk_emb, min_sim=min_sim,
+                             max_broadcast_queries=max_broadcast_queries)
     return rank_topk(scored, k, query_key=query_key, order_keys=chunk_keys)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelake.functions.text import RSTRIP_RE, pystrip
+from codelake.functions.text import pyrstrip, pystrip
 from codelake.operators.ordering import global_index
 
 # Markers and sizes (fixed values).
@@ -38,7 +38,7 @@ def parse_pairs(lines: DataFrame, file_keys: list[str]) -> DataFrame:
     Lines before the first instruction belong to pair 1.
     """
     w = Window.partitionBy(*file_keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    line = F.regexp_replace(F.col("line"), RSTRIP_RE, "")
+    line = pyrstrip(F.col("line"))
     df = (lines.withColumn("_l", line)
                .withColumn("_ins", F.startswith(F.col("_l"), F.lit(INSTRUCTION)))
                .withColumn("_res", F.startswith(F.col("_l"), F.lit(RESPONSE)))

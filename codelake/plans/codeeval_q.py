@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codelake.functions import vectors as V
-from codelake.functions.text import RSTRIP_RE, WS, pystrip
+from codelake.functions.text import WS, pystrip
 from codelake.operators import codeeval as CE
 from codelake.operators import diffs as DF
 from codelake.operators import embed as E
@@ -28,7 +28,7 @@ def _sql_normalize(x: str) -> str:
 
 
 def _rstrip(x: str) -> str:
-    return f"regexp_replace({x}, '{RSTRIP_RE}', '', 'g')"
+    return S.rstrip(x)
 
 
 @query("normalize_code", f"""with t as (select 'doc' src, doc_id id, text x from documents
@@ -254,8 +254,9 @@ def eval_report(spark, sf_dir):
     d4 = D.d4_eval_pairs(spark, sf_dir)
     t = d4.select(F.col("item_id").alias("idx"), "gen", "bench", CE.normalize_code("gen").alias("gn"),
                   CE.normalize_code("bench").alias("bn"))
-    cos = V.cosine(E.hash_embed("gn", DIM), E.hash_embed("bn", DIM))
-    t = t.withColumn("cos", cos)
+    ge = E.hash_embed_table(t, ["idx"], "gn", DIM, out_col="ge", keep=["gen", "bench", "gn", "bn"])
+    be = E.hash_embed_table(t.select("idx", "bn"), ["idx"], "bn", DIM, out_col="be")
+    t = ge.join(be, "idx").withColumn("cos", V.cosine(F.col("ge"), F.col("be")))
     rep = CE.report_text("gen", "gn", "gn", "bench", "bn", "bn", F.col("cos"))
     return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
 
@@ -268,5 +269,8 @@ def eval_score(spark, sf_dir):
     j = CE.pair_eval(prompts, benches, order=["prompt_name"])
     gen = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("prompt")))
     ben = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("bench")))
-    cos = V.cosine(E.hash_embed(gen, DIM), E.hash_embed(ben, DIM))
-    return j.select("idx", "prompt_name", F.round(cos, 9).alias("cos"))
+    t = j.select("idx", "prompt_name", gen.alias("g"), ben.alias("b"))
+    ge = E.hash_embed_table(t, ["idx"], "g", DIM, out_col="ge", keep=["prompt_name", "b"])
+    be = E.hash_embed_table(ge.select("idx", "b"), ["idx"], "b", DIM, out_col="be")
+    cos = V.cosine(F.col("ge"), F.col("be"))
+    return ge.join(be, "idx").select("idx", "prompt_name", F.round(cos, 9).alias("cos"))

@@ -41,7 +41,8 @@ def fortran_chunks(spark, sf_dir):
 def chunk_index(spark, sf_dir):
     """The in-memory chunk index: C++ chunks of D1 with their native embedding."""
     ch = cpp_chunks(spark, sf_dir)
-    return ch.withColumn("embedding", E.hash_embed("embedding_text", DIM, C_MAX))
+    keep = [c for c in ch.columns if c not in ("doc_id", "chunk_no")]
+    return E.hash_embed_table(ch, ["doc_id", "chunk_no"], "embedding_text", DIM, max_chars=C_MAX, keep=keep)
 
 
 C_MAX = 3000  # the reference embeds at most 3000 characters of the embedding text
@@ -224,7 +225,7 @@ from {S.sparse_hash('documents', 'doc_id', 'text', DIM)}""")
 def embed_hash(spark, sf_dir):
     """X1 native embedder on every whole document, as sparse ``(bucket, cnt)`` rows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    v = docs.select("doc_id", E.hash_embed("text", DIM).alias("v"))
+    v = E.hash_embed_table(docs, ["doc_id"], "text", DIM, out_col="v")
     return E.sparse("v", ["doc_id"], v)
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from codelake.functions.text import LINE_BREAK, STRIP_RE, WS
+from codelake.functions.text import LINE_BREAK, WS, WS_CHARS
+
+
+WS_CHARS_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in WS_CHARS) + ")"
 
 
 def strip(e: str) -> str:
     """Python ``str.strip()``."""
-    return f"regexp_replace({e}, '{STRIP_RE}', '', 'g')"
+    return f"trim({e}, {WS_CHARS_SQL})"
+
+
+def rstrip(e: str) -> str:
+    return f"rtrim({e}, {WS_CHARS_SQL})"
 
 
 def splitlines(e: str) -> str:

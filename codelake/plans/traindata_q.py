@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from codelake.functions import prompts as P
 from codelake.functions import templates as T
-from codelake.functions.text import RSTRIP_RE
 from codelake.operators import infer as I
 from codelake.operators import traindata as TD
 from codelake.plans import fixtures as D
@@ -16,7 +15,7 @@ from codelake.session import scratch_path
 from codelake.sources import jsonl as JL
 from codelake.sources.tables import read_table
 
-SQL_PAIRS = f"""l as (select doc_id, line_no, regexp_replace(line, '{RSTRIP_RE}', '', 'g') l from {D.SQL_D8}),
+SQL_PAIRS = f"""l as (select doc_id, line_no, {S.rstrip('line')} l from {D.SQL_D8}),
 a as (select *, starts_with(l, 'instruction:') ins, starts_with(l, 'response:') res,
   greatest(sum(case when starts_with(l, 'instruction:') then 1 else 0 end) over (partition by doc_id order by line_no
     rows between unbounded preceding and current row), 1) pair_no from l),
