@@ -65,10 +65,10 @@ def read_chunk_index(spark: SparkSession, path: str, glob: str | None = None) ->
     Returns ``file, pos, id, text, metadata, embedding array<double>``;
     chunks without an embedding are dropped, string embeddings decoded.
     """
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     doc = F.from_json("value", DOC_JSON)
     arr = F.from_json("value", ARRAY_JSON)
     chunks = F.when(F.ltrim(F.col("value")).startswith("["), arr).otherwise(doc["chunks"])

@@ -16,10 +16,10 @@ def read_prompts(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     """One prompt per file, stripped, in file-name order; ``idx`` is the
     0-based position in that order and empty prompts are skipped after
     numbering (they still hold their index, as in the reference)."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select(F.col("_metadata.file_name").alias("name"),
+    raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"),
                                    pystrip("value").alias("prompt"))
     return index_prompts(raw, ["name"])
 
