@@ -20,26 +20,33 @@ def parse_ts(iso: Column) -> Column:
 
 
 def union_comments(pages: DataFrame) -> DataFrame:
-    """U1 + P3 + F23: one comment table from the three landed feeds.
+    """U1 + P3 + F23: one comment table from landed feed pages.
 
-    ``pages``: ``feed, id, pr, created (ISO string), body, author``.  The uid
-    carries the feed prefix; only submissions drop empty bodies; a missing
-    body is ``''``.
+    ``pages``: ``feed, id, pr, created (ISO string), body, author`` with
+    ``feed`` one of issue / review / submission.  The uid carries the feed
+    prefix; only submissions drop empty bodies; a missing body is ``''``.
+    One projection over one scan (the UNION ALL of disjoint feeds).
     """
-    parts = []
-    for feed, prefix, order in FEEDS:
-        p = pages.filter(F.col("feed") == feed)
-        if feed == "submission":
-            p = p.filter(F.col("body").isNotNull() & (F.col("body") != ""))      # P3
-        parts.append(p.select(
-            F.concat(F.lit(prefix), F.col("id").cast("string")).alias("uid"), "pr", "id",
-            parse_ts(F.col("created")).alias("created_at"),
-            F.coalesce(F.col("body"), F.lit("")).alias("body"), "author",
-            F.lit(feed).alias("source"), F.lit(order).alias("feed_order")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    feed = F.col("feed")
+    prefix = F.lit(None).cast("string")
+    order = F.lit(None).cast("int")
+    for name, pre, o in reversed(FEEDS):
+        prefix = F.when(feed == name, F.lit(pre)).otherwise(prefix)
+        order = F.when(feed == name, F.lit(o)).otherwise(order)
+    empty = F.col("body").isNull() | (F.col("body") == "")
+    kept = pages.filter(feed.isin(*[f for f, _, _ in FEEDS]) & ~((feed == "submission") & empty))   # P3
+    return kept.select(
+        F.concat(prefix, F.col("id").cast("string")).alias("uid"), "pr", "id",
+        parse_ts(F.col("created")).alias("created_at"),
+        F.coalesce(F.col("body"), F.lit("")).alias("body"), "author",
+        feed.alias("source"), order.alias("feed_order"))
+
+
+def union_feeds(issue: DataFrame, review: DataFrame, submission: DataFrame) -> DataFrame:
+    """U1 for three separately landed feeds: tag each with its feed, UNION ALL."""
+    tag = lambda df, f: df.select(F.lit(f).alias("feed"), "id", "pr", "created", "body", "author")
+    return union_comments(tag(issue, "issue").unionByName(tag(review, "review"))
+                          .unionByName(tag(submission, "submission")))
 
 
 def latest_comment(comments: DataFrame, group: str = "pr") -> DataFrame:

@@ -77,8 +77,8 @@ k2 as (select uid, pr, case when blk is not null then 'review' when ins is not n
   when men is not null and men <> '' then 'mention' end kind, blk, ins, men from k),
 k3 as (select uid, pr, kind, case kind when 'review' then blk when 'agent' then ins else men end request from k2 where kind is not null),
 k4 as (select *, case when kind = 'mention' then {_sql_classify('request', 'fortran')} end intent from k3),
-k5 as (select *, {_sql_mention_kind('intent')} mkind from k4)
-select uid, pr, kind, request, intent,
+k5 as (select *, {_sql_mention_kind('intent')} mkind from k4),
+t as (select uid, pr, kind, request, intent,
   {_sql_first_hit('request', P.CLASS_PATTERNS)} class_name,
   {_sql_first_hit('request', P.FILE_PATTERNS)} file_name,
   {_sql_first_hit('request', P.FUNCTION_PATTERNS)} function_name,
@@ -86,7 +86,9 @@ select uid, pr, kind, request, intent,
        when kind = 'agent' then {T.sql_render('agent_task', body='request')}
        else case mkind {" ".join(f"when '{m}' then {T.sql_render(m, body='request')}" for m in _MENTION_KINDS)} end
   end prompt
-from k5"""
+from k5)
+select *, concat('### Assistant reply (', kind, ')', chr(10), chr(10), '```', chr(10), prompt, chr(10), '```') reply
+from t"""
 
 
 @query("stream_triage", SQL_TRIAGE)
@@ -94,5 +96,12 @@ def stream_triage(spark, sf_dir):
     """ST2 → ST4 → ST5: each comment once, routed (review command, agent
     command, mention), classified, slots extracted, prompt rendered."""
     s = ST.triage(ST.dedupe_seen(_stream_comments(spark, sf_dir, redeliver=True)))
-    s = s.select("uid", "pr", "kind", "request", "intent", "class_name", "file_name", "function_name", "prompt")
-    return _run(spark, s, "triage")
+    s = s.select("uid", "pr", "kind", "request", "intent", "class_name", "file_name", "function_name", "prompt",
+                 ST.reply_text(F.col("kind"), F.col("prompt")).alias("reply"))
+    # ST5: replies land through foreachBatch, one folder per epoch (idempotent on replay)
+    out = scratch_path(spark, "stream-replies")
+    q = ST.sink_responses(s, out, scratch_path(spark, "stream-replies-ckpt"))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.parquet(out).drop("epoch")

@@ -127,3 +127,45 @@ def test_stream_dedupe_and_latest_across_batches(spark, tmp_dir):
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet").parquet(src))), out2, os.path.join(tmp_dir, "ck2"), mode="complete")
     assert [r.uid for r in spark.read.parquet(out2).collect()] == ["issue-3"]
+
+
+def test_read_comment_pages(spark, tmp_dir):
+    from codelake.sources.comments import read_comment_pages
+
+    root = os.path.join(tmp_dir, "landed")
+    _write(f"{root}/issue/pr=7/page-1.json", json.dumps(
+        [{"id": 11, "created_at": "2024-01-01T00:00:01Z", "body": "hi @assistant go", "user": {"login": "a"}}]))
+    _write(f"{root}/issue/pr=7/page-2.json", "[]")
+    _write(f"{root}/review/pr=7/page-1.json", json.dumps(
+        [{"id": 12, "created_at": "2024-01-01T00:00:02Z", "user": {"login": "b"}}]))
+    _write(f"{root}/submission/pr=7/page-1.json", json.dumps(
+        [{"id": 13, "submitted_at": "2024-01-01T00:00:03Z", "body": "", "user": {"login": "c"}},
+         {"id": 14, "submitted_at": "2024-01-01T00:00:04Z", "body": "lgtm", "user": {"login": "c"}}]))
+    feeds = [read_comment_pages(spark, root, f) for f in ("issue", "review", "submission")]
+    c = CV.union_comments(feeds[0].unionByName(feeds[1]).unionByName(feeds[2]))
+    got = sorted((r.uid, r.pr, r.body, r.author) for r in c.collect())
+    assert got == [("issue-11", 7, "hi @assistant go", "a"), ("review-comment-12", 7, "", "b"),
+                   ("review-submission-14", 7, "lgtm", "c")]
+
+
+def test_plugin_embedder_and_context_styles(spark):
+    from codelake.functions.prompts import render_context
+    from codelake.operators.embed import embed_with
+
+    calls = {"n": 0}
+
+    def flaky(texts):
+        calls["n"] += 1
+        if any(t == "boom" for t in texts):
+            raise RuntimeError("embedding failed")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "ab"), (2, "boom"), (3, "xyz")], "id bigint, t string")
+    got = {r.id: r.embedding for r in embed_with(df, "t", flaky, sleep_s=0.0).collect()}
+    assert got[1] == [2.0, 1.0] and got[2] is None and got[3] == [3.0, 1.0]
+    meta = spark.createDataFrame([({"function": "f", "source_file": "a.cpp"}, "code")],
+                                 "m map<string,string>, c string")
+    feat = meta.select(render_context(F.col("c"), "features", F.col("m"))).first()[0]
+    assert feat == "\nFUNCTION: f\nFEATURES: \nFILE: a.cpp\n\nCODE:\ncode\n"
+    purp = meta.select(render_context(F.col("c"), "purpose", F.col("m"))).first()[0]
+    assert purp.startswith("\nPURPOSE: \nKEYWORDS: \nCONTEXT: \nFILE: a.cpp")
