@@ -6,8 +6,8 @@ chunk, ``cos >= min_sim``, then the ``k`` best per query ordered by
 
 Physical plan (checked with ``explain``):
 
-* the **query side** is the small side.  Its row count is checked first;
-  at or under ``max_broadcast_queries`` it is broadcast and the scoring is a
+* the **query side** is the small side.  Its rows and bytes (rows x dim x
+  8) are checked first; within the bounds it is broadcast and the scoring is a
   ``BroadcastNestedLoopJoin`` whose condition holds the threshold, so pairs
   under ``min_sim`` are never materialised.  The corpus is scanned once,
   in place, with no shuffle.
@@ -35,8 +35,21 @@ from codelake.functions import vectors as V
 # Reference defaults (fixed values): k = 5, similarity threshold 0.3.
 DEFAULT_K = 5
 DEFAULT_MIN_SIM = 0.3
-# Largest query side that is broadcast; beyond it the blocked equi-join runs.
+# Largest query side that is broadcast, in rows and in bytes of float64
+# vectors (rows x dim x 8); beyond either bound the blocked equi-join runs.
 MAX_BROADCAST_QUERIES = 20_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def query_side_fits(q: DataFrame, emb: str, max_rows: int = MAX_BROADCAST_QUERIES,
+                    max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[bool, int]:
+    """The size check for broadcasting the query side: ``(fits, rows)``.
+
+    One aggregate job returns the row count and the largest vector length,
+    so the byte estimate holds for any embedding width."""
+    r = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(emb)).alias("d")).first()
+    n, d = int(r["n"]), int(r["d"] or 0)
+    return (n <= max_rows and n * max(d, 1) * 8 <= max_bytes), n
 
 
 def _prep(df: DataFrame, emb: str, prefix: str) -> DataFrame:
@@ -57,11 +70,13 @@ def score_pairs(queries: DataFrame, chunks: DataFrame, *, query_key: str = "qid"
     c = _prep(chunks.select(*chunk_keys, chunk_emb), chunk_emb, "c_").drop(chunk_emb)
 
     sim = V.cosine(F.col("q_vec"), F.col("c_vec"), F.col("q_norm"), F.col("c_norm"))
-    n_queries = q.count()                               # the size check for the broadcast
-    if n_queries <= max_broadcast_queries:
+    fits, n_queries = query_side_fits(q, "q_vec", max_broadcast_queries)   # the size check
+    if fits:
         joined = c.join(F.broadcast(q), sim >= F.lit(min_sim), "inner")
     else:
-        blocks = -(-n_queries // max_broadcast_queries)
+        per_block = max(1, min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * max(
+            1, q.agg(F.max(F.size("q_vec"))).first()[0] or 1))))
+        blocks = -(-n_queries // per_block)
         qb = q.withColumn("qblock", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
         cb = c.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
         joined = cb.join(qb, (cb["qblock"] == qb["qblock"]) & (sim >= F.lit(min_sim)), "inner")
@@ -115,7 +130,8 @@ def score_topk_numpy(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
 
     chunk_keys = list(chunk_keys)
     q = queries.select(query_key, query_emb).filter(F.col(query_emb).isNotNull())
-    if q.count() > max_broadcast_queries:
+    fits, _ = query_side_fits(q, query_emb, max_broadcast_queries)
+    if not fits:
         return None
     q_rows = q.collect()                                  # bounded by the check above
     spark = chunks.sparkSession

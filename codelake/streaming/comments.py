@@ -127,3 +127,21 @@ def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "appen
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+
+
+def start_watcher(spark: SparkSession, landed_root: str, replies_path: str, checkpoint: str,
+                  marker: str = P.DEFAULT_MENTION, poll: str = ASSISTANT_POLL,
+                  dedupe_watermark: str | None = None):
+    """The service: landed comment pages (S8) → union (U1) → each uid once
+    (ST2) → triage (ST4) → replies (ST5), polling every ``poll``.
+
+    ``checkpoint`` must be on the shared filesystem (``spark.checkpoint.dir``);
+    a restarted or moved driver resumes from it without answering twice.
+    """
+    from codelake.sources.comments import read_comment_pages
+
+    feeds = [read_comment_pages(spark, landed_root, f, stream=True) for f in ("issue", "review", "submission")]
+    pages = feeds[0].unionByName(feeds[1]).unionByName(feeds[2])
+    replies = triage(dedupe_seen(union_comments(pages), dedupe_watermark), marker)
+    replies = replies.withColumn("reply", reply_text(F.col("kind"), F.col("prompt")))
+    return sink_responses(replies, replies_path, checkpoint, trigger={"processingTime": poll})

@@ -169,3 +169,23 @@ def test_plugin_embedder_and_context_styles(spark):
     assert feat == "\nFUNCTION: f\nFEATURES: \nFILE: a.cpp\n\nCODE:\ncode\n"
     purp = meta.select(render_context(F.col("c"), "purpose", F.col("m"))).first()[0]
     assert purp.startswith("\nPURPOSE: \nKEYWORDS: \nCONTEXT: \nFILE: a.cpp")
+
+
+def test_watcher_service(spark, tmp_dir):
+    from codelake.session import checkpoint_dir
+
+    root = os.path.join(tmp_dir, "landed")
+    _write(f"{root}/issue/pr=3/page-1.json", json.dumps(
+        [{"id": 1, "created_at": "2024-01-01T00:00:01Z", "body": "@assistant how to sort", "user": {"login": "a"}},
+         {"id": 2, "created_at": "2024-01-01T00:00:02Z", "body": "/agent-coder\nrename x", "user": {"login": "a"}}]))
+    for f in ("review", "submission"):
+        _write(f"{root}/{f}/pr=3/page-1.json", "[]")
+    out = os.path.join(tmp_dir, "replies")
+    q = ST.start_watcher(spark, root, out, f"{checkpoint_dir(spark)}/watcher-{os.path.basename(tmp_dir)}",
+                         poll="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r.uid, r.kind, r.intent) for r in spark.read.parquet(out).collect())
+    assert got == [("issue-1", "mention", "codeadvising"), ("issue-2", "agent", None)]
