@@ -10,7 +10,7 @@ Two embedders share one contract (text column in, ``array<double>`` out,
   buckets (each MD5 computed once), so embedding adds no shuffle.
 * ``embed_with`` — a user's own embedding function, run batch-wise
   through ``mapInPandas``; each partition embeds its rows, with the
-  reference's retry policy (2 attempts, 1 s apart) per batch element.
+  reference's retry policy (2 attempts, 1 s apart, 60 s per call).
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 
 from codelake.functions.text import WS, clip_text, pystrip
 
-# Embedder settings (fixed values): 2 attempts, 1 s apart.
+# Embedder settings (fixed values): 2 attempts, 1 s apart, 60 s per call.
 EMBED_ATTEMPTS = 2
 RETRY_SLEEP_S = 1.0
+CALL_TIMEOUT_S = 60.0
 DEFAULT_DIM = 64
 
 
@@ -76,11 +77,20 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
     keep = keep or []
     t = F.col(text_col)
     src = clip_text(t, max_chars) if max_chars else t
-    ex = df.select(*keys, *keep, F.explode(F.concat(F.array(F.lit(None).cast("string")),
-                                                    F.split(F.lower(src), WS + "+", -1))).alias("_t"))
+    toks = F.split(F.lower(src), WS + "+", -1)
+    if keep:
+        # the payload rides on the sentinel row only, not on every token row
+        ptype = df.select(F.struct(*keep).alias("p")).schema["p"].dataType.simpleString()
+        items = F.concat(
+            F.array(F.struct(F.lit(None).cast("string").alias("t"), F.struct(*keep).alias("p"))),
+            F.transform(toks, lambda x: F.struct(x.alias("t"), F.lit(None).cast(ptype).alias("p"))))
+        ex = df.select(*keys, F.explode(items).alias("_i")).select(*keys, F.col("_i.t").alias("_t"),
+                                                                   F.col("_i.p").alias("_p"))
+    else:
+        ex = df.select(*keys, F.explode(F.concat(F.array(F.lit(None).cast("string")), toks)).alias("_t"))
     ex = ex.filter(F.col("_t").isNull() | (F.col("_t") != "")) \
         .withColumn("_b", F.when(F.col("_t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("_t"), dim)))
-    firsts = [F.first(c, ignorenulls=False).alias(c) for c in keep]
+    firsts = [F.first("_p", ignorenulls=True).alias("_p")] if keep else []
     if dim <= WIDE_DIM:
         counts = [F.count(F.when(F.col("_b") == i, 1)).alias(f"_c{i}") for i in range(dim)]
         g = ex.groupBy(*keys).agg(F.count(F.when(F.col("_b") >= 0, 1)).alias("_n"), *counts, *firsts)
@@ -90,10 +100,11 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
         g = per.groupBy(*keys).agg(
             F.sum(F.when(F.col("_b") >= 0, F.col("_k")).otherwise(0)).alias("_n"),
             F.map_from_entries(F.collect_list(F.struct("_b", "_k"))).alias("_m"),
-            *[F.first(c).alias(c) for c in keep])
+            *([F.first("_p", ignorenulls=True).alias("_p")] if keep else []))
         vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                           lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
-    return g.select(*keys, *keep, F.when(F.col("_n") > 0, vec).alias(out_col))
+    payload = [F.col(f"_p.{c}").alias(c) for c in keep]
+    return g.select(*keys, *payload, F.when(F.col("_n") > 0, vec).alias(out_col))
 
 
 def sparse(vec_col: str, keep: list[str], df: DataFrame) -> DataFrame:
@@ -105,7 +116,7 @@ def sparse(vec_col: str, keep: list[str], df: DataFrame) -> DataFrame:
 
 def embed_with(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float] | None]],
                out_col: str = "embedding", attempts: int = EMBED_ATTEMPTS,
-               sleep_s: float = RETRY_SLEEP_S) -> DataFrame:
+               sleep_s: float = RETRY_SLEEP_S, timeout_s: float = CALL_TIMEOUT_S) -> DataFrame:
     """Plug-in embedder: ``fn`` maps a list of texts to a list of vectors.
 
     Runs per Arrow batch inside each partition (``mapInPandas``).  A batch
@@ -115,13 +126,18 @@ def embed_with(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list
     out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
     def call(texts: list[str]):
+        from concurrent.futures import ThreadPoolExecutor
+
         for k in range(attempts):
+            pool = ThreadPoolExecutor(max_workers=1)
             try:
-                return fn(texts)
+                return pool.submit(fn, texts).result(timeout=timeout_s)   # a hung call counts as failed
             except Exception:  # noqa: BLE001 - the reference logs and moves on
                 if k + 1 == attempts:
                     raise
                 time.sleep(sleep_s)
+            finally:
+                pool.shutdown(wait=False)
 
     def run(batches: Iterator):
         for pdf in batches:

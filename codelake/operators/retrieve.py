@@ -26,6 +26,7 @@ Physical plan (checked with ``explain``):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,11 +130,16 @@ def score_topk_numpy(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
     import numpy as np
 
     chunk_keys = list(chunk_keys)
-    q = queries.select(query_key, query_emb).filter(F.col(query_emb).isNotNull())
-    fits, _ = query_side_fits(q, query_emb, max_broadcast_queries)
-    if not fits:
-        return None
-    q_rows = q.collect()                                  # bounded by the check above
+    # the query side is computed once for the size check and the fetch
+    q = queries.select(query_key, query_emb).filter(F.col(query_emb).isNotNull()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits, _ = query_side_fits(q, query_emb, max_broadcast_queries)
+        if not fits:
+            return None
+        q_rows = q.collect()                              # bounded by the check above
+    finally:
+        q.unpersist()
     spark = chunks.sparkSession
     qmat = np.array([np.asarray(r[query_emb], dtype=np.float64) for r in q_rows], dtype=np.float64)
     if qmat.size == 0:

@@ -10,6 +10,7 @@ readers concatenate parts in path order, which is the index order.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ def write_chunk_index_json(chunks: DataFrame, path: str, order_keys: list[str],
     ``chunks`` needs ``example, chunk_id, code, metadata, embedding`` and the
     ``order_keys``.  Null embeddings stay in the file and are not counted.
     """
+    # the chunks are read twice (counts, documents): keep them for this write only
+    chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
     counts = chunks.groupBy("example").agg(F.count(F.lit(1)).alias("_n"))
     withp = chunks.join(counts, "example").withColumn(
         "_part", F.lpad(F.pmod(F.xxhash64(*order_keys),
@@ -54,8 +57,11 @@ def write_chunk_index_json(chunks: DataFrame, path: str, order_keys: list[str],
         .alias("_cs"))
     body = F.to_json(F.struct(F.col("example"), F.col("num_chunks"),
                               F.transform("_cs", lambda s: s["c"]).alias("chunks")))
-    docs.select(F.col("example").alias("_ex"), "_part", body.alias("value")) \
-        .write.mode("overwrite").partitionBy("_ex", "_part").text(path)
+    try:
+        docs.select(F.col("example").alias("_ex"), "_part", body.alias("value")) \
+            .write.mode("overwrite").partitionBy("_ex", "_part").text(path)
+    finally:
+        chunks.unpersist()
 
 
 def read_chunk_index(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
