@@ -70,7 +70,9 @@ SLOT_PREFIXES = ("class:", "file:", "function:")
 # Model-unavailable error words (fixed values).
 MODEL_ERROR_WORDS = ("not found", "does not exist", "unknown", "invalid")
 
-# F11 / F13 slot patterns (fixed values; Java syntax, (?m) multi-line).
+# F11 / F13 slot patterns (fixed values).  The DuckDB oracle uses these
+# texts as they are; the Spark side adds (?U) so \s, \w and \b follow
+# Unicode as in Python's re (see ``_u``).
 CLASS_PATTERNS = (
     r"(?m)^\s*class\s*:\s*([A-Za-z_][A-Za-z0-9_]*)",
     r"in\s+the\s+([A-Z][A-Za-z0-9_]*)\s+class",
@@ -85,6 +87,11 @@ FUNCTION_PATTERNS = (r"(?m)^\s*function\s*:\s*([A-Za-z_][A-Za-z0-9_]*)",)
 TARGET_FILE_PATTERN = r"(?i)(\S+\.(cpp|cxx|cc|h|H|hpp))"
 
 
+def _u(pattern: str) -> str:
+    """Java regex with Python's Unicode classes."""
+    return "(?U)" + pattern
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -163,7 +170,7 @@ def compiler_block(body) -> Column:
 
 
 def _first_hit(text: Column, patterns) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, _u(p), 1), F.lit("")) for p in patterns])
 
 
 def extract_class(text) -> Column:
@@ -180,7 +187,7 @@ def extract_function(text) -> Column:
 
 def target_file(text) -> Column:
     """first ``name.ext`` with a C++ extension, any case; null when none."""
-    return F.nullif(F.regexp_extract(_c(text), TARGET_FILE_PATTERN, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_c(text), _u(TARGET_FILE_PATTERN), 1), F.lit(""))
 
 
 def clean_task_label(raw) -> Column:

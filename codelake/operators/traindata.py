@@ -73,13 +73,43 @@ def build_vocab(texts: DataFrame, text_col: str) -> DataFrame:
     ``global_index`` (no single-task window)."""
     counts = texts.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").count()
     ranked = global_index(counts, [F.col("count").desc(), F.col("token").asc()], "rank")
-    return ranked.select("token", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"))
+    return ranked.select("token", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"), "count")
+
+
+# Vocabulary join (ours): broadcast while the vocabulary is at most this many
+# bytes; beyond it a shuffle join whose hottest tokens are salted.
+MAX_VOCAB_BROADCAST_BYTES = 64 * 1024 * 1024
+SALT_BUCKETS = 32
+HOT_TOKEN_SHARE = 0.001
 
 
 def encode(texts: DataFrame, keys: list[str], text_col: str, vocab: DataFrame) -> DataFrame:
-    """``(*keys, ids array<int>)`` in token order (unknown tokens → ``UNK_ID``)."""
+    """``(*keys, ids array<int>)`` in token order (unknown tokens → ``UNK_ID``).
+
+    Token frequencies are Zipfian: one token can be a third of all token
+    rows, so a plain shuffle join on ``token`` would put it in one task.
+    A vocabulary whose measured size fits is broadcast (no shuffle of the
+    token rows at all); a larger one meets the tokens in a shuffle join
+    where tokens above ``HOT_TOKEN_SHARE`` of all rows are salted over
+    ``SALT_BUCKETS`` partitions and the vocabulary rows of those tokens are
+    replicated once per salt.
+    """
     toks = texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
-    j = toks.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
+    size = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("token") + 8).alias("b")).first()
+    if (size["b"] or 0) <= MAX_VOCAB_BROADCAST_BYTES:
+        j = toks.join(F.broadcast(vocab), "token", "left")
+    else:
+        total = toks.count()
+        hot = vocab.filter(F.col("count") >= F.lit(total * HOT_TOKEN_SHARE)).select("token") \
+            if "count" in vocab.columns else vocab.limit(0).select("token")
+        hot_list = [r["token"] for r in hot.limit(int(1 / HOT_TOKEN_SHARE)).collect()]   # at most 1/share tokens
+        is_hot = F.col("token").isin(hot_list) if hot_list else F.lit(False)
+        salted = toks.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*keys, "pos"), F.lit(SALT_BUCKETS)))
+                                 .otherwise(F.lit(0)))
+        v = vocab.select("token", "id").withColumn("_salt", F.explode(F.when(
+            is_hot, F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))).otherwise(F.array(F.lit(0)))))
+        j = salted.join(v, ["token", "_salt"], "left").drop("_salt")
+    j = j.withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"])
     enc = j.groupBy(*keys).agg(ids.alias("ids"))
     # texts without a single token keep an empty sequence

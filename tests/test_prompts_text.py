@@ -139,3 +139,15 @@ def test_encode_fixed_and_mask(spark):
     assert lab == [5, -100, 7, -100, -100, -100]
     long = spark.createDataFrame([(list(range(2, 12)),)], "ids array<int>")
     assert long.select(TD.encode_fixed(F.col("ids"), n=4)).first()[0] == [2, 3, 4, 5]
+
+
+def test_vocab_join_salted_path_matches_broadcast(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "the the the cat " * (i % 4) + f"w{i} the") for i in range(60)],
+                                  "k bigint, text string")
+    vocab = TD.build_vocab(texts, "text")
+    a = {r.k: list(r.ids) for r in TD.encode(texts, ["k"], "text", vocab).collect()}
+    monkeypatch.setattr(TD, "MAX_VOCAB_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(TD, "HOT_TOKEN_SHARE", 0.05)
+    b = {r.k: list(r.ids) for r in TD.encode(texts, ["k"], "text", vocab).collect()}
+    assert a == b
+    assert a[0] == [vocab.filter("token = 'w0'").first().id, 2]     # 'the' is the most frequent token
