@@ -66,7 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cluster names).  Only when it is unset, as in local tests, a scratch
     folder is created and recorded in the session so later calls agree.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
