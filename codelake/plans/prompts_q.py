@@ -209,3 +209,39 @@ def prompt_hash(spark, sf_dir):
     d = D.d2_bodies(spark, sf_dir).withColumn("intent", P.classify_intent("body", "fortran"))
     return SP.state_records(d.filter(F.col("intent") == "scaffolding"), "body").select(
         "conv_id", "turn", "prompt_hash", "intent")
+
+
+def _sql_fields(dump: str) -> str:
+    """F25 as DuckDB text: the member declarations of a dump, one per line."""
+    from codelake.functions.text import WS
+
+    decl = S.strip("regexp_replace(f, '^<FieldDecl[^>]*>\\s*', '')")
+    one = f"concat(regexp_replace(regexp_replace({decl}, ';+$', ''), '{WS}+', ' ', 'g'), ';')"
+    return (f"array_to_string(list_transform(regexp_extract_all({dump}, "
+            f"'Binding for \"f\":\\s*\\n([^\\n]+)', 1), lambda f: {one}), chr(10))")
+
+
+@query("add_method_prompt", f"""with b as (select conv_id, turn, body from {D2}
+  where {_sql_classify('body', 'cpp')} = 'codemodification'),
+s as (select b.*, {_sql_first_hit('body', P.CLASS_PATTERNS)} class_name, {_sql_first_hit('body', P.FILE_PATTERNS)} file_name,
+  array_to_string(list_filter({S.splitlines('body')}, lambda l: not (starts_with({S.strip('l')}, 'class:')
+    or starts_with({S.strip('l')}, 'file:') or starts_with({S.strip('l')}, 'function:'))), chr(10)) request from b),
+m as (select p_partkey, {_sql_fields('dump')} members from {D.SQL_D6})
+select s.conv_id, s.turn, s.class_name, s.file_name,
+  {T.sql_render('add_method', class_name='s.class_name', file_name='s.file_name', members='m.members', body='s.request')} prompt
+from s left join m on m.p_partkey = s.conv_id""")
+def add_method_prompt(spark, sf_dir):
+    """F14 (C++ rules) → F11 slots → P5 → F25 member list → F20 add-method
+    prompt; retrieval and the function body are disabled here, so those
+    parts render empty, as in the reference."""
+    from codelake.operators import codeeval as CE
+
+    d2 = D.d2_bodies(spark, sf_dir).filter(P.classify_intent(F.col("body"), "cpp") == "codemodification")
+    s = d2.select("conv_id", "turn", P.extract_class("body").alias("class_name"),
+                  P.extract_file("body").alias("file_name"), P.strip_slot_lines("body").alias("request"))
+    m = D.d6_ast_dumps(spark, sf_dir).select(F.col("p_partkey").alias("conv_id"),
+                                            F.array_join(CE.ast_fields("dump"), "\n").alias("members"))
+    j = s.join(m, "conv_id", "left")
+    return j.select("conv_id", "turn", "class_name", "file_name",
+                    T.render_prompt("add_method", class_name=F.col("class_name"), file_name=F.col("file_name"),
+                                    members=F.col("members"), body=F.col("request")).alias("prompt"))

@@ -37,8 +37,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     partitions than cores and this is a no-op, so no shuffle is added.
     Spreading by the table key lets later windows and aggregates keyed by
     it reuse the partitioning."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= n:
+            return df
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: keep Spark's own splits
         return df
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
