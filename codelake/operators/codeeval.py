@@ -21,9 +21,11 @@ SIGNATURE = r"(?U)\b\w+::\w+\s*\([^)]*\)\s*\{"
 MACROS = (r"(?U)\bAMREX_GPU_DEVICE\b", r"(?U)\bAMREX_FORCE_INLINE\b")
 PUNCT = r"([{}();,+\-*/=])"
 # F19 declaration rule (ours; the reference reads a syntax tree).
-DECL = (r"(?U)\b(?:const\s+)?(?:unsigned\s+|signed\s+|long\s+)*"
-        r"(?:int|long|short|float|double|char|bool|auto|size_t|Real|std::\w+)\s*[*&]?\s+([A-Za-z_]\w*)\s*(?=[=;,\[(])")
-PARAMS = r"(?U)\b\w+::\w+\s*\(([^)]*)\)"
+# The character after the name is consumed, not looked ahead at: none of
+# ``= ; , [ (`` can start another declaration, so no match is lost.
+DECL = (r"\b(?:const\s+)?(?:unsigned\s+|signed\s+|long\s+)*"
+        r"(?:int|long|short|float|double|char|bool|auto|size_t|Real|std::\w+)\s*[*&]?\s+([A-Za-z_]\w*)\s*[=;,\[(]")
+PARAMS = r"\b\w+::\w+\s*\(([^)]*)\)"
 # F25 / F26 / P9 (fixed values).
 FIELD_BINDING = r'Binding for "f":\s*\n([^\n]+)'
 FIELD_DECL = r"^<FieldDecl[^>]*>\s*"
@@ -86,8 +88,8 @@ def canonicalize_locals(code) -> Column:
     declaration regex finds ``type name`` followed by ``= ; , [ (``.
     """
     c = _c(code)
-    declared = F.array_distinct(F.regexp_extract_all(c, F.lit(DECL), 1))
-    plist = F.regexp_extract(c, PARAMS, 1)
+    declared = F.array_distinct(F.regexp_extract_all(c, F.lit("(?U)" + DECL), 1))
+    plist = F.regexp_extract(c, "(?U)" + PARAMS, 1)
     params = F.transform(F.split(plist, ",", -1),
                          lambda p: F.element_at(F.split(pystrip(F.regexp_replace(p, r"=.*$", "")), r"[\s*&]+", -1), -1))
     names = F.array_sort(F.array_except(declared, params))

@@ -31,6 +31,34 @@ def _rstrip(x: str) -> str:
     return S.rstrip(x)
 
 
+def _sql_clean(x: str) -> str:
+    """F17 as DuckDB text: signature, brace depth over the braces only, cut, collapse."""
+    c = f"regexp_replace(regexp_replace({x}, '\\bamrex::', '', 'g'), '#include\\s*<[^>]+>', '', 'g')"
+    sig = "'\\b\\w+::\\w+\\s*\\([^)]*\\)\\s*\\{'"
+    return f"""(select case when st = 0 or k = 0 then {S.strip('c')} else
+      {S.strip("regexp_replace(regexp_replace(substr(c, st, cast(br - st + coalesce(list_sum(list_transform(pieces[1:k], lambda p: len(p))), 0) + k as bigint)), '[ \\t]+', ' ', 'g'), ' *\\n', chr(10), 'g')")} end
+  from (select c, st, br, pieces, coalesce(list_position(list_transform(range(1, len(braces) + 1),
+          lambda i: len(list_filter(braces[1:i], lambda b: b = '{{'))
+                  - len(list_filter(braces[1:i], lambda b: b = '}}'))), 0), 0) k
+        from (select c, st, br, regexp_extract_all(substr(c, br), '[{{}}]') braces,
+                     string_split_regex(substr(c, br), '[{{}}]') pieces
+              from (select c, st, case when st > 0 then st + len(regexp_extract(c, {sig}, 0)) - 1 else 0 end br
+                    from (select c, case when regexp_matches(c, {sig}) then instr(c, regexp_extract(c, {sig}, 0)) else 0 end st
+                          from (select {c} c))))))"""
+
+
+def _sql_canon(x: str) -> str:
+    """F19 as DuckDB text: declared names minus parameters, sorted, folded
+    into whole-word ``VARn`` replacements."""
+    no_default = S.strip("regexp_replace(p, '=.*$', '')")
+    params = (f"list_transform(string_split(regexp_extract({x}, '{CE.PARAMS}', 1), ','), "
+              f"lambda p: string_split_regex({no_default}, '[\\s*&]+')[-1])")
+    names = (f"list_sort(list_filter(list_distinct(regexp_extract_all({x}, '{CE.DECL}', 1)), "
+             f"lambda n: not list_contains({params}, n)))")
+    return (f"list_reduce(list_zip({names}, range(1, len({names}) + 1)), "
+            f"lambda acc, p: regexp_replace(acc, '\\b' || p[1] || '\\b', 'VAR' || cast(p[2] as varchar), 'g'), {x})")
+
+
 @query("normalize_code", f"""with t as (select 'doc' src, doc_id id, text x from documents
   union all select 'page', page_id, html from pages)
 select src, id, {_sql_normalize('x')} normalized from t""")
@@ -43,15 +71,22 @@ def normalize_code(spark, sf_dir):
     return d.unionByName(p).select("src", "id", CE.normalize_code("x").alias("normalized"))
 
 
-@query("clean_function")
+@query("clean_function", f"""select item_id, {_sql_clean('bench')} bench_clean, {_sql_clean('gen')} gen_clean
+from {D.SQL_D4}""")
 def clean_function(spark, sf_dir):
-    """F17 on both sides of D4 (brace matching; checked by golden tests)."""
+    """F17 on both sides of D4 (brace matching)."""
     d4 = D.d4_eval_pairs(spark, sf_dir)
     return d4.select("item_id", CE.clean_function("bench").alias("bench_clean"),
                      CE.clean_function("gen").alias("gen_clean"))
 
 
-@query("canonicalize_locals")
+_SQL_CANON_D4 = f"""c1 as (select item_id, {_sql_clean('bench')} b1, {_sql_clean('gen')} g1 from {D.SQL_D4}),
+c2 as (select item_id, {_sql_normalize('b1')} b2, {_sql_normalize('g1')} g2 from c1),
+c3 as (select item_id, {_sql_canon('b2')} bench_canon, {_sql_canon('g2')} gen_canon from c2)"""
+
+
+@query("canonicalize_locals", f"""with {_SQL_CANON_D4}
+select item_id, bench_canon, gen_canon from c3""")
 def canonicalize_locals(spark, sf_dir):
     """F19 (declaration-regex approximation) on the cleaned D4 code."""
     d4 = D.d4_eval_pairs(spark, sf_dir)
@@ -261,7 +296,19 @@ def eval_report(spark, sf_dir):
     return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
 
 
-@query("eval_score")
+@query("eval_score", f"""with {_SQL_CANON_D4},
+p as (select printf('prompt_%06d.txt', item_id) prompt_name, item_id, {S.strip('gen')} prompt from {D.SQL_D4}),
+i as (select *, row_number() over (order by prompt_name) - 1 idx from p),
+pairs as (select i.idx, i.prompt_name, c3.gen_canon g, b.bench_canon bb from i join c3 using (item_id)
+  join c3 b on b.item_id = i.idx where i.prompt <> ''),
+gv as {S.sparse_hash('pairs', 'idx', 'g', DIM)},
+bv as {S.sparse_hash('pairs', 'idx', 'bb', DIM)},
+gn as (select idx, sqrt(sum(cnt * cnt)) n from gv group by idx),
+bn as (select idx, sqrt(sum(cnt * cnt)) n from bv group by idx),
+dt as (select g.idx, sum(g.cnt * b.cnt) dot from gv g join bv b using (idx, bucket) group by g.idx)
+select cast(pairs.idx as bigint) idx, pairs.prompt_name, round(case when coalesce(gn.n, 0) * coalesce(bn.n, 0) = 0 then -1.0
+  else coalesce(dt.dot, 0) / (gn.n * bn.n) end, 9) cos
+from pairs left join gn using (idx) left join bn using (idx) left join dt using (idx)""")
 def eval_score(spark, sf_dir):
     """X4 end to end: pairing (J2/W6) → clean (F17) → normalise (F18) →
     canonical locals (F19) on both sides → native embedding (X1) → cosine (F1)."""
@@ -274,3 +321,4 @@ def eval_score(spark, sf_dir):
     be = E.hash_embed_table(ge.select("idx", "b"), ["idx"], "b", DIM, out_col="be")
     cos = V.cosine(F.col("ge"), F.col("be"))
     return ge.join(be, "idx").select("idx", "prompt_name", F.round(cos, 9).alias("cos"))
+
