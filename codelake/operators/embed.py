@@ -77,17 +77,15 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
     keep = keep or []
     t = F.col(text_col)
     src = clip_text(t, max_chars) if max_chars else t
-    toks = F.split(F.lower(src), WS + "+", -1)
+    toks = F.concat(F.array(F.lit(None).cast("string")), F.split(F.lower(src), WS + "+", -1))
     if keep:
-        # the payload rides on the sentinel row only, not on every token row
-        ptype = df.select(F.struct(*keep).alias("p")).schema["p"].dataType.simpleString()
-        items = F.concat(
-            F.array(F.struct(F.lit(None).cast("string").alias("t"), F.struct(*keep).alias("p"))),
-            F.transform(toks, lambda x: F.struct(x.alias("t"), F.lit(None).cast(ptype).alias("p"))))
-        ex = df.select(*keys, F.explode(items).alias("_i")).select(*keys, F.col("_i.t").alias("_t"),
-                                                                   F.col("_i.p").alias("_p"))
+        # the payload stays on position 0 (the sentinel) only: generate and
+        # project run in one generated-code stage, so the payload is not
+        # copied onto every token row
+        ex = df.select(*keys, F.struct(*keep).alias("_pl"), F.posexplode(toks).alias("_pos", "_t")) \
+            .select(*keys, F.when(F.col("_pos") == 0, F.col("_pl")).alias("_p"), "_t")
     else:
-        ex = df.select(*keys, F.explode(F.concat(F.array(F.lit(None).cast("string")), toks)).alias("_t"))
+        ex = df.select(*keys, F.explode(toks).alias("_t"))
     ex = ex.filter(F.col("_t").isNull() | (F.col("_t") != "")) \
         .withColumn("_b", F.when(F.col("_t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("_t"), dim)))
     firsts = [F.first("_p", ignorenulls=True).alias("_p")] if keep else []

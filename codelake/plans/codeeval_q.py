@@ -59,6 +59,21 @@ def _sql_canon(x: str) -> str:
             f"lambda acc, p: regexp_replace(acc, '\\b' || p[1] || '\\b', 'VAR' || cast(p[2] as varchar), 'g'), {x})")
 
 
+def _pair_cosine(df, key: str, a: str, b: str):
+    """Cosine of the native embeddings of two text columns, one pass.
+
+    The two sides are stacked as rows ``(key, side)``, embedded by one
+    aggregate and paired again by a second aggregate on ``key``, so the
+    expressions producing ``a`` and ``b`` run once."""
+    stacked = df.select(key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(a).alias("t")),
+                                               F.struct(F.lit(1).alias("side"), F.col(b).alias("t")))).alias("_s")) \
+        .select(key, "_s.side", "_s.t")
+    emb = E.hash_embed_table(stacked, [key, "side"], "t", DIM, out_col="v")
+    pairs = emb.groupBy(key).agg(F.first(F.when(F.col("side") == 0, F.col("v")), ignorenulls=True).alias("va"),
+                                 F.first(F.when(F.col("side") == 1, F.col("v")), ignorenulls=True).alias("vb"))
+    return pairs.select(key, V.cosine(F.col("va"), F.col("vb")).alias("cos"))
+
+
 @query("normalize_code", f"""with t as (select 'doc' src, doc_id id, text x from documents
   union all select 'page', page_id, html from pages)
 select src, id, {_sql_normalize('x')} normalized from t""")
@@ -289,9 +304,7 @@ def eval_report(spark, sf_dir):
     d4 = D.d4_eval_pairs(spark, sf_dir)
     t = d4.select(F.col("item_id").alias("idx"), "gen", "bench", CE.normalize_code("gen").alias("gn"),
                   CE.normalize_code("bench").alias("bn"))
-    ge = E.hash_embed_table(t, ["idx"], "gn", DIM, out_col="ge", keep=["gen", "bench", "gn", "bn"])
-    be = E.hash_embed_table(t.select("idx", "bn"), ["idx"], "bn", DIM, out_col="be")
-    t = ge.join(be, "idx").withColumn("cos", V.cosine(F.col("ge"), F.col("be")))
+    t = t.join(_pair_cosine(t, "idx", "gn", "bn"), "idx")
     rep = CE.report_text("gen", "gn", "gn", "bench", "bn", "bn", F.col("cos"))
     return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
 
@@ -317,8 +330,7 @@ def eval_score(spark, sf_dir):
     gen = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("prompt")))
     ben = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("bench")))
     t = j.select("idx", "prompt_name", gen.alias("g"), ben.alias("b"))
-    ge = E.hash_embed_table(t, ["idx"], "g", DIM, out_col="ge", keep=["prompt_name", "b"])
-    be = E.hash_embed_table(ge.select("idx", "b"), ["idx"], "b", DIM, out_col="be")
-    cos = V.cosine(F.col("ge"), F.col("be"))
-    return ge.join(be, "idx").select("idx", "prompt_name", F.round(cos, 9).alias("cos"))
+    cos = _pair_cosine(t, "idx", "g", "b")
+    return j.select("idx", "prompt_name").join(cos, "idx").select("idx", "prompt_name",
+                                                                  F.round("cos", 9).alias("cos"))
 

@@ -274,8 +274,13 @@ def rag_context(spark, sf_dir):
     """Flagship, end to end: D1 files → chunks → native embeddings (the index)
     → every mention prompt of D2 embedded → top-5 chunks with cos >= 0.3 →
     rendered code context in rank order (empty when nothing qualifies)."""
-    # the index is used in memory here; index_load covers storing it
-    idx = chunk_index(spark, sf_dir).select("doc_id", "chunk_no", "code", "embedding")
+    from codelake.session import scratch_path
+
+    # the index is built once and written to the shared folder; scoring and
+    # the payload join both read it (no second build, lineage cut here)
+    path = scratch_path(spark, "chunk-index")
+    chunk_index(spark, sf_dir).select("doc_id", "chunk_no", "code", "embedding").write.parquet(path)
+    idx = spark.read.parquet(path)
     prompts = mention_prompts(spark, sf_dir)
     q = prompts.select(F.struct("conv_id", "turn").alias("qid"),
                        E.hash_embed("prompt", DIM).alias("embedding"))
