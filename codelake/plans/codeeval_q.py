@@ -265,11 +265,15 @@ _SPAN = "<(.+?):(\\d+):(\\d+),\\s*line:(\\d+):(\\d+)>"
 o as (select s.*, d.text, cast({_sql_line_offset('d.text', 's.start_line')} + start_col - 1 as bigint) start_offset,
   cast({_sql_line_offset('d.text', 's.end_line')} + end_col - 1 + 1 as bigint) end_offset
   from s join documents d on d.doc_id = s.p_partkey)
-select p_partkey, file, start_line, start_col, end_line, end_col, start_offset, end_offset,
+select p_partkey, file, start_line, start_col, end_line, end_col,
+  start_offset is not null and end_offset is not null in_range,
+  coalesce(start_offset, -1) start_offset, coalesce(end_offset, -1) end_offset,
   substr(text, start_offset + 1, end_offset - start_offset) snippet from o""")
 def ast_span(spark, sf_dir):
     """F26 + W5: the dumped span located in the document of the same id
-    (end made inclusive), with the code it covers; null past the end."""
+    (end made inclusive), with the code it covers.  A line past the end of
+    the document (where the reference raises) gives ``in_range = false``,
+    offsets -1 and no snippet; the row is kept."""
     d6 = D.d6_ast_dumps(spark, sf_dir)
     sp = d6.select("p_partkey", CE.ast_span("dump").alias("s")).filter(F.col("s").isNotNull()).select("p_partkey", "s.*")
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
@@ -277,9 +281,12 @@ def ast_span(spark, sf_dir):
     so = (CE.line_start_offset(F.col("text"), F.col("start_line")) + F.col("start_col") - 1).cast("bigint")
     eo = (CE.line_start_offset(F.col("text"), F.col("end_line")) + F.col("end_col") - 1 + 1).cast("bigint")
     j = j.withColumn("start_offset", so).withColumn("end_offset", eo)
-    return j.select("p_partkey", "file", "start_line", "start_col", "end_line", "end_col", "start_offset",
-                    "end_offset", F.substring("text", F.col("start_offset") + 1,
-                                              F.col("end_offset") - F.col("start_offset")).alias("snippet"))
+    ok = F.col("start_offset").isNotNull() & F.col("end_offset").isNotNull()
+    return j.select("p_partkey", "file", "start_line", "start_col", "end_line", "end_col", ok.alias("in_range"),
+                    F.coalesce("start_offset", F.lit(-1)).cast("bigint").alias("start_offset"),
+                    F.coalesce("end_offset", F.lit(-1)).cast("bigint").alias("end_offset"),
+                    F.when(ok, F.substring("text", F.col("start_offset") + 1,
+                                           F.col("end_offset") - F.col("start_offset"))).alias("snippet"))
 
 
 @query("eval_report", f"""with t as (select item_id idx, gen, bench, {_sql_normalize('gen')} gn, {_sql_normalize('bench')} bn from {D.SQL_D4}),

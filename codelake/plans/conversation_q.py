@@ -11,6 +11,17 @@ from codelake.plans.registry import query
 from codelake.sources.tables import read_table
 
 SEEN_BEFORE = "2024-01-15 00:00:00"   # comments answered by an earlier poll
+# Timestamps leave the registered queries as one fixed text format (both engines print it alike).
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+SQL_TS_FMT = "%Y-%m-%d %H:%M:%S.%f"
+
+
+def ts_text(c):
+    return F.date_format(F.col(c), TS_FMT).alias(c)
+
+
+def sql_ts(c):
+    return f"strftime({c}, '{SQL_TS_FMT}') {c.split('.')[-1]}"
 
 
 def comments(spark, sf_dir):
@@ -27,40 +38,41 @@ SQL_COMMENTS = f"""comments as (
   select 'review-submission-' || cast(id as varchar), pr, id, cast(replace(created, 'Z', '') as timestamp),
     body, author, 'submission', 2 from {D.SQL_D9} where feed = 'submission' and body is not null and body <> '')"""
 
-SQL_LATEST = """select pr, uid, created_at, body, author, source from (
+SQL_LATEST = f"""select pr, uid, {sql_ts('created_at')}, body, author, source from (
   select *, row_number() over (partition by pr order by created_at desc, feed_order, id) rk from comments) where rk = 1"""
 
 
 @query("comment_union", f"""with {SQL_COMMENTS}
-select uid, pr, created_at, body, author, source from comments""")
+select uid, pr, {sql_ts('created_at')}, body, author, source from comments""")
 def comment_union(spark, sf_dir):
     """U1 + P3 + F23: three landed feeds as one comment table."""
-    return comments(spark, sf_dir).select("uid", "pr", "created_at", "body", "author", "source")
+    return comments(spark, sf_dir).select("uid", "pr", ts_text("created_at"), "body", "author", "source")
 
 
 @query("latest_comment", f"""with {SQL_COMMENTS}
 {SQL_LATEST}""")
 def latest_comment(spark, sf_dir):
     """A3: newest comment per pull request, union order breaks ties."""
-    return CV.latest_comment(comments(spark, sf_dir), "pr")
+    return CV.latest_comment(comments(spark, sf_dir), "pr").withColumn("created_at", ts_text("created_at"))
 
 
 @query("exclude_seen", f"""with {SQL_COMMENTS}
-select uid, pr, created_at from comments
+select uid, pr, {sql_ts('created_at')} from comments
 where uid not in (select uid from comments where created_at < timestamp '{SEEN_BEFORE}')""")
 def exclude_seen(spark, sf_dir):
     """Comments not answered by an earlier poll (anti-join on uid)."""
     c = comments(spark, sf_dir)
     seen = c.filter(F.col("created_at") < F.lit(SEEN_BEFORE).cast("timestamp_ntz")).select("uid")
-    return CV.exclude_seen(c, seen).select("uid", "pr", "created_at")
+    return CV.exclude_seen(c, seen).select("uid", "pr", ts_text("created_at"))
 
 
-@query("latest_open", """select o_orderkey, o_orderdate from orders where o_orderstatus = 'O'
+@query("latest_open", f"""select o_orderkey, {sql_ts('o_orderdate')} from orders where o_orderstatus = 'O'
 order by o_orderdate desc, o_orderkey desc limit 1""")
 def latest_open(spark, sf_dir):
     """P8 + T2: the newest open item (orders with status 'O' stand for open PRs)."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    return CV.newest_open(o, "o_orderstatus", "O", "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
+    return CV.newest_open(o, "o_orderstatus", "O", "o_orderdate", "o_orderkey").select("o_orderkey",
+                                                                                       ts_text("o_orderdate"))
 
 
 _EXTS = "['.c', '.cc', '.cpp', '.h', '.hpp', '.py', '.md', '/Makefile', '.cu']"

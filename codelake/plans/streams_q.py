@@ -12,7 +12,7 @@ from codelake.functions import prompts as P
 from codelake.functions import templates as T
 from codelake.operators import conversation as CV
 from codelake.plans import fixtures as D
-from codelake.plans.conversation_q import SQL_COMMENTS, SQL_LATEST
+from codelake.plans.conversation_q import SQL_COMMENTS, SQL_LATEST, sql_ts, ts_text
 from codelake.plans.prompts_q import _sql_classify, _sql_first_hit, sql_agent_instruction, sql_compiler_block, sql_mention
 from codelake.plans.registry import query
 from codelake.session import scratch_path
@@ -47,11 +47,11 @@ def stream_mentions(spark, sf_dir):
 
 
 @query("stream_dedupe", f"""with {SQL_COMMENTS}
-select distinct uid, pr, created_at from comments""")
+select distinct uid, pr, {sql_ts('created_at')} from comments""")
 def stream_dedupe(spark, sf_dir):
     """ST2: re-delivered comments are processed once (checkpointed state)."""
     s = ST.dedupe_seen(_stream_comments(spark, sf_dir, redeliver=True)).select("uid", "pr", "created_at")
-    return _run(spark, s, "dedupe")
+    return _run(spark, s, "dedupe").withColumn("created_at", ts_text("created_at"))
 
 
 @query("stream_latest", f"""with {SQL_COMMENTS}
@@ -59,7 +59,7 @@ def stream_dedupe(spark, sf_dir):
 def stream_latest(spark, sf_dir):
     """ST3: newest comment per pull request, maintained by a streaming aggregate."""
     s = ST.latest_per_pr(_stream_comments(spark, sf_dir))
-    return _run(spark, s, "latest", mode="complete")
+    return _run(spark, s, "latest", mode="complete").withColumn("created_at", ts_text("created_at"))
 
 
 def _sql_mention_kind(intent: str) -> str:
