@@ -200,5 +200,9 @@ def report_text(gen_raw, gen_final, gen_norm, bench_raw, bench_final, bench_norm
 
 
 def write_eval_report(df: DataFrame, path: str) -> None:
-    """S9 writer: one text file per item, partitioned by ``idx``."""
-    df.select("idx", F.col("report").alias("value")).write.mode("overwrite").partitionBy("idx").text(path)
+    """S9 writer: one text file per item, partitioned by ``idx``.
+
+    The text writer ends every row with a newline, so the report's own last
+    newline is dropped first: each file holds exactly the report."""
+    value = F.regexp_replace(F.col("report"), "\n$", "")
+    df.select("idx", value.alias("value")).write.mode("overwrite").partitionBy("idx").text(path)
