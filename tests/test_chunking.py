@@ -114,3 +114,19 @@ def test_dedent_matches_textwrap(spark):
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     got = [r[0] for r in df.select(dedent("t")).collect()]
     assert got == [textwrap.dedent(c) for c in cases]
+
+
+def test_fortran_random_against_brute_force(spark):
+    from brute import fortran_chunks as brute_fortran
+
+    rnd = random.Random(11)
+    pool = ["! PURPOSE: p", "! purpose: q r", "! KEYWORDS: a, b", "!keywords: c", "! CONTEXT: ctx", "! more",
+            "!", "module procedure x &", "  MODULE PROCEDURE y", "x = 1", "", "! END CODE CHUNK", "  ! end code chunk "]
+    files = {i: [rnd.choice(pool) for _ in range(rnd.randint(0, 20))] for i in range(300)}
+    rows = C.chunk_fortran(_lines_df(spark, files), ["doc_id"]).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.chunk_no)):
+        got.setdefault(r.doc_id, []).append({"purpose": r.purpose, "keywords": list(r.keywords),
+                                             "context": r.context, "code": r.code, "procedure": r.procedure})
+    for fid, lines in files.items():
+        assert got.get(fid, []) == brute_fortran(lines), lines

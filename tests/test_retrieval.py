@@ -76,3 +76,13 @@ def test_single_query(spark):
     c = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(10)], "chunk_id bigint, embedding array<double>")
     top = R.retrieve_single(F.array(F.lit(1.0), F.lit(0.0)), c, k=2, min_sim=0.3).collect()
     assert [r.chunk_id for r in top] == [2, 5]      # [2, 1] is closest to [1, 0]; position breaks the tie
+
+
+def test_numpy_plan_shape(spark):
+    c = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "chunk_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 1.0])], "qid bigint, embedding array<double>")
+    df = R.retrieve_topk(q, c, k=3)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
