@@ -189,3 +189,17 @@ def test_watcher_service(spark, tmp_dir):
         q.stop()
     got = sorted((r.uid, r.kind, r.intent) for r in spark.read.parquet(out).collect())
     assert got == [("issue-1", "mention", "codeadvising"), ("issue-2", "agent", None)]
+
+
+def test_bounded_dedupe_within_watermark(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "landed_wm")
+    schema = "feed string, id bigint, pr bigint, created string, body string, author string"
+    rows = [("issue", 1, 7, "2024-01-01T00:00:05Z", "@assistant a", "u"),
+            ("issue", 1, 7, "2024-01-01T00:00:05Z", "@assistant a", "u"),
+            ("issue", 2, 7, "2024-01-01T00:10:00Z", "@assistant b", "u")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    out = os.path.join(tmp_dir, "out_wm")
+    ST.run_to_parquet(ST.dedupe_seen(CV.union_comments(stream), watermark="1 hour").select("uid"), out,
+                      os.path.join(tmp_dir, "ck_wm"))
+    assert sorted(r.uid for r in spark.read.parquet(out).collect()) == ["issue-1", "issue-2"]
