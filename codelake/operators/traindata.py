@@ -70,10 +70,16 @@ def build_vocab(texts: DataFrame, text_col: str) -> DataFrame:
     """X3 vocabulary: ``(token, id)`` by descending count then token.
 
     Counting is a partial aggregate; numbering uses the distributed
-    ``global_index`` (no single-task window)."""
+    ``global_index`` (no single-task window).  The result is checkpointed
+    to the shared folder (lineage cut), so the corpus is counted once."""
+    from codelake.session import checkpoint_dir
+
     counts = texts.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").count()
     ranked = global_index(counts, [F.col("count").desc(), F.col("token").asc()], "rank")
-    return ranked.select("token", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"), "count")
+    vocab = ranked.select("token", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"), "count")
+    # built once: its size check and the join read the checkpoint in the shared folder
+    checkpoint_dir(vocab.sparkSession)
+    return vocab.checkpoint(eager=True)
 
 
 # Vocabulary join (ours): broadcast while the vocabulary is at most this many
