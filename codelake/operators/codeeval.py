@@ -149,7 +149,7 @@ def compile_flags(command) -> Column:
     Tokens are quote-aware (``"a b"`` and ``'a b'`` stay whole, quotes removed)."""
     toks = F.regexp_extract_all(_c(command), F.lit(r"""("[^"]*"|'[^']*'|[^\s"']+)+"""), 0)
     toks = F.transform(toks, lambda t: F.regexp_replace(t, r"""["']""", ""))
-    cond = lambda t: F.lit(False)
+
     def keep(t):
         out = F.lit(False)
         for p in FLAG_PREFIXES:
@@ -157,7 +157,7 @@ def compile_flags(command) -> Column:
         for e in FLAG_EXACT:
             out = out | (t == e)
         return out
-    del cond
+
     return F.filter(toks, keep)
 
 

@@ -151,7 +151,6 @@ def score_topk_numpy(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
                               + [T.StructField("sim", T.DoubleType())])
 
     def run(batches):
-        import pandas as pd
         Q, qn = bq.value
         for pdf in batches:
             pdf = pdf[pdf[chunk_emb].notna()]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from codelake.functions import prompts as P
 from codelake.functions import templates as T
 from codelake.functions.text import pystrip
-from codelake.operators.ordering import global_index
 from codelake.plans import fixtures as D
 from codelake.plans import sqltext as S
 from codelake.plans.registry import query
