@@ -74,6 +74,43 @@ def _pair_cosine(df, key: str, a: str, b: str):
     return pairs.select(key, V.cosine(F.col("va"), F.col("vb")).alias("cos"))
 
 
+def _sql_merge_core(f_sql: str) -> str:
+    """F22 as DuckDB text over ``f(doc_id, old, new)`` line lists: a recursive
+    CTE matches each old line at the first later equal new line (the greedy
+    two-pointer walk), then blocks are assembled from the match positions."""
+    return f"""f as {f_sql},
+m(doc_id, k, j) as (
+  select doc_id, 0, 0 from f
+  union all
+  select m.doc_id, m.k + 1, m.j + coalesce(list_position(f.new[m.j + 1:], f.old[m.k + 1]), 0)
+  from m join f using (doc_id)
+  where m.k < len(f.old) and coalesce(list_position(f.new[m.j + 1:], f.old[m.k + 1]), 0) > 0),
+steps as (select doc_id, k, j, lag(j) over (partition by doc_id order by k) pj from m),
+body as (select s.doc_id, s.k,
+  list_concat(case when s.j - s.pj > 1 then list_concat(['{DF.MERGE_OPEN}'], f.new[s.pj + 1:s.j - 1], ['{DF.MERGE_MID}', '{DF.MERGE_CLOSE}'])
+                   else []::VARCHAR[] end, [f.old[s.k]]) part
+  from steps s join f using (doc_id) where s.k > 0),
+last as (select doc_id, max(k) kk, arg_max(j, k) jj from m group by doc_id),
+tail as (select f.doc_id, case
+    when l.kk < len(f.old) then list_concat(['{DF.MERGE_OPEN}'], f.new[l.jj + 1:], ['{DF.MERGE_MID}'], f.old[l.kk + 1:], ['{DF.MERGE_CLOSE}'])
+    when l.jj < len(f.new) then list_concat(['{DF.MERGE_OPEN}'], f.new[l.jj + 1:], ['{DF.MERGE_MID}', '{DF.MERGE_CLOSE}'])
+    else []::VARCHAR[] end part
+  from f join last l using (doc_id)),
+merged as (select f.doc_id, f.old = f.new same,
+  list_concat(coalesce(flatten(list(b.part order by b.k) filter (where b.part is not null)), []::VARCHAR[]), t.part) lines
+  from f join tail t using (doc_id) left join body b using (doc_id) group by f.doc_id, f.old, f.new, t.part)
+select doc_id, case when same then null else array_to_string(lines, chr(10)) end merged from merged"""
+
+
+def _sql_merge() -> str:
+    rs = lambda e: S.rstrip(e)
+    src = f"""(select o.doc_id, o.old, coalesce(n.new, []::VARCHAR[]) new from
+  (select doc_id, list({rs('old_line')} order by line_no) old from {D.SQL_D5} group by doc_id) o left join
+  (select doc_id, list({rs('new_line')} order by line_no) filter (where not dropped) new from {D.SQL_D5} group by doc_id) n
+  using (doc_id))"""
+    return "with recursive " + _sql_merge_core(src)
+
+
 @query("normalize_code", f"""with t as (select 'doc' src, doc_id id, text x from documents
   union all select 'page', page_id, html from pages)
 select src, id, {_sql_normalize('x')} normalized from t""")
@@ -179,7 +216,7 @@ def change_status(spark, sf_dir):
     return DF.change_report(files, counts, ["doc_id"], "name", "existed")
 
 
-@query("conflict_merge")
+@query("conflict_merge", _sql_merge())
 def conflict_merge(spark, sf_dir):
     """F22 on D5: old lines against the kept, edited new lines, per file."""
     old, new = _versions(spark, sf_dir)

@@ -151,3 +151,20 @@ def test_vocab_join_salted_path_matches_broadcast(spark, monkeypatch):
     b = {r.k: list(r.ids) for r in TD.encode(texts, ["k"], "text", vocab).collect()}
     assert a == b
     assert a[0] == [vocab.filter("token = 'w0'").first().id, 2]     # 'the' is the most frequent token
+
+
+def test_merge_oracle_agrees_with_merge_rule():
+    import duckdb
+
+    from codelake.plans.codeeval_q import _sql_merge_core
+
+    rnd = random.Random(21)
+    cases = [(i, [rnd.choice("abc") for _ in range(rnd.randint(0, 6))],
+              [rnd.choice("abcd") for _ in range(rnd.randint(0, 6))]) for i in range(300)]
+    con = duckdb.connect()
+    con.execute("create table cases(doc_id int, old varchar[], new varchar[])")
+    con.executemany("insert into cases values (?, ?, ?)", cases)
+    got = dict(con.execute("with recursive " + _sql_merge_core("(select * from cases)")).fetchall())
+    for i, old, new in cases:
+        exp = _merge_one(old, new)
+        assert got[i] == (None if exp is None else "\n".join(exp)), (old, new)
