@@ -88,7 +88,10 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
         ex = df.select(*keys, F.explode(toks).alias("_t"))
     ex = ex.filter(F.col("_t").isNull() | (F.col("_t") != "")) \
         .withColumn("_b", F.when(F.col("_t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("_t"), dim)))
-    firsts = [F.first("_p", ignorenulls=True).alias("_p")] if keep else []
+    # the payload is non-null on one row per key: collect_list keeps the
+    # aggregate hash-based (ObjectHashAggregate), where first() over strings
+    # would force a sort of all token rows
+    firsts = [F.collect_list("_p").alias("_pl")] if keep else []
     if dim <= WIDE_DIM:
         counts = [F.count(F.when(F.col("_b") == i, 1)).alias(f"_c{i}") for i in range(dim)]
         g = ex.groupBy(*keys).agg(F.count(F.when(F.col("_b") >= 0, 1)).alias("_n"), *counts, *firsts)
@@ -98,9 +101,10 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
         g = per.groupBy(*keys).agg(
             F.sum(F.when(F.col("_b") >= 0, F.col("_k")).otherwise(0)).alias("_n"),
             F.map_from_entries(F.collect_list(F.struct("_b", "_k"))).alias("_m"),
-            *([F.first("_p", ignorenulls=True).alias("_p")] if keep else []))
+            *([F.flatten(F.collect_list("_pl")).alias("_pl")] if keep else []))
         vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                           lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
+    g = g.withColumn("_p", F.element_at("_pl", 1)) if keep else g
     payload = [F.col(f"_p.{c}").alias(c) for c in keep]
     return g.select(*keys, *payload, F.when(F.col("_n") > 0, vec).alias(out_col))
 

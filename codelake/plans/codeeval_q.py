@@ -59,19 +59,26 @@ def _sql_canon(x: str) -> str:
             f"lambda acc, p: regexp_replace(acc, '\\b' || p[1] || '\\b', 'VAR' || cast(p[2] as varchar), 'g'), {x})")
 
 
-def _pair_cosine(df, key: str, a: str, b: str):
+def _pair_cosine(df, keys: list[str], a: str, b: str, carry: tuple[str, ...] = ()):
     """Cosine of the native embeddings of two text columns, one pass.
 
-    The two sides are stacked as rows ``(key, side)``, embedded by one
-    aggregate and paired again by a second aggregate on ``key``, so the
-    expressions producing ``a`` and ``b`` run once."""
-    stacked = df.select(key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(a).alias("t")),
-                                               F.struct(F.lit(1).alias("side"), F.col(b).alias("t")))).alias("_s")) \
-        .select(key, "_s.side", "_s.t")
-    emb = E.hash_embed_table(stacked, [key, "side"], "t", DIM, out_col="v")
-    pairs = emb.groupBy(key).agg(F.first(F.when(F.col("side") == 0, F.col("v")), ignorenulls=True).alias("va"),
-                                 F.first(F.when(F.col("side") == 1, F.col("v")), ignorenulls=True).alias("vb"))
-    return pairs.select(key, V.cosine(F.col("va"), F.col("vb")).alias("cos"))
+    The two sides are stacked as rows ``(keys, side)``, embedded by one
+    aggregate and paired again by a second aggregate on ``keys``, so the
+    expressions producing ``a`` and ``b`` run once.  ``carry`` columns ride
+    along on side 0 and come back with the cosine.  Both aggregates use
+    ``collect_list`` (at most one element per key) so they stay hash-based."""
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("t"),
+                                 *[(F.col(x) if n == 0 else F.lit(None).cast(df.schema[x].dataType)).alias(x)
+                                   for x in carry])
+    stacked = df.select(*keys, F.explode(F.array(side(0, a), side(1, b))).alias("_s")).select(*keys, "_s.*")
+    emb = E.hash_embed_table(stacked, keys + ["side"], "t", DIM, out_col="v", keep=list(carry))
+    payload = F.struct(*carry) if carry else F.lit(None)
+    pairs = emb.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("side") == 0, F.struct(F.col("v").alias("v"), payload.alias("p")))).alias("la"),
+        F.collect_list(F.when(F.col("side") == 1, F.col("v"))).alias("lb"))
+    first_a = F.element_at("la", 1)
+    return pairs.select(*keys, *[first_a["p"][x].alias(x) for x in carry],
+                        V.cosine(first_a["v"], F.element_at("lb", 1)).alias("cos"))
 
 
 def _sql_merge_core(f_sql: str) -> str:
@@ -348,7 +355,7 @@ def eval_report(spark, sf_dir):
     d4 = D.d4_eval_pairs(spark, sf_dir)
     t = d4.select(F.col("item_id").alias("idx"), "gen", "bench", CE.normalize_code("gen").alias("gn"),
                   CE.normalize_code("bench").alias("bn"))
-    t = t.join(_pair_cosine(t, "idx", "gn", "bn"), "idx")
+    t = _pair_cosine(t, ["idx"], "gn", "bn", carry=("gen", "bench", "gn", "bn"))
     rep = CE.report_text("gen", "gn", "gn", "bench", "bn", "bn", F.col("cos"))
     return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
 
@@ -374,7 +381,6 @@ def eval_score(spark, sf_dir):
     gen = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("prompt")))
     ben = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("bench")))
     t = j.select("idx", "prompt_name", gen.alias("g"), ben.alias("b"))
-    cos = _pair_cosine(t, "idx", "g", "b")
-    return j.select("idx", "prompt_name").join(cos, "idx").select("idx", "prompt_name",
-                                                                  F.round("cos", 9).alias("cos"))
+    return _pair_cosine(t, ["idx", "prompt_name"], "g", "b").select("idx", "prompt_name",
+                                                                    F.round("cos", 9).alias("cos"))
 
