@@ -282,8 +282,8 @@ def rag_context(spark, sf_dir):
     chunk_index(spark, sf_dir).select("doc_id", "chunk_no", "code", "embedding").write.parquet(path)
     idx = spark.read.parquet(path)
     prompts = mention_prompts(spark, sf_dir)
-    q = prompts.select(F.struct("conv_id", "turn").alias("qid"),
-                       E.hash_embed("prompt", DIM).alias("embedding"))
+    q = E.hash_embed_table(prompts, ["conv_id", "turn"], "prompt", DIM) \
+        .select(F.struct("conv_id", "turn").alias("qid"), "embedding")
     top = R.retrieve_topk(q, idx, k=R.DEFAULT_K, min_sim=R.DEFAULT_MIN_SIM, query_key="qid",
                           chunk_keys=["doc_id", "chunk_no"])
     ranked = R.attach_payload(top, idx.select("doc_id", "chunk_no", "code"), ["doc_id", "chunk_no"])
