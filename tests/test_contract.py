@@ -64,6 +64,8 @@ def test_query_matches_oracle(spark, duck, name):
     s = E.queries()[name](spark, SF_SMALL).toPandas()
     d = duck.execute(E.oracle_sql()[name]).df()
     assert _rows(s) == _rows(d)
+    # same column types as the oracle (the driver compares schemas too)
+    assert dict(s.dtypes.astype(str)) == dict(d.dtypes.astype(str))
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
