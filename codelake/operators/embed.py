@@ -44,10 +44,15 @@ def token_bucket(tok: Column, dim: int) -> Column:
 
 
 def hash_embed(text, dim: int = DEFAULT_DIM, max_chars: int | None = None) -> Column:
-    """Native hashed bag-of-words vector; ``null`` for blank text.
+    """Native hashed bag-of-words vector as a column expression; ``null`` for blank text.
 
     ``max_chars`` clips like the reference's embedder input (strip, then the
     first ``max_chars`` characters); ``None`` embeds the whole text.
+
+    Row-local and shuffle-free, but its per-token update of the ``dim``
+    counts is a higher-order lambda, which Spark does not compile: use it for
+    single values and short texts.  For tables use ``hash_embed_table``
+    (generated code, same vectors).
     """
     t = _c(text)
     src = clip_text(t, max_chars) if max_chars else t
