@@ -82,7 +82,9 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
     keep = keep or []
     t = F.col(text_col)
     src = clip_text(t, max_chars) if max_chars else t
-    toks = F.concat(F.array(F.lit(None).cast("string")), F.split(F.lower(src), WS + "+", -1))
+    # a null text still yields its sentinel row (and a null vector): the row is kept
+    toks = F.concat(F.array(F.lit(None).cast("string")),
+                    F.coalesce(F.split(F.lower(src), WS + "+", -1), F.array().cast("array<string>")))
     if keep:
         # the payload stays on position 0 (the sentinel) only: generate and
         # project run in one generated-code stage, so the payload is not

@@ -86,3 +86,16 @@ def test_numpy_plan_shape(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_embedders_agree(spark):
+    from codelake.operators import embed as E
+
+    texts = [(1, "Add two Numbers  fast"), (2, "   "), (3, None), (4, "a\tb\nc  a"), (5, "éte été ÉTÉ x")]
+    df = spark.createDataFrame(texts, "k bigint, t string")
+    col = {r.k: r.v for r in df.select("k", E.hash_embed("t", 16).alias("v")).collect()}
+    tab = {r.k: r.v for r in E.hash_embed_table(df, ["k"], "t", 16, out_col="v").collect()}
+    wide = {r.k: r.v for r in E.hash_embed_table(df, ["k"], "t", 300, out_col="v").collect()}
+    assert col == tab
+    assert col[2] is None and col[3] is None and sum(col[1]) == 4.0
+    assert sum(wide[4]) == 4.0 and wide[2] is None
