@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelake.session import configure
 
@@ -19,7 +20,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op6_mixing]
+def _remainder(mod: int, value: int):
+    """crc32 of doc_id as text, modulo ``mod``, is ``value`` (a null doc_id counts as empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == value
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(4, 2))
+
+
+_ALL = [op6_mixing, op8_quality]
 ORACLES: dict[str, str] = {}
 
 
