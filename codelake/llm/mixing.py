@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)            # by rank of the source, repeating
 SHARE = 1.5                    # of all words
 MAX_COPIES = 2                 # of any source and any document
 BLOCK_WORDS = 32
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 18
 SEED = "mix-1"
 BROADCAST_ROWS = 20_000        # source and shard tables up to this many rows are broadcast, else joined by key
 
