@@ -31,8 +31,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(4, 2))
 
 
-_ALL = [op6_mixing, op8_quality]
-ORACLES: dict[str, str] = {}
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_license_scan, op6_mixing, op8_quality]
 
 
 def _configured(fn):
@@ -49,4 +54,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    from codelake.llm import license_scan
+
+    return {"op1_license_scan": license_scan.oracle()}
