@@ -37,7 +37,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_license_scan, op6_mixing, op8_quality]
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op6_mixing, op8_quality]
 
 
 def _configured(fn):
@@ -54,6 +60,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    from codelake.llm import license_scan
+    from codelake.llm import license_scan, near_dedup
 
-    return {"op1_license_scan": license_scan.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_near_dedup": near_dedup.oracle()}
