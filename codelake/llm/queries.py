@@ -43,7 +43,13 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_license_scan, op2_near_dedup, op6_mixing, op8_quality]
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op6_mixing, op8_quality, op10_substring_dedup]
 
 
 def _configured(fn):
@@ -60,6 +66,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    from codelake.llm import license_scan, near_dedup
+    from codelake.llm import license_scan, near_dedup, substring_dedup
 
-    return {"op1_license_scan": license_scan.oracle(), "op2_near_dedup": near_dedup.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op2_near_dedup": near_dedup.oracle(),
+            "op10_substring_dedup": substring_dedup.oracle()}
