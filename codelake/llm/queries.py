@@ -49,7 +49,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_license_scan, op2_near_dedup, op6_mixing, op8_quality, op10_substring_dedup]
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.class_lm import score
+
+    return score(_table(spark, sf_dir, "documents"), _remainder(5, 1))
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op6_mixing, op8_quality, op10_substring_dedup]
 
 
 def _configured(fn):
