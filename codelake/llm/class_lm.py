@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelake.llm._sums import BLOCK_SCHEMA, added_up, blocks, pack, unpack
 from codelake.llm._tables import discard, landed
 from codelake.llm._words import Words, pieces
 
@@ -50,26 +51,11 @@ ROUNDS = 3
 CHUNK_BYTES = 8 << 20
 GROUP_WORDS = 400_000          # dictionary entries in one group, about
 TRANSITION_MASS = 5.0          # pseudo-counts towards class frequencies
-_BLOCK = 256                   # exchanged words per block of gathered counts
 
 _ENCODED = ("chunk bigint, ids array<bigint>, held array<boolean>, lens array<int>, tokens binary, vocab binary, "
             "counts binary")
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Bytes of an integer array, planes apart, compressed; the length goes in front."""
-    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-    return np.int64(len(x)).tobytes() + pa.compress(planes, "zstd", asbytes=True) if len(x) else b""
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    if not b:
-        return np.zeros(0, kind)
-    n, size = int(np.frombuffer(b[:8], np.int64)[0]), np.dtype(kind).itemsize
-    raw = pa.decompress(b[8:], n * size, "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
-
-
 def encode(docs: DataFrame) -> DataFrame:
     """Chunks of whole texts; ``docs``: doc_id, text, held."""
 
@@ -89,8 +75,8 @@ def encode(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([seq], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                      pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([w.counts.tolist()], pa.list_(pa.int32())),
-                     pa.array([_pack(tokens)], pa.binary()), pa.array([vocab[common].tobytes()], pa.binary()),
-                     pa.array([_pack(counts)], pa.binary())],
+                     pa.array([pack(tokens)], pa.binary()), pa.array([vocab[common].tobytes()], pa.binary()),
+                     pa.array([pack(counts)], pa.binary())],
                     ["chunk", "ids", "held", "lens", "tokens", "vocab", "counts"])
                 seq += 1
 
@@ -101,7 +87,7 @@ class _Chunk:
     def __init__(self, row: dict) -> None:
         self.held = np.array(row["held"], bool)
         self.lens = np.array(row["lens"], np.int64)
-        self.tokens = _unpack(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lens)])
 
     def runs(self, value: np.ndarray, end: int, train: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +110,7 @@ def word_counts(enc: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fp, c = np.frombuffer(row["vocab"], np.int64), _unpack(row["counts"], np.uint32).astype(np.int64)
+                fp, c = np.frombuffer(row["vocab"], np.int64), unpack(row["counts"], np.uint32).astype(np.int64)
                 seen = c > 0
                 yield pa.RecordBatch.from_arrays([pa.array(fp[seen]), pa.array(c[seen])], ["fp", "c"])
 
@@ -163,30 +149,10 @@ def neighbours(enc: DataFrame, keys: np.ndarray, cls: np.ndarray, classes: int)
                 if len(w):
                     words += np.bincount(np.concatenate([w * 2 * s + seq[at - 1], w * 2 * s + s + seq[at + 1]]),
                                          minlength=n * 2 * s).reshape(n, 2 * s)
-        blocks = [(-1, pairs)] + [(i, words[i:i + _BLOCK].ravel()) for i in range(0, n, _BLOCK)]
-        for i, b in blocks:
-            if b.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([_pack(b)], pa.binary())], ["block", "sums"])
+        yield from blocks(np.concatenate([pairs, words.ravel()]))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = _unpack(row["sums"], np.int64)
-                total[row["block"]] = total[row["block"]] + x if row["block"] in total else x
-        for i, b in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([_pack(b)], pa.binary())], ["block", "sums"])
-
-    parts = enc.select("held", "lens", "tokens", "vocab").mapInArrow(count, "block bigint, sums binary")
-    rows = parts.repartition(max(1, min(16, n // _BLOCK + 1)), "block").mapInArrow(add, "block bigint, sums binary").collect()
-    pairs, words = np.zeros(s * s, np.int64), np.zeros((n, 2 * s), np.int64)
-    for block, sums in rows:
-        x = _unpack(bytes(sums), np.int64)
-        if block < 0:
-            pairs = x
-        else:
-            words[block:block + _BLOCK] = x.reshape(-1, 2 * s)
-    return pairs.reshape(s, s), words
+    total = added_up(enc.select("held", "lens", "tokens", "vocab").mapInArrow(count, BLOCK_SCHEMA), s * s + n * 2 * s)
+    return total[:s * s].reshape(s, s), total[s * s:].reshape(n, 2 * s)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -234,7 +200,7 @@ def rest_messages(enc: DataFrame, keys: np.ndarray, cls: np.ndarray, classes: in
             for row in batch.to_pylist():
                 ch = _Chunk(row)
                 fp = np.frombuffer(row["vocab"], np.int64)
-                c = _unpack(row["counts"], np.uint32)
+                c = unpack(row["counts"], np.uint32)
                 number = _lookup(keys, np.arange(len(keys)), fp, -1)
                 g = np.where(number >= 0, cls[number] if len(keys) else 0, classes)
                 seq, at = ch.runs(g, 0, True)
@@ -254,8 +220,8 @@ def rest_messages(enc: DataFrame, keys: np.ndarray, cls: np.ndarray, classes: in
                     if len(ix):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([k], pa.int64()), pa.array([row["chunk"]], pa.int64())]
-                            + [pa.array([v], pa.binary()) for v in (fp[ix].tobytes(), _pack(c[ix]), _pack(per[ix]),
-                                                                    _pack(key[cx]), _pack(n[cx].astype(np.uint32)))],
+                            + [pa.array([v], pa.binary()) for v in (fp[ix].tobytes(), pack(c[ix]), pack(per[ix]),
+                                                                    pack(key[cx]), pack(n[cx].astype(np.uint32)))],
                             ["bucket", "chunk", "fp", "c", "per", "key", "n"])
 
     return enc.select("chunk", "held", "lens", "tokens", "vocab", "counts").mapInArrow(
@@ -266,10 +232,10 @@ def _assign(group: pa.Table, log_t: np.ndarray) -> pa.Table:
     """Of one group of words: the corpus count and the class of each, told to every chunk that has it."""
     rows = group.to_pylist()
     fp = np.concatenate([np.frombuffer(r["fp"], np.int64) for r in rows])
-    c = np.concatenate([_unpack(r["c"], np.uint32) for r in rows]).astype(np.int64)
-    per = np.concatenate([_unpack(r["per"], np.uint32) for r in rows]).astype(np.int64)
-    key = np.concatenate([_unpack(r["key"], np.uint16) for r in rows]).astype(np.int64)
-    n = np.concatenate([_unpack(r["n"], np.uint32) for r in rows])
+    c = np.concatenate([unpack(r["c"], np.uint32) for r in rows]).astype(np.int64)
+    per = np.concatenate([unpack(r["per"], np.uint32) for r in rows]).astype(np.int64)
+    key = np.concatenate([unpack(r["key"], np.uint16) for r in rows]).astype(np.int64)
+    n = np.concatenate([unpack(r["n"], np.uint32) for r in rows])
     words, number = np.unique(fp, return_inverse=True)
     total = np.bincount(number, weights=c, minlength=len(words)).astype(np.int64)
     owner = np.repeat(number, per)
@@ -284,8 +250,8 @@ def _assign(group: pa.Table, log_t: np.ndarray) -> pa.Table:
     edges = np.cumsum([0] + [len(r["fp"]) // 8 for r in rows])
     at = [number[a:b] for a, b in zip(edges[:-1], edges[1:])]
     return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int64()),
-                     "c": pa.array([_pack(total[x].astype(np.int64)) for x in at], pa.binary()),
-                     "cls": pa.array([_pack(best[x]) for x in at], pa.binary())})
+                     "c": pa.array([pack(total[x].astype(np.int64)) for x in at], pa.binary()),
+                     "cls": pa.array([pack(best[x]) for x in at], pa.binary())})
 
 
 def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, exchange_words: int = EXCHANGE_WORDS,
@@ -333,8 +299,8 @@ def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, exchange_wo
             b = _bucket(fp, buckets)[rest]
             for k, r in told.items():
                 ix = rest[b == k]
-                g[ix], c[ix] = _unpack(r["cls"], np.uint8), _unpack(r["c"], np.int64)
-            out.append(row | {"vocab": _pack(g.astype(np.uint8)), "counts": _pack(c)})
+                g[ix], c[ix] = unpack(r["cls"], np.uint8), unpack(r["c"], np.int64)
+            out.append(row | {"vocab": pack(g.astype(np.uint8)), "counts": pack(c)})
         return pa.Table.from_pylist(out, left.schema) if out else left.slice(0, 0)
 
     full = landed(enc.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
@@ -345,7 +311,7 @@ def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, exchange_wo
         total = np.zeros(classes * classes, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                seq, _ = _Chunk(row).runs(_unpack(row["vocab"], np.uint8).astype(np.int64), 0, True)
+                seq, _ = _Chunk(row).runs(unpack(row["vocab"], np.uint8).astype(np.int64), 0, True)
                 total += np.bincount(seq[:-1] * classes + seq[1:], minlength=classes * classes)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
@@ -357,7 +323,7 @@ def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, exchange_wo
         for batch in batches:
             for row in batch.to_pylist():
                 ch = _Chunk(row)
-                known, base, best = model.rate(ch, _unpack(row["vocab"], np.uint8), _unpack(row["counts"], np.int64))
+                known, base, best = model.rate(ch, unpack(row["vocab"], np.uint8), unpack(row["counts"], np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["ids"], pa.int64()), pa.array(ch.held), pa.array(ch.lens + 1), pa.array(known),
                      pa.array(np.full(len(known), n_all, np.int64)), pa.array(base), pa.array(best)],

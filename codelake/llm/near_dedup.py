@@ -8,12 +8,24 @@ keys; documents that share a bucket are candidates, and a candidate pair is
 a link only if its full shingle sets say so.
 
 Copies never make pairs: documents with the same set are one class, stood
-for by its smallest doc_id.  Inside a bucket the smallest representative is
-compared with every member; after joining what is linked, each member that
-is still in another component than its bucket's first one is compared with
-every member outside its own component.  So every candidate pair is either
-compared on full sets or already connected, and the components are those of
-comparing all candidate pairs, without a bucket's square.
+for by its smallest doc_id.  A bucket's head is its smallest representative,
+and a head's family are the members of the buckets that it heads.  Heads are
+compared with their family, and what is linked is joined.  Candidates that
+are then still in different components must meet, but a bucket's square is
+not needed for that.  For x and y of the family of z, with a = |x & z| and
+b = |y & z|, a link implies one of:
+
+* x and y share a shingle that z lacks, among the first n - ceil(t * n) + 1
+  shingles of each, in the order that puts shingles outside z first (prefix
+  filter for similarity t);
+* they share none outside z, so |x & y| <= min(a, b), and then
+  (1 + t) * min(a, b) >= t * (|x| + |y|).
+
+Only such pairs are compared, found by joins on (z, shingle) and on (z, size
+class), and a pair that shares the family of the head nearest to both meets
+only there.  Every candidate pair is thereby compared on full sets, already
+connected, or ruled out exactly: the components are those of comparing all
+candidate pairs.
 
 With 4 rows and 24 bands a pair at similarity 0.75 shares a bucket with
 probability 0.9999.
@@ -31,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.llm._graph import components
@@ -109,7 +121,7 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, 1):
                 sets, edges = shingle_sets(part.column(1), shingle)
-                totals = [np.concatenate([[0], np.cumsum(mix(sets ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x51, 0xA7)]
+                totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(s)), dtype=np.uint64)]) for s in (0x51, 0xA7)]
                 d1, d2 = ((t[edges[1:]] - t[edges[:-1]]).view(np.int64) for t in totals)
                 n = np.diff(edges)
                 keys = band_keys(signatures(sets, edges, bands * rows), bands, rows).view(np.int64)
@@ -120,24 +132,92 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> tuple[bool, int]:
+    both = np.sort(np.concatenate([p, q]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common > 0 and 100 * common >= percent * (len(both) - common), common
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return side.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a") \
+        .select("a", "b", "text_a", "text_b")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with linked, the number of common shingles, and b's first shingles that a lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2):
                 (x, ex), (y, ey) = shingle_sets(part.column(2), shingle), shingle_sets(part.column(3), shingle)
-                ok = np.zeros(part.num_rows, bool)
+                linked, common, n, own = [], [], [], []
                 for r in range(part.num_rows):
                     p, q = x[ex[r]:ex[r + 1]], y[ey[r]:ey[r + 1]]
-                    both = np.sort(np.concatenate([p, q]))
-                    common = int((both[1:] == both[:-1]).sum())
-                    ok[r] = common > 0 and 100 * common >= percent * (len(both) - common)
-                yield part.filter(pa.array(ok)).select([0, 1])
+                    ok, c = _similar(p, q, percent)
+                    linked.append(ok)
+                    common.append(c)
+                    n.append(len(q))
+                    first = len(q) + (-percent * len(q)) // 100 + 1
+                    own.append(q[~np.isin(q, p, assume_unique=True)][:first].view(np.int64))
+                edges = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(edges, np.concatenate(own) if own else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()),
+                                                  pa.array(n, pa.int64()), flat], ["a", "b", "linked", "common", "n", "own"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a bigint, b bigint, linked boolean, common bigint, n bigint, own array<bigint>")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    full = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 2):
+                (x, ex), (y, ey) = shingle_sets(part.column(2), shingle), shingle_sets(part.column(3), shingle)
+                ok = [_similar(x[ex[r]:ex[r + 1]], y[ey[r]:ey[r + 1]], percent)[0] for r in range(part.num_rows)]
+                yield part.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a bigint, b bigint")
+
+
+def _class(size: Column) -> Column:
+    """Size classes that grow by a twentieth."""
+    return F.floor(F.log(size.cast("double")) / F.log(F.lit(1.05))).cast("int")
+
+
+def _meetings(star: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one family, in different components, that the two conditions do not rule out."""
+    of = star.join(comps.withColumnRenamed("id", "b"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+    heads = comps.select(F.col("id").alias("a"), F.col("comp").alias("head_comp"))
+    of = of.join(heads, "a", "left").withColumn("rest", F.col("comp") != F.coalesce("head_comp", "a"))
+    near = star.groupBy("b").agg((-F.max(F.struct("common", (-F.col("a")).alias("a")))["a"]).alias("near"))
+    of = of.join(near, "b").select(F.col("a").alias("head"), F.col("b").alias("x"), "n", "common", "own", "comp", "rest", "near")
+    open_ = of.where("rest").select("head").distinct()
+    of = landed(of.join(open_, "head"), "families")
+    here = "comp <> y_comp and (near = head or near <> y_near)"
+    cols = ("x", "n", "comp", "near")
+
+    own = of.select("head", *cols, "rest", F.explode("own").alias("token"))
+    mixed = own.groupBy("head", "token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rest").alias("some"), F.min("near").alias("near"), F.max("near").alias("far")) \
+        .where("lo < hi and some and (near < far or near = head)").select("head", "token")
+    own = landed(own.join(mixed, ["head", "token"]), "outside")
+    other = own.select("head", "token", *[F.col(c).alias("y_" + c) for c in cols])
+    outside = own.where("rest").join(other, ["head", "token"]).where(here) \
+        .where(100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n"))
+
+    # the largest partner each can have inside the head's set; size classes up to there
+    most = F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")
+    inside = of.withColumn("most", most).where(100 * F.col("most") >= percent * F.col("n")).select("head", *cols, "rest", "most")
+    inside = landed(inside, "inside")
+    reach = inside.where("rest").withColumn("class", F.explode(F.sequence(
+        _class(F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))),
+        _class(F.least(F.col("most"), F.ceil(F.col("n") * 100 / percent))))))
+    partner = inside.select("head", _class(F.col("n")).alias("class"), *[F.col(c).alias("y_" + c) for c in (*cols, "most")])
+    within = reach.join(partner, ["head", "class"]).where(here + " and y_n <= most and n <= y_most")
+    both = [F.least("x", "y_x").alias("a"), F.greatest("x", "y_x").alias("b")]
+    return outside.select(*both).union(within.select(*both)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
@@ -148,37 +228,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     able = sig.where("n > 0 and doc_id is not null")
     classes = landed(able.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # one row per class and bucket; the first of a bucket is its smallest representative
+    # one row per class and bucket
     reps = able.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"])
-    placed = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("bucket"))
+    placed = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("bucket"))
     first = placed.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last") \
         .select("bucket", "head")
-    members = landed(placed.join(first, "bucket"), "members")
-    sizes = members.where("rep = head").select("head", F.col("n").alias("head_n")).distinct()
-
-    def close(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    pairs = landed(members.where("rep > head").select("head", "rep", "n").distinct().join(sizes, "head")
-                   .where(close("n", "head_n")).select(F.col("head").alias("a"), F.col("rep").alias("b")), "pairs")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    pairs = landed(placed.join(first, "bucket").where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(),
+                   "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = landed(docs.join(wanted, "doc_id"), "texts")
-    edges = landed(_linked(pairs, texts, shingle, percent), "links")
+    star = landed(_compared(pairs, texts, shingle, percent), "stars")
+    edges = star.where("linked").select("a", "b")
     comps = components(edges)
-
-    # what is not in its bucket's first component, against all members outside its own component
-    at = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    heads = comps.select(F.col("id").alias("head"), F.col("comp").alias("head_comp"))
-    at = landed(at.join(heads, "head", "left").withColumn("head_comp", F.coalesce("head_comp", "head")), "placed")
-    rest = at.where("comp <> head_comp").select("bucket", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("b_comp"))
-    # the members to meet them: one row per bucket and member, only of buckets that have such a rest
-    other = at.join(rest.select("bucket").distinct(), "bucket").where("rep <> head")
-    more = rest.join(other, "bucket").where((F.col("comp") != F.col("b_comp")) & close("n", "b_n")) \
-        .select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    found = landed(_linked(landed(more, "more"), texts, shingle, percent), "links")
+    more = landed(_meetings(star, comps, percent), "meetings")
+    found = landed(_linked(more, texts, shingle, percent), "links")
     if found.limit(1).count():
         comps = components(edges.union(found))
-    for t in (texts, members, at, pairs):
+    for t in (texts, pairs, star, more):
         discard(t)
 
     whole = sig.join(classes, ["d1", "d2", "n"], "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
