@@ -55,7 +55,13 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _remainder(5, 1))
 
 
-_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op6_mixing, op8_quality, op10_substring_dedup]
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op6_mixing, op7_secret_scan, op8_quality, op10_substring_dedup]
 
 
 def _configured(fn):
