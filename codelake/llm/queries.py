@@ -61,7 +61,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op6_mixing, op7_secret_scan, op8_quality, op10_substring_dedup]
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.pii import find
+
+    return find(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup]
 
 
 def _configured(fn):
