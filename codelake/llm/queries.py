@@ -67,7 +67,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup]
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op5_decontaminate, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup]
 
 
 def _configured(fn):
