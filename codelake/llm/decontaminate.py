@@ -95,8 +95,8 @@ class _Table:
 class Index:
     """LSH tables over some items' word fingerprints."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], max_share: float, target: float) -> None:
-        self.ids, self.words, self.max_share = np.array(ids, np.int64), words, max_share
+    def __init__(self, ids: list[int | None], words: list[np.ndarray], max_share: float, target: float) -> None:
+        self.ids, self.words, self.max_share = pa.array(ids, pa.int64()), words, max_share
         self.entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}        # steps: (item, offset, start in flat)
         self.flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
         first = np.cumsum([0] + [len(w) for w in words])
@@ -246,7 +246,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_share: float = MAX_SHARE, targe
         w = Words(pa.array([r["text"] for r in rows], pa.string()), lower=True, separators=NOT_ALNUM)
         h = w.hashes()
         some = [i for i in range(len(rows)) if w.counts[i]]
-        index = Index([rows[i]["item_id"] if rows[i]["item_id"] is not None else -1 for i in some],
+        index = Index([rows[i]["item_id"] for i in some],
                       [h[w.first[i]:w.first[i + 1]] for i in some], max_share, target_recall)
         parts.append(docs.mapInArrow(_task(index), "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, "
                                                    "edits bigint, item_words bigint"))
@@ -263,7 +263,7 @@ def _task(index: Index):
                 found = _leaks(index, part)
                 rows = np.array(found, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows[:, 0])), pa.array(index.ids[rows[:, 1]]), pa.array(rows[:, 3]), pa.array(rows[:, 4]),
+                    [part.column(0).take(pa.array(rows[:, 0])), index.ids.take(pa.array(rows[:, 1])), pa.array(rows[:, 3]), pa.array(rows[:, 4]),
                      pa.array(rows[:, 2]), pa.array(np.array([len(index.words[i]) for i in rows[:, 1]], np.int64))],
                     ["doc_id", "item_id", "first_word", "end_word", "edits", "item_words"])
     return run

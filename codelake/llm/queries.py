@@ -73,7 +73,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_ALL = [op1_license_scan, op2_near_dedup, op4_class_lm, op5_decontaminate, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup]
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.nearest import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op3_nearest, op4_class_lm, op5_decontaminate, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup]
 
 
 def _configured(fn):
@@ -90,7 +96,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    from codelake.llm import license_scan, near_dedup, substring_dedup
+    from codelake.llm import license_scan, near_dedup, nearest, substring_dedup
 
     return {"op1_license_scan": license_scan.oracle(), "op2_near_dedup": near_dedup.oracle(),
-            "op10_substring_dedup": substring_dedup.oracle()}
+            "op3_nearest": nearest.oracle(50), "op10_substring_dedup": substring_dedup.oracle()}
