@@ -27,6 +27,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -202,9 +203,9 @@ def _closest(item: np.ndarray, text: np.ndarray, anchored: bool = False) -> tupl
     return int(row[end]), end
 
 
-def _leaks(index: Index, part: pa.RecordBatch) -> list[tuple[int, int, int, int, int]]:
+def _leaks(index: Index, part: pa.RecordBatch, column: int) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, first word, end word) of every verified, non-overlapping place."""
-    w = Words(part.column(1), lower=True, separators=NOT_ALNUM)
+    w = Words(part.column(column), lower=True, separators=NOT_ALNUM)
     h = w.hashes()
     out = []
     if not len(h):
@@ -235,35 +236,52 @@ def _blocks(items: DataFrame) -> int:
     return max(1, math.ceil(words / BLOCK_WORDS))
 
 
-def leaks(docs: DataFrame, items: DataFrame, max_share: float = MAX_SHARE, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row per leaked place: doc_id, item_id, first_word, end_word, edits, item_words."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _indexes(items: DataFrame, max_share: float, target_recall: float) -> Iterator[Index]:
+    """The index of each block of items."""
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")) \
         .where("text is not null")
-    blocks, parts = _blocks(items), []
+    blocks = _blocks(items)
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()      # at most about BLOCK_WORDS words
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()      # about BLOCK_WORDS words at most
         w = Words(pa.array([r["text"] for r in rows], pa.string()), lower=True, separators=NOT_ALNUM)
         h = w.hashes()
         some = [i for i in range(len(rows)) if w.counts[i]]
-        index = Index([rows[i]["item_id"] for i in some],
-                      [h[w.first[i]:w.first[i + 1]] for i in some], max_share, target_recall)
-        parts.append(docs.mapInArrow(_task(index), "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, "
-                                                   "edits bigint, item_words bigint"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        yield Index([rows[i]["item_id"] for i in some], [h[w.first[i]:w.first[i + 1]] for i in some], max_share, target_recall)
 
 
-def _task(index: Index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, 1, _PIECE):
-                found = _leaks(index, part)
-                rows = np.array(found, np.int64).reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows[:, 0])), index.ids.take(pa.array(rows[:, 1])), pa.array(rows[:, 3]), pa.array(rows[:, 4]),
-                     pa.array(rows[:, 2]), pa.array(np.array([len(index.words[i]) for i in rows[:, 1]], np.int64))],
-                    ["doc_id", "item_id", "first_word", "end_word", "edits", "item_words"])
-    return run
+def leaks(docs: DataFrame, items: DataFrame, max_share: float = MAX_SHARE, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """One row per leaked place: doc_id, item_id, first_word, end_word, edits, item_words."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def task(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, 1, _PIECE):
+                    rows = np.array(_leaks(index, part, 1), np.int64).reshape(-1, 5)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(rows[:, 0])), index.ids.take(pa.array(rows[:, 1])), pa.array(rows[:, 3]),
+                         pa.array(rows[:, 4]), pa.array(rows[:, 2]), pa.array(np.array([len(index.words[i]) for i in rows[:, 1]], np.int64))],
+                        ["doc_id", "item_id", "first_word", "end_word", "edits", "item_words"])
+        return run
+
+    schema = "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, edits bigint, item_words bigint"
+    parts = [docs.mapInArrow(task(index), schema) for index in _indexes(items, max_share, target_recall)]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, max_share: float = MAX_SHARE, target_recall: float = TARGET_RECALL) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is found."""
+    at = docs.columns.index("text")
+
+    def task(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, at, _PIECE):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[x[0] for x in _leaks(index, part, at)]] = False
+                    yield part.filter(pa.array(clean))
+        return run
+
+    for index in _indexes(items, max_share, target_recall):
+        docs = docs.mapInArrow(task(index), docs.schema)
+    return docs

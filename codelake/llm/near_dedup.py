@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.llm._graph import components
@@ -254,6 +254,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, all columns, without the near-duplicates of smaller doc_ids.
+
+    Of rows with one doc_id (or of equal texts without one) the smallest text stays."""
+    gone = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.col("text").asc_nulls_last())
+    return left.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
+
+
 def oracle(shingle: int = SHINGLE, percent: int = PERCENT) -> str:
     """DuckDB SQL for ``near_duplicates`` of ``documents``."""
     k = shingle

@@ -5,10 +5,10 @@ minimising the non-negative unbiased risk
 
     prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)).
 
-With the logistic loss the unclipped risk is convex, so it is minimised by
-Newton steps over *all* training rows: a step is one distributed sum of a
-gradient and a small Hessian.  A step that would take the negative part of
-the risk below zero is halved until it does not, which is the clipping.
+With the logistic loss the unclipped risk is convex, so its Newton steps
+over *all* training rows (one distributed sum of a gradient and a small
+Hessian each) give the direction; a step is halved until the clipped risk
+falls, and the search ends when none does.
 The class prior is the share of positives among the training rows that
 carry a label.  The score is the model's probability of label 1.
 
@@ -185,7 +185,7 @@ def fit(train: DataFrame, prior: float, ridge: float = RIDGE, steps: int = NEWTO
     scale = np.sqrt(np.maximum(m[2 + d:] / n_u - mean ** 2, 0))
     scale[scale < 1e-6] = 1.0
 
-    def parts(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    def parts(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def at(x: np.ndarray, p: np.ndarray) -> np.ndarray:
             z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
             f = z @ w
@@ -196,41 +196,48 @@ def fit(train: DataFrame, prior: float, ridge: float = RIDGE, steps: int = NEWTO
 
         t = _sums(train, d, at)
         k = d + 1
-        risk = t[0] / n_u - prior * t[2] / n_p + ridge / 2 * w @ w
         negative = t[0] / n_u - prior * t[1] / n_p
+        risk = prior * (t[1] - t[2]) / n_p + max(0.0, negative) + ridge / 2 * w @ w
         grad = t[3:3 + k] / n_u - prior * t[3 + k:3 + 2 * k] / n_p + ridge * w
-        return risk, negative, grad, t[3 + 2 * k:].reshape(k, k) / n_u + ridge * np.eye(k)
+        return risk, grad, t[3 + 2 * k:].reshape(k, k) / n_u + ridge * np.eye(k)
 
     w = np.zeros(d + 1)
-    risk, _, grad, hess = parts(w)
+    risk, grad, hess = parts(w)
     for _ in range(steps):
         step, size = np.linalg.solve(hess, grad), 1.0
         while size > 1e-3:
             new = parts(w - size * step)
-            if new[0] <= risk + 1e-12 and new[1] >= 0:
+            if new[0] <= risk + 1e-12:
                 break
             size /= 2
         else:
             break
         done = risk - new[0] < 1e-5
         w = w - size * step
-        risk, _, grad, hess = new
+        risk, grad, hess = new
         if done:
             break
     return Model(prior, mean, scale, w)
 
 
+def _training(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """Training rows (x, positive) of documents or their features, and the class prior."""
+    x = feature_table(rows) if "text" in rows.columns else rows
+    given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("q")) \
+        .where("q is not null").groupBy("doc_id").agg(F.min("q").alias("q"))
+    train = landed(x.select("doc_id", "x").join(given, "doc_id", "left").select(
+        "x", (F.coalesce(F.col("q"), F.lit(0)) == 1).alias("positive"), F.col("q").isNotNull().alias("labelled")), "train")
+    c = train.agg(F.count(F.when(F.col("labelled"), 1)).alias("n"), F.count(F.when(F.col("positive"), 1)).alias("p")).first()
+    return train, c["p"] / c["n"] if c["n"] else 0.5
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     ``held_out`` is a condition on doc_id; labels of those rows are not used."""
     x = landed(feature_table(docs), "features")
-    given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("q")) \
-        .where("q is not null").groupBy("doc_id").agg(F.min("q").alias("q"))
-    train = landed(x.where(~held_out).join(given, "doc_id", "left").select(
-        "x", (F.coalesce(F.col("q"), F.lit(0)) == 1).alias("positive"), F.col("q").isNotNull().alias("labelled")), "train")
-    c = train.agg(F.count(F.when(F.col("labelled"), 1)).alias("n"), F.count(F.when(F.col("positive"), 1)).alias("p")).first()
-    model = fit(train, c["p"] / c["n"] if c["n"] else 0.5)
+    train, prior = _training(x.where(~held_out), labels)
+    model = fit(train, prior)
     discard(train)
     d = len(FEATURES)
 
@@ -240,3 +247,19 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
 
     return x.mapInArrow(run, "doc_id bigint, score double").select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``; labels of held-out rows are not used."""
+    train, prior = _training(docs.where(~held_out), labels)
+    model = fit(train, prior)
+    discard(train)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, at):
+                score = model.score(features(part.column(at)).astype(np.float32).astype(float))
+                yield part.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
