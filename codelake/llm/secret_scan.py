@@ -274,13 +274,15 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
     """The rows with every found secret replaced in ``text`` (null stays null); other columns as they are, n_chars recounted."""
     forest = forest or train(labelled_findings(docs.sparkSession))
     cols = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col("text"), F.col("source"))
-    d = _split(row, "_row")
-    d = d.select("_row", "text", F.explode(F.array(_findings(d, forest, threshold))).alias("_found"))
+    own = [f"_c{i}" for i in range(len(cols))]                 # names that clash with none used here
+    old = dict(zip(cols, own))
+    d = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in old.items()])
+    d = _split(d.withColumns({"text": F.col(old["text"]), "source": F.col(old["source"])}), *own)
+    d = d.select(*own, "text", F.explode(F.array(_findings(d, forest, threshold))).alias("_found"))
     clean = F.aggregate("_found", F.col("text"), lambda t, c: F.replace(t, c["value"], F.lit(mark)))
-    d = d.select("_row", F.when(F.col("_row.text").isNotNull(), clean).alias("_clean"))
+    d = d.select(*own, F.when(F.col(old["text"]).isNotNull(), clean).alias("_clean"))
     new = {"text": F.col("_clean")}
     if "n_chars" in cols:
-        new["n_chars"] = F.when(F.col("_clean") == F.col("_row.text"), F.col("_row.n_chars")).otherwise(
+        new["n_chars"] = F.when(F.col("_clean") == F.col(old["text"]), F.col(old["n_chars"])).otherwise(
             F.length("_clean").cast(docs.schema["n_chars"].dataType))
-    return d.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in cols])
+    return d.select(*[new.get(c, F.col(o)).alias(c) for c, o in old.items()])
