@@ -48,7 +48,7 @@ from codelake.llm._words import Words, pieces
 CLASSES = 64                   # class 0 is the end token's
 EXCHANGE_WORDS = 8192
 ROUNDS = 3
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 GROUP_WORDS = 400_000          # dictionary entries in one group, about
 TRANSITION_MASS = 5.0          # pseudo-counts towards class frequencies
 
