@@ -16,14 +16,15 @@ not needed for that.  For x and y of the family of z, with a = |x & z| and
 b = |y & z|, a link implies one of:
 
 * x and y share a shingle that z lacks, among the first n - ceil(t * n) + 1
-  shingles of each, in the order that puts shingles outside z first (prefix
-  filter for similarity t);
+  shingles of each, in the order that puts shingles outside z first, rare
+  ones before frequent ones (prefix filter for similarity t);
 * they share none outside z, so |x & y| <= min(a, b), and then
   (1 + t) * min(a, b) >= t * (|x| + |y|).
 
 Only such pairs are compared, found by joins on (z, shingle) and on (z, size
-class), and a pair that shares the family of the head nearest to both meets
-only there.  Every candidate pair is thereby compared on full sets, already
+class).  A document's home is the head reached by going to the head with
+which it has most in common, as long as that is half of it; documents of one
+home join its family and meet only there.  Every candidate pair is thereby compared on full sets, already
 connected, or ruled out exactly: the components are those of comparing all
 candidate pairs.
 
@@ -47,12 +48,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.llm._graph import components
+from codelake.llm._sums import BLOCK_SCHEMA, added_up, blocks
 from codelake.llm._tables import discard, landed
 from codelake.llm._words import K1, Words, grams, mix, pieces
 
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 24, 4
+CELLS = 1 << 18                # counts of shingles by hash, for rarity: a fixed size
+BROADCAST_IDS = 1_000_000      # id lists up to this many rows are broadcast, longer ones joined by shuffle
 _BLOCK = 1 << 15               # shingles signed at a time, to stay in cache
 
 
@@ -144,7 +148,25 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .select("a", "b", "text_a", "text_b")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _rarity(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many of the texts' shingles fall into each cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in pieces(batch, 0):
+                sets, _ = shingle_sets(part.column(0), shingle)
+                total += np.bincount((sets % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        yield from blocks(total)
+
+    return added_up(texts.select("text").mapInArrow(count, BLOCK_SCHEMA), CELLS)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, uses: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) with linked, the number of common shingles, and b's first shingles that a lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +181,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                     common.append(c)
                     n.append(len(q))
                     first = len(q) + (-percent * len(q)) // 100 + 1
-                    own.append(q[~np.isin(q, p, assume_unique=True)][:first].view(np.int64))
+                    q = q[~np.isin(q, p, assume_unique=True)]
+                    q = q[np.lexsort((q, uses[(q % np.uint64(CELLS)).astype(np.int64)]))]
+                    own.append(q[:first].view(np.int64))
                 edges = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(edges, np.concatenate(own) if own else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array(common, pa.int64()),
@@ -186,13 +210,28 @@ def _class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(1.05))).cast("int")
 
 
-def _meetings(star: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _homes(star: DataFrame) -> DataFrame:
+    """b, home: where going from each member to the head it has most in common with, while that is half of it, ends."""
+    up = star.groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("a"))).alias("m"), F.max("n").alias("n")) \
+        .select("b", F.when(2 * F.col("m.common") >= F.col("n"), -F.col("m.a")).otherwise(F.col("b")).alias("home"))
+    up = landed(up, "homes")
+    while True:                                       # heads are smaller than their members, so this ends
+        further = up.select(F.col("b").alias("home"), F.col("home").alias("next"))
+        new = landed(up.join(further, "home", "left").select("b", "home", F.coalesce("next", "home").alias("next")), "homes")
+        moved = new.where("next <> home").limit(1).count()
+        discard(up)
+        up = new.select("b", F.col("next").alias("home"))
+        up._codelake_path = new._codelake_path
+        if not moved:
+            return up
+
+
+def _meetings(star: DataFrame, homes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one family, in different components, that the two conditions do not rule out."""
     of = star.join(comps.withColumnRenamed("id", "b"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
     heads = comps.select(F.col("id").alias("a"), F.col("comp").alias("head_comp"))
     of = of.join(heads, "a", "left").withColumn("rest", F.col("comp") != F.coalesce("head_comp", "a"))
-    near = star.groupBy("b").agg((-F.max(F.struct("common", (-F.col("a")).alias("a")))["a"]).alias("near"))
-    of = of.join(near, "b").select(F.col("a").alias("head"), F.col("b").alias("x"), "n", "common", "own", "comp", "rest", "near")
+    of = of.join(homes.withColumnRenamed("home", "near"), "b").select(F.col("a").alias("head"), F.col("b").alias("x"), "n", "common", "own", "comp", "rest", "near")
     open_ = of.where("rest").select("head").distinct()
     of = landed(of.join(open_, "head"), "families")
     here = "comp <> y_comp and (near = head or near <> y_near)"
@@ -236,11 +275,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     pairs = landed(placed.join(first, "bucket").where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(),
                    "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = landed(docs.join(wanted, "doc_id"), "texts")
-    star = landed(_compared(pairs, texts, shingle, percent), "stars")
+    texts = landed(docs.join(_few(wanted), "doc_id"), "texts")
+    uses = _rarity(texts, shingle)
+    star = landed(_compared(pairs, texts, uses, shingle, percent), "stars")
+    homes = _homes(star)
+    far = landed(homes.where("home <> b").select(F.col("home").alias("a"), "b").join(pairs, ["a", "b"], "left_anti"), "far-homes")
+    star = landed(star.union(_compared(far, texts, uses, shingle, percent)), "stars")
     edges = star.where("linked").select("a", "b")
     comps = components(edges)
-    more = landed(_meetings(star, comps, percent), "meetings")
+    more = landed(_meetings(star, homes, comps, percent), "meetings")
     found = landed(_linked(more, texts, shingle, percent), "links")
     if found.limit(1).count():
         comps = components(edges.union(found))
@@ -258,8 +301,11 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, all columns, without the near-duplicates of smaller doc_ids.
 
     Of rows with one doc_id (or of equal texts without one) the smallest text stays."""
-    gone = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    found = landed(near_duplicates(docs, **settings).select("doc_id", "kept"), "kept")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(_few(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.col("text").asc_nulls_last())
     return left.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
 
