@@ -197,8 +197,12 @@ def clean_task_label(raw) -> Column:
 
 
 def parse_intent_reply(raw) -> Column:
-    """F16: ``{"intent": ..}``; invalid JSON or unknown label → default."""
-    v = F.get_json_object(_c(raw), "$.intent")
+    """F16: ``{"intent": ..}``; invalid JSON or unknown label → default.
+
+    The whole text must be one JSON value: as the only element of an array,
+    trailing text makes it invalid or a second element."""
+    one = F.from_json(F.concat(F.lit("["), _c(raw), F.lit("]")), "array<struct<intent:string>>", {"allowSingleQuotes": "false"})
+    v = F.when(F.size(one) == 1, F.get(one, F.lit(0))["intent"])
     return F.when(v.isin(*INTENT_LABELS), v).otherwise(F.lit(DEFAULT_INTENT))
 
 

@@ -53,6 +53,13 @@ def splitlines(x) -> Column:
                   F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def line_widths(x) -> Column:
+    """The length of each ``str.splitlines(keepends=True)`` line, as ``array<bigint>``."""
+    lines, breaks = F.split(_c(x), LINE_BREAK, -1), F.regexp_extract_all(_c(x), F.lit(LINE_BREAK), 0)
+    widths = F.transform(lines, lambda l, i: (F.length(l) + F.coalesce(F.length(F.get(breaks, i)), F.lit(0))).cast("bigint"))
+    return F.when(F.element_at(lines, -1) == F.lit(""), F.slice(widths, 1, F.size(widths) - 1)).otherwise(widths)
+
+
 def clip_text(x, n: int = MAX_EMBED_CHARS) -> Column:
     """strip, then keep the first ``n`` characters."""
     return F.substring(pystrip(x), 1, n)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelake.functions.text import WS, dedent_lines, pystrip, splitlines
+from codelake.functions.text import WS, dedent_lines, line_widths, pystrip, splitlines
 
 # Markers and limits (fixed values).
 CPP_MARKER = "// AI_METADATA"
@@ -26,7 +26,6 @@ F_KEYWORDS = "! keywords:"
 F_CONTEXT = "! context:"
 F_END = "! end code chunk"
 F_PROCEDURE = "module procedure"
-F_CODE_EMBED_LINES = 80
 
 
 def explode_lines(files: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -36,6 +35,14 @@ def explode_lines(files: DataFrame, text_col: str = "text", keep: list[str] | No
                  .withColumn("line_no", F.col("line_no").cast("bigint")))
 
 
+def file_line_offsets(files: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """W5 for whole files, in their own rows: ``(keep..., line_no, offset)``, line breaks counted as long as they are."""
+    running = F.aggregate(line_widths(text_col), F.array(F.lit(0).cast("bigint")),
+                          lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+    return files.select(*keep, F.posexplode(F.slice(running, 1, F.size(running) - 1)).alias("line_no", "offset")) \
+        .withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
 def _sorted_join(cond: Column, val: Column, sep: str = "\n") -> Column:
     """A2: ordered concatenation of the values of the rows where ``cond`` holds."""
     parts = F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("line_no"), val.alias("v")))))
@@ -147,14 +154,21 @@ def chunk_cpp(lines: DataFrame, file_keys: list[str], fixed: dict[str, Column] |
 
 
 # ------------------------------------------------------------------ Fortran
-def chunk_fortran(lines: DataFrame, file_keys: list[str]) -> DataFrame:
+def chunk_fortran(lines: DataFrame, file_keys: list[str], fixed: dict[str, Column] | None = None,
+                  embed_lines: int | None = None) -> DataFrame:
     """W2 + F3 + F4 + F5: one row per Fortran chunk.
 
     Per chunk: ``fc`` = first line not starting ``!``; ``end`` = first
     ``! end code chunk`` at or after ``fc``; header = lines before ``fc``;
     code = ``[fc, end)``.  A header ``!`` line continues the context once a
     context line was seen, else the purpose.
+
+    ``metadata`` holds the ``fixed`` entries (columns of the line table) and the
+    chunk's own (P7).  ``embed_lines`` keeps only that many code lines in the
+    embedding text; by default it holds all.
     """
+    fixed = fixed or {}
+    lines = lines.select(*file_keys, "line_no", "line", *[v.cast("string").alias(f"_fx_{k}") for k, v in fixed.items()])
     wf = Window.partitionBy(*file_keys).orderBy("line_no")
     s = pystrip(F.col("line"))
     low = F.lower(F.col("_s"))
@@ -193,20 +207,24 @@ def chunk_fortran(lines: DataFrame, file_keys: list[str]) -> DataFrame:
         _sorted_join(F.col("_pp").isNotNull(), F.col("_pp"), " ").alias("purpose"),
         _sorted_join(F.col("_cp").isNotNull(), F.col("_cp"), " ").alias("context"),
         F.flatten(_sorted_list(F.col("_kws").isNotNull(), F.col("_kws"))).alias("keywords"),
-        _sorted_list(F.col("_code"), F.col("line")).alias("code_lines"))
+        _sorted_list(F.col("_code"), F.col("line")).alias("code_lines"),
+        *[F.max(f"_fx_{k}").alias(f"_fx_{k}") for k in fixed])
     proc_line = F.try_element_at(F.filter(F.col("code_lines"),
                                           lambda l: F.instr(F.lower(l), F_PROCEDURE) > 0), F.lit(1))
     proc = F.element_at(F.split(pystrip(F.replace(proc_line, F.lit("&"), F.lit(""))), WS + "+", -1), -1)
     kw_txt = F.array_join(F.col("keywords"), ", ")
     emb_text = F.concat(F.lit("PURPOSE:\n"), F.col("purpose"), F.lit("\n\nKEYWORDS:\n"), kw_txt,
                         F.lit("\n\nCONTEXT:\n"), F.col("context"), F.lit("\n\nCODE:\n"),
-                        F.array_join(F.slice(F.col("code_lines"), 1, F_CODE_EMBED_LINES), "\n"))
+                        F.array_join(F.slice(F.col("code_lines"), 1, embed_lines) if embed_lines else F.col("code_lines"), "\n"))
+    entries = [(k, F.col(f"_fx_{k}")) for k in fixed] + [
+        ("procedure", F.coalesce(proc, F.lit(""))), ("purpose", F.col("purpose")), ("keywords", kw_txt), ("context", F.col("context"))]
+    metadata = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in entries]), F.array(*[v for _, v in entries]))
     fk = F.concat_ws("/", *[F.col(k).cast("string") for k in file_keys])
     return agg.select(*g, chunk_id(fk, F.col("chunk_no")).alias("chunk_id"),
                       proc.alias("procedure"), "purpose", "keywords", "context",
                       F.array_join(F.col("code_lines"), "\n").alias("code"),
                       F.size("code_lines").cast("bigint").alias("n_code_lines"),
-                      emb_text.alias("embedding_text"))
+                      metadata.alias("metadata"), emb_text.alias("embedding_text"))
 
 
 def after_colon_raw() -> Column:
@@ -215,7 +233,8 @@ def after_colon_raw() -> Column:
 
 # ------------------------------------------------------------------ offsets
 def line_offsets(lines: DataFrame, file_keys: list[str]) -> DataFrame:
-    """Character offset of each line start (sum of earlier lengths + newline)."""
+    """W5 over a line table whose breaks are one character long: offset of each
+    line start.  ``file_line_offsets`` counts the breaks of the file itself."""
     w = (Window.partitionBy(*file_keys).orderBy("line_no")
          .rowsBetween(Window.unboundedPreceding, -1))
     return lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("bigint"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.functions.text import WS, pyrstrip, pystrip
+from codelake.functions.text import WS, line_widths, pyrstrip, pystrip
 from codelake.operators.ordering import global_index
 
 # Patterns (fixed values; Java syntax).  (?U): Unicode \b and \w, as Python's re.
@@ -32,6 +32,9 @@ FIELD_DECL = r"^<FieldDecl[^>]*>\s*"
 SPAN = r"<(.+?):(\d+):(\d+),\s*line:(\d+):(\d+)>"
 FLAG_PREFIXES = ("-I", "-D", "-std=")
 FLAG_EXACT = ("-fopenmp",)
+# Shell words and their pieces: quoted text, escaped characters, other text.
+SHELL_PIECE = r"""'[^']*'|"(?:[^"\\]|\\.)*"|(?:[^\s"'\\]|\\.)+"""
+SHELL_WORD = f"(?:{SHELL_PIECE})+"
 # F21 conflict markers (ours).
 CONFLICT_OPEN = "<<<<<<< CURRENT CODE\n"
 CONFLICT_MID = "=======\n<<<<<<< GENERATED CODE\n"
@@ -133,22 +136,26 @@ def ast_span(dump) -> Column:
 def line_start_offset(text, line) -> Column:
     """W5 row-local: offset of 1-based ``line`` in ``text`` (``splitlines(keepends)``
     lengths); null past the end, where the reference raises."""
-    pieces = F.split(_c(text), "\n", -1)
-    before = _c(line) - 1
-    m = F.size(pieces) - 1                                    # number of newlines
-    full = F.aggregate(F.slice(pieces, 1, F.greatest(before, F.lit(1))), F.lit(0).cast("bigint"),
-                       lambda a, x: a + F.length(x) + 1)
-    return (F.when(before == 0, F.lit(0).cast("bigint"))
-            .when(before <= m, full)
-            .when((before == m + 1) & (F.element_at(pieces, -1) != ""), F.length(_c(text)).cast("bigint")))
+    widths, before = line_widths(text), _c(line) - 1
+    return F.when((before >= 0) & (before <= F.size(widths)),
+                  F.aggregate(F.slice(widths, 1, F.greatest(before, F.lit(0))), F.lit(0).cast("bigint"), lambda a, w: a + w))
 
 
 def compile_flags(command) -> Column:
     """Tokens starting ``-I``, ``-D``, ``-std=`` or equal to ``-fopenmp``, in order.
 
-    Tokens are quote-aware (``"a b"`` and ``'a b'`` stay whole, quotes removed)."""
-    toks = F.regexp_extract_all(_c(command), F.lit(r"""("[^"]*"|'[^']*'|[^\s"']+)+"""), 0)
-    toks = F.transform(toks, lambda t: F.regexp_replace(t, r"""["']""", ""))
+    Shell words: quotes group and go away; outside quotes a backslash keeps
+    the next character, inside double quotes only before ``"`` and ``\\``."""
+    word, piece = F.lit(SHELL_WORD), F.lit(SHELL_PIECE)
+
+    def plain(p: Column) -> Column:
+        inner = F.substring(p, F.lit(2), F.length(p) - 2)
+        return F.when(F.startswith(p, F.lit("'")), inner) \
+            .when(F.startswith(p, F.lit('"')), F.regexp_replace(inner, r'\\(["\\])', "$1")) \
+            .otherwise(F.regexp_replace(p, r"\\(.)", "$1"))
+
+    toks = F.regexp_extract_all(_c(command), word, 0)
+    toks = F.transform(toks, lambda t: F.array_join(F.transform(F.regexp_extract_all(t, piece, 0), plain), ""))
 
     def keep(t):
         out = F.lit(False)
@@ -184,19 +191,21 @@ def pair_eval(prompts: DataFrame, benchmarks: DataFrame, *, order: list[str], be
     return j
 
 
+# S9 report layout (ours): a section per text, headed by its name.
+REPORT_SECTIONS = ("generated, as received", "generated, function", "generated, normalised",
+                   "benchmark, as stored", "benchmark, function", "benchmark, normalised")
+
+
+def section_head(name: str) -> str:
+    return f"## {name}\n"
+
+
 def report_text(gen_raw, gen_final, gen_norm, bench_raw, bench_final, bench_norm, cos) -> Column:
     """The per-item evaluation report."""
-    bar = "=" * 35 + "\n"
-    wide = "=" * 61 + "\n"
-    wider = "=" * 68 + "\n"
-    return F.concat(
-        F.lit(bar + "Generated: From inference\n" + bar), _c(gen_raw), F.lit("\n"),
-        F.lit(wide + "Generated: Final cleaned up code\n" + wide), _c(gen_final), F.lit("\n"),
-        F.lit(wider + "Generated: Normalized code\n" + wider), _c(gen_norm), F.lit("\n"),
-        F.lit(bar + "Benchmark: From saved file\n" + bar), _c(bench_raw), F.lit("\n"),
-        F.lit(wider + "Benchmark: Final cleaned up code\n" + wider), _c(bench_final), F.lit("\n"),
-        F.lit(wider + "Benchmark: Normalized code\n" + wider), _c(bench_norm), F.lit("\n"),
-        F.format_string("Cosine similarity: %.4f\n", _c(cos)))
+    parts: list[Column] = []
+    for name, text in zip(REPORT_SECTIONS, (gen_raw, gen_final, gen_norm, bench_raw, bench_final, bench_norm)):
+        parts += [F.lit(section_head(name)), _c(text), F.lit("\n")]
+    return F.concat(*parts, F.format_string("Cosine similarity: %.4f\n", _c(cos)))
 
 
 def write_eval_report(df: DataFrame, path: str) -> None:

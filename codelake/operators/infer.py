@@ -64,10 +64,3 @@ def prompts_by_models(prompts: DataFrame, models: list[str]) -> DataFrame:
     return prompts.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
 
-def echo_model(prompt: str, model: str, opts: dict) -> str:
-    """A deterministic stand-in model for tests and the bench: it answers
-    with the model name and the prompt size; a model named ``missing-*``
-    fails like an unavailable model."""
-    if model.startswith("missing"):
-        raise RuntimeError(f"model '{model}' not found")
-    return f"[{model} seed={opts['seed']}] {len(prompt)} chars"

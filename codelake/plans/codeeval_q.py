@@ -230,8 +230,7 @@ def conflict_merge(spark, sf_dir):
     agg = lambda df, n: df.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]).alias(n))
     j = agg(old, "old_lines").join(agg(new, "new_lines"), "doc_id", "full_outer")
-    merged = DF.conflict_merge(F.col("old_lines"), F.col("new_lines"))
-    return j.select("doc_id", F.array_join(merged, "\n").alias("merged"))
+    return DF.conflict_merge(j, "old_lines", "new_lines").select("doc_id", F.array_join("merged", "\n").alias("merged"))
 
 
 @query("copy_if_absent", """with src as (select concat(lang, '/doc', cast(doc_id as varchar), '.cpp') relative_path, doc_id from documents),
@@ -268,9 +267,17 @@ def eval_pairing(spark, sf_dir):
         "idx", "prompt_name", F.format_string("benchmark_%02d.txt", F.col("idx")).alias("bench_name"))
 
 
+def _q(pattern: str) -> str:
+    """A pattern as a SQL string literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 @query("compile_flags", f"""with e as (select regexp_extract(command, '-c (\\S+)$', 1) file, command, p_partkey pos from {D.SQL_D6}),
 f as (select file, arg_min(command, pos) command from e group by file)
-select file, array_to_string(list_filter(string_split_regex(command, '\\s+'), lambda t: starts_with(t, '-I')
+select file, array_to_string(list_filter(list_transform(regexp_extract_all(command, {_q(CE.SHELL_WORD)}),
+    lambda w: array_to_string(list_transform(regexp_extract_all(w, {_q(CE.SHELL_PIECE)}), lambda p:
+      case when p[1] = '''' then p[2:-2] when p[1] = '"' then regexp_replace(p[2:-2], '\\\\(["\\\\])', '\\1', 'g')
+      else regexp_replace(p, '\\\\(.)', '\\1', 'g') end), '')), lambda t: starts_with(t, '-I')
   or starts_with(t, '-D') or starts_with(t, '-std=') or t = '-fopenmp'), ' ') flags from f""")
 def compile_flags(spark, sf_dir):
     """P9 + J5: per source file, the flags of its first compile entry."""
@@ -292,11 +299,9 @@ def ast_fields(spark, sf_dir):
 
 
 def _sql_line_offset(text: str, line: str) -> str:
-    pieces = f"string_split({text}, chr(10))"
-    before = f"({line} - 1)"
-    full = f"list_sum(list_transform(({pieces})[1:{before}], lambda x: len(x) + 1))"
-    return (f"(case when {before} = 0 then 0 when {before} <= len({pieces}) - 1 then {full} "
-            f"when {before} = len({pieces}) and ({pieces})[-1] <> '' then len({text}) end)")
+    lines, breaks, before = S.splitlines(text), f"regexp_extract_all({text}, '{S.LINE_BREAK}')", f"({line} - 1)"
+    return (f"(case when {before} between 0 and len({lines}) then coalesce(list_sum(list_transform(range(1, {before} + 1), "
+            f"lambda i: len({lines}[i]) + coalesce(len({breaks}[i]), 0))), 0) end)")
 
 
 _SPAN = "<(.+?):(\\d+):(\\d+),\\s*line:(\\d+):(\\d+)>"
@@ -308,20 +313,21 @@ _SPAN = "<(.+?):(\\d+):(\\d+),\\s*line:(\\d+):(\\d+)>"
   from {D.SQL_D6} where regexp_matches(dump, '{_SPAN}')),
 o as (select s.*, d.text, cast({_sql_line_offset('d.text', 's.start_line')} + start_col - 1 as bigint) start_offset,
   cast({_sql_line_offset('d.text', 's.end_line')} + end_col - 1 + 1 as bigint) end_offset
-  from s join documents d on d.doc_id = s.p_partkey)
+  from s left join documents d on d.doc_id = s.p_partkey % (select greatest(count(*), 1) from documents))
 select p_partkey, file, start_line, start_col, end_line, end_col,
   start_offset is not null and end_offset is not null in_range,
   coalesce(start_offset, -1) start_offset, coalesce(end_offset, -1) end_offset,
   substr(text, start_offset + 1, end_offset - start_offset) snippet from o""")
 def ast_span(spark, sf_dir):
-    """F26 + W5: the dumped span located in the document of the same id
-    (end made inclusive), with the code it covers.  A line past the end of
+    """F26 + W5: the dumped span located in the document of number ``p_partkey``
+    modulo their count (end made inclusive), with the code it covers.  A line past the end of
     the document (where the reference raises) gives ``in_range = false``,
     offsets -1 and no snippet; the row is kept."""
     d6 = D.d6_ast_dumps(spark, sf_dir)
     sp = d6.select("p_partkey", CE.ast_span("dump").alias("s")).filter(F.col("s").isNotNull()).select("p_partkey", "s.*")
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
-    j = sp.join(docs, "p_partkey")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))                  # one row
+    j = sp.join(F.broadcast(n)).withColumn("doc_id", F.col("p_partkey") % F.col("n")).join(docs, "doc_id", "left")
     so = (CE.line_start_offset(F.col("text"), F.col("start_line")) + F.col("start_col") - 1).cast("bigint")
     eo = (CE.line_start_offset(F.col("text"), F.col("end_line")) + F.col("end_col") - 1 + 1).cast("bigint")
     j = j.withColumn("start_offset", so).withColumn("end_offset", eo)
@@ -333,7 +339,9 @@ def ast_span(spark, sf_dir):
                                            F.col("end_offset") - F.col("start_offset"))).alias("snippet"))
 
 
-@query("eval_report", f"""with t as (select item_id idx, gen, bench, {_sql_normalize('gen')} gn, {_sql_normalize('bench')} bn from {D.SQL_D4}),
+@query("eval_report", f"""with {_SQL_CANON_D4},
+t as (select item_id idx, d.gen, d.bench, c1.g1, c1.b1, c3.gen_canon gn, c3.bench_canon bn
+  from c3 join c1 using (item_id) join {D.SQL_D4} d using (item_id)),
 gv as {S.sparse_hash('t', 'idx', 'gn', DIM)},
 bv as {S.sparse_hash('t', 'idx', 'bn', DIM)},
 gnrm as (select idx, sqrt(sum(cnt * cnt)) n from gv group by idx),
@@ -343,20 +351,17 @@ c as (select t.*, case when coalesce(gnrm.n, 0) * coalesce(bnrm.n, 0) = 0 then -
   else coalesce(dt.dot, 0) / (gnrm.n * bnrm.n) end cos
   from t left join gnrm using (idx) left join bnrm using (idx) left join dt using (idx))
 select cast(idx as bigint) idx, round(cos, 9) cos,
-  concat('{"=" * 35}', chr(10), 'Generated: From inference', chr(10), '{"=" * 35}', chr(10), gen, chr(10),
-  '{"=" * 61}', chr(10), 'Generated: Final cleaned up code', chr(10), '{"=" * 61}', chr(10), gn, chr(10),
-  '{"=" * 68}', chr(10), 'Generated: Normalized code', chr(10), '{"=" * 68}', chr(10), gn, chr(10),
-  '{"=" * 35}', chr(10), 'Benchmark: From saved file', chr(10), '{"=" * 35}', chr(10), bench, chr(10),
-  '{"=" * 68}', chr(10), 'Benchmark: Final cleaned up code', chr(10), '{"=" * 68}', chr(10), bn, chr(10),
-  '{"=" * 68}', chr(10), 'Benchmark: Normalized code', chr(10), '{"=" * 68}', chr(10), bn, chr(10),
-  printf('Cosine similarity: %.4f', cos), chr(10)) report from c""")
+  {" || ".join(f"'{CE.section_head(h)}' || {c} || chr(10)" for h, c in zip(CE.REPORT_SECTIONS, ("gen", "g1", "gn", "bench", "b1", "bn")))}
+  || printf('Cosine similarity: %.4f', cos) || chr(10) report from c""")
 def eval_report(spark, sf_dir):
-    """S9 + X1 + F1 over F18-normalised D4 code (the SQL-checkable part of X4)."""
+    """S9 + X1 + F1: both sides raw, cut out (F17), and normalised with canonical locals (F18, F19), with their cosine."""
     d4 = D.d4_eval_pairs(spark, sf_dir)
-    t = d4.select(F.col("item_id").alias("idx"), "gen", "bench", CE.normalize_code("gen").alias("gn"),
-                  CE.normalize_code("bench").alias("bn"))
-    t = _pair_cosine(t, ["idx"], "gn", "bn", carry=("gen", "bench", "gn", "bn"))
-    rep = CE.report_text("gen", "gn", "gn", "bench", "bn", "bn", F.col("cos"))
+    t = d4.select(F.col("item_id").alias("idx"), "gen", "bench", CE.clean_function("gen").alias("g1"),
+                  CE.clean_function("bench").alias("b1"))
+    t = t.withColumn("gn", CE.canonicalize_locals(CE.normalize_code("g1"))) \
+         .withColumn("bn", CE.canonicalize_locals(CE.normalize_code("b1")))
+    t = _pair_cosine(t, ["idx"], "gn", "bn", carry=("gen", "bench", "g1", "b1", "gn", "bn"))
+    rep = CE.report_text("gen", "g1", "gn", "bench", "b1", "bn", F.col("cos"))
     return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
 
 

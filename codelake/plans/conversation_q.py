@@ -107,7 +107,7 @@ def short_name(spark, sf_dir):
     return p.select("page_id", CV.short_name(F.col("url")).alias("short_name"))
 
 
-@query("review_prompt", """with f as (select source pr, concat(lang, '/doc', cast(doc_id as varchar), '.cpp') name, doc_id from documents),
+@query("review_prompt", """with f as (select concat(source, '#', cast(doc_id // 200 as varchar)) pr, concat(lang, '/doc', cast(doc_id as varchar), '.cpp') name, doc_id from documents),
 disk as (select concat(d.lang, '/doc', cast(d.doc_id as varchar), '.cpp') name, d.text from documents d
   where d.doc_id in (select doc_id from labels)),
 s as (select f.pr, f.name, concat(chr(10), '===== FILE: ', f.name, ' =====', chr(10), disk.text, chr(10)) section
@@ -115,11 +115,12 @@ s as (select f.pr, f.name, concat(chr(10), '===== FILE: ', f.name, ' =====', chr
 b as (select pr, string_agg(section, '' order by name) blob, count(*) n_files from s group by pr)
 select pr, n_files, """ + T.sql_render("review", errors="''", sources="blob") + """ prompt from b""")
 def review_prompt(spark, sf_dir):
-    """J7 + A7 + F20: per pull request (documents.source), the review prompt
+    """J7 + A7 + F20: per pull request (a source's files out of 200 consecutive
+    documents, so a request does not grow with the corpus), the review prompt
     over its files that exist on disk (documents with a labels row)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     name = F.concat(F.col("lang"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".cpp"))
-    pr_files = docs.select(F.col("source").alias("pr"), name.alias("name"))
+    pr_files = docs.select(F.concat(F.col("source"), F.lit("#"), F.expr("doc_id div 200").cast("string")).alias("pr"), name.alias("name"))
     on_disk = docs.join(read_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi") \
         .select(name.alias("name"), "text")
     blob = CV.source_blob(CV.source_sections(pr_files, on_disk), "pr")

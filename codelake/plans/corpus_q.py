@@ -42,10 +42,7 @@ def chunk_index(spark, sf_dir):
     """The in-memory chunk index: C++ chunks of D1 with their native embedding."""
     ch = cpp_chunks(spark, sf_dir)
     keep = [c for c in ch.columns if c not in ("doc_id", "chunk_no")]
-    return E.hash_embed_table(ch, ["doc_id", "chunk_no"], "embedding_text", DIM, max_chars=C_MAX, keep=keep)
-
-
-C_MAX = 3000  # the reference embeds at most 3000 characters of the embedding text
+    return E.hash_embed_table(ch, ["doc_id", "chunk_no"], "embedding_text", DIM, keep=keep)
 
 
 def mention_prompts(spark, sf_dir):
@@ -109,7 +106,7 @@ f_chunks3 as (select doc_id, chunk_no, purpose, context, array_to_string(keyword
   array_to_string(code_lines, chr(10)) code, cast(len(code_lines) as bigint) n_code_lines,
   concat('PURPOSE:', chr(10), purpose, chr(10), chr(10), 'KEYWORDS:', chr(10), array_to_string(keywords, ', '),
          chr(10), chr(10), 'CONTEXT:', chr(10), context, chr(10), chr(10), 'CODE:', chr(10),
-         array_to_string(code_lines[1:{C.F_CODE_EMBED_LINES}], chr(10))) embedding_text from f_chunks2)"""
+         array_to_string(code_lines, chr(10))) embedding_text from f_chunks2)"""
 
 SQL_SPLITLINES = f"""sl as (select doc_id, {S.splitlines('text')} p from documents),
 sl2 as (select doc_id, unnest(range(len(p))) line_no, unnest(p) line from sl)"""
@@ -124,22 +121,27 @@ def explode_lines(spark, sf_dir):
     return C.explode_lines(docs, "text", ["doc_id"])
 
 
-@query("line_offsets", f"""with {SQL_SPLITLINES}
+_CRLF = "case when doc_id % 2 = 1 then replace(replace(text, chr(10), concat(chr(13), chr(10))), '. ', concat('.', chr(12))) else text end"
+
+
+@query("line_offsets", f"""with t as (select doc_id, {_CRLF} x from documents),
+l as (select doc_id, {S.splitlines('x')} p, regexp_extract_all(x, '{S.LINE_BREAK}') b from t),
+n as (select doc_id, unnest(range(len(p))) line_no, unnest(list_transform(range(1, len(p) + 1),
+  lambda i: len(p[i]) + coalesce(len(b[i]), 0))) w from l)
 select doc_id, cast(line_no as bigint) line_no,
-  cast(coalesce(sum(len(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as bigint) "offset"
-from sl2""")
+  cast(coalesce(sum(w) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as bigint) "offset"
+from n""")
 def line_offsets(spark, sf_dir):
-    """Start offset of every line of every document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = C.explode_lines(docs, "text", ["doc_id"])
-    return C.line_offsets(lines, ["doc_id"]).select("doc_id", "line_no", "offset")
+    """Start offset of every line of every document; odd ones get ``\\r\\n`` and form-feed breaks."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.expr(_CRLF.replace("chr(", "char(")).alias("text"))
+    return C.file_line_offsets(docs, "text", ["doc_id"])
 
 
 @query("clip_text", f"""select doc_id, left({S.strip('text')}, 3000) clipped from documents""")
 def clip_text_q(spark, sf_dir):
     """the embedder's input clip (strip, first 3000 characters)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", clip_text("text", C_MAX).alias("clipped"))
+    return docs.select("doc_id", clip_text("text").alias("clipped"))
 
 
 @query("chunk_cpp", f"""with {SQL_CPP}
@@ -253,7 +255,7 @@ def index_load(spark, sf_dir):
 
 
 @query("rag_context", f"""with {SQL_CPP},
-ch as (select doc_id, chunk_no, code, left({S.strip('embedding_text')}, {C_MAX}) et from cpp_chunks2),
+ch as (select doc_id, chunk_no, code, {S.strip('embedding_text')} et from cpp_chunks2),
 chv as {S.sparse_hash('ch', 'doc_id, chunk_no', 'et', DIM)},
 chn as (select doc_id, chunk_no, sqrt(sum(cnt * cnt)) n from chv group by all),
 pr as (select conv_id, turn, {S.strip(f"substr(body, instr(lower(body), '{MENTION}') + {len(MENTION)})")} prompt

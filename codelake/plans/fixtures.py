@@ -22,16 +22,22 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("i", F.col("i").cast("bigint"))
 
 
+_SLOTS = 8          # line numbers per text line: marker lines take the ones between
+
+
+def _with_markers(spark, sf_dir, pieces, *keep: str) -> DataFrame:
+    """Each text line becomes ``pieces`` (an array of lines that holds it whole), numbered in order."""
+    d = lines(spark, sf_dir).select(*keep, "i", F.posexplode(pieces).alias("k", "line"))
+    return d.select(*keep, (F.col("i") * _SLOTS + F.col("k")).cast("bigint").alias("line_no"), "line")
+
+
 def d1_cpp_lines(spark, sf_dir) -> DataFrame:
-    """Annotated C++ lines."""
+    """Annotated C++ lines; before every seventh line's comment and after it come marker lines."""
     i, x = F.col("i"), F.col("x")
-    line = (F.when(i % 7 == 0, F.lit("// AI_METADATA"))
-            .when(i % 7 == 1, F.lit("// user_intent:"))
-            .when(i % 7 == 2, F.concat(F.lit("// "), x))
-            .when(i % 7 == 3, F.concat(F.lit("// function: f"), i.cast("string")))
-            .otherwise(F.concat(F.lit("    "), x)))
-    return lines(spark, sf_dir).select("doc_id", "source", "lang", i.alias("line_no"),
-                                       line.alias("line"))
+    pieces = F.when(i % 7 == 0, F.array(F.lit("// AI_METADATA"), F.lit("// user_intent:"), F.concat(F.lit("// "), x),
+                                        F.concat(F.lit("// function: f"), i.cast("string")))) \
+        .otherwise(F.array(F.concat(F.lit("    "), x)))
+    return _with_markers(spark, sf_dir, pieces, "doc_id", "source", "lang")
 
 
 def d2_bodies(spark, sf_dir) -> DataFrame:
@@ -55,29 +61,27 @@ def d2_bodies(spark, sf_dir) -> DataFrame:
 
 
 def d3_fortran_lines(spark, sf_dir) -> DataFrame:
-    """D3: annotated Fortran lines."""
+    """D3: annotated Fortran lines; headers are inserted, every text line stays whole."""
     i, x = F.col("i"), F.col("x")
-    line = (F.when(i % 9 == 0, F.concat(F.lit("! PURPOSE: "), F.substring(x, 1, 40)))
-            .when(i % 9 == 1, F.concat(F.lit("! KEYWORDS: a, "), F.col("lang"), F.lit(", ")))
-            .when(i % 9 == 2, F.concat(F.lit("! CONTEXT: "), F.col("source")))
-            .when(i % 9 == 3, F.lit("! more"))
-            .when(i % 9 == 4, F.concat(F.lit("module procedure p"), i.cast("string")))
-            .when(i % 9 == 7, F.lit("! END CODE CHUNK"))
-            .otherwise(x))
-    return lines(spark, sf_dir).select("doc_id", "source", i.alias("line_no"), line.alias("line"))
+    pieces = F.when(i % 9 == 0, F.array(
+        F.concat(F.lit("! PURPOSE: "), x), F.concat(F.lit("! KEYWORDS: a, "), F.col("lang"), F.lit(", ")),
+        F.concat(F.lit("! CONTEXT: "), F.col("source")), F.lit("! more"), F.concat(F.lit("module procedure p"), i.cast("string")))) \
+        .when(i % 9 == 7, F.array(x, F.lit("! END CODE CHUNK"))).otherwise(F.array(x))
+    return _with_markers(spark, sf_dir, pieces, "doc_id", "source", "lang").drop("lang")
 
 
 def d4_eval_pairs(spark, sf_dir) -> DataFrame:
-    """Benchmark code and generated code per item."""
-    b = read_table(spark, sf_dir, "benchmark").alias("b")
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text").alias("d")
-    iid = F.col("b.item_id").cast("string")
+    """Every document as generated code, with the benchmark code of number ``doc_id`` mod their count."""
+    b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b_id"), F.col("text").alias("b_text"))
+    n = b.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))                     # one row
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("d_text"))
+    iid = F.col("item_id").cast("string")
     bench = F.concat(F.lit("#include <x.H> void Foo::bar(int a) { int tmp"), iid, F.lit(" = a; "),
-                     F.replace(F.col("b.text"), F.lit("."), F.lit(";")), F.lit(" }"))
+                     F.replace(F.col("b_text"), F.lit("."), F.lit(";")), F.lit(" }"))
     gen = F.concat(F.lit("void Foo::bar(int a) { int t"), iid, F.lit(" = a; "),
-                   F.replace(F.col("d.text"), F.lit("."), F.lit(";")), F.lit(" }"))
-    return b.join(d, F.col("d.doc_id") == F.col("b.item_id")).select(
-        F.col("b.item_id").alias("item_id"), bench.alias("bench"), gen.alias("gen"))
+                   F.replace(F.col("d_text"), F.lit("."), F.lit(";")), F.lit(" }"))
+    d = d.join(F.broadcast(n)).withColumn("b_id", F.col("item_id") % F.col("n"))
+    return d.join(b, "b_id").select("item_id", bench.alias("bench"), gen.alias("gen"))
 
 
 def d5_versions(spark, sf_dir) -> DataFrame:
@@ -97,7 +101,7 @@ def d6_ast_dumps(spark, sf_dir) -> DataFrame:
                     F.col("p_name"), F.lit(";" + NL + "<src/p.H:"), s.cast("string"),
                     F.lit(":5, line:"), (s + 2).cast("string"), F.lit(":9>"))
     command = F.concat(F.lit("g++ -I/inc/"), s.cast("string"), F.lit(" -DSIZE="), s.cast("string"),
-                       F.lit(" -std=c++17 -O2 -fopenmp -c f"), k, F.lit(".cpp"))
+                       F.lit(' -DNAME=\\"p\\" \'-DTWO=a b\' "-I/inc dir/\\"q\\"" -DX=\\ y'), F.lit(" -std=c++17 -O2 -fopenmp -c f"), k, F.lit(".cpp"))
     return p.select("p_partkey", dump.alias("dump"), command.alias("command"))
 
 
@@ -108,23 +112,24 @@ def d7_paths(spark, sf_dir) -> DataFrame:
 
 
 def d8_pair_lines(spark, sf_dir) -> DataFrame:
-    """instruction/response text-file lines."""
+    """instruction/response text-file lines; every text line stays whole."""
     i, x = F.col("i"), F.col("x")
-    line = (F.when(i % 6 == 0, F.concat(F.lit("instruction: "), F.substring(x, 1, 30)))
-            .when(i % 6 == 1, F.lit(""))
-            .when(i % 6 == 2, F.lit("response: inline"))
-            .otherwise(x))
-    return lines(spark, sf_dir).select("doc_id", i.alias("line_no"), line.alias("line"))
+    pieces = F.when(i % 6 == 0, F.array(F.concat(F.lit("instruction: "), x), F.lit(""), F.lit("response: inline"))) \
+        .otherwise(F.array(x))
+    return _with_markers(spark, sf_dir, pieces, "doc_id")
 
 
 # ---------------------------------------------------------------- DuckDB text
 SQL_LINES = """(select doc_id, lang, source, unnest(range(len(string_split(text, chr(10))))) i,
         unnest(string_split(text, chr(10))) x from documents)"""
 
-SQL_D1 = f"""(select doc_id, source, lang, i line_no, case
-  when i%7=0 then '// AI_METADATA' when i%7=1 then '// user_intent:'
-  when i%7=2 then concat('// ', x) when i%7=3 then concat('// function: f', cast(i as varchar))
-  else concat('    ', x) end line from {SQL_LINES})"""
+def _sql_markers(keep: str, pieces: str) -> str:
+    return f"""(select {keep}, i*{_SLOTS}+k line_no, line from (select {keep}, i, unnest(range(len(ls))) k, unnest(ls) line
+      from (select *, {pieces} ls from {SQL_LINES})))"""
+
+
+SQL_D1 = _sql_markers("doc_id, source, lang", """case when i%7=0 then ['// AI_METADATA', '// user_intent:', concat('// ', x),
+  concat('// function: f', cast(i as varchar))] else [concat('    ', x)] end""")
 
 SQL_D2 = """(select conv_id, turn, role, case (conv_id*7+turn)%10
   when 0 then concat('hi @assistant ', text)
@@ -138,16 +143,14 @@ SQL_D2 = """(select conv_id, turn, role, case (conv_id*7+turn)%10
   when 8 then concat('MODIFY_EXISTING_METHOD: ', text)
   else text end body from conversations)"""
 
-SQL_D3 = f"""(select doc_id, source, i line_no, case
-  when i%9=0 then concat('! PURPOSE: ', substr(x,1,40)) when i%9=1 then concat('! KEYWORDS: a, ', lang, ', ')
-  when i%9=2 then concat('! CONTEXT: ', source) when i%9=3 then '! more'
-  when i%9=4 then concat('module procedure p', cast(i as varchar)) when i%9=7 then '! END CODE CHUNK'
-  else x end line from {SQL_LINES})"""
+SQL_D3 = _sql_markers("doc_id, source", """case when i%9=0 then [concat('! PURPOSE: ', x), concat('! KEYWORDS: a, ', lang, ', '),
+  concat('! CONTEXT: ', source), '! more', concat('module procedure p', cast(i as varchar))]
+  when i%9=7 then [x, '! END CODE CHUNK'] else [x] end""")
 
-SQL_D4 = """(select b.item_id,
-  concat('#include <x.H> void Foo::bar(int a) { int tmp', cast(b.item_id as varchar), ' = a; ', replace(b.text,'.',';'), ' }') bench,
-  concat('void Foo::bar(int a) { int t', cast(b.item_id as varchar), ' = a; ', replace(d.text,'.',';'), ' }') gen
-from benchmark b join documents d on d.doc_id=b.item_id)"""
+SQL_D4 = """(select d.doc_id item_id,
+  concat('#include <x.H> void Foo::bar(int a) { int tmp', cast(d.doc_id as varchar), ' = a; ', replace(b.text,'.',';'), ' }') bench,
+  concat('void Foo::bar(int a) { int t', cast(d.doc_id as varchar), ' = a; ', replace(d.text,'.',';'), ' }') gen
+from documents d join benchmark b on b.item_id=d.doc_id%(select greatest(count(*),1) from benchmark))"""
 
 SQL_D5 = f"""(select doc_id, i line_no, x old_line, case when i%5=0 then concat('~ ', x) else x end new_line,
   doc_id%2=1 and i%4=3 dropped from {SQL_LINES})"""
@@ -156,13 +159,12 @@ SQL_D6 = """(select p_partkey,
   concat('Binding for "f":', chr(10), '<FieldDecl 0x', cast(p_partkey as varchar), '> int  ', p_name, ';', chr(10),
          '<src/p.H:', cast(p_size as varchar), ':5, line:', cast(p_size+2 as varchar), ':9>') dump,
   concat('g++ -I/inc/', cast(p_size as varchar), ' -DSIZE=', cast(p_size as varchar),
+         ' -DNAME=\\"p\\" ''-DTWO=a b'' "-I/inc dir/\\"q\\"" -DX=\\ y',
          ' -std=c++17 -O2 -fopenmp -c f', cast(p_partkey as varchar), '.cpp') command from part)"""
 
 SQL_D7 = """(select page_id, regexp_replace(url, '[?#].*$', '') path from pages)"""
 
-SQL_D8 = f"""(select doc_id, i line_no, case
-  when i%6=0 then concat('instruction: ', substr(x,1,30)) when i%6=1 then ''
-  when i%6=2 then 'response: inline' else x end line from {SQL_LINES})"""
+SQL_D8 = _sql_markers("doc_id", "case when i%6=0 then [concat('instruction: ', x), '', 'response: inline'] else [x] end")
 
 
 def d9_comment_pages(spark, sf_dir):
@@ -182,20 +184,24 @@ def d9_from_events(e: DataFrame) -> DataFrame:
     k = F.col("event_id") % 5
     props = F.col("props")
     body = (F.when(k == 0, F.concat(F.lit("hi @assistant "), props))
-            .when(k == 1, F.lit(""))
             .when(k == 2, F.concat(F.lit("/agent-build" + NL + "error: undefined reference to foo "), props))
             .when(k == 3, F.concat(F.lit("/agent-coder" + NL + "please fix "), props))
             .otherwise(props))
-    return e.select(feed.alias("feed"), F.col("event_id").alias("id"), F.col("user_id").alias("pr"),
+    # every fifth event also has a comment without text
+    texts = F.when(k == 1, F.array(body, F.lit(""))).otherwise(F.array(body))
+    return e.select(feed.alias("feed"), "event_id", F.col("user_id").alias("pr"),
                     F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created"),
-                    body.alias("body"),
-                    F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("author"))
-
-
-SQL_D9 = """(select case when event_type in ('click', 'signup') then 'issue'
-    when event_type in ('view', 'error') then 'review' else 'submission' end feed,
-  event_id id, user_id pr, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') created,
-  case event_id % 5 when 0 then concat('hi @assistant ', props) when 1 then ''
-    when 2 then concat('/agent-build', chr(10), 'error: undefined reference to foo ', props)
-    when 3 then concat('/agent-coder', chr(10), 'please fix ', props) else props end body,
-  concat('user', cast(user_id % 7 as varchar)) author from events)"""
+                    F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("author"),
+                    F.posexplode(texts).alias("nth", "body")) \
+        .select("feed", (F.col("event_id") * 2 + F.col("nth")).cast("bigint").alias("id"), "pr", "created", "body", "author")
+
+
+SQL_D9 = """(select feed, event_id * 2 + nth id, pr, created, body, author from (
+  select *, unnest(range(len(texts))) nth, unnest(texts) body from (
+  select event_id, case when event_type in ('click', 'signup') then 'issue'
+    when event_type in ('view', 'error') then 'review' else 'submission' end feed, user_id pr,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') created,
+  case event_id % 5 when 0 then [concat('hi @assistant ', props)] when 1 then [props, '']
+    when 2 then [concat('/agent-build', chr(10), 'error: undefined reference to foo ', props)]
+    when 3 then [concat('/agent-coder', chr(10), 'please fix ', props)] else [props] end texts,
+  concat('user', cast(user_id % 7 as varchar)) author from events)))"""

@@ -145,14 +145,18 @@ _LABELS7 = "['scaffolding', 'compilation', 'codeadvising', 'explaining', 'code_g
 @query("parse_reply", f"""with r as (
   select 'body' src, conv_id id, turn, body raw from {D2}
   union all select 'props', event_id, 0, props from events
-  union all select 'reply', event_id, 0, concat('{{"intent": "', {_LABELS7}[event_id % 7 + 1], '"}}') from events),
+  union all select 'reply', event_id, 0, concat('{{"intent": "', {_LABELS7}[event_id % 7 + 1], '"}}') from events
+  union all select 'tail', event_id, 0, concat('{{"intent": "compilation"}}', case event_id % 4 when 0 then ' trailing' when 1 then ', {{}}'
+    when 2 then '' else chr(10) end) from events
+  union all select 'quote', event_id, 0, '{{''intent'': ''compilation''}}' from events where event_id % 4 = 0),
 r2 as (select src, id, turn, case when json_valid(raw) then json_extract_string(raw, '$.intent') end v from r)
 select src, id, cast(turn as bigint) turn, case when v in
   ({", ".join(f"'{x}'" for x in P.INTENT_LABELS)}) then v else '{P.DEFAULT_INTENT}' end intent
 from r2""")
 def parse_reply(spark, sf_dir):
-    """F16 on D2 bodies (not JSON), event props (JSON without intent) and
-    JSON replies built from events (six labels and one unknown)."""
+    """F16 on D2 bodies (not JSON), event props (JSON without intent), JSON
+    replies built from events (six labels and one unknown), replies with text
+    after the JSON value, and single-quoted ones."""
     b = D.d2_bodies(spark, sf_dir).select(F.lit("body").alias("src"), F.col("conv_id").alias("id"), "turn",
                                           F.col("body").alias("raw"))
     ev = read_table(spark, sf_dir, "events").select("event_id", "props")
@@ -163,7 +167,14 @@ def parse_reply(spark, sf_dir):
     r = ev.select(F.lit("reply").alias("src"), F.col("event_id").alias("id"), F.lit(0).cast("bigint").alias("turn"),
                   F.concat(F.lit('{"intent": "'), F.element_at(labels, (F.col("event_id") % 7 + 1).cast("int")),
                            F.lit('"}')).alias("raw"))
-    return b.unionByName(p).unionByName(r).select("src", "id", "turn", P.parse_intent_reply("raw").alias("intent"))
+    zero = F.lit(0).cast("bigint").alias("turn")
+    tails = F.array(F.lit(" trailing"), F.lit(", {}"), F.lit(""), F.lit("\n"))
+    tail = ev.select(F.lit("tail").alias("src"), F.col("event_id").alias("id"), zero, F.concat(
+        F.lit('{"intent": "compilation"}'), F.get(tails, (F.col("event_id") % 4).cast("int"))).alias("raw"))
+    quote = ev.where("event_id % 4 = 0").select(F.lit("quote").alias("src"), F.col("event_id").alias("id"), zero,
+                                                F.lit("{'intent': 'compilation'}").alias("raw"))
+    return b.unionByName(p).unionByName(r).unionByName(tail).unionByName(quote) \
+        .select("src", "id", "turn", P.parse_intent_reply("raw").alias("intent"))
 
 
 def _kind_sql() -> str:
@@ -190,13 +201,13 @@ def render_prompt(spark, sf_dir):
     return k.select("conv_id", "turn", "kind", T.render_by_kind(F.col("kind"), body=F.col("body")).alias("prompt"))
 
 
-@query("prompt_scan", f"""with p as (select conv_id, turn, {S.strip('text')} prompt from conversations where role = 'user'),
+@query("prompt_scan", f"""with p as (select conv_id, turn, {S.strip('text')} prompt from conversations),
 i as (select *, row_number() over (order by conv_id, turn) - 1 idx from p)
 select cast(idx as bigint) idx, conv_id, turn, prompt from i where prompt <> ''""")
 def prompt_scan(spark, sf_dir):
-    """S7 + W6: user turns as prompt files in name order; stripped; empty ones
+    """S7 + W6: turns as prompt files in name order; stripped; empty ones
     skipped but still holding their index."""
-    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user") \
+    c = read_table(spark, sf_dir, "conversations") \
         .select("conv_id", "turn", pystrip("text").alias("prompt"))
     return SP.index_prompts(c, ["conv_id", "turn"]).select("idx", "conv_id", "turn", "prompt")
 

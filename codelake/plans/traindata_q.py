@@ -95,14 +95,9 @@ def encode_fixed(spark, sf_dir):
 MODELS = ("small-model", "large-model", "missing-model")
 
 
-@query("infer_matrix")
-def infer_matrix(spark, sf_dir):
-    """J6 + X2: every rendered D2 prompt against each model of a list, with a
-    deterministic stand-in model; failures stay per row (P6 class)."""
-    d2 = D.d2_bodies(spark, sf_dir)
-    intent = P.classify_intent(F.col("body"), "fortran")
-    prompts = d2.select("conv_id", "turn", T.render_prompt("intent", body=F.col("body")).alias("prompt"),
-                        intent.alias("intent"))
-    cells = I.prompts_by_models(prompts, list(MODELS))
-    out = I.batch_infer(cells, "prompt", I.echo_model)
-    return out.select("conv_id", "turn", "model", "response", "error_class")
+@query("prompt_matrix", f"""with p as (select conv_id, turn, {T.sql_render("intent", body="body")} prompt from {D.SQL_D2})
+select conv_id, turn, model, prompt from p, (values {", ".join(f"('{m}')" for m in MODELS)}) m(model)""")
+def prompt_matrix(spark, sf_dir):
+    """Every rendered D2 prompt with each model of a list."""
+    prompts = D.d2_bodies(spark, sf_dir).select("conv_id", "turn", T.render_prompt("intent", body=F.col("body")).alias("prompt"))
+    return I.prompts_by_models(prompts, list(MODELS)).select("conv_id", "turn", "model", "prompt")

@@ -1,10 +1,9 @@
-"""W1/W2/F2/F3/A8/S2/W5 golden cases and a randomised check against brute force."""
+"""W1/W2/F2/F3/A8/S2/W5 golden cases, and properties that hold for any file."""
 
 import random
 
 from pyspark.sql import functions as F
 
-from brute import cpp_chunks as brute_cpp
 from codelake.operators import chunking as C
 
 
@@ -57,18 +56,48 @@ def test_cpp_fixed_keys_overridden(spark):
     assert dict(r.metadata) == {"example": "ex", "language": "c++17", "user_intent": ""}
 
 
-def test_cpp_random_against_brute_force(spark):
-    rnd = random.Random(7)
-    pool = ["// AI_METADATA", "//AI_METADATA", "  // AI_METADATA x", "// user_intent:", "// intent words",
+def _random_files(pool, seed, size):
+    rnd = random.Random(seed)
+    return {i: [rnd.choice(pool) for _ in range(rnd.randint(0, size))] for i in range(300)}
+
+
+CPP_POOL = ["// AI_METADATA", "//AI_METADATA", "  // AI_METADATA x", "// user_intent:", "// intent words",
             "// k: v", "// k2: v: w", "// note", "", "   ", "\tcode();", "  int x;", "}", "// AI_METADATA"]
-    files = {i: [rnd.choice(pool) for _ in range(rnd.randint(0, 25))] for i in range(300)}
-    got = _chunks(spark, files)
-    for fid, lines in files.items():
-        exp = brute_cpp(lines)
-        assert len(got[fid]) == len(exp), (fid, lines)
-        for g, e in zip(got[fid], exp):
-            assert g.code == e["code"], (fid, lines)
-            assert dict(g.metadata) == e["meta"], (fid, lines)
+
+
+def test_cpp_lines_are_conserved(spark):
+    """Every line has exactly one role; what follows the first marker is marker, metadata or code, in order."""
+    files = _random_files(CPP_POOL, 7, 25)
+    marked = C.mark_cpp_lines(_lines_df(spark, files), ["doc_id"]).orderBy("doc_id", "line_no").collect()
+    by = {f: [r for r in marked if r.doc_id == f] for f in files}
+    for f, lines in files.items():
+        rows = by[f]
+        assert [r.line for r in rows] == lines
+        opened = [i for i, r in enumerate(rows) if r.role == "marker"]
+        assert all(r.role == "none" for r in rows[:opened[0] if opened else None])
+        # one marker per run of comment lines, and it is the run's first
+        for i in opened:
+            j = i
+            while j and lines[j - 1].strip().startswith("//"):
+                j -= 1
+                assert not lines[j].strip().startswith("// AI_METADATA")
+        for r, s in zip(rows, lines):
+            assert r.role != "meta" or s.strip().startswith("//")
+            assert r.role == "none" or r.chunk_no == sum(i <= r.line_no for i in opened)
+        for i in range(1, len(rows)):
+            if rows[i].role == "meta":
+                assert rows[i - 1].role in ("marker", "meta")
+
+
+def test_cpp_rechunking_a_chunk_is_stable(spark):
+    """Marker, metadata and code of a chunk, put back together, chunk to the same code."""
+    files = {f: lines for f, lines in _random_files(CPP_POOL, 8, 12).items()}
+    for r in spark.createDataFrame([(1,)], "x int").collect():
+        first = [c for cs in _chunks(spark, files).values() for c in cs]
+    again = _chunks(spark, {i: ["// AI_METADATA", "// user_intent:", "// " + (c.user_intent.replace("\n", " ") or "z"), ""] + c.code.split("\n")
+                            for i, c in enumerate(first) if "AI_METADATA" not in c.code})
+    for i, got in again.items():
+        assert len(got) == 1 and got[0].code == "\n" + first[i].code
 
 
 def test_fortran_golden(spark):
@@ -116,17 +145,61 @@ def test_dedent_matches_textwrap(spark):
     assert got == [textwrap.dedent(c) for c in cases]
 
 
-def test_fortran_random_against_brute_force(spark):
-    from brute import fortran_chunks as brute_fortran
-
-    rnd = random.Random(11)
-    pool = ["! PURPOSE: p", "! purpose: q r", "! KEYWORDS: a, b", "!keywords: c", "! CONTEXT: ctx", "! more",
-            "!", "module procedure x &", "  MODULE PROCEDURE y", "x = 1", "", "! END CODE CHUNK", "  ! end code chunk "]
-    files = {i: [rnd.choice(pool) for _ in range(rnd.randint(0, 20))] for i in range(300)}
-    rows = C.chunk_fortran(_lines_df(spark, files), ["doc_id"]).collect()
+FORTRAN_POOL = ["! PURPOSE: p", "! purpose: q r", "! KEYWORDS: a, b", "!keywords: c", "! CONTEXT: ctx", "! more",
+                "!", "module procedure x &", "  MODULE PROCEDURE y", "x = 1", "", "! END CODE CHUNK", "  ! end code chunk "]
+
+
+def test_fortran_properties(spark):
+    """One chunk per purpose line; code is one contiguous stretch of the chunk's own lines without an end marker."""
+    files = _random_files(FORTRAN_POOL, 11, 20)
+    rows = C.chunk_fortran(_lines_df(spark, files), ["doc_id"], {"example": F.lit("ex")}).collect()
+    for f, lines in files.items():
+        got = sorted((r for r in rows if r.doc_id == f), key=lambda r: r.chunk_no)
+        starts = [i for i, x in enumerate(lines) if x.lower().startswith("! purpose:")]
+        assert len(got) == len(starts)
+        for r, a, b in zip(got, starts, [*starts[1:], len(lines)]):
+            own = "\n".join(lines[a:b])
+            assert r.purpose.startswith(lines[a].split(":")[1].strip())
+            assert r.code in own and "end code chunk" not in r.code.lower()
+            assert not r.code or not r.code.split("\n")[0].strip().startswith("!")
+            assert set(r.keywords) <= {"a", "b"} and (r.procedure or "x") in ("x", "y")
+            assert dict(r.metadata) == {"example": "ex", "procedure": r.procedure or "", "purpose": r.purpose,
+                                        "keywords": ", ".join(r.keywords), "context": r.context}
+
+
+def test_fortran_embedding_limit_is_an_argument(spark):
+    f = ["! PURPOSE: p", *[f"x{i} = 1" for i in range(200)]]
+    whole, part = (C.chunk_fortran(_lines_df(spark, {1: f}), ["doc_id"], embed_lines=n).first().embedding_text for n in (None, 80))
+    assert whole.count(" = 1") == 200 and part.count(" = 1") == 80
+
+
+def test_fixtures_keep_every_character(spark):
+    """Marker lines are added to the texts, never put in their place."""
+    from codelake.plans import fixtures as D
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for make, strip in ((D.d1_cpp_lines, ("// ", "    ")), (D.d3_fortran_lines, ("! PURPOSE: ", "")), (D.d8_pair_lines, ("instruction: ", ""))):
+        rows = {}
+        for r in make(spark, sf).orderBy("doc_id", "line_no").collect():
+            rows.setdefault(r.doc_id, []).append(r.line)
+        for d, t in texts.items():
+            left = iter(rows[d])
+            for x in t.split("\n"):
+                assert any(y in (strip[0] + x, strip[1] + x) for y in left), (make, d, x)
+
+
+def test_offsets_count_the_file_own_breaks(spark):
+    import random as rnd_
+
+    rnd = rnd_.Random(5)
+    texts = ["ab\r\ncd\r\nef", "", "\r\n", "a\x0cb\u2028c", "x\n"] + [
+        "".join(rnd.choice(["ab", "\n", "\r\n", "\r", "\x0b", "é"]) for _ in range(rnd.randint(0, 9))) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.chunk_no)):
-        got.setdefault(r.doc_id, []).append({"purpose": r.purpose, "keywords": list(r.keywords),
-                                             "context": r.context, "code": r.code, "procedure": r.procedure})
-    for fid, lines in files.items():
-        assert got.get(fid, []) == brute_fortran(lines), lines
+    for r in C.file_line_offsets(df, "t", ["i"]).orderBy("i", "line_no").collect():
+        got.setdefault(r.i, []).append(r.offset)
+    assert got[0] == [0, 4, 8]
+    for i, t in enumerate(texts):
+        kept = t.splitlines(keepends=True)
+        assert got.get(i, []) == [sum(map(len, kept[:k])) for k in range(len(kept))]

@@ -9,6 +9,17 @@ from codelake.operators import codeeval as CE
 from codelake.operators import infer as I
 
 
+def _echo():
+    """The stand-in model as a closure, so that it travels to the workers by value."""
+    def echo_model(prompt, model, opts):
+        """A stand-in model: its name and the prompt's size; a model named ``missing-*`` fails as if unavailable."""
+        if model.startswith("missing"):
+            raise RuntimeError(f"model '{model}' not found")
+        return f"[{model} seed={opts['seed']}] {len(prompt)} chars"
+
+    return echo_model
+
+
 def test_pair_eval_pairs_by_index_and_aborts_when_missing(spark):
     prompts = spark.createDataFrame([("p_a.txt", "x"), ("p_b.txt", ""), ("p_c.txt", "z")],
                                     "prompt_name string, prompt string")
@@ -38,13 +49,13 @@ def test_eval_report_writer(spark, tmp_dir):
     path = os.path.join(tmp_dir, "reports")
     CE.write_eval_report(rep, path)
     text = spark.read.text(os.path.join(path, "idx=0"), wholetext=True).first()[0]
-    assert text.endswith("Cosine similarity: 0.1235\n") and "Generated: From inference" in text
+    assert text.endswith("Cosine similarity: 0.1235\n") and "generated, as received" in text
 
 
 def test_batch_infer_isolates_failures(spark):
     prompts = spark.createDataFrame([(1, "hello"), (2, "world!")], "id bigint, prompt string")
     cells = I.prompts_by_models(prompts, ["m1", "missing-x"])
-    rows = {(r.id, r.model): r for r in I.batch_infer(cells, "prompt", I.echo_model).collect()}
+    rows = {(r.id, r.model): r for r in I.batch_infer(cells, "prompt", _echo()).collect()}
     assert rows[(1, "m1")].response == "[m1 seed=42] 5 chars" and rows[(1, "m1")].error is None
     bad = rows[(2, "missing-x")]
     assert bad.response is None and bad.error_class == "model_unavailable"

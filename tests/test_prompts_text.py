@@ -5,11 +5,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from brute import pairs as brute_pairs
 from codelake.functions import prompts as P
 from codelake.operators import codeeval as CE
 from codelake.operators import traindata as TD
-from codelake.operators.diffs import _merge_one
+from codelake.operators import diffs as DF
 
 
 def _one(spark, expr, value):
@@ -57,20 +56,37 @@ def test_slots(spark):
     assert _one(spark, P.strip_slot_lines, "class: A\n  file: b\nkeep\nfunction: f") == "keep"
 
 
-def test_parse_pairs_golden_and_random(spark):
-    lines = ["pre", "instruction: a", "x", "instruction: b", "mid", "response: inline", "y"]
+def test_parse_pairs_golden(spark):
+    files = {
+        0: ["pre", "instruction: a", "x", "instruction: b", "mid", "response: inline", "y"],
+        1: ["instruction:  spaced  ", "", "response:", "", "kept", "", ""],
+        2: ["response: r", "no instruction"],
+        3: ["instruction: one", "drop", "response: drop", "drop too", "response:", "last  ", " instruction: not at the start"],
+        4: [],
+        5: ["instruction: a", "instruction: b"],
+    }
+    df = spark.createDataFrame([(f, i, l) for f, ls in files.items() for i, l in enumerate(ls)], "doc_id bigint, line_no bigint, line string")
+    by = {}
+    for r in TD.parse_pairs(df, ["doc_id"]).orderBy("doc_id", "pair_no").collect():
+        by.setdefault(r.doc_id, []).append((r.instruction, r.response))
+    assert by == {0: [("a", "pre\nx"), ("b", "y")], 1: [("spaced", "kept")],
+                  3: [("one", "last\n instruction: not at the start")], 5: [("a", ""), ("b", "")]}
+
+
+def test_parse_pairs_round_trip(spark):
+    """Pairs written out as text lines parse back to themselves."""
     rnd = random.Random(1)
-    pool = ["instruction: q", "instruction:", "response: r", "response:", "text", "", "  indented  ", " instruction: no"]
-    files = {0: lines, **{i: [rnd.choice(pool) for _ in range(rnd.randint(0, 12))] for i in range(1, 200)}}
-    rows = [(f, i, l) for f, ls in files.items() for i, l in enumerate(ls)]
-    df = spark.createDataFrame(rows, "doc_id bigint, line_no bigint, line string")
-    got = TD.parse_pairs(df, ["doc_id"]).collect()
+    text = lambda: " ".join(rnd.choice(["alpha", "beta:", "response", "x"]) for _ in range(rnd.randint(1, 4)))
+    want = {f: [(text(), "\n".join(text() for _ in range(rnd.randint(1, 3)))) for _ in range(rnd.randint(1, 4))] for f in range(60)}
+    rows = []
+    for f, ps in want.items():
+        lines = [x for a, b in ps for x in (f"instruction: {a}", "noise", "response: noise", *("" for _ in range(rnd.randint(0, 2))), *b.split("\n"))]
+        rows += [(f, i * 3, x) for i, x in enumerate(lines)]
     by = {}
-    for r in sorted(got, key=lambda r: (r.doc_id, r.pair_no)):
+    df = spark.createDataFrame(rows, "doc_id bigint, line_no bigint, line string")
+    for r in TD.parse_pairs(df, ["doc_id"]).orderBy("doc_id", "pair_no").collect():
         by.setdefault(r.doc_id, []).append((r.instruction, r.response))
-    assert by[0] == [("a", "pre\nx"), ("b", "y")]
-    for f, ls in files.items():
-        assert by.get(f, []) == brute_pairs(ls), ls
+    assert by == want
 
 
 def test_clean_function_cases(spark):
@@ -104,30 +120,52 @@ def test_canonicalize_locals(spark):
     assert got == "void F::g ( int a ) { int VAR1 = a ; double VAR2 ; VAR2 = VAR1 ; }"
 
 
-def test_conflict_merge_cases():
-    # insertion in the middle
-    assert _merge_one(["a", "b"], ["a", "x", "b"]) == ["a", "<<<<<<< AGENT CODER", "x", "=======",
-                                                         ">>>>>>> ORIGINAL", "b"]
-    # replacement in the middle takes all the rest
-    assert _merge_one(["a", "b", "c"], ["a", "x", "c"]) == ["a", "<<<<<<< AGENT CODER", "x", "c", "=======",
-                                                              "b", "c", ">>>>>>> ORIGINAL"]
-    # deletion at the end
-    assert _merge_one(["a", "b"], ["a"]) == ["a", "<<<<<<< AGENT CODER", "=======", "b", ">>>>>>> ORIGINAL"]
-    assert _merge_one(["a "], ["a"]) is None
+O, M, C = DF.MERGE_OPEN, DF.MERGE_MID, DF.MERGE_CLOSE
+
+
+def _merge(spark, cases):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
+    return [r.merged for r in DF.conflict_merge(df, "a", "b").orderBy("i").collect()]
+
 
+def test_conflict_merge_cases(spark):
+    assert _merge(spark, [
+        (["a", "b"], ["a", "x", "b"]),                 # insertion in the middle
+        (["a", "b", "c"], ["a", "x", "c"]),            # replacement in the middle takes all the rest
+        (["a", "b"], ["a"]),                           # deletion at the end
+        (["a "], ["a"]), ([], []), (None, None),       # nothing changed
+        ([], ["n"]), (["o"], []), (["a", "a"], ["x", "a", "y", "a", "z"]),
+    ]) == [["a", O, "x", M, C, "b"], ["a", O, "x", "c", M, "b", "c", C], ["a", O, M, "b", C], None, None, None,
+           [O, "n", M, C], [O, M, "o", C], [O, "x", M, C, "a", O, "y", M, C, "a", O, "z", M, C]]
 
-def test_conflict_merge_tail_property():
+
+def _merge_cases(n):
     rnd = random.Random(3)
-    for _ in range(500):
-        old = [rnd.choice("abc") for _ in range(rnd.randint(0, 6))]
-        new = [rnd.choice("abcd") for _ in range(rnd.randint(0, 6))]
-        out = _merge_one(old, new)
+    return [([rnd.choice("abc") for _ in range(rnd.randint(0, 6))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 6))])
+            for _ in range(n)]
+
+
+def test_conflict_merge_properties(spark):
+    """Taking either side of every block gives back that side's lines; old lines stand in the last block only."""
+    cases = _merge_cases(400)
+    for (old, new), out in zip(cases, _merge(spark, cases)):
+        assert (out is None) == (old == new)
         if out is None:
             continue
-        # the old side is non-empty only in the last block
-        blocks = [i for i, x in enumerate(out) if x == "======="]
-        for b in blocks[:-1]:
-            assert out[b + 1] == ">>>>>>> ORIGINAL"
+        ours, theirs, side = [], [], "both"
+        blocks = 0
+        for x in out:
+            if x == O:
+                side = "new"
+            elif x == M:
+                side = "old"
+            elif x == C:
+                side, blocks = "both", blocks + 1
+            else:
+                ours += [x] if side != "old" else []
+                theirs += [x] if side != "new" else []
+                assert side != "old" or blocks == out.count(O) - 1
+        assert ours == new and theirs == old
 
 
 def test_encode_fixed_and_mask(spark):
@@ -153,18 +191,36 @@ def test_vocab_join_salted_path_matches_broadcast(spark, monkeypatch):
     assert a[0] == [vocab.filter("token = 'w0'").first().id, 2]     # 'the' is the most frequent token
 
 
-def test_merge_oracle_agrees_with_merge_rule():
+def test_merge_oracle_agrees_with_merge_rule(spark):
     import duckdb
 
     from codelake.plans.codeeval_q import _sql_merge_core
 
-    rnd = random.Random(21)
-    cases = [(i, [rnd.choice("abc") for _ in range(rnd.randint(0, 6))],
-              [rnd.choice("abcd") for _ in range(rnd.randint(0, 6))]) for i in range(300)]
+    cases = _merge_cases(300)
     con = duckdb.connect()
     con.execute("create table cases(doc_id int, old varchar[], new varchar[])")
-    con.executemany("insert into cases values (?, ?, ?)", cases)
+    con.executemany("insert into cases values (?, ?, ?)", [(i, a, b) for i, (a, b) in enumerate(cases)])
     got = dict(con.execute("with recursive " + _sql_merge_core("(select * from cases)")).fetchall())
-    for i, old, new in cases:
-        exp = _merge_one(old, new)
-        assert got[i] == (None if exp is None else "\n".join(exp)), (old, new)
+    assert [got[i] for i in range(300)] == [None if x is None else "\n".join(x) for x in _merge(spark, cases)]
+
+
+def test_intent_reply_must_be_one_json_value(spark):
+    raw = ['{"intent": "compilation"}', ' {"intent": "compilation"}\n', '{"intent": "compilation"} trailing', "{'intent': 'compilation'}",
+           '{"intent": "compilation"}, {}', '["compilation"]', '{"intent": 5}', "", "null", '{"a": {"intent": "compilation"}}', None]
+    got = _col_of(spark, raw, P.parse_intent_reply)
+    assert got == ["compilation"] * 2 + ["codeadvising"] * 9
+
+
+def test_compile_flags_are_shell_words(spark):
+    raw = ['g++ -DNAME=\\"x\\" -c f.cpp', "cc '-DTWO=a b' -I\"/inc dir\"/x", 'cc "-DQ=\\"q\\" \\n" -DA=\\ b -fopenmp', "", None]
+    import shlex
+
+    keep = lambda t: t.startswith(("-I", "-D", "-std=")) or t == "-fopenmp"
+    got = _col_of(spark, raw, CE.compile_flags)
+    assert got[:4] == [[t for t in shlex.split(x) if keep(t)] for x in raw[:4]]
+    assert got[0] == ['-DNAME="x"']
+
+
+def _col_of(spark, values, fn):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
