@@ -12,9 +12,9 @@ Physical plan (checked with ``explain``):
   under ``min_sim`` are never materialised.  The corpus is scanned once,
   in place, with no shuffle.
 * above that bound the queries are cut into blocks of at most
-  ``max_broadcast_queries`` rows by a hash of their id; every chunk row is
-  replicated once per block and the two sides meet in an equi-join on the
-  block number.  Still exact, no cartesian product, no unbounded broadcast.
+  ``max_broadcast_queries`` rows by a hash of their id: broadcast in turn
+  (``score_topk_numpy``), or met with salted parts of the corpus in an
+  equi-join (``score_pairs``).  The same scores, no unbounded broadcast.
 * top-k is ``row_number() <= k`` over the query, which Spark plans as a
   partial ``WindowGroupLimit`` before the shuffle and a final one after, so
   a query that matches a third of the corpus ships only ``k`` rows per
@@ -40,6 +40,8 @@ DEFAULT_MIN_SIM = 0.3
 # vectors (rows x dim x 8); beyond either bound the blocked equi-join runs.
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+TILE_CELLS = 1 << 22           # similarities held at a time in a task (32 MB)
+MARGIN = 1e-9                  # above the rounding of a matrix product of unit vectors
 
 
 def query_side_fits(q: DataFrame, emb: str, max_rows: int = MAX_BROADCAST_QUERIES,
@@ -79,100 +81,112 @@ def score_pairs(queries: DataFrame, chunks: DataFrame, *, query_key: str = "qid"
             1, q.agg(F.max(F.size("q_vec"))).first()[0] or 1))))
         blocks = -(-n_queries // per_block)
         qb = q.withColumn("qblock", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
-        cb = c.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        joined = cb.join(qb, (cb["qblock"] == qb["qblock"]) & (sim >= F.lit(min_sim)), "inner")
+        # every query block meets the corpus in ``salts`` separate parts, so no key holds the whole corpus
+        salts = max(1, int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        qb = qb.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        cb = c.withColumn("part", F.pmod(F.xxhash64(*chunk_keys), F.lit(salts))) \
+              .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        joined = cb.join(qb, (cb["qblock"] == qb["qblock"]) & (cb["part"] == qb["part"]) & (sim >= F.lit(min_sim)), "inner")
     return joined.select(query_key, *chunk_keys, sim.alias("sim"))
 
 
-def _batch_topk(S, keys_pdf, k: int, min_sim: float, order_keys: list[str]):
-    """Top ``k`` per query column of a similarity block, ties kept exactly.
+def _exact(rows, cols):
+    """Cosine of each row pair, summed in component order as the JVM form does: one
+    pair's value depends on nothing but its two vectors."""
+    import numpy as np
 
-    ``S`` is (rows x queries).  Per query the k-th largest value is found
-    with ``np.partition``; every row at or above it (and at or above
-    ``min_sim``) is a candidate, so rows tied at the boundary all survive
-    and the final order ``(-sim, order keys)`` is applied on the few
-    candidates only.
-    """
+    dot, a, b = (np.zeros(len(rows)) for _ in range(3))
+    for d in range(rows.shape[1]):
+        x, y = rows[:, d], cols[:, d]
+        dot += x * y
+        a += x * x
+        b += y * y
+    size = np.sqrt(b) * np.sqrt(a)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(size == 0, -1.0, dot / size)         # F1: zero norm scores -1.0
+
+
+def _batch_topk(C, Q, keys_pdf, k: int, min_sim: float, order_keys: list[str]):
+    """The ``k`` best rows of a chunk batch per query, ties by the order keys.
+
+    A matrix product picks candidates with a margin above its rounding; the
+    candidates alone are scored exactly and ranked.  Queries are taken in tiles,
+    so the product holds at most ``TILE_CELLS`` numbers."""
     import numpy as np
     import pandas as pd
 
-    n, nq = S.shape
-    if n == 0 or nq == 0:
-        return None
-    if n > k:
-        kth = -np.partition(-S, k - 1, axis=0)[k - 1]
-        cut = np.maximum(kth, min_sim)
-    else:
-        cut = np.full(nq, min_sim)
-    rows, cols = np.nonzero(S >= cut[None, :])
-    if len(rows) == 0:
-        return None
-    cand = keys_pdf.iloc[rows].reset_index(drop=True)
-    cand.insert(0, "q_idx", cols.astype("int64"))
-    cand["sim"] = S[rows, cols]
-    cand = cand.sort_values(["q_idx", "sim", *order_keys], ascending=[True, False] + [True] * len(order_keys),
-                            kind="mergesort")
-    return cand.groupby("q_idx", sort=False).head(k)
+    n, found = len(C), []
+    unit = lambda M: M / np.maximum(np.linalg.norm(M, axis=1, keepdims=True), 1e-300)
+    cu, qu = unit(C), unit(Q)
+    tile = max(1, TILE_CELLS // max(n, 1))
+    for a in range(0, len(Q), tile):
+        S = cu @ qu[a:a + tile].T
+        S[~cu.any(1)], S[:, ~qu[a:a + tile].any(1)] = -1.0, -1.0
+        cut = np.full(S.shape[1], min_sim)
+        if n > k:
+            cut = np.maximum(np.partition(S, n - k, axis=0)[n - k], min_sim)
+        rows, cols = np.nonzero(S >= cut - MARGIN)
+        if not len(rows):
+            continue
+        cand = keys_pdf.iloc[rows].reset_index(drop=True)
+        cand.insert(0, "q_idx", (cols + a).astype("int64"))
+        cand["sim"] = _exact(C[rows], Q[cols + a])
+        cand = cand[cand["sim"] >= min_sim].sort_values(
+            ["q_idx", "sim", *order_keys], ascending=[True, False] + [True] * len(order_keys), kind="mergesort")
+        found.append(cand.groupby("q_idx", sort=False).head(k))
+    return pd.concat(found) if found else None
 
 
 def score_topk_numpy(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim: float,
                      query_key: str = "qid", chunk_keys: list[str] | tuple[str, ...] = ("chunk_id",),
                      query_emb: str = "embedding", chunk_emb: str = "embedding",
-                     max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame | None:
-    """J1 + per-partition top-k with one BLAS product per Arrow batch.
-
-    The query side must pass the size check (at most ``max_broadcast_queries``
-    rows); it is collected once and broadcast as a unit-normalised matrix.
-    Each chunk batch is scored as ``C @ Q.T`` and only its top ``k`` per
-    query (with ties) leaves the task; ``rank_topk`` then merges them.
-    Returns ``None`` when the query side is too large for this strategy.
+                     max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """J1 + per-batch top-k, the queries taken in blocks of bounded size.
+
+    A block (at most about ``max_broadcast_queries`` rows and
+    ``MAX_BROADCAST_BYTES``) is fetched and broadcast, and the corpus is scored
+    against it in place, without a shuffle; blocks follow in turn.  The score of
+    a pair is the same whatever the block or batch.  Only the ``k`` best rows of
+    a batch per query leave a task; ``rank_topk`` merges them.
     """
     import numpy as np
 
     chunk_keys = list(chunk_keys)
-    # the query side is computed once for the size check and the fetch
-    q = queries.select(query_key, query_emb).filter(F.col(query_emb).isNotNull()) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits, _ = query_side_fits(q, query_emb, max_broadcast_queries)
-        if not fits:
-            return None
-        q_rows = q.collect()                              # bounded by the check above
-    finally:
-        q.unpersist()
+    q = queries.select(query_key, query_emb).filter(F.col(query_emb).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    r = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_emb)).alias("d")).first()
+    per_block = max(1, min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * max(1, r["d"] or 1))))
+    blocks = max(1, -(-r["n"] // per_block))
     spark = chunks.sparkSession
-    qmat = np.array([np.asarray(r[query_emb], dtype=np.float64) for r in q_rows], dtype=np.float64)
-    if qmat.size == 0:
-        qmat = np.zeros((0, 0))
-    qnorm = np.linalg.norm(qmat, axis=1) if qmat.size else np.zeros(0)
-    bq = spark.sparkContext.broadcast((qmat, qnorm))
-    keys_schema = chunks.select(*chunk_keys).schema
-    out_schema = T.StructType([T.StructField("q_idx", T.LongType())] + list(keys_schema.fields)
+    out_schema = T.StructType([T.StructField("q_idx", T.LongType())] + list(chunks.select(*chunk_keys).schema.fields)
                               + [T.StructField("sim", T.DoubleType())])
 
-    def run(batches):
-        Q, qn = bq.value
-        for pdf in batches:
-            pdf = pdf[pdf[chunk_emb].notna()]
-            if len(pdf) == 0 or Q.shape[0] == 0:
-                continue
-            C = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[chunk_emb]])
-            if C.shape[1] != Q.shape[1]:
-                raise ValueError("cosine: vectors of different length")
-            cn = np.linalg.norm(C, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                S = (C @ Q.T) / np.outer(cn, qn)
-            S[np.outer(cn, qn) == 0] = -1.0             # F1: zero norm scores -1.0
-            top = _batch_topk(S, pdf[chunk_keys].reset_index(drop=True), k, min_sim, chunk_keys)
-            if top is not None:
-                yield top[[f.name for f in out_schema.fields]]
-
-    scored = chunks.select(*chunk_keys, chunk_emb).mapInPandas(run, out_schema)
-    qkeys = spark.createDataFrame([(i, r[query_key]) for i, r in enumerate(q_rows)],
-                                  T.StructType([T.StructField("q_idx", T.LongType()),
-                                                q.schema[query_key]]))
-    # one row per query: a bounded broadcast
-    return scored.join(F.broadcast(qkeys), "q_idx").drop("q_idx")
+    def scored(block: int) -> DataFrame:
+        rows = q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block).collect()      # bounded: one block
+        Q = np.array([r[query_emb] for r in rows], dtype=np.float64)
+        bq = spark.sparkContext.broadcast(Q)
+
+        def run(batches):
+            for pdf in batches:
+                pdf = pdf[pdf[chunk_emb].notna()]
+                if len(pdf) == 0 or len(bq.value) == 0:
+                    continue
+                C = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[chunk_emb]])
+                if C.shape[1] != bq.value.shape[1]:
+                    raise ValueError("cosine: vectors of different length")
+                top = _batch_topk(C, bq.value, pdf[chunk_keys].reset_index(drop=True), k, min_sim, chunk_keys)
+                if top is not None:
+                    yield top[[f.name for f in out_schema.fields]]
+
+        ids = spark.createDataFrame([(i, r[query_key]) for i, r in enumerate(rows)],
+                                    T.StructType([T.StructField("q_idx", T.LongType()), q.schema[query_key]]))
+        # one row per query of the block: a bounded broadcast
+        return chunks.select(*chunk_keys, chunk_emb).mapInPandas(run, out_schema).join(F.broadcast(ids), "q_idx").drop("q_idx")
+
+    out = scored(0)
+    for b in range(1, blocks):
+        out = out.unionByName(scored(b))
+    q.unpersist()
+    return out
 
 
 def rank_topk(scored: DataFrame, k: int, *, query_key: str = "qid",
@@ -195,19 +209,18 @@ def retrieve_topk(queries: DataFrame, chunks: DataFrame, *, k: int = DEFAULT_K,
     ``chunk_keys`` is also the tie-break order (the reference's list
     position), so give ``(file, pos)`` for a loaded index.
 
-    ``strategy="numpy"`` (default): size-checked broadcast of the queries,
-    one matrix product per Arrow batch of chunks, per-batch top-k, final
-    ``WindowGroupLimit``.  ``strategy="native"``: the same plan with the
-    cosine as JVM higher-order functions (no Python workers; slower, since
-    lambdas are interpreted).  Both fall back to the blocked equi-join when
-    the query side is over the broadcast bound.
+    ``strategy="numpy"`` (default): query blocks of bounded size broadcast in
+    turn, candidates by a matrix product per Arrow batch, exact scores for the
+    candidates, final ``WindowGroupLimit``.  ``strategy="native"``: the cosine
+    as JVM higher-order functions (no Python workers; slower, since lambdas are
+    interpreted).  Both sum a pair's products in component order, so ranks are
+    the same.
     """
-    scored = None
     if strategy == "numpy":
         scored = score_topk_numpy(queries, chunks, k=k, min_sim=min_sim, query_key=query_key,
                                   chunk_keys=chunk_keys, query_emb=query_emb, chunk_emb=chunk_emb,
                                   max_broadcast_queries=max_broadcast_queries)
-    if scored is None:
+    else:
         scored = score_pairs(queries, chunks, query_key=query_key, chunk_keys=chunk_keys,
                              query_emb=query_emb, chunk_emb=chunk_emb, min_sim=min_sim,
                              max_broadcast_queries=max_broadcast_queries)
@@ -235,10 +248,10 @@ def retrieve_single(query_vec: Column, chunks: DataFrame, *, k: int = DEFAULT_K,
 def attach_payload(top: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Late materialisation: join payload columns back for the winners only.
 
-    ``top`` holds at most ``k`` rows per query of a size-checked query set,
-    so it is the side that is broadcast.
+    ``top`` grows with the number of queries, so the join strategy is left to
+    the optimiser, which sees its size at run time.
     """
-    return chunks.join(F.broadcast(top), list(keys), "inner")
+    return chunks.join(top, list(keys), "inner")
 
 
 def build_context(ranked: DataFrame, *, query_key: str = "qid", text_col: str = "ctx_text",

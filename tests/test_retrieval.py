@@ -99,3 +99,27 @@ def test_embedders_agree(spark):
     assert col == tab
     assert col[2] is None and col[3] is None and sum(col[1]) == 4.0
     assert sum(wide[4]) == 4.0 and wide[2] is None
+
+
+def test_equal_vectors_rank_by_position(spark):
+    """Thousands of copies of one vector: every query gets the first ones."""
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal(64).tolist()
+    c = spark.createDataFrame([(i, v) for i in range(5000)], "chunk_id bigint, embedding array<double>").repartition(5)
+    near = [(np.array(v) + 0.3 * rng.standard_normal(64)).tolist() for _ in range(40)]
+    q = spark.createDataFrame(list(enumerate(near)), "qid bigint, embedding array<double>")
+    for kw in ({}, {"max_broadcast_queries": 7}):
+        got = R.retrieve_topk(q, c, k=5, **kw).collect()
+        assert len(got) == 200 and all(r.chunk_id == r["rank"] - 1 for r in got)
+
+
+def test_block_size_and_strategy_do_not_change_rows(spark):
+    rng = np.random.default_rng(2)
+    c = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(900, None), (901, [0.0] * 8)],
+                              "chunk_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(30)] + [(99, None)], "qid bigint, embedding array<double>")
+    want = None
+    for kw in ({}, {"max_broadcast_queries": 4}, {"strategy": "native"}, {"strategy": "native", "max_broadcast_queries": 4}):
+        got = sorted((r.qid, r["rank"], r.chunk_id, r.sim) for r in R.retrieve_topk(q, c, k=4, min_sim=-2.0, **kw).collect())
+        want = want or got
+        assert got == want and len(got) == 120
