@@ -29,6 +29,7 @@ EMBED_ATTEMPTS = 2
 RETRY_SLEEP_S = 1.0
 CALL_TIMEOUT_S = 60.0
 DEFAULT_DIM = 64
+CALL_TEXTS = 64          # texts in one call of a plug-in embedder
 
 
 def _c(x) -> Column:
@@ -125,42 +126,59 @@ def sparse(vec_col: str, keep: list[str], df: DataFrame) -> DataFrame:
 
 def embed_with(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float] | None]],
                out_col: str = "embedding", attempts: int = EMBED_ATTEMPTS,
-               sleep_s: float = RETRY_SLEEP_S, timeout_s: float = CALL_TIMEOUT_S) -> DataFrame:
+               sleep_s: float = RETRY_SLEEP_S, timeout_s: float = CALL_TIMEOUT_S,
+               call_texts: int = CALL_TEXTS, max_chars: int | None = None) -> DataFrame:
     """Plug-in embedder: ``fn`` maps a list of texts to a list of vectors.
 
-    Runs per Arrow batch inside each partition (``mapInPandas``).  A batch
-    that still fails after ``attempts`` is retried text by text; a text that
-    fails every attempt gets a ``null`` vector and its row is kept.
+    Null and blank texts get a null vector and are never sent.  Other texts
+    are stripped, clipped to ``max_chars`` if given (F6), and sent at most
+    ``call_texts`` at a time; the time limit holds for each call.  A call that
+    fails ``attempts`` times is repeated text by text; a text that still fails
+    gets a null vector.  Every row is kept.  A call that hangs is given up
+    after the limit; its thread is a daemon and ends with the worker.
     """
     out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
-    def call(texts: list[str]):
-        from concurrent.futures import ThreadPoolExecutor
+    def limited(texts: list[str]):
+        import queue
+        import threading
+
+        done: queue.Queue = queue.Queue()
+
+        def work():
+            try:
+                done.put((fn(texts), None))
+            except Exception as e:  # noqa: BLE001 - handed to the caller
+                done.put((None, e))
 
+        threading.Thread(target=work, daemon=True).start()
+        vecs, error = done.get(timeout=timeout_s)
+        if error is not None:
+            raise error
+        return vecs
+
+    def call(texts: list[str]):
         for k in range(attempts):
-            pool = ThreadPoolExecutor(max_workers=1)
             try:
-                return pool.submit(fn, texts).result(timeout=timeout_s)   # a hung call counts as failed
+                return limited(texts)
             except Exception:  # noqa: BLE001 - the reference logs and moves on
-                if k + 1 == attempts:
-                    raise
-                time.sleep(sleep_s)
-            finally:
-                pool.shutdown(wait=False)
+                if k + 1 < attempts:
+                    time.sleep(sleep_s)
+        return None
 
     def run(batches: Iterator):
         for pdf in batches:
-            texts = pdf[text_col].fillna("").tolist()
-            try:
-                vecs = call(texts)
-            except Exception:  # noqa: BLE001
-                vecs = []
-                for t in texts:
-                    try:
-                        vecs.append(call([t])[0])
-                    except Exception:  # noqa: BLE001
-                        vecs.append(None)
-            pdf[out_col] = [None if v is None else [float(x) for x in v] for v in vecs]
+            texts = [None if t is None or t != t else t.strip()[:max_chars] for t in pdf[text_col]]
+            vecs: list = [None] * len(texts)
+            some = [i for i, t in enumerate(texts) if t]
+            for a in range(0, len(some), call_texts):
+                part = some[a:a + call_texts]
+                got = call([texts[i] for i in part])
+                if got is None and len(part) > 1:
+                    got = [(call([texts[i]]) or [None])[0] for i in part]
+                for i, v in zip(part, got or []):
+                    vecs[i] = None if v is None else [float(x) for x in v]
+            pdf[out_col] = vecs
             yield pdf
 
     return df.mapInPandas(run, out_schema)

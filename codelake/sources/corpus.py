@@ -59,11 +59,16 @@ def scan_code_corpus(spark: SparkSession, root: str, layout: str = "per_subdir",
     ``root`` are ignored.  ``single``: the whole root is one example named
     after the folder.  ``language`` defaults to the file suffix.
     """
-    root_path = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "", root).rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path", "content"))
-    rel = F.regexp_extract("path", re.escape(root_path) + r"/(.*)$", 1)
-    files = files.withColumn("_rel_root", rel)
+    # the root as the scan's paths spell it (scheme, working folder), cut off by its length
+    jvm = spark.sparkContext._jvm
+    given = jvm.org.apache.hadoop.fs.Path(root)
+    fs = given.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root_path = fs.makeQualified(given).toString().rstrip("/")
+    # the glob keeps other files' contents from being read at all
+    names = ",".join([f"*{s}" for s in rule.suffixes] + list(rule.names))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "{" + names + "}").load(root).select("path", "content"))
+    files = files.withColumn("_rel_root", F.expr(f"substring(path, {len(root_path) + 2})"))
     files = apply_path_rule(files, "_rel_root", rule)
     if layout == "per_subdir":
         example = F.element_at(F.split("_rel_root", "/", -1), 1)

@@ -3,17 +3,20 @@
 Primary layout: Parquet partitioned by ``example`` (partition pruning on
 example, predicate pushdown of ``embedding IS NOT NULL``).  Interchange
 layout: the reference's JSON documents ``{example, num_chunks, chunks}``.
-A document holds one *part* of an example (at most about ``part_rows``
-chunks, assigned by hash), so no example is ever gathered into one task;
-readers concatenate parts in path order, which is the index order.
+A document holds one *part* of an example (a contiguous range of bounded
+size), so no example is ever gathered into one task; readers concatenate
+parts in path order, which is the index order.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelake.operators.ordering import global_index
+
+PART_BYTES = 64 << 20          # of one JSON document, about
+
 CHUNK_JSON = ("struct<id:string, text:string, metadata:map<string,string>, embedding:string>")
 DOC_JSON = f"struct<example:string, num_chunks:bigint, chunks:array<{CHUNK_JSON}>>"
 ARRAY_JSON = f"array<{CHUNK_JSON}>"
@@ -36,18 +39,21 @@ def read_chunk_index_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunk_index_json(chunks: DataFrame, path: str, order_keys: list[str],
-                           part_rows: int = 50_000) -> None:
+                           part_bytes: int = PART_BYTES) -> None:
     """S4 (interchange): reference-layout JSON documents, one per example part.
 
     ``chunks`` needs ``example, chunk_id, code, metadata, embedding`` and the
     ``order_keys``.  Null embeddings stay in the file and are not counted.
+    A part is a contiguous range of the example's chunks in key order, as many
+    as fit ``part_bytes`` at the example's largest chunk, so reading parts in
+    path order is the index order whatever the size.
     """
-    # the chunks are read twice (counts, documents): keep them for this write only
-    chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = chunks.groupBy("example").agg(F.count(F.lit(1)).alias("_n"))
-    withp = chunks.join(counts, "example").withColumn(
-        "_part", F.lpad(F.pmod(F.xxhash64(*order_keys),
-                               F.ceil(F.col("_n") / F.lit(part_rows)).cast("bigint")).cast("string"), 6, "0"))
+    size = F.length("code") + 20 * F.coalesce(F.size("embedding"), F.lit(0)) \
+        + F.length(F.coalesce(F.to_json("metadata"), F.lit("")))
+    placed = global_index(chunks.withColumn("_size", F.greatest(size, F.lit(1))), ["example", *order_keys], "_at")
+    per = placed.groupBy("example").agg(F.min("_at").alias("_first"), F.max("_size").alias("_most"))
+    withp = placed.join(per, "example").withColumn("_part", F.lpad(F.expr(
+        f"(_at - _first) div greatest(1, {int(part_bytes)} div _most)").cast("string"), 12, "0"))
     chunk = F.struct(F.col("chunk_id").alias("id"), F.col("code").alias("text"), "metadata", "embedding")
     docs = withp.groupBy("example", "_part").agg(
         F.count("embedding").alias("num_chunks"),
@@ -57,11 +63,8 @@ def write_chunk_index_json(chunks: DataFrame, path: str, order_keys: list[str],
         .alias("_cs"))
     body = F.to_json(F.struct(F.col("example"), F.col("num_chunks"),
                               F.transform("_cs", lambda s: s["c"]).alias("chunks")))
-    try:
-        docs.select(F.col("example").alias("_ex"), "_part", body.alias("value")) \
-            .write.mode("overwrite").partitionBy("_ex", "_part").text(path)
-    finally:
-        chunks.unpersist()
+    docs.select(F.col("example").alias("_ex"), "_part", body.alias("value")) \
+        .write.mode("overwrite").partitionBy("_ex", "_part").text(path)
 
 
 def read_chunk_index(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -75,6 +78,8 @@ def read_chunk_index(spark: SparkSession, path: str, glob: str | None = None) ->
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    if raw.select("file").isEmpty():
+        raise FileNotFoundError(f"no index file under {path}")
     doc = F.from_json("value", DOC_JSON)
     arr = F.from_json("value", ARRAY_JSON)
     chunks = F.when(F.ltrim(F.col("value")).startswith("["), arr).otherwise(doc["chunks"])

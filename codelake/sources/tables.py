@@ -31,19 +31,11 @@ KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a DataFrame over the cluster's cores when it has fewer
-    partitions than that (a file written as one row group is read by one
-    task however it is split).  At cluster scale the scan already has more
-    partitions than cores and this is a no-op, so no shuffle is added.
-    Spreading by the table key lets later windows and aggregates keyed by
-    it reuse the partitioning."""
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= n:
-            return df
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: keep Spark's own splits
-        return df
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    """Hash-spread rows by the table key when the scan has fewer partitions
+    than the session has cores.  A scan of a large table has more, so nothing
+    is added there.  Only the placing of rows changes, never a result."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
@@ -52,25 +44,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool =
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     df = reader.parquet(table_path(sf_dir, name))
-    if spread_rows and name in KEYS and _single_row_group(sf_dir, name):
+    if spread_rows and name in KEYS:
         df = spread(df, KEYS[name])
     return df
-
-
-def _single_row_group(sf_dir: str, name: str) -> bool:
-    """True when the input is one local Parquet file with a single row group.
-
-    Only then does a scan collapse to one task whatever its split count; on
-    any other layout (many files, many row groups, remote storage) Spark's
-    own splits are kept."""
-    import os
-
-    path = table_path(sf_dir, name)
-    if not os.path.isfile(path):
-        return False
-    try:
-        import pyarrow.parquet as pq
-
-        return pq.ParquetFile(path).metadata.num_row_groups <= 1
-    except Exception:  # noqa: BLE001
-        return False

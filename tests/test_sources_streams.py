@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from codelake.operators import conversation as CV
@@ -59,7 +61,7 @@ def test_index_write_read_roundtrip(spark, tmp_dir):
         "example string, doc bigint, chunk bigint, chunk_id string, code string, metadata map<string,string>, "
         "embedding array<double>")
     path = os.path.join(tmp_dir, "idx")
-    IX.write_chunk_index_json(df, path, ["doc", "chunk"], part_rows=2)
+    IX.write_chunk_index_json(df, path, ["doc", "chunk"], part_bytes=100)
     back = IX.read_chunk_index(spark, path).collect()
     assert sorted(r.id for r in back) == ["id-a", "id-c", "id-d"]
     summary = {r.example: (r.n_chunks, r.num_chunks) for r in IX.index_summary(df).collect()}
@@ -69,6 +71,30 @@ def test_index_write_read_roundtrip(spark, tmp_dir):
     assert IX.read_chunk_index_parquet(spark, pq).count() == 3
 
 
+def test_index_parts_keep_the_order(spark, tmp_dir):
+    """Parts are contiguous: read back in path order, chunks stand in key order; an empty folder is an error."""
+    df = spark.createDataFrame([("ex", i, f"id-{i:02d}", "code", {}, [1.0]) for i in range(12)],
+                               "example string, doc bigint, chunk_id string, code string, metadata map<string,string>, embedding array<double>")
+    path = os.path.join(tmp_dir, "parts")
+    IX.write_chunk_index_json(df.repartition(3), path, ["doc"], part_bytes=110)
+    rows = IX.read_chunk_index(spark, path).orderBy("file", "pos").collect()
+    assert [r.id for r in rows] == [f"id-{i:02d}" for i in range(12)]
+    assert 1 < len({r.file for r in rows}) < 12
+    os.makedirs(os.path.join(tmp_dir, "empty"))
+    with pytest.raises(FileNotFoundError):
+        IX.read_chunk_index(spark, os.path.join(tmp_dir, "empty"))
+
+
+def test_scan_root_is_taken_as_a_whole(spark, tmp_dir, monkeypatch):
+    """A relative root, and a root whose path repeats its own name."""
+    for p in ("src/w/src/a/f.cpp", "src/w/src/b/src/g.H", "src/w/src/a/.git/x.cpp", "src/w/src/a/big.bin"):
+        _write(os.path.join(tmp_dir, p), "int x;")
+    got = lambda root: sorted((r.example, r.relative_path) for r in SC.scan_code_corpus(spark, root).collect())
+    want = [("a", "f.cpp"), ("b", "src/g.H")]
+    assert got(os.path.join(tmp_dir, "src/w/src")) == want
+    assert got("file:" + os.path.join(tmp_dir, "src/w/src")) == want
+
+
 def test_jsonl_prompts_state(spark, tmp_dir):
     pairs = spark.createDataFrame([("i1", "r1"), ("i2", 'r "2"\nx')], "instruction string, response string")
     p = os.path.join(tmp_dir, "jsonl")
@@ -163,6 +189,19 @@ def test_plugin_embedder_and_context_styles(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "boom"), (3, "xyz")], "id bigint, t string")
     got = {r.id: r.embedding for r in embed_with(df, "t", flaky, sleep_s=0.0).collect()}
     assert got[1] == [2.0, 1.0] and got[2] is None and got[3] == [3.0, 1.0]
+    blank = spark.createDataFrame([(1, None), (2, "  "), (3, " abc ")], "id bigint, t string")
+    got = {r.id: r.embedding for r in embed_with(blank, "t", flaky, sleep_s=0.0, max_chars=2).collect()}
+    assert got == {1: None, 2: None, 3: [2.0, 1.0]}
+
+    def slow(texts):
+        if "hang" in texts:
+            import time
+            time.sleep(5)
+        return [[1.0] for _ in texts]
+
+    some = spark.createDataFrame([(i, "hang" if i == 3 else "t") for i in range(8)], "id bigint, t string").coalesce(1)
+    got = {r.id: r.embedding for r in embed_with(some, "t", slow, sleep_s=0.0, attempts=1, timeout_s=0.5, call_texts=4).collect()}
+    assert got == {i: None if i == 3 else [1.0] for i in range(8)}
     meta = spark.createDataFrame([({"function": "f", "source_file": "a.cpp"}, "code")],
                                  "m map<string,string>, c string")
     feat = meta.select(render_context(F.col("c"), "features", F.col("m"))).first()[0]
