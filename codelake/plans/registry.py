@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None):
 def _load_all() -> None:
     # importing the plan modules registers their queries
     from codelake.plans import (  # noqa: F401
-        codeeval_q, conversation_q, corpus_q, prompts_q, retrieval_q, streams_q, traindata_q,
+        answers_q, codeeval_q, conversation_q, corpus_q, prompts_q, retrieval_q, streams_q, traindata_q,
     )
 
 
