@@ -15,9 +15,12 @@ Two embedders share one contract (text column in, ``array<double>`` out,
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,9 +67,8 @@ def hash_embed(text, dim: int = DEFAULT_DIM, max_chars: int | None = None) -> Co
     return F.when(t.isNull() | (pystrip(t) == F.lit("")), F.lit(None).cast("array<double>")).otherwise(vec)
 
 
-# Above this dimension the table embedder counts (row, bucket) pairs instead
-# of one conditional count per bucket.
-WIDE_DIM = 256
+# Vector components that the table embedder holds at a time (32 MB).
+EMBED_CELLS = 1 << 22
 
 
 def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = DEFAULT_DIM,
@@ -74,47 +76,37 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
                      keep: list[str] | None = None) -> DataFrame:
     """X1 for a whole table: ``(*keys, *keep, out_col)``; same vectors as ``hash_embed``.
 
-    Tokens are exploded and bucketed by generated code, then counted per row
-    key with one conditional count per bucket.  Every token of a row comes
-    from that one input row, so the partial aggregate leaves one row per key
-    per task and the shuffle carries ``dim`` counts per key.  A sentinel
-    bucket ``-1`` keeps rows without tokens (their vector is ``null``).
+    A text is one row, so it is embedded in place, without a shuffle: the JVM
+    splits it into tokens, and an Arrow function counts their buckets for a
+    batch at a time, hashing each distinct token of the batch once.
     """
     keep = keep or []
-    t = F.col(text_col)
-    src = clip_text(t, max_chars) if max_chars else t
-    # a null text still yields its sentinel row (and a null vector): the row is kept
-    toks = F.concat(F.array(F.lit(None).cast("string")),
-                    F.coalesce(F.split(F.lower(src), WS + "+", -1), F.array().cast("array<string>")))
-    if keep:
-        # the payload stays on position 0 (the sentinel) only: generate and
-        # project run in one generated-code stage, so the payload is not
-        # copied onto every token row
-        ex = df.select(*keys, F.struct(*keep).alias("_pl"), F.posexplode(toks).alias("_pos", "_t")) \
-            .select(*keys, F.when(F.col("_pos") == 0, F.col("_pl")).alias("_p"), "_t")
-    else:
-        ex = df.select(*keys, F.explode(toks).alias("_t"))
-    ex = ex.filter(F.col("_t").isNull() | (F.col("_t") != "")) \
-        .withColumn("_b", F.when(F.col("_t").isNull(), F.lit(-1)).otherwise(token_bucket(F.col("_t"), dim)))
-    # the payload is non-null on one row per key: collect_list keeps the
-    # aggregate hash-based (ObjectHashAggregate), where first() over strings
-    # would force a sort of all token rows
-    firsts = [F.collect_list("_p").alias("_pl")] if keep else []
-    if dim <= WIDE_DIM:
-        counts = [F.count(F.when(F.col("_b") == i, 1)).alias(f"_c{i}") for i in range(dim)]
-        g = ex.groupBy(*keys).agg(F.count(F.when(F.col("_b") >= 0, 1)).alias("_n"), *counts, *firsts)
-        vec = F.array(*[F.col(f"_c{i}").cast("double") for i in range(dim)])
-    else:
-        per = ex.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"), *firsts)
-        g = per.groupBy(*keys).agg(
-            F.sum(F.when(F.col("_b") >= 0, F.col("_k")).otherwise(0)).alias("_n"),
-            F.map_from_entries(F.collect_list(F.struct("_b", "_k"))).alias("_m"),
-            *([F.flatten(F.collect_list("_pl")).alias("_pl")] if keep else []))
-        vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                          lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("double"))
-    g = g.withColumn("_p", F.element_at("_pl", 1)) if keep else g
-    payload = [F.col(f"_p.{c}").alias(c) for c in keep]
-    return g.select(*keys, *payload, F.when(F.col("_n") > 0, vec).alias(out_col))
+    src = clip_text(F.col(text_col), max_chars) if max_chars else F.col(text_col)
+    d = df.select(*keys, *keep, F.split(F.lower(src), WS + "+", -1).alias(out_col))
+    schema = T.StructType([*d.schema.fields[:-1], T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    rows = max(1, EMBED_CELLS // dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                n = batch.num_rows
+                # a slice shares its offsets with the batch: count from its own first value
+                offsets = np.asarray(batch.column(len(schema) - 1).offsets).astype(np.int64)
+                coded = batch.column(len(schema) - 1).flatten().dictionary_encode()
+                bucket = np.array([-1 if not t else int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                                   for t in coded.dictionary.to_pylist()] or [-1])
+                valid = np.asarray(batch.column(len(schema) - 1).is_valid())
+                lengths = np.where(valid, np.diff(offsets), 0)
+                b = bucket[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+                cell = (np.repeat(np.arange(n), lengths) * dim + b)[b >= 0]
+                counts = np.bincount(cell, minlength=n * dim).astype(float)
+                some = counts.reshape(n, dim).any(axis=1)
+                ends = np.concatenate([[0], np.cumsum(np.where(some, dim, 0))]).astype(np.int32)
+                vectors = pa.ListArray.from_arrays(ends, pa.array(counts.reshape(n, dim)[some].ravel()), mask=pa.array(~some))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.names)
+
+    return d.mapInArrow(run, schema)
 
 
 def sparse(vec_col: str, keep: list[str], df: DataFrame) -> DataFrame:

@@ -177,12 +177,9 @@ def conflict_patch(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    v = D.d5_versions(spark, sf_dir)
-    old = v.select("doc_id", "line_no", F.col("old_line").alias("line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    new = v.filter(~F.col("dropped")).select(
-        "doc_id", (F.row_number().over(w) - 1).cast("bigint").alias("line_no"), F.col("new_line").alias("line"))
-    return old, new
+    """The D5 versions as files: ``(doc_id, lines)`` before and after."""
+    v = D.d5_files(spark, sf_dir)
+    return v.select("doc_id", F.col("old_lines").alias("lines")), v.select("doc_id", F.col("new_lines").alias("lines"))
 
 
 _SQL_VERSIONS = f"""v as {D.SQL_D5},
@@ -227,9 +224,7 @@ def change_status(spark, sf_dir):
 def conflict_merge(spark, sf_dir):
     """F22 on D5: old lines against the kept, edited new lines, per file."""
     old, new = _versions(spark, sf_dir)
-    agg = lambda df, n: df.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]).alias(n))
-    j = agg(old, "old_lines").join(agg(new, "new_lines"), "doc_id", "full_outer")
+    j = DF.join_before_after(old, new, ["doc_id"])
     return DF.conflict_merge(j, "old_lines", "new_lines").select("doc_id", F.array_join("merged", "\n").alias("merged"))
 
 

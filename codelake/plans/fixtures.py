@@ -84,13 +84,13 @@ def d4_eval_pairs(spark, sf_dir) -> DataFrame:
     return d.join(b, "b_id").select("item_id", bench.alias("bench"), gen.alias("gen"))
 
 
-def d5_versions(spark, sf_dir) -> DataFrame:
-    """Old and new line of each file position, plus the drop flag."""
-    i, x = F.col("i"), F.col("x")
-    return lines(spark, sf_dir).select(
-        "doc_id", i.alias("line_no"), x.alias("old_line"),
-        F.when(i % 5 == 0, F.concat(F.lit("~ "), x)).otherwise(x).alias("new_line"),
-        ((F.col("doc_id") % 2 == 1) & (i % 4 == 3)).alias("dropped"))
+def d5_files(spark, sf_dir) -> DataFrame:
+    """The lines of each document before and after: every fifth one edited, and every
+    fourth dropped in odd documents."""
+    edited = F.transform(F.col("old_lines"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("~ "), x)).otherwise(x))
+    kept = F.filter(edited, lambda x, i: ~((F.col("doc_id") % 2 == 1) & (i % 4 == 3)))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", NL, -1).alias("old_lines")) \
+        .select("doc_id", "old_lines", kept.alias("new_lines"))
 
 
 def d6_ast_dumps(spark, sf_dir) -> DataFrame:
