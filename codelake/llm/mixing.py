@@ -140,3 +140,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         + common(F.col("start") * b, F.least(end * b, F.col("words"))) \
         + F.when(end > F.col("n"), common(F.lit(0), (end - F.col("n")) * b)).otherwise(F.lit(0))
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("bigint").alias("taken"))
+
+
+def oracle(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES,
+           block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> str:
+    """DuckDB SQL for ``mix`` of ``documents``: every quotient is ranked, targets come from sorted cap levels."""
+    b, many = block_words, f"+ {block_words}"
+    number = "('0x' || substr({}, 1, 8))::bigint"
+    seats = "select {k}, count(*) seats from (select {k}, {m} m, row_number() over ({p} order by q desc, {o}, j) r from {t}) where r <= m group by {k}"
+    return f"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size,
+  md5('{seed}:' || coalesce(doc_id::varchar, '')) key from documents),
+s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 rank from d group by source),
+w as (select *, ({list(weights)}[(rank % {len(weights)} + 1)::int])::double weight, {max_copies}.0 * source_size cap from s),
+q as (select *, cap / weight level_cap, ({share} * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rank
+  rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) level from w),
+l as (select level from q where level <= level_cap order by level_cap, rank limit 1),
+t as (select w.*, least(weight * coalesce((select level from l), 0), cap) target from w),
+m as (select floor(sum(target) / {b} + 0.5)::bigint m from t),
+tq as (select rank, j, target / (2 * j + 1) q, m from (select *, unnest(range((target / {b})::bigint {many})) j from t, m) where target > 0),
+blocks as ({seats.format(k="rank", m="m", p="", o="rank", t="tq")}),
+u as (select t.*, coalesce(seats, 0) blocks, greatest(1, ceil(source_size / {shard_words}))::bigint shards from t left join blocks using (rank)),
+p as (select d.doc_id, d.size, d.key, u.rank, u.source_size, u.target, u.blocks, {number.format("d.key")} % u.shards shard
+  from d join u on d.source is not distinct from u.source),
+sh as (select rank, shard, sum(size)::bigint words, max(blocks) blocks from p group by rank, shard),
+shq as (select rank, shard, j, words / (2 * j + 1) q, blocks m from (select *, unnest(range((2 * words / {b})::bigint {many})) j from sh) where words > 0),
+quota as ({seats.format(k="rank, shard", m="m", p="partition by rank", o="shard", t="shq")}),
+n as (select sh.rank, sh.shard, words, ceil(words / {b})::bigint n, least(coalesce(seats, 0), {max_copies} * ceil(words / {b})::bigint) quota
+  from sh left join quota using (rank, shard)),
+run as (select *, quota // n rounds, quota % n run, {number.format(f"md5('{seed}:' || rank || ':' || shard)")} % n start from n where n > 0),
+x as (select p.*, coalesce(sum(size) over (partition by rank, shard order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) a
+  from p)
+select doc_id, size, source_size, target, coalesce(rounds * size
+  + greatest(0, least(a + size, least((start + run) * {b}, words)) - greatest(a, start * {b}))
+  + case when start + run > n then greatest(0, least(a + size, (start + run - n) * {b}) - a) else 0 end, 0)::bigint taken
+from x left join run using (rank, shard)"""

@@ -96,7 +96,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    from codelake.llm import license_scan, near_dedup, nearest, substring_dedup
+    from codelake.llm import license_scan, mixing, near_dedup, nearest, substring_dedup
 
     return {"op1_license_scan": license_scan.oracle(), "op2_near_dedup": near_dedup.oracle(),
-            "op3_nearest": nearest.oracle(50), "op10_substring_dedup": substring_dedup.oracle()}
+            "op3_nearest": nearest.oracle(50), "op6_mixing": mixing.oracle(), "op10_substring_dedup": substring_dedup.oracle()}
