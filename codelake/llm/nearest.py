@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 K = 5
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 2048
-EPSILON = 3.0                  # width of the error bound, in its standard deviations
+EPSILON = 2.0                  # width of the error bound, in its standard deviations; a neighbour is lost beyond about twice that
 TILE = 128                     # queries rated at a time
 SEED = 3
 
