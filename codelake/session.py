@@ -49,7 +49,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("CODELAKE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("CODELAKE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.ansi.enabled", "true")
     )
     for k, v in {**DEFAULT_CONF, **REQUIRED_CONF}.items():
