@@ -77,58 +77,40 @@ def build_vocab(texts: DataFrame, text_col: str) -> DataFrame:
     counts = texts.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").count()
     ranked = global_index(counts, [F.col("count").desc(), F.col("token").asc()], "rank")
     vocab = ranked.select("token", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"), "count")
-    # built once: its size check and the join read the checkpoint in the shared folder
+    # built once: every use reads the checkpoint in the shared folder
     checkpoint_dir(vocab.sparkSession)
     return vocab.checkpoint(eager=True)
 
 
-# Vocabulary join (ours): broadcast while the vocabulary is at most this many
-# bytes; beyond it a shuffle join whose hottest tokens are salted.
-MAX_VOCAB_BROADCAST_BYTES = 64 * 1024 * 1024
-SALT_BUCKETS = 32
-HOT_TOKEN_SHARE = 0.001
-
-
 def encode(texts: DataFrame, keys: list[str], text_col: str, vocab: DataFrame) -> DataFrame:
     """``(*keys, ids array<int>)`` in token order (unknown tokens → ``UNK_ID``).
 
-    Token frequencies are Zipfian: one token can be a third of all token
-    rows, so a plain shuffle join on ``token`` would put it in one task.
-    A vocabulary whose measured size fits is broadcast (no shuffle of the
-    token rows at all); a larger one meets the tokens in a shuffle join
-    where tokens above ``HOT_TOKEN_SHARE`` of all rows are salted over
-    ``SALT_BUCKETS`` partitions and the vocabulary rows of those tokens are
-    replicated once per salt.
+    A text's tokens are grouped before the join, so a token meets the vocabulary
+    once per text with all its positions, however often it occurs; the join's
+    strategy, and the splitting of a token that stands in very many texts, are
+    left to adaptive execution.
     """
-    toks = texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
-    size = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("token") + 8).alias("b")).first()
-    if (size["b"] or 0) <= MAX_VOCAB_BROADCAST_BYTES:
-        j = toks.join(F.broadcast(vocab), "token", "left")
-    else:
-        total = toks.count()
-        hot = vocab.filter(F.col("count") >= F.lit(total * HOT_TOKEN_SHARE)).select("token") \
-            if "count" in vocab.columns else vocab.limit(0).select("token")
-        hot_list = [r["token"] for r in hot.limit(int(1 / HOT_TOKEN_SHARE)).collect()]   # at most 1/share tokens
-        is_hot = F.col("token").isin(hot_list) if hot_list else F.lit(False)
-        salted = toks.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*keys, "pos"), F.lit(SALT_BUCKETS)))
-                                 .otherwise(F.lit(0)))
-        v = vocab.select("token", "id").withColumn("_salt", F.explode(F.when(
-            is_hot, F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))).otherwise(F.array(F.lit(0)))))
-        j = salted.join(v, ["token", "_salt"], "left").drop("_salt")
-    j = j.withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"])
-    enc = j.groupBy(*keys).agg(ids.alias("ids"))
+    one = texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("pos", "token")).groupBy(*keys, "token").agg(F.collect_list("pos").alias("at"))
+    j = one.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
+    pairs = F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("id").alias("id")))))
+    enc = j.groupBy(*keys).agg(F.transform(F.array_sort(pairs), lambda s: s["id"]).alias("ids"))
     # texts without a single token keep an empty sequence
     return texts.select(*keys).join(enc, keys, "left").withColumn(
         "ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
-def encode_fixed(ids: Column, n: int = MAX_LEN, pad_id: int = PAD_ID, eos_id: int = EOS_ID) -> Column:
-    """ids + end of sequence, truncated to ``n``, padded to ``n`` with ``pad_id``."""
-    full = F.slice(F.concat(ids, F.array(F.lit(eos_id))), 1, n)
+def encode_fixed(ids: Column, n: int = MAX_LEN, pad_id: int = PAD_ID) -> Column:
+    """ids truncated to ``n``, padded to ``n`` with ``pad_id``."""
+    full = F.slice(ids, 1, n)
     return F.concat(full, F.array_repeat(F.lit(pad_id), F.lit(n) - F.size(full)))
 
 
+def encode_windows(ids: Column, n: int = MAX_LEN, pad_id: int = PAD_ID) -> Column:
+    """The whole sequence as windows of ``n`` ids, the last one padded (an empty one gives one window)."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(ids) - 1) / n).cast("int")))
+    return F.transform(starts, lambda w: encode_fixed(F.slice(ids, w * n + 1, n), n, pad_id))
+
+
 def mask_labels(ids: Column, pad_id: int = PAD_ID) -> Column:
     """labels = ids with every ``pad_id`` (by value) set to -100."""
     return F.transform(ids, lambda x: F.when(x == pad_id, F.lit(IGNORE_INDEX)).otherwise(x))

@@ -105,3 +105,28 @@ def stream_triage(spark, sf_dir):
     if q.exception() is not None:
         raise q.exception()
     return spark.read.parquet(out).drop("epoch")
+
+
+@query("stream_landed", f"""with {SQL_COMMENTS}
+select distinct uid, pr % 50 pr, {sql_ts('created_at')} from comments""")
+def stream_landed(spark, sf_dir):
+    """S8 + ST2: comments landed as JSON pages (review pages a second time), read back
+    as a stream of several micro-batches, each comment processed once (bounded state).
+    User numbers modulo 50 stand for pull requests, so that a page holds many comments."""
+    from codelake.sources.comments import read_comment_pages
+
+    root = scratch_path(spark, "landed-pages")
+    pages = D.d9_comment_pages(spark, sf_dir).withColumn("pr", F.col("pr") % 50)
+    out = None
+    for feed, copies in (("issue", 1), ("review", 2), ("submission", 1)):
+        stamp = "submitted_at" if feed == "submission" else "created_at"
+        one = F.struct("id", F.col("created").alias(stamp), "body", F.struct(F.col("author").alias("login")).alias("user"))
+        # a page holds the comments of one request among 100,000 consecutive ids: a size of its own, whatever the table's
+        page = pages.where(F.col("feed") == feed).groupBy("pr", F.expr("id div 100000").alias("page")) \
+            .agg(F.to_json(F.collect_list(one)).alias("value")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        page.select("pr", "value").repartition("pr").write.option("maxRecordsPerFile", 1).partitionBy("pr").text(f"{root}/{feed}")
+        files = spark.read.text(f"{root}/{feed}").select(F.count_distinct("_metadata.file_path")).first()[0]
+        s = read_comment_pages(spark, root, feed, stream=True, files_per_trigger=max(1, -(-files // 3)))
+        out = s if out is None else out.unionByName(s)
+    s = ST.dedupe_seen(CV.union_comments(out), watermark="3650 days").select("uid", "pr", "created_at")
+    return _run(spark, s, "landed").withColumn("created_at", ts_text("created_at"))

@@ -77,8 +77,8 @@ def sft_tokenize(spark, sf_dir):
 
 
 @query("encode_fixed", f"""with {SQL_TOKENS},
-f as (select conv_id, turn, list_resize(list_concat(ids, [{TD.EOS_ID}])[1:{TD.MAX_LEN}], {TD.MAX_LEN}, {TD.PAD_ID}) input_ids,
-  cast(least(len(ids) + 1, {TD.MAX_LEN}) as bigint) n_kept from te)
+f as (select conv_id, turn, list_resize(ids[1:{TD.MAX_LEN}], {TD.MAX_LEN}, {TD.PAD_ID}) input_ids,
+  cast(least(len(ids), {TD.MAX_LEN}) as bigint) n_kept from te)
 select conv_id, turn, n_kept, array_to_string(input_ids, ' ') input_ids,
   array_to_string(list_transform(input_ids, lambda x: case when x = {TD.PAD_ID} then {TD.IGNORE_INDEX} else x end), ' ') labels
 from f""")
@@ -87,11 +87,33 @@ def encode_fixed(spark, sf_dir):
     enc = _encoded(spark, sf_dir)
     ids = TD.encode_fixed(F.col("ids"))
     return enc.select("conv_id", "turn",
-                      F.least(F.size("ids") + 1, F.lit(TD.MAX_LEN)).cast("bigint").alias("n_kept"),
+                      F.least(F.size("ids"), F.lit(TD.MAX_LEN)).cast("bigint").alias("n_kept"),
                       F.array_join(ids, " ").alias("input_ids"),
                       F.array_join(TD.mask_labels(ids), " ").alias("labels"))
 
 
+@query("sft_encode", f"""with {SQL_PAIRS},
+pt as (select doc_id, pair_no, regexp_extract_all(concat('Instruction:', chr(10), instruction, chr(10), chr(10), 'Response:', chr(10), response),
+  '{TD.TOKEN_RE}', 0) toks from pairs),
+px as (select doc_id, pair_no, unnest(range(len(toks))) pos, unnest(toks) token from pt),
+pv as (select token, cast(row_number() over (order by count(*) desc, token) - 1 + {TD.FIRST_TOKEN_ID} as integer) id from px group by token),
+pe as (select doc_id, pair_no, list(pv.id order by pos) ids from px join pv using (token) group by doc_id, pair_no),
+pw as (select doc_id, pair_no, ids, unnest(range((len(ids) - 1) // {TD.MAX_LEN} + 1)) w from pe),
+pf as (select doc_id, pair_no, w, list_resize(ids[w * {TD.MAX_LEN} + 1:(w + 1) * {TD.MAX_LEN}], {TD.MAX_LEN}, {TD.PAD_ID}) input_ids from pw)
+select doc_id, pair_no, cast(w as integer) "window", array_to_string(input_ids, ' ') input_ids,
+  array_to_string(list_transform(input_ids, lambda x: case when x = {TD.PAD_ID} then {TD.IGNORE_INDEX} else x end), ' ') labels from pf""")
+def sft_encode(spark, sf_dir):
+    """Pairs (W3) → rendered prompts (F27) → ids (X3) → fixed windows over the whole text (F28) → masked labels."""
+    keys = ["doc_id", "pair_no"]
+    path = scratch_path(spark, "sft-prompts")
+    _pairs(spark, sf_dir).select(*keys, TD.sft_prompt("instruction", "response").alias("prompt")).write.parquet(path)
+    prompts = spark.read.parquet(path)                 # counted and encoded: parsed once
+    enc = TD.encode(prompts, keys, "prompt", TD.build_vocab(prompts, "prompt"))
+    win = enc.select(*keys, F.posexplode(TD.encode_windows(F.col("ids"))).alias("window", "ids"))
+    return win.select(*keys, "window", F.array_join("ids", " ").alias("input_ids"),
+                      F.array_join(TD.mask_labels(F.col("ids")), " ").alias("labels"))
+
+
 MODELS = ("small-model", "large-model", "missing-model")
 
 

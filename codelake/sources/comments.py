@@ -23,15 +23,18 @@ def _flatten(raw: DataFrame, feed: str) -> DataFrame:
                       F.col("user.login").alias("author"))
 
 
-def read_comment_pages(spark: SparkSession, root: str, feed: str, stream: bool = False) -> DataFrame:
+def read_comment_pages(spark: SparkSession, root: str, feed: str, stream: bool = False,
+                       files_per_trigger: int | None = None) -> DataFrame:
     """One feed's landed pages; ``pr`` comes from the ``pr=<n>`` folder.
 
     Each page file is one JSON array (``multiLine``); an empty page is an
     empty array and contributes no rows."""
     path = f"{root.rstrip('/')}/{feed}"
     if stream:
-        raw = (spark.readStream.schema(COMMENT_JSON + ", pr bigint").option("multiLine", "true")
-               .json(path))
+        reader = spark.readStream.schema(COMMENT_JSON + ", pr bigint").option("multiLine", "true")
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
+        raw = reader.json(path)
     else:
         raw = (spark.read.schema(COMMENT_JSON + ", pr bigint").option("multiLine", "true")
                .option("basePath", path).json(path))

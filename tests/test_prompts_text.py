@@ -179,16 +179,28 @@ def test_encode_fixed_and_mask(spark):
     assert long.select(TD.encode_fixed(F.col("ids"), n=4)).first()[0] == [2, 3, 4, 5]
 
 
-def test_vocab_join_salted_path_matches_broadcast(spark, monkeypatch):
-    texts = spark.createDataFrame([(i, "the the the cat " * (i % 4) + f"w{i} the") for i in range(60)],
+def test_encode_whatever_the_join(spark):
+    texts = spark.createDataFrame([(i, "the the the cat " * (i % 4) + f"w{i} the") for i in range(60)] + [(99, ""), (98, None)],
                                   "k bigint, text string")
     vocab = TD.build_vocab(texts, "text")
-    a = {r.k: list(r.ids) for r in TD.encode(texts, ["k"], "text", vocab).collect()}
-    monkeypatch.setattr(TD, "MAX_VOCAB_BROADCAST_BYTES", 0)
-    monkeypatch.setattr(TD, "HOT_TOKEN_SHARE", 0.05)
-    b = {r.k: list(r.ids) for r in TD.encode(texts, ["k"], "text", vocab).collect()}
-    assert a == b
-    assert a[0] == [vocab.filter("token = 'w0'").first().id, 2]     # 'the' is the most frequent token
+    ids = {r.token: r.id for r in vocab.collect()}
+    want = {r.k: [ids[t] for t in (r.text or "").split()] for r in texts.collect()}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (old, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert {r.k: list(r.ids) for r in TD.encode(texts, ["k"], "text", vocab).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert want[0] == [ids["w0"], 2]                                 # 'the' is the most frequent token
+
+
+def test_windows_hold_the_whole_sequence(spark):
+    df = spark.createDataFrame([(i, list(range(2, 2 + i))) for i in range(12)], "i int, ids array<int>")
+    for r in df.select("i", "ids", TD.encode_windows(F.col("ids"), n=4).alias("w")).collect():
+        flat = [x for w in r.w for x in w]
+        assert all(len(w) == 4 for w in r.w) and len(r.w) == max(1, -(-r.i // 4))
+        assert flat[:r.i] == r.ids and all(x == TD.PAD_ID for x in flat[r.i:])
 
 
 def test_merge_oracle_agrees_with_merge_rule(spark):
