@@ -1,14 +1,11 @@
-"""Corpus chunking as set rules over a line table.
-
-Input: a DataFrame of lines ``(*file_keys, line_no, line)``.  The
-reference walks each file with a sequential loop; here every decision is a
-window over the file in line order, so the whole corpus is chunked in one
-pass with a single shuffle by file (every later window and the per-chunk
-aggregate reuse that partitioning: no further exchange).
-
-A file's lines were one row (the file text) before they were exploded, so
-a very large file costs one task at read time already; partitioning by
-file does not make that worse.
+"""Corpus chunking, in each file's own row or as set rules over a line table.
+
+``chunk_cpp_files`` and ``chunk_fortran_files`` take files with their lines as
+an array.  Marker blocks are found by one pattern over the joined lines, so a
+file is cut in its own row: no shuffle, no window.  ``chunk_cpp`` and
+``chunk_fortran`` take a line table ``(*file_keys, line_no, line)``, for
+input that comes as lines, and decide by windows over the file in line order;
+both forms give the same chunks.
 """
 
 from __future__ import annotations
@@ -26,6 +23,12 @@ F_KEYWORDS = "! keywords:"
 F_CONTEXT = "! context:"
 F_END = "! end code chunk"
 F_PROCEDURE = "module procedure"
+# Heads over lines joined by newlines: blanks within a line, a marker line with the comment
+# lines after it, a purpose line; the lines of an intent block among header contents.
+_BLANK = WS.replace(r"\n\x{0B}\f\r", "").replace(r"\x{1C}-\x{1F}", r"\x{1F}").replace(r"\x{85}", "").replace(r"\x{2028}\x{2029}", "")
+CPP_HEAD = rf"(?md)^{_BLANK}*{CPP_MARKER}[^\n]*(?:\n{_BLANK}*//[^\n]*)*"
+FORTRAN_HEAD = rf"(?mdi)^{_BLANK}*{F_PURPOSE}[^\n]*"
+INTENT_BLOCK = rf"(?md)^{INTENT_KEY}[^\n]*((?:\n[^:\n]*(?=\n|\z))*)"
 
 
 def explode_lines(files: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -153,6 +156,54 @@ def chunk_cpp(lines: DataFrame, file_keys: list[str], fixed: dict[str, Column] |
         F.concat(F.lit("USER INTENT:\n"), intent, F.lit("\n\n")).alias("embedding_text"))
 
 
+def _only_once(df: DataFrame, *cols: Column) -> DataFrame:
+    """Adds columns so that no later use repeats their expressions (exploding a one-element array)."""
+    row = F.explode(F.array(F.struct(*cols)))
+    return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
+
+
+def _cut(text: Column, head: str) -> tuple[Column, Column]:
+    """The heads found in a text, and the lines after each up to the next head."""
+    heads, pieces = F.regexp_extract_all(text, F.lit(head), F.lit(0)), F.split(text, head, -1)
+    n = F.size(pieces)
+
+    def lines(piece: Column, i: Column) -> Column:
+        inner = F.when(i + 2 < n, F.substring(piece, F.lit(2), F.length(piece) - 2)).otherwise(F.substring(piece, 2, 1 << 30))
+        return F.when((piece == "") | ((piece == "\n") & (i + 2 < n)), F.array().cast("array<string>")).otherwise(F.split(inner, "\n", -1))
+
+    return heads, F.transform(F.slice(pieces, 2, F.greatest(n - 1, F.lit(0))), lines)
+
+
+def chunk_cpp_files(files: DataFrame, file_keys: list[str], fixed: dict[str, Column] | None = None,
+                    lines_col: str = "lines") -> DataFrame:
+    """W1 + F2 + A2 + A8 + F5 + P7 in each file's row; the columns of ``chunk_cpp``.
+
+    A marker line with the comment lines right after it is a chunk's head, so
+    the first marker of a comment run opens a chunk and the others belong to it."""
+    fixed = fixed or {}
+    df = files.select(*file_keys, F.array_join(lines_col, "\n").alias("_text"),
+                      *[v.cast("string").alias(f"_fx_{k}") for k, v in fixed.items()])
+    heads, code = _cut(F.col("_text"), CPP_HEAD)
+    df = _only_once(df, heads.alias("_heads"), code.alias("_code"))
+    df = df.select(*file_keys, *[f"_fx_{k}" for k in fixed], F.posexplode(F.arrays_zip("_heads", "_code")).alias("_i", "_c"))
+    meta = F.transform(F.slice(F.split("_c._heads", "\n", -1), 2, 1 << 30), lambda l: pystrip(F.ltrim(pystrip(l), F.lit("/"))))
+    df = _only_once(df, meta.alias("_meta"))
+    intent = pystrip(F.array_join(F.regexp_extract_all(F.array_join("_meta", "\n"), F.lit(INTENT_BLOCK), F.lit(1)), ""))
+    pairs = F.filter("_meta", lambda c: (F.instr(c, ":") > 0) & ~F.startswith(c, F.lit(INTENT_KEY)))
+    pairs = F.transform(pairs, lambda c: F.struct(pystrip(F.substring_index(c, ":", 1)).alias("key"),
+                                                  pystrip(F.substring(c, F.instr(c, ":") + 1, F.length(c))).alias("value")))
+    df = _only_once(df, intent.alias("user_intent"), pairs.alias("_kv"))
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    own = F.array(*[entry(k, F.col(f"_fx_{k}")) for k in fixed]) if fixed else F.array().cast("array<struct<key:string,value:string>>")
+    fk = F.concat_ws("/", *[F.col(k).cast("string") for k in file_keys])
+    df = df.withColumn("chunk_no", (F.col("_i") + 1).cast("bigint"))
+    return df.select(
+        *file_keys, "chunk_no", chunk_id(fk, F.col("chunk_no")).alias("chunk_id"),
+        F.array_join(dedent_lines(F.col("_c._code")), "\n").alias("code"), "user_intent",
+        F.map_from_entries(F.concat(own, F.col("_kv"), F.array(entry("user_intent", F.col("user_intent"))))).alias("metadata"),
+        F.concat(F.lit("USER INTENT:\n"), F.col("user_intent"), F.lit("\n\n")).alias("embedding_text"))
+
+
 # ------------------------------------------------------------------ Fortran
 def chunk_fortran(lines: DataFrame, file_keys: list[str], fixed: dict[str, Column] | None = None,
                   embed_lines: int | None = None) -> DataFrame:
@@ -227,6 +278,56 @@ def chunk_fortran(lines: DataFrame, file_keys: list[str], fixed: dict[str, Colum
                       metadata.alias("metadata"), emb_text.alias("embedding_text"))
 
 
+def chunk_fortran_files(files: DataFrame, file_keys: list[str], fixed: dict[str, Column] | None = None,
+                        embed_lines: int | None = None, lines_col: str = "lines") -> DataFrame:
+    """W2 + F3 + F4 + F5 + P7 in each file's row; the columns of ``chunk_fortran``.
+
+    A purpose line is a chunk's head; the ``!`` lines right after it are its
+    header, and code runs from there to an end marker or the next head."""
+    fixed = fixed or {}
+    df = files.select(*file_keys, F.array_join(lines_col, "\n").alias("_text"),
+                      *[v.cast("string").alias(f"_fx_{k}") for k, v in fixed.items()])
+    heads, rest = _cut(F.col("_text"), FORTRAN_HEAD)
+    df = _only_once(df, heads.alias("_heads"), rest.alias("_rest"))
+    df = df.select(*file_keys, *[f"_fx_{k}" for k in fixed], F.posexplode(F.arrays_zip("_heads", "_rest")).alias("_i", "_c"))
+    stripped = F.transform("_c._rest", lambda l: pystrip(l))
+    df = _only_once(df, stripped.alias("_s"))
+    first = F.array_position(F.transform("_s", lambda l: F.startswith(l, F.lit("!"))), False).cast("int")
+    df = _only_once(df, F.when(first > 0, first - 1).otherwise(F.size("_s")).alias("_n"))       # header lines
+    ends = F.array_position(F.transform(F.slice("_s", F.col("_n") + 1, F.size("_s")), lambda l: F.lower(l) == F_END), True).cast("int")
+    code = F.slice("_c._rest", F.col("_n") + 1, F.when(ends > 0, ends - 1).otherwise(F.size("_s")))
+    low = lambda l: F.lower(l)
+    is_kw = lambda l: F.startswith(low(l), F.lit(F_KEYWORDS))
+    is_ctx = lambda l: F.startswith(low(l), F.lit(F_CONTEXT))
+    after = lambda l: F.substring(l, F.instr(l, ":") + 1, F.length(l))
+    head = F.slice("_s", 1, F.col("_n"))
+    df = _only_once(df, code.alias("code_lines"), F.filter(head, lambda l: ~is_kw(l)).alias("_head"),
+                    F.filter(head, is_kw).alias("_kw"), pystrip(after(pystrip("_c._heads"))).alias("_purpose"))
+    ctx = F.array_position(F.transform("_head", is_ctx), True).cast("int")
+    df = _only_once(df, F.when(ctx > 0, ctx - 1).otherwise(F.size("_head")).alias("_ctx"))
+    other = lambda l: pystrip(F.substring(l, 2, 1 << 30))
+    words = F.flatten(F.transform("_kw", lambda l: F.filter(F.transform(F.split(after(l), ",", -1), lambda k: pystrip(k)), lambda k: k != "")))
+    proc_line = F.get(F.filter("code_lines", lambda l: F.instr(F.lower(l), F_PROCEDURE) > 0), F.lit(0))
+    df = _only_once(
+        df, F.array_join(F.concat(F.array("_purpose"), F.transform(F.slice("_head", 1, F.col("_ctx")), other)), " ").alias("purpose"),
+        F.array_join(F.transform(F.slice("_head", F.col("_ctx") + 1, F.size("_head")),
+                                 lambda l: F.when(is_ctx(l), pystrip(after(l))).otherwise(other(l))), " ").alias("context"),
+        words.alias("keywords"),
+        F.element_at(F.split(pystrip(F.replace(proc_line, F.lit("&"), F.lit(""))), WS + "+", -1), -1).alias("procedure"))
+    kw_txt, code_txt = F.array_join("keywords", ", "), F.array_join("code_lines", "\n")
+    entries = [(k, F.col(f"_fx_{k}")) for k in fixed] + [
+        ("procedure", F.coalesce("procedure", F.lit(""))), ("purpose", F.col("purpose")), ("keywords", kw_txt), ("context", F.col("context"))]
+    shown = F.array_join(F.slice("code_lines", 1, embed_lines), "\n") if embed_lines else code_txt
+    fk = F.concat_ws("/", *[F.col(k).cast("string") for k in file_keys])
+    df = df.withColumn("chunk_no", (F.col("_i") + 1).cast("bigint"))
+    return df.select(
+        *file_keys, "chunk_no", chunk_id(fk, F.col("chunk_no")).alias("chunk_id"), "procedure", "purpose", "keywords", "context",
+        code_txt.alias("code"), F.size("code_lines").cast("bigint").alias("n_code_lines"),
+        F.map_from_arrays(F.array(*[F.lit(k) for k, _ in entries]), F.array(*[v for _, v in entries])).alias("metadata"),
+        F.concat(F.lit("PURPOSE:\n"), F.col("purpose"), F.lit("\n\nKEYWORDS:\n"), kw_txt, F.lit("\n\nCONTEXT:\n"), F.col("context"),
+                 F.lit("\n\nCODE:\n"), shown).alias("embedding_text"))
+
+
 def after_colon_raw() -> Column:
     return F.expr("substring(_s, instr(_s, ':') + 1)")
 

@@ -16,6 +16,8 @@ from codelake.operators.ordering import global_index
 # Markers and sizes (fixed values).
 INSTRUCTION = "instruction:"
 RESPONSE = "response:"
+PAIR_HEAD = rf"(?md)^{INSTRUCTION}[^\n]*"
+UP_TO_RESPONSE = rf"(?sd)^(?:.*\n)?{RESPONSE}[^\n]*"     # all up to the last response line
 MAX_LEN = 2048
 IGNORE_INDEX = -100
 # Vocabulary layout (ours): 0 unknown, 1 end of sequence; padding reuses
@@ -56,6 +58,22 @@ def parse_pairs(lines: DataFrame, file_keys: list[str]) -> DataFrame:
     return g.filter(F.col("_has") == 1).drop("_has")
 
 
+def parse_pairs_files(files: DataFrame, file_keys: list[str], lines_col: str = "lines") -> DataFrame:
+    """W3 in each file's row, from its lines as an array; the rows of ``parse_pairs``."""
+    text = F.array_join(F.transform(lines_col, lambda l: pyrstrip(l)), "\n")
+    # one-element arrays are exploded so that no later use repeats the expressions before them
+    df = files.select(*file_keys, F.explode(F.array(text)).alias("_t"))
+    heads, pieces = F.regexp_extract_all("_t", F.lit(PAIR_HEAD), F.lit(0)), F.split("_t", PAIR_HEAD, -1)
+    df = df.select(*file_keys, F.explode(F.array(F.struct(heads.alias("h"), pieces.alias("p")))).alias("_f"))
+    # lines before the first instruction belong to pair 1
+    bodies = F.transform(F.slice("_f.p", 2, 1 << 30), lambda p, i: F.when(
+        i == 0, F.concat(F.regexp_replace(F.get("_f.p", F.lit(0)), r"(?d)\n\z", ""), p)).otherwise(p))
+    df = df.select(*file_keys, F.posexplode(F.arrays_zip(F.col("_f.h").alias("h"), bodies.alias("b"))).alias("_i", "_c"))
+    return df.select(*file_keys, (F.col("_i") + 1).cast("bigint").alias("pair_no"),
+                     pystrip(F.substring("_c.h", len(INSTRUCTION) + 1, 1 << 30)).alias("instruction"),
+                     pystrip(F.regexp_replace("_c.b", UP_TO_RESPONSE, "")).alias("response"))
+
+
 def sft_prompt(instruction, response) -> Column:
     """F27."""
     return F.concat(F.lit("Instruction:\n"), F.col(instruction) if isinstance(instruction, str) else instruction,

@@ -49,7 +49,7 @@ def _fortran_fixed() -> dict:
 
 def fortran_index(spark, sf_dir):
     """Fortran chunks of D3 with their metadata map (P7) and native embedding."""
-    ch = C.chunk_fortran(D.d3_fortran_lines(spark, sf_dir), ["doc_id"], _fortran_fixed())
+    ch = C.chunk_fortran_files(D.d3_fortran_files(spark, sf_dir), ["doc_id"], _fortran_fixed())
     return E.hash_embed_table(ch, ["doc_id", "chunk_no"], "embedding_text", DIM, keep=["code", "metadata"])
 
 
@@ -156,5 +156,5 @@ m as (select f.doc_id, f.chunk_no, unnest([('example', source), ('source_file',
 select doc_id, chunk_no, e[1] "key", e[2] "value" from m""")
 def fortran_metadata(spark, sf_dir):
     """P7 for Fortran chunks: the fixed entries and the chunk's own."""
-    ch = C.chunk_fortran(D.d3_fortran_lines(spark, sf_dir), ["doc_id"], _fortran_fixed())
+    ch = C.chunk_fortran_files(D.d3_fortran_files(spark, sf_dir), ["doc_id"], _fortran_fixed())
     return ch.select("doc_id", "chunk_no", F.explode("metadata").alias("key", "value"))

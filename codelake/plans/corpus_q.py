@@ -29,13 +29,12 @@ def cpp_fixed():
 
 
 def cpp_chunks(spark, sf_dir):
-    d1 = D.d1_cpp_lines(spark, sf_dir)
-    ch = C.chunk_cpp(d1, ["doc_id"], cpp_fixed())
+    ch = C.chunk_cpp_files(D.d1_cpp_files(spark, sf_dir), ["doc_id"], cpp_fixed())
     return ch.withColumn("example", F.col("metadata")["example"])
 
 
 def fortran_chunks(spark, sf_dir):
-    return C.chunk_fortran(D.d3_fortran_lines(spark, sf_dir), ["doc_id"])
+    return C.chunk_fortran_files(D.d3_fortran_files(spark, sf_dir), ["doc_id"])
 
 
 def chunk_index(spark, sf_dir):

@@ -22,22 +22,29 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("i", F.col("i").cast("bigint"))
 
 
-_SLOTS = 8          # line numbers per text line: marker lines take the ones between
+_SLOTS = 8          # of the oracle's line numbers per text line: marker lines take the ones between
 
 
-def _with_markers(spark, sf_dir, pieces, *keep: str) -> DataFrame:
-    """Each text line becomes ``pieces`` (an array of lines that holds it whole), numbered in order."""
-    d = lines(spark, sf_dir).select(*keep, "i", F.posexplode(pieces).alias("k", "line"))
-    return d.select(*keep, (F.col("i") * _SLOTS + F.col("k")).cast("bigint").alias("line_no"), "line")
+def _with_markers(spark, sf_dir, pieces) -> DataFrame:
+    """``(doc_id, source, lang, lines)``: each text line ``x`` at ``i`` becomes the lines ``pieces(x, i)``, which hold it whole."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", "lang", F.flatten(F.transform(F.split("text", NL, -1), pieces)).alias("lines"))
+
+
+def line_table(files: DataFrame, *keep: str) -> DataFrame:
+    """The lines of files as rows ``(*keep, line_no, line)``."""
+    return files.select(*keep, F.posexplode("lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def d1_cpp_files(spark, sf_dir) -> DataFrame:
+    """Annotated C++ files; before and after every seventh line's comment come marker lines."""
+    return _with_markers(spark, sf_dir, lambda x, i: F.when(i % 7 == 0, F.array(
+        F.lit("// AI_METADATA"), F.lit("// user_intent:"), F.concat(F.lit("// "), x), F.concat(F.lit("// function: f"), i.cast("string"))))
+        .otherwise(F.array(F.concat(F.lit("    "), x))))
 
 
 def d1_cpp_lines(spark, sf_dir) -> DataFrame:
-    """Annotated C++ lines; before every seventh line's comment and after it come marker lines."""
-    i, x = F.col("i"), F.col("x")
-    pieces = F.when(i % 7 == 0, F.array(F.lit("// AI_METADATA"), F.lit("// user_intent:"), F.concat(F.lit("// "), x),
-                                        F.concat(F.lit("// function: f"), i.cast("string")))) \
-        .otherwise(F.array(F.concat(F.lit("    "), x)))
-    return _with_markers(spark, sf_dir, pieces, "doc_id", "source", "lang")
+    return line_table(d1_cpp_files(spark, sf_dir), "doc_id", "source", "lang")
 
 
 def d2_bodies(spark, sf_dir) -> DataFrame:
@@ -60,14 +67,16 @@ def d2_bodies(spark, sf_dir) -> DataFrame:
     return c.select("conv_id", "turn", "role", body.alias("body"))
 
 
-def d3_fortran_lines(spark, sf_dir) -> DataFrame:
-    """D3: annotated Fortran lines; headers are inserted, every text line stays whole."""
-    i, x = F.col("i"), F.col("x")
-    pieces = F.when(i % 9 == 0, F.array(
+def d3_fortran_files(spark, sf_dir) -> DataFrame:
+    """D3: annotated Fortran files; headers are inserted, every text line stays whole."""
+    return _with_markers(spark, sf_dir, lambda x, i: F.when(i % 9 == 0, F.array(
         F.concat(F.lit("! PURPOSE: "), x), F.concat(F.lit("! KEYWORDS: a, "), F.col("lang"), F.lit(", ")),
-        F.concat(F.lit("! CONTEXT: "), F.col("source")), F.lit("! more"), F.concat(F.lit("module procedure p"), i.cast("string")))) \
-        .when(i % 9 == 7, F.array(x, F.lit("! END CODE CHUNK"))).otherwise(F.array(x))
-    return _with_markers(spark, sf_dir, pieces, "doc_id", "source", "lang").drop("lang")
+        F.concat(F.lit("! CONTEXT: "), F.col("source")), F.lit("! more"), F.concat(F.lit("module procedure p"), i.cast("string"))))
+        .when(i % 9 == 7, F.array(x, F.lit("! END CODE CHUNK"))).otherwise(F.array(x)))
+
+
+def d3_fortran_lines(spark, sf_dir) -> DataFrame:
+    return line_table(d3_fortran_files(spark, sf_dir), "doc_id", "source")
 
 
 def d4_eval_pairs(spark, sf_dir) -> DataFrame:
@@ -111,12 +120,14 @@ def d7_paths(spark, sf_dir) -> DataFrame:
         "page_id", F.regexp_replace("url", r"[?#].*$", "").alias("path"))
 
 
+def d8_pair_files(spark, sf_dir) -> DataFrame:
+    """instruction/response text files; every text line stays whole."""
+    return _with_markers(spark, sf_dir, lambda x, i: F.when(i % 6 == 0, F.array(
+        F.concat(F.lit("instruction: "), x), F.lit(""), F.lit("response: inline"))).otherwise(F.array(x)))
+
+
 def d8_pair_lines(spark, sf_dir) -> DataFrame:
-    """instruction/response text-file lines; every text line stays whole."""
-    i, x = F.col("i"), F.col("x")
-    pieces = F.when(i % 6 == 0, F.array(F.concat(F.lit("instruction: "), x), F.lit(""), F.lit("response: inline"))) \
-        .otherwise(F.array(x))
-    return _with_markers(spark, sf_dir, pieces, "doc_id")
+    return line_table(d8_pair_files(spark, sf_dir), "doc_id")
 
 
 # ---------------------------------------------------------------- DuckDB text

@@ -34,7 +34,7 @@ te as (select t.conv_id, t.turn, coalesce(enc.ids, []::INTEGER[]) ids from t lef
 
 
 def _pairs(spark, sf_dir):
-    return TD.parse_pairs(D.d8_pair_lines(spark, sf_dir), ["doc_id"])
+    return TD.parse_pairs_files(D.d8_pair_files(spark, sf_dir), ["doc_id"])
 
 
 @query("parse_pairs", f"""with {SQL_PAIRS}

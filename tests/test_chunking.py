@@ -203,3 +203,41 @@ def test_offsets_count_the_file_own_breaks(spark):
     for i, t in enumerate(texts):
         kept = t.splitlines(keepends=True)
         assert got.get(i, []) == [sum(map(len, kept[:k])) for k in range(len(kept))]
+
+
+def _file_df(spark, files):
+    return spark.createDataFrame(list(files.items()), "doc_id bigint, lines array<string>").repartition(4, "doc_id")
+
+
+def test_files_and_lines_give_the_same_cpp_chunks(spark):
+    files = _random_files(CPP_POOL, 21, 30)
+    fixed = {"language": F.lit(".cpp")}
+    a = C.chunk_cpp(_lines_df(spark, files), ["doc_id"], fixed)
+    b = C.chunk_cpp_files(_file_df(spark, files), ["doc_id"], fixed)
+    assert a.columns == b.columns
+    key = lambda r: (r.doc_id, r.chunk_no)
+    assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
+    assert "Exchange" not in C.chunk_cpp_files(spark.range(3).select("id", F.array(F.lit("x")).alias("lines")), ["id"]) \
+        ._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_and_lines_give_the_same_fortran_chunks(spark):
+    files = _random_files(FORTRAN_POOL, 22, 30)
+    fixed = {"example": F.lit("ex")}
+    a = C.chunk_fortran(_lines_df(spark, files), ["doc_id"], fixed)
+    b = C.chunk_fortran_files(_file_df(spark, files), ["doc_id"], fixed)
+    assert a.columns == b.columns
+    key = lambda r: (r.doc_id, r.chunk_no)
+    assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key)
+    assert "Exchange" not in C.chunk_fortran_files(spark.range(3).select("id", F.array(F.lit("x")).alias("lines")), ["id"]) \
+        ._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_and_lines_give_the_same_pairs(spark):
+    from codelake.operators import traindata as TD
+
+    files = _random_files(["instruction: q", "instruction:", "response: r", "response:", "text", "", "  indented  ", " instruction: no"], 23, 14)
+    a = TD.parse_pairs(_lines_df(spark, files), ["doc_id"])
+    b = TD.parse_pairs_files(_file_df(spark, files), ["doc_id"])
+    got = [sorted(map(tuple, d.select("doc_id", "pair_no", "instruction", "response").collect())) for d in (a, b)]
+    assert got[0] == got[1]
