@@ -25,3 +25,15 @@ def test_every_row_gets_its_own_index(spark, adaptive):
 
 def test_empty_table(spark):
     assert global_index(spark.range(0), ["id"]).count() == 0
+
+
+def test_scratch_tables_can_be_removed(spark):
+    from codelake.session import remove_scratch
+
+    out = global_index(spark.range(5), ["id"])
+    path = out.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    import os
+
+    assert os.path.exists(path) and out.count() == 5
+    assert remove_scratch(spark) >= 1
+    assert not os.path.exists(path)
