@@ -10,9 +10,14 @@ both forms give the same chunks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.functions.once import once
 from codelake.functions.text import WS, dedent_lines, line_widths, pystrip, splitlines
 
 # Markers and limits (fixed values).
@@ -39,10 +44,23 @@ def explode_lines(files: DataFrame, text_col: str = "text", keep: list[str] | No
 
 
 def file_line_offsets(files: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """W5 for whole files, in their own rows: ``(keep..., line_no, offset)``, line breaks counted as long as they are."""
-    running = F.aggregate(line_widths(text_col), F.array(F.lit(0).cast("bigint")),
-                          lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
-    return files.select(*keep, F.posexplode(F.slice(running, 1, F.size(running) - 1)).alias("line_no", "offset")) \
+    """W5 for whole files, in their own rows: ``(keep..., line_no, offset)``, line breaks counted as long as they are.
+
+    A running sum over a file's lines is one pass of an Arrow function; as an
+    array fold it would copy the sums so far at every line."""
+    d = files.select(*keep, line_widths(text_col).alias("offset"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = batch.column(len(keep))
+            edges = np.asarray(widths.offsets).astype(np.int64)
+            edges = edges - edges[0]
+            total = np.concatenate([[0], np.cumsum(np.asarray(widths.flatten()))])[:-1]
+            counts = np.diff(edges)
+            base = np.repeat(total[np.minimum(edges[:-1], max(len(total) - 1, 0))] if len(total) else np.zeros(len(counts), np.int64), counts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(edges.astype(np.int32), total - base)], names=batch.schema.names)
+
+    return d.mapInArrow(run, d.schema).select(*keep, F.posexplode("offset").alias("line_no", "offset")) \
         .withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
@@ -156,12 +174,6 @@ def chunk_cpp(lines: DataFrame, file_keys: list[str], fixed: dict[str, Column] |
         F.concat(F.lit("USER INTENT:\n"), intent, F.lit("\n\n")).alias("embedding_text"))
 
 
-def _only_once(df: DataFrame, *cols: Column) -> DataFrame:
-    """Adds columns so that no later use repeats their expressions (exploding a one-element array)."""
-    row = F.explode(F.array(F.struct(*cols)))
-    return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
-
-
 def _cut(text: Column, head: str) -> tuple[Column, Column]:
     """The heads found in a text, and the lines after each up to the next head."""
     heads, pieces = F.regexp_extract_all(text, F.lit(head), F.lit(0)), F.split(text, head, -1)
@@ -184,15 +196,15 @@ def chunk_cpp_files(files: DataFrame, file_keys: list[str], fixed: dict[str, Col
     df = files.select(*file_keys, F.array_join(lines_col, "\n").alias("_text"),
                       *[v.cast("string").alias(f"_fx_{k}") for k, v in fixed.items()])
     heads, code = _cut(F.col("_text"), CPP_HEAD)
-    df = _only_once(df, heads.alias("_heads"), code.alias("_code"))
+    df = once(df, heads.alias("_heads"), code.alias("_code"))
     df = df.select(*file_keys, *[f"_fx_{k}" for k in fixed], F.posexplode(F.arrays_zip("_heads", "_code")).alias("_i", "_c"))
     meta = F.transform(F.slice(F.split("_c._heads", "\n", -1), 2, 1 << 30), lambda l: pystrip(F.ltrim(pystrip(l), F.lit("/"))))
-    df = _only_once(df, meta.alias("_meta"))
+    df = once(df, meta.alias("_meta"))
     intent = pystrip(F.array_join(F.regexp_extract_all(F.array_join("_meta", "\n"), F.lit(INTENT_BLOCK), F.lit(1)), ""))
     pairs = F.filter("_meta", lambda c: (F.instr(c, ":") > 0) & ~F.startswith(c, F.lit(INTENT_KEY)))
     pairs = F.transform(pairs, lambda c: F.struct(pystrip(F.substring_index(c, ":", 1)).alias("key"),
                                                   pystrip(F.substring(c, F.instr(c, ":") + 1, F.length(c))).alias("value")))
-    df = _only_once(df, intent.alias("user_intent"), pairs.alias("_kv"))
+    df = once(df, intent.alias("user_intent"), pairs.alias("_kv"))
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
     own = F.array(*[entry(k, F.col(f"_fx_{k}")) for k in fixed]) if fixed else F.array().cast("array<struct<key:string,value:string>>")
     fk = F.concat_ws("/", *[F.col(k).cast("string") for k in file_keys])
@@ -288,12 +300,12 @@ def chunk_fortran_files(files: DataFrame, file_keys: list[str], fixed: dict[str,
     df = files.select(*file_keys, F.array_join(lines_col, "\n").alias("_text"),
                       *[v.cast("string").alias(f"_fx_{k}") for k, v in fixed.items()])
     heads, rest = _cut(F.col("_text"), FORTRAN_HEAD)
-    df = _only_once(df, heads.alias("_heads"), rest.alias("_rest"))
+    df = once(df, heads.alias("_heads"), rest.alias("_rest"))
     df = df.select(*file_keys, *[f"_fx_{k}" for k in fixed], F.posexplode(F.arrays_zip("_heads", "_rest")).alias("_i", "_c"))
     stripped = F.transform("_c._rest", lambda l: pystrip(l))
-    df = _only_once(df, stripped.alias("_s"))
+    df = once(df, stripped.alias("_s"))
     first = F.array_position(F.transform("_s", lambda l: F.startswith(l, F.lit("!"))), False).cast("int")
-    df = _only_once(df, F.when(first > 0, first - 1).otherwise(F.size("_s")).alias("_n"))       # header lines
+    df = once(df, F.when(first > 0, first - 1).otherwise(F.size("_s")).alias("_n"))       # header lines
     ends = F.array_position(F.transform(F.slice("_s", F.col("_n") + 1, F.size("_s")), lambda l: F.lower(l) == F_END), True).cast("int")
     code = F.slice("_c._rest", F.col("_n") + 1, F.when(ends > 0, ends - 1).otherwise(F.size("_s")))
     low = lambda l: F.lower(l)
@@ -301,14 +313,14 @@ def chunk_fortran_files(files: DataFrame, file_keys: list[str], fixed: dict[str,
     is_ctx = lambda l: F.startswith(low(l), F.lit(F_CONTEXT))
     after = lambda l: F.substring(l, F.instr(l, ":") + 1, F.length(l))
     head = F.slice("_s", 1, F.col("_n"))
-    df = _only_once(df, code.alias("code_lines"), F.filter(head, lambda l: ~is_kw(l)).alias("_head"),
+    df = once(df, code.alias("code_lines"), F.filter(head, lambda l: ~is_kw(l)).alias("_head"),
                     F.filter(head, is_kw).alias("_kw"), pystrip(after(pystrip("_c._heads"))).alias("_purpose"))
     ctx = F.array_position(F.transform("_head", is_ctx), True).cast("int")
-    df = _only_once(df, F.when(ctx > 0, ctx - 1).otherwise(F.size("_head")).alias("_ctx"))
+    df = once(df, F.when(ctx > 0, ctx - 1).otherwise(F.size("_head")).alias("_ctx"))
     other = lambda l: pystrip(F.substring(l, 2, 1 << 30))
     words = F.flatten(F.transform("_kw", lambda l: F.filter(F.transform(F.split(after(l), ",", -1), lambda k: pystrip(k)), lambda k: k != "")))
     proc_line = F.get(F.filter("code_lines", lambda l: F.instr(F.lower(l), F_PROCEDURE) > 0), F.lit(0))
-    df = _only_once(
+    df = once(
         df, F.array_join(F.concat(F.array("_purpose"), F.transform(F.slice("_head", 1, F.col("_ctx")), other)), " ").alias("purpose"),
         F.array_join(F.transform(F.slice("_head", F.col("_ctx") + 1, F.size("_head")),
                                  lambda l: F.when(is_ctx(l), pystrip(after(l))).otherwise(other(l))), " ").alias("context"),

@@ -136,7 +136,12 @@ def ast_span(dump) -> Column:
 def line_start_offset(text, line) -> Column:
     """W5 row-local: offset of 1-based ``line`` in ``text`` (``splitlines(keepends)``
     lengths); null past the end, where the reference raises."""
-    widths, before = line_widths(text), _c(line) - 1
+    return line_offset(line_widths(text), line)
+
+
+def line_offset(widths, line) -> Column:
+    """W5 from the line widths of a text: offset of 1-based ``line``; null past the end."""
+    widths, before = _c(widths), _c(line) - 1
     return F.when((before >= 0) & (before <= F.size(widths)),
                   F.aggregate(F.slice(widths, 1, F.greatest(before, F.lit(0))), F.lit(0).cast("bigint"), lambda a, w: a + w))
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codelake.functions.text import WS, clip_text, pystrip
+from codelake.operators.calls import limited
 
 # Embedder settings (fixed values): 2 attempts, 1 s apart, 60 s per call.
 EMBED_ATTEMPTS = 2
@@ -131,28 +132,10 @@ def embed_with(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list
     """
     out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
-    def limited(texts: list[str]):
-        import queue
-        import threading
-
-        done: queue.Queue = queue.Queue()
-
-        def work():
-            try:
-                done.put((fn(texts), None))
-            except Exception as e:  # noqa: BLE001 - handed to the caller
-                done.put((None, e))
-
-        threading.Thread(target=work, daemon=True).start()
-        vecs, error = done.get(timeout=timeout_s)
-        if error is not None:
-            raise error
-        return vecs
-
     def call(texts: list[str]):
         for k in range(attempts):
             try:
-                return limited(texts)
+                return limited(fn, timeout_s, texts)
             except Exception:  # noqa: BLE001 - the reference logs and moves on
                 if k + 1 < attempts:
                     time.sleep(sleep_s)

@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codelake.functions.prompts import MODEL_ERROR_WORDS
+from codelake.operators.calls import limited
 
 # Generation settings (fixed values).
 GEN_SETTINGS = {"temperature": 0.0, "top_p": 1.0, "top_k": 1, "seed": 42}
 
+CALL_TIMEOUT_S = 300.0
+
 GenerateFn = Callable[[str, str, dict], str]
 
 
@@ -33,8 +36,8 @@ def _error_class(msg: str) -> str:
 
 
 def batch_infer(df: DataFrame, prompt_col: str, fn: GenerateFn, model_col: str = "model",
-                settings: dict | None = None) -> DataFrame:
-    """Adds ``response``, ``error``, ``error_class`` per row."""
+                settings: dict | None = None, timeout_s: float = CALL_TIMEOUT_S) -> DataFrame:
+    """Adds ``response``, ``error``, ``error_class`` per row; a call over ``timeout_s`` is an error of its row."""
     opts = dict(GEN_SETTINGS, **(settings or {}))
     fields = [f for f in df.schema.fields if f.name not in ("response", "error", "error_class")]
     out_schema = T.StructType(fields + [T.StructField("response", T.StringType()),
@@ -46,7 +49,7 @@ def batch_infer(df: DataFrame, prompt_col: str, fn: GenerateFn, model_col: str =
             res, err, cls = [], [], []
             for p, m in zip(pdf[prompt_col], pdf[model_col]):
                 try:
-                    res.append(fn(p, m, opts))
+                    res.append(limited(fn, timeout_s, p, m, opts))
                     err.append(None)
                     cls.append(None)
                 except Exception as e:  # noqa: BLE001 - isolated per cell

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codelake.functions import vectors as V
-from codelake.functions.text import WS, pystrip
+from codelake.functions.once import once
+from codelake.functions.text import WS, line_widths, pystrip
 from codelake.operators import codeeval as CE
 from codelake.operators import diffs as DF
 from codelake.operators import embed as E
@@ -139,6 +140,13 @@ def clean_function(spark, sf_dir):
                      CE.clean_function("gen").alias("gen_clean"))
 
 
+def _canonical(df, **cols: str):
+    """Per new column: the code of an old one cut out (F17, as ``<new>_fn``), normalised (F18), locals renamed (F19); each step once."""
+    df = once(df, *[CE.clean_function(c).alias(f"{n}_fn") for n, c in cols.items()])
+    df = once(df, *[CE.normalize_code(f"{n}_fn").alias(f"{n}_norm") for n in cols])
+    return once(df, *[CE.canonicalize_locals(f"{n}_norm").alias(n) for n in cols])
+
+
 _SQL_CANON_D4 = f"""c1 as (select item_id, {_sql_clean('bench')} b1, {_sql_clean('gen')} g1 from {D.SQL_D4}),
 c2 as (select item_id, {_sql_normalize('b1')} b2, {_sql_normalize('g1')} g2 from c1),
 c3 as (select item_id, {_sql_canon('b2')} bench_canon, {_sql_canon('g2')} gen_canon from c2)"""
@@ -149,9 +157,8 @@ select item_id, bench_canon, gen_canon from c3""")
 def canonicalize_locals(spark, sf_dir):
     """F19 (declaration-regex approximation) on the cleaned D4 code."""
     d4 = D.d4_eval_pairs(spark, sf_dir)
-    return d4.select("item_id",
-                     CE.canonicalize_locals(CE.normalize_code(CE.clean_function("bench"))).alias("bench_canon"),
-                     CE.canonicalize_locals(CE.normalize_code(CE.clean_function("gen"))).alias("gen_canon"))
+    t = _canonical(d4, bench_canon="bench", gen_canon="gen")
+    return t.select("item_id", "bench_canon", "gen_canon")
 
 
 _SQL_START = "coalesce(nullif(instr(text, chr(10)), 0), len(text))"
@@ -320,11 +327,11 @@ def ast_span(spark, sf_dir):
     offsets -1 and no snippet; the row is kept."""
     d6 = D.d6_ast_dumps(spark, sf_dir)
     sp = d6.select("p_partkey", CE.ast_span("dump").alias("s")).filter(F.col("s").isNotNull()).select("p_partkey", "s.*")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = once(read_table(spark, sf_dir, "documents").select("doc_id", "text"), line_widths("text").alias("widths"))
     n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))                  # one row
     j = sp.join(F.broadcast(n)).withColumn("doc_id", F.col("p_partkey") % F.col("n")).join(docs, "doc_id", "left")
-    so = (CE.line_start_offset(F.col("text"), F.col("start_line")) + F.col("start_col") - 1).cast("bigint")
-    eo = (CE.line_start_offset(F.col("text"), F.col("end_line")) + F.col("end_col") - 1 + 1).cast("bigint")
+    so = (CE.line_offset("widths", "start_line") + F.col("start_col") - 1).cast("bigint")
+    eo = (CE.line_offset("widths", "end_line") + F.col("end_col") - 1 + 1).cast("bigint")
     j = j.withColumn("start_offset", so).withColumn("end_offset", eo)
     ok = F.col("start_offset").isNotNull() & F.col("end_offset").isNotNull()
     return j.select("p_partkey", "file", "start_line", "start_col", "end_line", "end_col", ok.alias("in_range"),
@@ -351,10 +358,8 @@ select cast(idx as bigint) idx, round(cos, 9) cos,
 def eval_report(spark, sf_dir):
     """S9 + X1 + F1: both sides raw, cut out (F17), and normalised with canonical locals (F18, F19), with their cosine."""
     d4 = D.d4_eval_pairs(spark, sf_dir)
-    t = d4.select(F.col("item_id").alias("idx"), "gen", "bench", CE.clean_function("gen").alias("g1"),
-                  CE.clean_function("bench").alias("b1"))
-    t = t.withColumn("gn", CE.canonicalize_locals(CE.normalize_code("g1"))) \
-         .withColumn("bn", CE.canonicalize_locals(CE.normalize_code("b1")))
+    t = _canonical(d4.withColumnRenamed("item_id", "idx"), gn="gen", bn="bench")
+    t = t.select("idx", "gen", "bench", F.col("gn_fn").alias("g1"), F.col("bn_fn").alias("b1"), "gn", "bn")
     t = _pair_cosine(t, ["idx"], "gn", "bn", carry=("gen", "bench", "g1", "b1", "gn", "bn"))
     rep = CE.report_text("gen", "g1", "gn", "bench", "b1", "bn", F.col("cos"))
     return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
@@ -378,9 +383,7 @@ def eval_score(spark, sf_dir):
     canonical locals (F19) on both sides → native embedding (X1) → cosine (F1)."""
     prompts, benches = _eval_inputs(spark, sf_dir)
     j = CE.pair_eval(prompts, benches, order=["prompt_name"])
-    gen = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("prompt")))
-    ben = CE.canonicalize_locals(CE.normalize_code(CE.clean_function("bench")))
-    t = j.select("idx", "prompt_name", gen.alias("g"), ben.alias("b"))
+    t = _canonical(j, g="prompt", b="bench").select("idx", "prompt_name", "g", "b")
     return _pair_cosine(t, ["idx", "prompt_name"], "g", "b").select("idx", "prompt_name",
                                                                     F.round("cos", 9).alias("cos"))
 

@@ -59,3 +59,16 @@ def test_batch_infer_isolates_failures(spark):
     assert rows[(1, "m1")].response == "[m1 seed=42] 5 chars" and rows[(1, "m1")].error is None
     bad = rows[(2, "missing-x")]
     assert bad.response is None and bad.error_class == "model_unavailable"
+
+
+def test_batch_infer_gives_up_a_hung_call(spark):
+    def slow(prompt, model, opts):
+        import time
+
+        if prompt == "hang":
+            time.sleep(5)
+        return prompt.upper()
+
+    df = spark.createDataFrame([(1, "hang", "m"), (2, "ok", "m")], "id bigint, prompt string, model string").coalesce(1)
+    rows = {r.id: r for r in I.batch_infer(df, "prompt", slow, timeout_s=0.5).collect()}
+    assert rows[2].response == "OK" and rows[1].response is None and "within" in rows[1].error and rows[1].error_class == "other"
