@@ -121,7 +121,7 @@ def features(texts: pa.Array) -> np.ndarray:
         (lines.counts - distinct(lines.hashes(), lines.row_of())) / line_n,
         np.minimum(words / line_n / 100, 20),
     ]).astype(float)
-    for name in ("upper", "upper_words", "digit", "bang", "bar", "mark", "marked_words", "bare_marks", "echo", "near_echo"):
+    for name in ("upper", "upper_words", "digit", "bang", "bar", "mark", "marked_words", "bare_marks"):
         k = FEATURES.index(name)
         x[:, k] = np.sqrt(x[:, k])
     return x
