@@ -12,6 +12,7 @@ from codelake.operators import retrieve as R
 from codelake.plans import fixtures as D
 from codelake.plans import sqltext as S
 from codelake.plans.registry import query
+from codelake.session import scratch_path
 from codelake.sources import corpus as SC
 from codelake.sources import index as IX
 from codelake.sources.tables import read_table
@@ -221,6 +222,24 @@ def scan_filter(spark, sf_dir):
     return SC.apply_path_rule(paths, "path", rule).select("page_id", "path", "name", "suffix")
 
 
+@query("corpus_scan", """with f as (select source, lang, doc_id // 1000 part, string_agg(text, chr(10) order by doc_id) || chr(10) body
+  from documents where lang <> 'fr' group by all)
+select concat('example=', source) example, '.txt' "language", cast(len(body) as bigint) n_chars, sha256(body) text_sha256 from f""")
+def corpus_scan(spark, sf_dir):
+    """S1 on a real tree: documents of one source, language and thousand of ids are written as a
+    text file in the source's folder, French ones under ``build/``; the scan finds the others."""
+    docs = read_table(spark, sf_dir, "documents")
+    root = scratch_path(spark, "code-tree")
+    part = F.expr("doc_id div 1000").alias("part")
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    files = docs.groupBy(F.col("source").alias("example"), "lang", part).agg(F.array_join(F.transform(parts, lambda d: d["text"]), "\n").alias("value"))
+    write = lambda df, path: df.select("example", "value").write.option("maxRecordsPerFile", 1).partitionBy("example").text(path)
+    write(files.where("lang <> 'fr'"), root)
+    write(files.where("lang = 'fr'"), f"{root}/build")
+    found = SC.scan_code_corpus(spark, root, rule=SC.PathRule(suffixes=(".txt",)))
+    return found.select("example", "language", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("embed_hash", f"""select doc_id, cast(bucket as bigint) bucket, cnt
 from {S.sparse_hash('documents', 'doc_id', 'text', DIM)}""")
 def embed_hash(spark, sf_dir):
