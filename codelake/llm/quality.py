@@ -38,6 +38,7 @@ RIDGE = 1e-3
 FEW_WORDS, FEW_LINES = 8, 5     # added to denominators, so that short texts give weak evidence
 NEWTON_STEPS = 25
 THRESHOLD = 0.7
+PIECE = 1 << 20                 # bytes of text whose character arrays a task holds at a time
 
 
 def _chars(s: str) -> np.ndarray:
@@ -132,7 +133,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 1, PIECE):
                 x = features(part.column(1)).astype(np.float32)
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
                 yield pa.RecordBatch.from_arrays([part.column(0), flat], ["doc_id", "x"])
@@ -258,7 +259,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, at):
+            for part in pieces(batch, at, PIECE):
                 score = model.score(features(part.column(at)).astype(np.float32).astype(float))
                 yield part.filter(pa.array(score >= threshold))
 
