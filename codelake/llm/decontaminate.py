@@ -8,13 +8,16 @@ sensitive hash.  All windows of a text are walked together: a step maps each
 window's pointer, so it is one gather over the text's words.
 
 Every word of every text starts a window.  Items are indexed at several
-offsets, so edits anywhere in a passage leave some of its windows clean, and
-the walk is as long as the item's size allows.  The sampling is repeated with
-fresh walks until windows of the indexed items, with the largest allowed
-number of random word edits, are found with the target recall (measured on
-the items themselves).  Each place found is verified by the exact word edit
-distance between the item and the nearest stretch of the text, at most
-``max_share`` of the item's words.
+offsets (short items at every one), so edits anywhere in a passage leave some
+of its windows clean; a walk that would leave its item is no key.  The
+sampling is repeated with fresh walks, for each item length by itself, until
+items of that length, with the largest allowed number of random word edits
+and other words around them, are found with the target recall.  Lengths that
+do not get there in ``MAX_REPEATS`` walks, and those that allow no edit, are
+found by exact pieces instead: of one piece more than there are edits, at
+least one is unchanged, so none is missed.  Each place found is verified by
+the exact word edit distance between the item and the nearest stretch of the
+text, at most ``max_share`` of the item's words.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 Items are taken in blocks of at most ``BLOCK_WORDS`` words; a block's index
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.llm._words import K1, K2, NOT_ALNUM, Words, mix, pieces
+from codelake.llm._words import K1, K2, NOT_ALNUM, Words, grams, mix, pieces
 
 MAX_SHARE = 0.2                # word edits per item word
 TARGET_RECALL = 0.99
@@ -44,6 +47,7 @@ MAX_REPEATS = 24
 STEPS = ((12, 16), (6, 8), (3, 4), (1, 1))     # (words an indexed window needs, steps of its walk)
 SAMPLES = 6
 STRIDE = 3
+COPIES = 400                   # edited copies on which an item length's recall is measured
 BLOCK_WORDS = 200_000
 SEED = 5
 _PIECE = 1 << 20
@@ -61,6 +65,11 @@ def _sampled(repeat: int, steps: int) -> list[int]:
 
 def walk_keys(h: np.ndarray, starts: np.ndarray, repeat: int, steps: int) -> np.ndarray:
     """The sampled output of the walks from ``starts`` over the words ``h`` (zeros follow the last word)."""
+    return _walk(h, starts, repeat, steps)[0]
+
+
+def _walk(h: np.ndarray, starts: np.ndarray, repeat: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the walks, and the last word that each has looked at."""
     x = np.concatenate([h, np.zeros(steps, np.uint64)])
     bits = mix(x ^ _seed(repeat, steps))
     at = starts.astype(np.int32)
@@ -71,80 +80,100 @@ def walk_keys(h: np.ndarray, starts: np.ndarray, repeat: int, steps: int) -> np.
             key = (key ^ (key >> np.uint64(31)) ^ x[at]) * K1
         if t < looks[-1]:
             at += ((bits >> np.uint64(t)) & np.uint64(1)).astype(np.int8)[at]
-    return key ^ (key >> np.uint64(29))
+    return key ^ (key >> np.uint64(29)), at
 
 
 class _Table:
-    """Sorted keys of one repeat, with the items and offsets they stand for; a bitmap answers most lookups."""
+    """Sorted keys with the items and offsets they stand for; a bitmap answers most lookups."""
 
-    def __init__(self, keys: np.ndarray, entry: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
-        self.keys, self.entry = keys[order], entry[order]
+        self.keys, self.item, self.offset = keys[order], item[order], offset[order]
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[keys >> np.uint64(46)] = True
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``keys`` and the entries found there."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``keys``, and the items and offsets found there."""
         at = np.flatnonzero(self.maybe[keys >> np.uint64(46)])
         lo, hi = (np.searchsorted(self.keys, keys[at], side) for side in ("left", "right"))
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.entry[entry]
+        return np.repeat(at, n), self.item[entry], self.offset[entry]
 
 
 class Index:
-    """LSH tables over some items' word fingerprints."""
+    """LSH tables, and tables of exact pieces, over some items' word fingerprints."""
 
     def __init__(self, ids: list[int | None], words: list[np.ndarray], max_share: float, target: float) -> None:
         self.ids, self.words, self.max_share = pa.array(ids, pa.int64()), words, max_share
-        self.entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}        # steps: (item, offset, start in flat)
         self.flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        first = np.cumsum([0] + [len(w) for w in words])
-        for need, steps in STEPS:
-            rows = [(i, off, first[i] + off) for i, w in enumerate(words) if next((s for n, s in STEPS if len(w) >= n), 0) == steps
-                    for off in range(0, len(w) - need + 1, STRIDE if need > STRIDE else 1)]
-            if rows:
-                self.entries[steps] = tuple(np.array(c, np.int64) for c in zip(*rows))
-        self.tables: dict[int, list[_Table]] = {s: [] for s in self.entries}
-        for steps in self.entries:
-            for r in range(self._repeats(steps, target)):
-                self.tables[steps].append(self._table(steps, r))
-
-    def _table(self, steps: int, repeat: int) -> _Table:
-        item, offset, start = self.entries[steps]
-        keys = np.empty(len(item), np.uint64)
-        for i in np.unique(item):                  # an item's walk ends with the item
-            own = item == i
-            keys[own] = walk_keys(self.words[i], offset[own], repeat, steps)
-        return _Table(keys, np.arange(len(item)))
-
-    def _repeats(self, steps: int, target: float) -> int:
-        """Repeats until randomly edited copies of the items are found with the target recall."""
-        rnd = np.random.default_rng([SEED, steps])
-        item, offset, _ = self.entries[steps]
-        sample = rnd.choice(np.unique(item), min(200, len(np.unique(item))), replace=False)
-        edited = [(i, edit(self.words[i], int(self.max_share * len(self.words[i])), rnd)) for i in sample for _ in range(2)]
-        missed = list(range(len(edited)))
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.repeats: dict[int, int] = {}              # item length: walks, 0 for exact pieces
+        walked: dict[tuple[int, int], list[np.ndarray]] = {}
+        cut: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for n in np.unique(self.size).tolist():
+            items = np.flatnonzero(self.size == n)
+            edits = int(max_share * n)
+            need, steps = next(x for x in STEPS if n >= x[0])
+            self.repeats[n] = self._repeats(items, need, steps, target) if edits else 0
+            for r in range(self.repeats[n]):
+                walked.setdefault((steps, r), []).append(items)
+            if not self.repeats[n]:
+                edges = np.arange(min(edits + 1, n) + 1) * n // min(edits + 1, n)
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    cut.setdefault(b - a, []).append((items, a))
+        needs = {s: n for n, s in STEPS}
+        self.walks = {k: self._walked(np.concatenate(v), needs[k[0]], *k) for k, v in walked.items()}
+        self.parts = {k: self._cut(k, v) for k, v in cut.items()}
+
+    def _walked(self, items: np.ndarray, need: int, steps: int, repeat: int) -> _Table:
+        n = self.size[items]
+        item, offset = np.repeat(items, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        some = (self.size[item] < 4 * need) | (offset % STRIDE == 0)
+        item, offset = item[some], offset[some]
+        keys, last = _walk(self.flat, self.first[item] + offset, repeat, steps)
+        own = last < self.first[item + 1]              # what follows the item is other text
+        return _Table(keys[own], item[own], offset[own])
+
+    def _cut(self, k: int, pieces_at: list[tuple[np.ndarray, int]]) -> _Table:
+        item = np.concatenate([i for i, _ in pieces_at])
+        offset = np.concatenate([np.full(len(i), a, np.int64) for i, a in pieces_at])
+        return _Table(grams(self.flat, k)[self.first[item] + offset], item, offset)
+
+    def _repeats(self, items: np.ndarray, need: int, steps: int, target: float) -> int:
+        """Walks until randomly edited copies of items of one length, among other words, are found with the target
+        recall (half the misses, as it is measured on few copies); 0 if ``MAX_REPEATS`` are not enough."""
+        n = int(self.size[items[0]])
+        edits = int(self.max_share * n)
+        rnd = np.random.default_rng([SEED, steps, n])
+        copy = np.resize(rnd.permutation(items), min(COPIES, max(20, (1 << 20) // n)))
+        other = rnd.integers(1, 2 ** 62, (len(copy), steps), np.uint64)        # follow a copy, and come before the next
+        text = [np.concatenate([edit(self.words[i], edits, rnd), o]) for i, o in zip(copy, other)]
+        long = np.array([len(w) for w in text])
+        begin, owner, text = np.cumsum(long) - long, np.repeat(np.arange(len(copy)), long), np.concatenate(text)
+        found = np.zeros(len(copy), bool)
         for r in range(MAX_REPEATS):
-            keys = {i: set(walk_keys(self.words[i], offset[item == i], r, steps).tolist()) for i in {edited[e][0] for e in missed}}
-            missed = [e for e in missed if keys[edited[e][0]].isdisjoint(
-                walk_keys(edited[e][1], np.arange(len(edited[e][1])), r, steps).tolist())]
-            if len(missed) <= (1 - target) * len(edited):
+            starts = np.flatnonzero(~found[owner])
+            at, item, offset = self._walked(items, need, steps, r).find(walk_keys(text, starts, r, steps))
+            c = owner[starts[at]]
+            found[c[(item == copy[c]) & (np.abs(starts[at] - offset - begin[c]) <= edits)]] = True
+            if 2 * (~found).sum() <= (1 - target) * len(copy):
                 return r + 1
-        return MAX_REPEATS
+        return 0
 
     def search(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, aligned start) of every sampled match of a window of ``h``, each once."""
+        """(item, aligned start) of every sampled match of a window of ``h``, and of every piece, each once."""
         starts = np.arange(len(h))
-        found = [np.zeros((0, 2), np.int64)]
-        for steps, tables in self.tables.items():
-            item, offset, _ = self.entries[steps]
-            for r, table in enumerate(tables):
-                at, e = table.find(walk_keys(h, starts, r, steps))
-                found.append(np.column_stack([item[e], at - offset[e]]))
-        both = np.unique(np.concatenate(found), axis=0)
-        return both[:, 0], both[:, 1]
+        found = [np.zeros(0, np.int64)]
+        longest = int(self.size.max(initial=0))
+        span = len(h) + longest
+        hits = [t.find(walk_keys(h, starts, r, steps)) for (steps, r), t in self.walks.items()]
+        hits += [t.find(grams(h, k)) for k, t in self.parts.items()]
+        found += [item * span + (at - offset + longest) for at, item, offset in hits]
+        both = np.unique(np.concatenate(found))
+        return both // span, both % span - longest
 
     def plausible(self, h: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Whether enough of an item's words stand near each place: fewer than all but the allowed edits rule it out."""

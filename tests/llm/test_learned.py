@@ -221,3 +221,36 @@ def test_empty_tables(spark, docs_of, corpus):
         assert df.collect() == []
     assert decontaminate.leaks(docs_of(corpus), bench.limit(0)).collect() == []
     assert decontaminate.without_leaks(docs_of(corpus), bench.limit(0)).count() == len(corpus)
+
+
+def test_leaks_of_every_item_length_are_found_in_running_text():
+    """Exact copies of short items always, copies with as many edits as allowed with the target recall, per length."""
+    rnd = np.random.default_rng(8)
+    other = lambda n: rnd.integers(1, 2 ** 62, n).astype(np.uint64)
+    sizes = (1, 2, 3, 4, 5, 9, 12, 15, 20)
+    items = [other(n) for n in sizes for _ in range(20)] + [other(60) for _ in range(150)]
+    index = decontaminate.Index(list(range(len(items))), items, 0.2, 0.99)
+    for n in sizes:
+        missed, copies = 0, [i for i, w in enumerate(items) if len(w) == n] * 15
+        for i in copies:
+            copy = decontaminate.edit(items[i], int(0.2 * n), rnd)
+            text = np.concatenate([other(30), copy, other(30)])
+            item, start = index.search(text)
+            near = start[(item == i) & index.plausible(text, item, start)]
+            missed += not any(index.verified(i, text, int(s)) for s in near)
+        assert missed <= (0 if n < 5 else 0.02 * len(copies)), n
+    items = [other(n) for n in (3, 4) for _ in range(100)]
+    index = decontaminate.Index(list(range(200)), items, 0.2, 0.99)
+    assert all((i, 30) in zip(*map(list, index.search(np.concatenate([other(30), w, other(30)])))) for i, w in enumerate(items))
+
+
+def test_lengths_that_walks_do_not_find_are_found_by_pieces(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_REPEATS", 0)
+    rnd = np.random.default_rng(9)
+    items = [rnd.integers(1, 2 ** 62, n).astype(np.uint64) for n in (5, 14, 33)]
+    index = decontaminate.Index([0, 1, 2], items, 0.2, 0.99)
+    assert index.repeats == {5: 0, 14: 0, 33: 0}
+    for i, w in enumerate(items * 40):
+        text = np.concatenate([items[0][::-1], decontaminate.edit(w, int(0.2 * len(w)), rnd), items[1][::-1]])
+        item, start = index.search(text)
+        assert any(index.verified(i % 3, text, int(s)) for s in start[(item == i % 3) & index.plausible(text, item, start)])
