@@ -1,6 +1,8 @@
 """Secret scans: a high-recall generator and a random forest that removes false positives.
 
-Candidates are runs of key characters in the words of a whole text.  Each
+Candidates are runs of key characters in the words of a whole text and,
+after a key word and ``=``, ``:`` or a quote, the whole value up to the blank
+or the closing quote, whatever its signs and length.  Each
 has features of its own (length, character transitions, letter pairs,
 dictionary coverage, shape), of the path it looks like or comes from, and
 of its neighbouring words.  A random forest trained on labelled findings
@@ -34,6 +36,11 @@ LIKELY = r"(?=[A-Za-z+/_.~\-]*[0-9])[A-Za-z0-9+/_.~\-]{8,}|[A-Za-z0-9+/_.~\-]{20
 KEY_WORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|credential|auth|bearer)"
 NOT_KEY_WORD = (r"(?i)(commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|version|revision|build|example|sample|placeholder|dummy|"
                 r"test|changeme|your|order|invoice|card|phone|isbn|file|path|url|href|src|image|page|chapter|session_?id)")
+_SIGN = r"[=:]++>?+"
+#: a key word and its value in one word; groups 4 (quoted) and 5 hold the value
+KEYED = KEY_WORD + r"\w*(?:[\"'`]?+" + _SIGN + r"|(?=[\"'`][^=:,;)\]}]))(?:([\"'`])(?=((?:(?!\3).)+))|(?![\"'`])(?=(.+)))"
+#: a word after a key word; groups: sign, quote, value in quotes, value without
+_VALUE = r"^((?:" + _SIGN + r")?+)(?:([\"'`])((?:(?!\2).)+)|(?![\"'`])(.+))"
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 25, 7, 7
 FINDINGS = 6000                # size of the default labelled table
@@ -64,24 +71,43 @@ def _flag(cond: Column) -> Column:
 
 
 def candidates(words: Column, source: Column) -> Column:
-    """array<struct<word, value, left, next, source>> of a text's words."""
+    """array<struct<word, value, left, next, source, at>> of a text's words; ``at`` stands before the value in its word.
+
+    Whole values come before the runs of their word."""
     def possible(i: Column) -> Column:
-        w = F.get(words, i)
-        return (F.length(w) >= 8) & (w.rlike(LIKELY) | w.rlike(KEY_WORD + r"\w*[\"']?[=:]")
-                                     | F.coalesce(F.get(words, i - 1).rlike(r"[=:]$"), F.lit(False)))
+        w, last = F.get(words, i), F.coalesce(F.get(words, i - 1), F.lit(""))
+        return (i < F.size(words)) & (((F.length(w) >= 8) & w.rlike(LIKELY)) | w.rlike("[=:\"'`]") | last.rlike("[=:>\"'`]$"))
 
     def at(i: Column) -> Column:
         w = F.get(words, i)
         before = [F.coalesce(F.get(words, i - k), F.lit("")) for k in (3, 2, 1)]
-        def one(c: Column) -> Column:
-            head = F.call_function("substring_index", w, c, F.lit(1))
-            return F.struct(i.cast("int").alias("word"), c.alias("value"),
-                            F.concat_ws(" ", *before, head).alias("left"),
-                            F.coalesce(F.get(words, i + 1), F.lit("")).alias("next"), source.alias("source"))
-        return F.transform(F.array_distinct(F.regexp_extract_all(w, F.lit(CORE), F.lit(0))), one)
 
-    found = F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(words)), possible), at))
-    return F.filter(found, lambda c: c["value"].rlike(LIKELY) | c["left"].rlike(KEY_WORD + r"\w*[\"']?\s?[=:]\s?[\"']?$"))
+        def one(value: Column, head: Column, at: Column) -> Column:
+            return F.struct(i.cast("int").alias("word"), value.alias("value"),
+                            F.concat_ws(" ", *before, head).alias("left"),
+                            F.coalesce(F.get(words, i + 1), F.lit("")).alias("next"), source.alias("source"), at.alias("at"))
+
+        def inside(z: Column) -> Column:
+            value = F.concat(z["quoted"], z["plain"])
+            return one(value, F.concat(F.call_function("substring_index", w, F.concat(z["at"], value), F.lit(1)), z["at"]), z["at"])
+
+        keyed = F.arrays_zip(*[F.regexp_extract_all(w, F.lit(KEYED), F.lit(g)).alias(n) for g, n in ((0, "at"), (4, "quoted"), (5, "plain"))])
+        own = F.when(w.rlike("[=:\"'`]"), F.transform(keyed, inside))
+        sign, quote, quoted, plain = (F.regexp_extract(w, _VALUE, g) for g in (1, 2, 3, 4))
+        near = F.concat_ws(" ", *before[1:])
+        after = near.rlike(KEY_WORD + r"\w*[\"'`]?\s?[=:]+>?\s?[\"'`]?$") | (near.rlike(KEY_WORD + r"\w*[\"'`]?$") & ((sign != "") | (quote != "")))
+        head = F.concat(sign, quote)
+        next_word = F.when((F.concat(quoted, plain) != "") & after, F.array(one(F.concat(quoted, plain), head, head)))
+        runs = F.transform(F.array_distinct(F.regexp_extract_all(w, F.lit(CORE), F.lit(0))),
+                           lambda c: one(c, F.call_function("substring_index", w, c, F.lit(1)), F.lit("")))
+        runs = F.filter(runs, lambda c: (F.length(w) >= 8) & (
+            c["value"].rlike(LIKELY) | c["left"].rlike(KEY_WORD + r"\w*[\"']?\s?[=:]\s?[\"']?$")))
+        none = F.slice(runs, 1, 0)
+        whole = F.concat(F.coalesce(own, none), F.coalesce(next_word, none))
+        return F.aggregate(F.concat(whole, runs), none, lambda out, c: F.when(
+            F.exists(out, lambda o: o["value"] == c["value"]), out).otherwise(F.concat(out, F.array(c))))
+
+    return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(words)), possible), at))
 
 
 def features(c: Column) -> Column:
@@ -110,6 +136,10 @@ def features(c: Column) -> Column:
         _flag(left.rlike(KEY_WORD)), _flag(left.rlike(NOT_KEY_WORD)),
         _flag(left.rlike(r"[=:]\s?[\"'`]?$")), _flag(left.rlike("[\"'`]$")),
         _flag(c["next"].rlike(NOT_KEY_WORD)),
+        _share(v, "[^A-Za-z0-9]"),                                           # signs
+        sum(_flag(v.rlike(p)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")),
+        _flag(v.rlike(r"^[<{$%(\[]|[)>}\]][,;.]?$|[(\[{]|^[^A-Za-z0-9]+$|^[a-z_]+\.[a-z_.]+[,;]?$")),
+        _flag(v.rlike("^[A-Z]?[a-z]+[^A-Za-z0-9]*$")),
     )
 
 
@@ -130,8 +160,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
     hexes = noise("h")
     mixed = F.regexp_replace(F.concat(F.base64(F.unhex(noise("m"))), F.base64(F.unhex(noise("n")))), "[+/=]", "")
-    lower = F.lower(mixed)
     digits = F.regexp_replace(F.concat(noise("d"), noise("e")), "[a-f]", "")
+    # the explode keeps the optimiser from copying these into every use of them
+    made = F.struct(hexes.alias("hexes"), mixed.alias("mixed"), digits.alias("digits"))
+    rows = spark.range(0, n, 1, 1).select("id", F.explode(F.array(made)).alias("b"))
+    hexes, mixed, digits = (F.col(f"b.{k}") for k in ("hexes", "mixed", "digits"))
+    lower = F.lower(mixed)
     upper = F.upper(mixed)
     long_word = F.concat(pick(["inter", "over", "under", "counter", "trans", "micro"], "a"), pick(["national", "connection", "processing", "organization"], "b"),
                          pick(["development", "management", "information"], "c"))
@@ -141,6 +175,20 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     quote = pick(["\"", "'", ""], "q")
     size = F.conv(F.substring(noise("s"), 1, 2), 16, 10).cast("int")
     h = lambda k: F.substring(hexes, 1, k)
+    sign, other_sign = (pick(list("!@#$%&*?^+;,)("), x) for x in "fg")
+    joint = pick(["=", ": ", " = ", ":", "=="], "j")
+    signed = F.concat(F.substring(mixed, F.lit(1), 2 + size % 6), sign, F.substring(mixed, F.lit(12), 2 + size % 5), other_sign, F.substring(digits, F.lit(1), 1 + size % 3))
+    spoken = F.concat(pick(["Summer", "Winter", "dragon", "Welcome", "hunter", "P@ss", "S3cret", "monkey", "Passw0rd", "w0rd"], "v"),
+                      F.substring(digits, F.lit(1), 1 + size % 4), pick(["", "!", "#", "$x", "@", "!x$", "&7k"], "o"), F.substring(mixed, F.lit(30), size % 5))
+    short = F.concat(F.substring(mixed, F.lit(1), 2 + size % 4), F.substring(digits, 1, 1), F.substring(mixed, 9, 1))
+    after_key = lambda v: (F.concat(key, joint, quote, v, quote), v)
+    any_key = F.concat(pick(["password", "key", "token", "Author", "auth", "secret", "passwd", "Key", "Keywords", "Authorization", "api_key", "credentials"], "K"), joint)
+    plain = pick(["required", "the", "none", "None", "null", "true", "False", "name", "value", "yes", "enter", "here", "and", "forgotten", "reset",
+                  "string", "field", "missing", "expired", "invalid", "policy", "Bearer", "Basic", "Jane", "Miller,", "see", "is", "it.", "data,",
+                  "your", "must", "str,", "int", "admin,", "who", "lorem", "de", "der", "que", "un", "A", "x", "hidden", "unknown", "empty;"], "P")
+    holder = pick(["<password>", "${PASSWORD}", "$DB_PASSWORD", "{{token}}", "********", "os.environ['KEY']", "getpass()", "%(password)s", "self.token",
+                   "args.password,", "config['secret']", "...", "get_token()", "[hidden]", "<your-key>", "{secret}", "%s", "***", "####", "$(cat", "request.args;",
+                   "(see", "lambda", "settings.API_KEY", "f(x)", "--", "{}", "[]", "<none>", "user.name"], "H")
     secrets = [
         (F.concat(key, F.lit("="), F.substring(lower, F.lit(1), 8 + size % 16)), F.substring(lower, F.lit(1), 8 + size % 16)),
         (F.concat(key, F.lit("="), h(16)), h(16)),
@@ -153,6 +201,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36))),
         (F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24))),
         (F.concat(F.lit("Authorization: Bearer "), F.substring(mixed, 1, 40)), F.substring(mixed, 1, 40)),
+        after_key(signed), after_key(spoken), after_key(short), after_key(F.concat(F.substring(lower, 1, 3), sign, F.substring(mixed, 5, 6), other_sign)),
     ]
     harmless = [
         (F.concat(F.lit("commit "), h(40)), h(40)), (F.concat(F.lit("sha256: "), hexes), hexes), (F.concat(F.lit("md5 "), h(32)), h(32)),
@@ -171,6 +220,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(tok, F.lit(" = \"example_token_value\"")), F.lit("example_token_value")),
         (F.concat(tok, F.lit(" = config.section.value12")), None), (F.concat(F.lit("version v1."), F.substring(digits, 1, 2), F.lit(".0-release")), None),
         (F.concat(F.lit("id=section"), F.substring(digits, 1, 3)), None), (F.concat(F.lit("note: "), long_word), long_word),
+        (F.concat(any_key, plain), None), (F.concat(any_key, plain), None), (F.concat(any_key, quote, plain, quote), None), (F.concat(any_key, holder), None),
+        (F.concat(any_key, quote, holder, quote), None), (F.concat(any_key, F.initcap(F.substring(made_up, F.lit(1), 2 + size % 9))), None),
+        (F.concat(any_key, F.substring(made_up, F.lit(1), 2 + size % 9), pick(["", ",", ".", ";"], "e")), None),
         (made_up, made_up), (F.initcap(made_up), F.initcap(made_up)), (F.concat(F.lit("de "), made_up, F.lit(". Un")), F.concat(made_up, F.lit("."))),
     ]
 
@@ -183,7 +235,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
     is_secret = F.col("id") % 2 == 0
     fill = ["the value of it", "and then in the", "ou de la", "is that with", "der die und", "que el en", "", "was on ### the"]
-    return spark.range(0, n, 1, 1).select(
+    return rows.select(
         F.concat_ws(" ", pick(fill, "x"), F.when(is_secret, either(secrets, 0, "y")).otherwise(either(harmless, 0, "y")), pick(fill, "z")).alias("text"),
         pick(["src0", "web", "docs", "tests/fixture", "example", "crawl"], "w").alias("source"),
         F.when(is_secret, either(secrets, 1, "y")).otherwise(F.lit(None)).alias("value"), is_secret.alias("label"))
@@ -251,10 +303,14 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
 def _findings(df: DataFrame, forest: Forest, threshold: float) -> Column:
     rated = F.transform(candidates(F.col("words"), F.col("source")),
-                        lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), c["left"].alias("left"), features(c).alias("f")))
-    scored = F.transform(rated, lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), c["left"].alias("left"),
+                        lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), c["left"].alias("left"), c["at"].alias("at"),
+                                           features(c).alias("f")))
+    scored = F.transform(rated, lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), c["left"].alias("left"), c["at"].alias("at"),
                                                    forest.vote(c["f"]).alias("score")))
-    return F.filter(scored, lambda c: c["score"] >= threshold)
+    found = F.filter(scored, lambda c: c["score"] >= threshold)
+    # a part of a found value is not another finding
+    return F.aggregate(found, F.slice(found, 1, 0), lambda out, c: F.when(
+        F.exists(out, lambda o: (o["word"] == c["word"]) & F.contains(o["value"], c["value"])), out).otherwise(F.concat(out, F.array(c))))
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -279,7 +335,16 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
     d = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in old.items()])
     d = _split(d.withColumns({"text": F.col(old["text"]), "source": F.col(old["source"])}), *own)
     d = d.select(*own, "text", F.explode(F.array(_findings(d, forest, threshold))).alias("_found"))
-    clean = F.aggregate("_found", F.col("text"), lambda t, c: F.replace(t, c["value"], F.lit(mark)))
+    # longest first; each in its own word, and values of 8 or more signs wherever else they stand
+    by_length = F.transform("_found", lambda c: F.struct((-F.length(c["value"])).alias("n"), c["word"].alias("word"), c["value"].alias("value"), c["at"].alias("at")))
+    d = d.select(*own, "text", F.explode(F.array(F.array_sort(by_length))).alias("_found"))
+    spaces, words = F.split("text", WORD), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    word = F.transform(words, lambda w, i: F.aggregate(F.filter("_found", lambda c: c["word"] == i), w, lambda t, c: F.replace(
+        t, F.concat(c["at"], c["value"]), F.concat(c["at"], F.lit(mark)))))
+    own_words = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(spaces, F.lit(1), F.size(words)).alias("s"), word.alias("w")),
+                                                  lambda z: F.concat(z["s"], z["w"])), ""), F.element_at(spaces, -1))
+    clean = F.when(F.exists("_found", lambda c: c["n"] > -8), own_words).otherwise(F.col("text"))
+    clean = F.aggregate(F.filter("_found", lambda c: c["n"] <= -8), clean, lambda t, c: F.replace(t, c["value"], F.lit(mark)))
     d = d.select(*own, F.when(F.col(old["text"]).isNotNull(), clean).alias("_clean"))
     new = {"text": F.col("_clean")}
     if "n_chars" in cols:

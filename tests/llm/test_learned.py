@@ -254,3 +254,16 @@ def test_lengths_that_walks_do_not_find_are_found_by_pieces(monkeypatch):
         text = np.concatenate([items[0][::-1], decontaminate.edit(w, int(0.2 * len(w)), rnd), items[1][::-1]])
         item, start = index.search(text)
         assert any(index.verified(i % 3, text, int(s)) for s in start[(item == i % 3) & index.plausible(text, item, start)])
+
+
+def test_whole_values_after_a_key_word(spark, docs_of):
+    rows = [(1, "password=P@ss!w0rd#24"), (2, "then password=Summer2024!x$Kq9 and"), (3, 'db_password: "x7#kQ!" and a x7#kQ!'), (4, "pwd = hu7!x"),
+            (5, "the password: required and the key: value of it"), (6, '{"user":"a","password":"q9$Z!","n":"q9"}'), (7, "author: the, password=${PASSWORD} or <none>"),
+            (8, "passwd 'k3#Lp!9z'\tthere"), (9, "the password:"), (10, "password=")]
+    docs = docs_of(rows)
+    got = {r["doc_id"]: (r["word"], r["kind"], r["length"]) for r in secret_scan.scan(docs).collect()}
+    assert got == {1: (0, "password", 12), 2: (1, "password", 16), 3: (1, "password", 6), 4: (2, "password", 5), 6: (0, "password", 5), 8: (1, "password", 8)}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean[1] == "password=[SECRET]" and clean[2] == "then password=[SECRET] and" and clean[8] == "passwd '[SECRET]'\tthere"
+    assert clean[3] == 'db_password: "[SECRET]" and a x7#kQ!' and clean[4] == "pwd = [SECRET]" and clean[6] == '{"user":"a","password":"[SECRET]","n":"q9"}'
+    assert all(clean[i] == dict(rows)[i] for i in (5, 7, 9, 10))
