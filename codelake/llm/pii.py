@@ -62,7 +62,8 @@ _SPELLED = tuple((k, re.compile(p)) for k, p in (
     ("email", r"(?i)(?<![\w.])[a-z0-9._-]{1,64} ?[\[({] ?at ?[\])}] ?[a-z0-9-]{1,64}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[a-z0-9-]{2,24}){1,4}"),
     ("email", r"(?i)(?<![\w.])[a-z0-9._-]{1,64} at [a-z0-9-]{1,64}(?: dot [a-z0-9-]{2,24}){1,4}(?!\w)"),
 ))
-_HINT = ("(at", "[at", "{at", "( at", "[ at", " dot ", "(AT", "[AT")
+# every match of a spelled pattern holds one of these
+_HINT = re.compile(r"(?i)[\[({] ?at ?[\])}]| dot ")
 
 
 def luhn(digits: str) -> bool:
@@ -110,7 +111,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     found = []
     if _DIGIT.search(text):
         found += [(k, m.start(), m.end()) for k, p in _NUMBERS for m in p.finditer(text)]
-    if any(h in text for h in _HINT):
+    if _HINT.search(text):
         found += [(k, m.start(), m.end()) for k, p in _SPELLED for m in p.finditer(text)]
     return found
 

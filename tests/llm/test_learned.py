@@ -256,6 +256,15 @@ def test_lengths_that_walks_do_not_find_are_found_by_pieces(monkeypatch):
         assert any(index.verified(i % 3, text, int(s)) for s in start[(item == i % 3) & index.plausible(text, item, start)])
 
 
+def test_pii_prefilter_drops_no_candidate():
+    for t in ("jane.doe { at } mail.org", "jane.doe {AT} mail.org", "jane.doe ( AT ) mail.org", "jane.doe(At)mail.org", "jane.doe AT mail DOT com",
+              "jane.doe [at ] mail [ DOT] org", "jane.doe {aT}mail.org", "meet at noon", "a DOT b", "(at) the", "jane at mail dot com", "İo (at) x.org",
+              "jane.doe (at) maſl.org", "jane.doe at mail dot Kom"):
+        assert [c for c in pii.candidates(t) if c[0] == "email"] == [(k, m.start(), m.end()) for k, p in pii._SPELLED for m in p.finditer(t)], t
+    model = pii.train()
+    assert pii.added_spans("write to jane.doe {AT} mail.org today", [], model) == [("email", 9, 31)]
+
+
 def test_whole_values_after_a_key_word(spark, docs_of):
     rows = [(1, "password=P@ss!w0rd#24"), (2, "then password=Summer2024!x$Kq9 and"), (3, 'db_password: "x7#kQ!" and a x7#kQ!'), (4, "pwd = hu7!x"),
             (5, "the password: required and the key: value of it"), (6, '{"user":"a","password":"q9$Z!","n":"q9"}'), (7, "author: the, password=${PASSWORD} or <none>"),
