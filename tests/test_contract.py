@@ -5,7 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from inputs import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
