@@ -2,7 +2,7 @@
 
 import random
 
-import brute
+import llm_plain as brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
