@@ -79,7 +79,15 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-_ALL = [op1_license_scan, op2_near_dedup, op3_nearest, op4_class_lm, op5_decontaminate, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup]
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.merkle import manifest
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered)
+
+
+_ALL = [op1_license_scan, op2_near_dedup, op3_nearest, op4_class_lm, op5_decontaminate, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup,
+        op13_merkle_manifest]
 
 
 def _configured(fn):
@@ -96,7 +104,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    from codelake.llm import license_scan, mixing, near_dedup, nearest, substring_dedup
+    from codelake.llm import license_scan, merkle, mixing, near_dedup, nearest, substring_dedup
 
     return {"op1_license_scan": license_scan.oracle(), "op2_near_dedup": near_dedup.oracle(),
-            "op3_nearest": nearest.oracle(50), "op6_mixing": mixing.oracle(), "op10_substring_dedup": substring_dedup.oracle()}
+            "op3_nearest": nearest.oracle(50), "op6_mixing": mixing.oracle(), "op10_substring_dedup": substring_dedup.oracle(),
+            "op13_merkle_manifest": merkle.oracle()}
