@@ -79,6 +79,12 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelake.llm.radix_dedup import removed
+
+    return removed(_table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codelake.llm.hard_negatives import mine, quantised, usable
 
@@ -95,7 +101,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = [op1_license_scan, op2_near_dedup, op3_nearest, op4_class_lm, op5_decontaminate, op6_mixing, op7_secret_scan, op8_quality, op9_pii, op10_substring_dedup,
-        op12_hard_negatives, op13_merkle_manifest]
+        op11_radix_dedup, op12_hard_negatives, op13_merkle_manifest]
 
 
 def _configured(fn):
@@ -112,8 +118,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    from codelake.llm import hard_negatives, license_scan, merkle, mixing, near_dedup, nearest, substring_dedup
+    from codelake.llm import hard_negatives, license_scan, merkle, mixing, near_dedup, nearest, radix_dedup, substring_dedup
 
     return {"op1_license_scan": license_scan.oracle(), "op2_near_dedup": near_dedup.oracle(),
             "op3_nearest": nearest.oracle(50), "op6_mixing": mixing.oracle(), "op10_substring_dedup": substring_dedup.oracle(),
-            "op12_hard_negatives": hard_negatives.oracle(), "op13_merkle_manifest": merkle.oracle()}
+            "op11_radix_dedup": radix_dedup.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_merkle_manifest": merkle.oracle()}
