@@ -192,9 +192,8 @@ def proofs(rows: DataFrame, key: str, tree: str, digest: Column, *carry: str) ->
         discard(t)
 
     up = _rise(leaves)
-    subroots = up[-1].select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("at"), "digest")
-    subroots = subroots.crossJoin(trees.agg(_height(F.count(F.lit(1))).cast("int").alias("height")))      # one row
-    above = _rise(landed(subroots, "merkle-subroots"))
+    above = _rise(landed(up[-1].select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("at"), "digest",
+                                       _height(F.lit(trees.count())).cast("int").alias("height")), "merkle-subroots"))
     none = F.array().cast(PATH)
     root = above[-1].select("tree", none.alias("path"), F.lit(None).cast("string").alias("subroot"), F.lower(F.hex("digest")).alias("root"))
     tops = _fall(above, root, ["at", "digest"]).select(F.col("at").alias("tree"), "path", F.lower(F.hex("digest")).alias("subroot"), "root")
