@@ -161,15 +161,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     hexes = noise("h")
     mixed = F.regexp_replace(F.concat(F.base64(F.unhex(noise("m"))), F.base64(F.unhex(noise("n")))), "[+/=]", "")
     digits = F.regexp_replace(F.concat(noise("d"), noise("e")), "[a-f]", "")
-    # the explode keeps the optimiser from copying these into every use of them
-    made = F.struct(hexes.alias("hexes"), mixed.alias("mixed"), digits.alias("digits"))
-    rows = spark.range(0, n, 1, 1).select("id", F.explode(F.array(made)).alias("b"))
-    hexes, mixed, digits = (F.col(f"b.{k}") for k in ("hexes", "mixed", "digits"))
+    def as_columns(rows: DataFrame, **made: Column) -> DataFrame:
+        """Adds columns; the explode keeps the optimiser from copying them into every use of them."""
+        own = F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("b")
+        return rows.select(*rows.columns, own).select(*rows.columns, *[F.col(f"b.{k}").alias(k) for k in made])
+
+    rows = as_columns(spark.range(0, n, 1, 1), hexes=hexes, mixed=mixed, digits=digits)
+    hexes, mixed, digits = F.col("hexes"), F.col("mixed"), F.col("digits")
     lower = F.lower(mixed)
     upper = F.upper(mixed)
     long_word = F.concat(pick(["inter", "over", "under", "counter", "trans", "micro"], "a"), pick(["national", "connection", "processing", "organization"], "b"),
                          pick(["development", "management", "information"], "c"))
-    made_up = F.substring(F.translate(hexes, "0123456789abcdef", "aeioutnrshldetio"), F.lit(1), 18 + F.length(long_word) % 20)
     key = pick(["password", "passwd", "PASSWORD", "db_password", "pwd"], "k")
     tok = pick(["token", "auth_token", "api_key", "apiKey", "secret", "client_secret", "access_key", "API_KEY"], "t")
     quote = pick(["\"", "'", ""], "q")
@@ -177,10 +179,6 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     h = lambda k: F.substring(hexes, 1, k)
     sign, other_sign = (pick(list("!@#$%&*?^+;,)("), x) for x in "fg")
     joint = pick(["=", ": ", " = ", ":", "=="], "j")
-    signed = F.concat(F.substring(mixed, F.lit(1), 2 + size % 6), sign, F.substring(mixed, F.lit(12), 2 + size % 5), other_sign, F.substring(digits, F.lit(1), 1 + size % 3))
-    spoken = F.concat(pick(["Summer", "Winter", "dragon", "Welcome", "hunter", "P@ss", "S3cret", "monkey", "Passw0rd", "w0rd"], "v"),
-                      F.substring(digits, F.lit(1), 1 + size % 4), pick(["", "!", "#", "$x", "@", "!x$", "&7k"], "o"), F.substring(mixed, F.lit(30), size % 5))
-    short = F.concat(F.substring(mixed, F.lit(1), 2 + size % 4), F.substring(digits, 1, 1), F.substring(mixed, 9, 1))
     after_key = lambda v: (F.concat(key, joint, quote, v, quote), v)
     any_key = F.concat(pick(["password", "key", "token", "Author", "auth", "secret", "passwd", "Key", "Keywords", "Authorization", "api_key", "credentials"], "K"), joint)
     plain = pick(["required", "the", "none", "None", "null", "true", "False", "name", "value", "yes", "enter", "here", "and", "forgotten", "reset",
@@ -189,6 +187,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     holder = pick(["<password>", "${PASSWORD}", "$DB_PASSWORD", "{{token}}", "********", "os.environ['KEY']", "getpass()", "%(password)s", "self.token",
                    "args.password,", "config['secret']", "...", "get_token()", "[hidden]", "<your-key>", "{secret}", "%s", "***", "####", "$(cat", "request.args;",
                    "(see", "lambda", "settings.API_KEY", "f(x)", "--", "{}", "[]", "<none>", "user.name"], "H")
+    rows = as_columns(rows, lower=lower, upper=upper, long_word=long_word, key=key, tok=tok, quote=quote, size=size, sign=sign,
+                      other_sign=other_sign, joint=joint, any_key=any_key, plain=plain, holder=holder)
+    lower, upper, long_word, key, tok, quote, size, sign, other_sign, joint, any_key, plain, holder = (
+        F.col(c) for c in ("lower", "upper", "long_word", "key", "tok", "quote", "size", "sign", "other_sign", "joint", "any_key", "plain", "holder"))
+    made_up = F.substring(F.translate(hexes, "0123456789abcdef", "aeioutnrshldetio"), F.lit(1), 18 + F.length(long_word) % 20)
+    signed = F.concat(F.substring(mixed, F.lit(1), 2 + size % 6), sign, F.substring(mixed, F.lit(12), 2 + size % 5), other_sign, F.substring(digits, F.lit(1), 1 + size % 3))
+    spoken = F.concat(pick(["Summer", "Winter", "dragon", "Welcome", "hunter", "P@ss", "S3cret", "monkey", "Passw0rd", "w0rd"], "v"),
+                      F.substring(digits, F.lit(1), 1 + size % 4), pick(["", "!", "#", "$x", "@", "!x$", "&7k"], "o"), F.substring(mixed, F.lit(30), size % 5))
+    short = F.concat(F.substring(mixed, F.lit(1), 2 + size % 4), F.substring(digits, 1, 1), F.substring(mixed, 9, 1))
+    rows = as_columns(rows, made_up=made_up, signed=signed, spoken=spoken, short=short)
+    made_up, signed, spoken, short = (F.col(c) for c in ("made_up", "signed", "spoken", "short"))
     secrets = [
         (F.concat(key, F.lit("="), F.substring(lower, F.lit(1), 8 + size % 16)), F.substring(lower, F.lit(1), 8 + size % 16)),
         (F.concat(key, F.lit("="), h(16)), h(16)),
@@ -226,19 +235,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (made_up, made_up), (F.initcap(made_up), F.initcap(made_up)), (F.concat(F.lit("de "), made_up, F.lit(". Un")), F.concat(made_up, F.lit("."))),
     ]
 
-    def either(options: list[tuple], part: int, salt: str) -> Column:
-        k = F.conv(F.substring(noise(salt), 1, 6), 16, 10).cast("int") % len(options)
-        out = F.lit(None).cast("string")
-        for i, o in enumerate(options):
-            out = F.when(k == i, o[part] if o[part] is not None else o[0]).otherwise(out)
-        return out
+    def either(options: list[tuple], salt: str) -> Column:
+        k = F.conv(F.substring(noise(salt), 1, 6), 16, 10).cast("int") % len(options) + 1
+        return F.element_at(F.array(*[F.struct(t.alias("text"), (t if v is None else v).alias("value")) for t, v in options]), k)
 
     is_secret = F.col("id") % 2 == 0
     fill = ["the value of it", "and then in the", "ou de la", "is that with", "der die und", "que el en", "", "was on ### the"]
-    return rows.select(
-        F.concat_ws(" ", pick(fill, "x"), F.when(is_secret, either(secrets, 0, "y")).otherwise(either(harmless, 0, "y")), pick(fill, "z")).alias("text"),
-        pick(["src0", "web", "docs", "tests/fixture", "example", "crawl"], "w").alias("source"),
-        F.when(is_secret, either(secrets, 1, "y")).otherwise(F.lit(None)).alias("value"), is_secret.alias("label"))
+    rows = as_columns(rows, secret=either(secrets, "y"), other=either(harmless, "y"), before=pick(fill, "x"), after=pick(fill, "z"),
+                      source=pick(["src0", "web", "docs", "tests/fixture", "example", "crawl"], "w"))
+    one = F.when(is_secret, F.col("secret")).otherwise(F.col("other"))
+    return rows.select(F.concat_ws(" ", "before", one["text"], "after").alias("text"), "source",
+                       F.when(is_secret, F.col("secret.value")).alias("value"), is_secret.alias("label"))
 
 
 class Forest:
@@ -272,8 +279,10 @@ class Forest:
 
     def vote(self, f: Column) -> Column:
         """The share of trees that call a candidate with features ``f`` a secret."""
-        feature, value, left, right = (F.array(*[F.lit(v) for v in x]) for x in (self.feature, self.value, self.left, self.right))
-        levels = F.array(*[F.lit(i) for i in range(self.depth)])
+        # one literal an array: folded into an array constant, where a thousand literals would burden every plan
+        feature, left, right, roots, levels = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>")
+                                               for x in (self.feature, self.left, self.right, self.roots, range(self.depth)))
+        value = F.split(F.lit(",".join(map(repr, self.value))), ",").cast("array<double>")
 
         def step(node: Column, _: Column) -> Column:
             at = F.get(feature, node)
@@ -282,7 +291,7 @@ class Forest:
         def tree(total: Column, root: Column) -> Column:
             return total + F.get(value, F.aggregate(levels, root, step))
 
-        return F.aggregate(F.array(*[F.lit(r) for r in self.roots]), F.lit(0.0), tree) / len(self.roots)
+        return F.aggregate(roots, F.lit(0.0), tree) / len(self.roots)
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
@@ -301,6 +310,16 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return Forest([t.toDebugString for t in model.trees])
 
 
+_TRAINED: list[Forest] = []    # the forest of the default table, whose rows depend on nothing but its seed
+
+
+def default_forest(spark: SparkSession) -> Forest:
+    """The forest trained on ``labelled_findings``, once a driver."""
+    if not _TRAINED:
+        _TRAINED.append(train(labelled_findings(spark)))
+    return _TRAINED[0]
+
+
 def _findings(df: DataFrame, forest: Forest, threshold: float) -> Column:
     rated = F.transform(candidates(F.col("words"), F.col("source")),
                         lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), c["left"].alias("left"), c["at"].alias("at"),
@@ -315,7 +334,7 @@ def _findings(df: DataFrame, forest: Forest, threshold: float) -> Column:
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per finding: doc_id, word (its number in the text), kind, length, secret_sha256, score."""
-    forest = forest or train(labelled_findings(docs.sparkSession))
+    forest = forest or default_forest(docs.sparkSession)
     d = _split(docs, "doc_id")
     found = d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(_findings(d, forest, threshold)).alias("c"))
     kind = F.when(F.col("c.left").rlike("(?i)pass|pwd"), "password").when(F.col("c.left").rlike(KEY_WORD), "token").otherwise("other")
@@ -328,7 +347,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every found secret replaced in ``text`` (null stays null); other columns as they are, n_chars recounted."""
-    forest = forest or train(labelled_findings(docs.sparkSession))
+    forest = forest or default_forest(docs.sparkSession)
     cols = docs.columns
     own = [f"_c{i}" for i in range(len(cols))]                 # names that clash with none used here
     old = dict(zip(cols, own))
