@@ -55,9 +55,10 @@ def splitlines(x) -> Column:
 
 def line_widths(x) -> Column:
     """The length of each ``str.splitlines(keepends=True)`` line, as ``array<bigint>``."""
-    lines, breaks = F.split(_c(x), LINE_BREAK, -1), F.regexp_extract_all(_c(x), F.lit(LINE_BREAK), 0)
-    widths = F.transform(lines, lambda l, i: (F.length(l) + F.coalesce(F.length(F.get(breaks, i)), F.lit(0))).cast("bigint"))
-    return F.when(F.element_at(lines, -1) == F.lit(""), F.slice(widths, 1, F.size(widths) - 1)).otherwise(widths)
+    both = F.arrays_zip(F.split(_c(x), LINE_BREAK, -1).alias("l"), F.regexp_extract_all(_c(x), F.lit(LINE_BREAK), 0).alias("b"))
+    # the piece after the last break is a line only if it holds something
+    lines = F.filter(both, lambda p: (p["l"] != "") | p["b"].isNotNull())
+    return F.transform(lines, lambda p: (F.length(p["l"]) + F.coalesce(F.length(p["b"]), F.lit(0))).cast("bigint"))
 
 
 def clip_text(x, n: int = MAX_EMBED_CHARS) -> Column:

@@ -10,15 +10,12 @@ both forms give the same chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.functions.once import once
-from codelake.functions.text import WS, dedent_lines, line_widths, pystrip, splitlines
+from codelake.functions.text import WS, dedent_lines, pystrip, splitlines
+from codelake.operators.lineindex import line_starts
 
 # Markers and limits (fixed values).
 CPP_MARKER = "// AI_METADATA"
@@ -44,23 +41,9 @@ def explode_lines(files: DataFrame, text_col: str = "text", keep: list[str] | No
 
 
 def file_line_offsets(files: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """W5 for whole files, in their own rows: ``(keep..., line_no, offset)``, line breaks counted as long as they are.
-
-    A running sum over a file's lines is one pass of an Arrow function; as an
-    array fold it would copy the sums so far at every line."""
-    d = files.select(*keep, line_widths(text_col).alias("offset"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            widths = batch.column(len(keep))
-            edges = np.asarray(widths.offsets).astype(np.int64)
-            edges = edges - edges[0]
-            total = np.concatenate([[0], np.cumsum(np.asarray(widths.flatten()))])[:-1]
-            counts = np.diff(edges)
-            base = np.repeat(total[np.minimum(edges[:-1], max(len(total) - 1, 0))] if len(total) else np.zeros(len(counts), np.int64), counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(edges.astype(np.int32), total - base)], names=batch.schema.names)
-
-    return d.mapInArrow(run, d.schema).select(*keep, F.posexplode("offset").alias("line_no", "offset")) \
+    """W5 for whole files, in their own rows: ``(keep..., line_no, offset)``, line breaks counted as long as they are."""
+    d = files.select(*keep, line_starts(text_col).alias("_starts"))
+    return d.select(*keep, F.posexplode(F.slice("_starts", F.lit(1), F.size("_starts") - 1)).alias("line_no", "offset")) \
         .withColumn("line_no", F.col("line_no").cast("bigint"))
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelake.functions.text import WS, line_widths, pyrstrip, pystrip
+from codelake.functions.text import WS, pyrstrip, pystrip
+from codelake.operators.lineindex import line_starts, offset_of
 from codelake.operators.ordering import global_index
 
 # Patterns (fixed values; Java syntax).  (?U): Unicode \b and \w, as Python's re.
@@ -136,14 +137,7 @@ def ast_span(dump) -> Column:
 def line_start_offset(text, line) -> Column:
     """W5 row-local: offset of 1-based ``line`` in ``text`` (``splitlines(keepends)``
     lengths); null past the end, where the reference raises."""
-    return line_offset(line_widths(text), line)
-
-
-def line_offset(widths, line) -> Column:
-    """W5 from the line widths of a text: offset of 1-based ``line``; null past the end."""
-    widths, before = _c(widths), _c(line) - 1
-    return F.when((before >= 0) & (before <= F.size(widths)),
-                  F.aggregate(F.slice(widths, 1, F.greatest(before, F.lit(0))), F.lit(0).cast("bigint"), lambda a, w: a + w))
+    return offset_of(line_starts(text), line)
 
 
 def compile_flags(command) -> Column:

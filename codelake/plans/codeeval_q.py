@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from codelake.functions import vectors as V
 from codelake.functions.once import once
-from codelake.functions.text import WS, line_widths, pystrip
+from codelake.functions.text import WS, pystrip
 from codelake.operators import codeeval as CE
 from codelake.operators import diffs as DF
 from codelake.operators import embed as E
+from codelake.operators.lineindex import line_starts, position
 from codelake.plans import fixtures as D
 from codelake.plans import sqltext as S
 from codelake.plans.registry import query
@@ -315,23 +316,25 @@ _SPAN = "<(.+?):(\\d+):(\\d+),\\s*line:(\\d+):(\\d+)>"
   from {D.SQL_D6} where regexp_matches(dump, '{_SPAN}')),
 o as (select s.*, d.text, cast({_sql_line_offset('d.text', 's.start_line')} + start_col - 1 as bigint) start_offset,
   cast({_sql_line_offset('d.text', 's.end_line')} + end_col - 1 + 1 as bigint) end_offset
-  from s left join documents d on d.doc_id = s.p_partkey % (select greatest(count(*), 1) from documents))
+  from s left join (select doc_id, row_number() over (order by doc_id) - 1 num, count(*) over () n from (select distinct doc_id from documents where doc_id is not null)) k
+  on k.num = s.p_partkey % k.n left join documents d on d.doc_id = k.doc_id)
 select p_partkey, file, start_line, start_col, end_line, end_col,
   start_offset is not null and end_offset is not null in_range,
   coalesce(start_offset, -1) start_offset, coalesce(end_offset, -1) end_offset,
   substr(text, start_offset + 1, end_offset - start_offset) snippet from o""")
 def ast_span(spark, sf_dir):
-    """F26 + W5: the dumped span located in the document of number ``p_partkey``
-    modulo their count (end made inclusive), with the code it covers.  A line past the end of
+    """F26 + W5: the dumped span located in the document whose number, in the order of doc_id,
+    is ``p_partkey`` modulo their count (end made inclusive), with the code it covers.  A line past the end of
     the document (where the reference raises) gives ``in_range = false``,
     offsets -1 and no snippet; the row is kept."""
     d6 = D.d6_ast_dumps(spark, sf_dir)
     sp = d6.select("p_partkey", CE.ast_span("dump").alias("s")).filter(F.col("s").isNotNull()).select("p_partkey", "s.*")
-    docs = once(read_table(spark, sf_dir, "documents").select("doc_id", "text"), line_widths("text").alias("widths"))
-    n = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))                  # one row
-    j = sp.join(F.broadcast(n)).withColumn("doc_id", F.col("p_partkey") % F.col("n")).join(docs, "doc_id", "left")
-    so = (CE.line_offset("widths", "start_line") + F.col("start_col") - 1).cast("bigint")
-    eo = (CE.line_offset("widths", "end_line") + F.col("end_col") - 1 + 1).cast("bigint")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", line_starts("text").alias("starts"))
+    number, n = D.numbered(docs.select("doc_id").where("doc_id is not null"), "doc_id")
+    # requests find their document by number; they alone are shuffled up to there
+    of = sp.withColumn("num", F.col("p_partkey") % n).join(number, "num", "left").drop("num")
+    j = of.join(docs, "doc_id", "left")
+    so, eo = position("starts", "start_line", "start_col"), position("starts", "end_line", "end_col") + 1
     j = j.withColumn("start_offset", so).withColumn("end_offset", eo)
     ok = F.col("start_offset").isNotNull() & F.col("end_offset").isNotNull()
     return j.select("p_partkey", "file", "start_line", "start_col", "end_line", "end_col", ok.alias("in_range"),

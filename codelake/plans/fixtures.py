@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelake.operators.ordering import global_index
 from codelake.sources.tables import read_table
 
 NL = "\n"
@@ -79,18 +80,24 @@ def d3_fortran_lines(spark, sf_dir) -> DataFrame:
     return line_table(d3_fortran_files(spark, sf_dir), "doc_id", "source")
 
 
+def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Distinct rows with ``num``, their number from 0 in ``order``, and how many there are (1 at least)."""
+    d = global_index(rows.distinct(), list(order), "num")
+    return d, max(1, d.count())
+
+
 def d4_eval_pairs(spark, sf_dir) -> DataFrame:
-    """Every document as generated code, with the benchmark code of number ``doc_id`` mod their count."""
-    b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("b_id"), F.col("text").alias("b_text"))
-    n = b.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))                     # one row
+    """Every document as generated code, with the benchmark code whose number, in the order of
+    (item_id, text), is ``doc_id`` modulo their count; gaps and repeated ids leave every document one partner."""
+    b, n = numbered(read_table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text")
+    b = b.select("num", F.col("text").alias("b_text"))
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("d_text"))
     iid = F.col("item_id").cast("string")
     bench = F.concat(F.lit("#include <x.H> void Foo::bar(int a) { int tmp"), iid, F.lit(" = a; "),
                      F.replace(F.col("b_text"), F.lit("."), F.lit(";")), F.lit(" }"))
     gen = F.concat(F.lit("void Foo::bar(int a) { int t"), iid, F.lit(" = a; "),
                    F.replace(F.col("d_text"), F.lit("."), F.lit(";")), F.lit(" }"))
-    d = d.join(F.broadcast(n)).withColumn("b_id", F.col("item_id") % F.col("n"))
-    return d.join(b, "b_id").select("item_id", bench.alias("bench"), gen.alias("gen"))
+    return d.withColumn("num", F.col("item_id") % n).join(b, "num", "left").select("item_id", bench.alias("bench"), gen.alias("gen"))
 
 
 def d5_files(spark, sf_dir) -> DataFrame:
@@ -161,7 +168,8 @@ SQL_D3 = _sql_markers("doc_id, source", """case when i%9=0 then [concat('! PURPO
 SQL_D4 = """(select d.doc_id item_id,
   concat('#include <x.H> void Foo::bar(int a) { int tmp', cast(d.doc_id as varchar), ' = a; ', replace(b.text,'.',';'), ' }') bench,
   concat('void Foo::bar(int a) { int t', cast(d.doc_id as varchar), ' = a; ', replace(d.text,'.',';'), ' }') gen
-from documents d join benchmark b on b.item_id=d.doc_id%(select greatest(count(*),1) from benchmark))"""
+from documents d left join (select text, row_number() over (order by item_id nulls first, text nulls first)-1 num from (select distinct item_id, text from benchmark)) b
+  on b.num=d.doc_id%(select greatest(count(*),1) from (select distinct item_id, text from benchmark)))"""
 
 SQL_D5 = f"""(select doc_id, i line_no, x old_line, case when i%5=0 then concat('~ ', x) else x end new_line,
   doc_id%2=1 and i%4=3 dropped from {SQL_LINES})"""
