@@ -7,8 +7,14 @@ X3 replaces a per-row tokenizer with a corpus vocabulary built by Spark
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelake.functions.text import pyrstrip, pystrip
 from codelake.operators.ordering import global_index
@@ -26,6 +32,8 @@ UNK_ID = 0
 EOS_ID = 1
 PAD_ID = EOS_ID
 FIRST_TOKEN_ID = 2
+# Tokens of texts that share a dictionary (a longer text has one of its own)
+BLOCK_TOKENS = 1 << 20
 # Token rule (ours): ASCII word runs, or any single other non-space character.
 TOKEN_RE = (r"[A-Za-z0-9_]+|[^A-Za-z0-9_\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
@@ -84,15 +92,65 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_RE), 0)
 
 
-def build_vocab(texts: DataFrame, text_col: str) -> DataFrame:
-    """X3 vocabulary: ``(token, id)`` by descending count then token.
-
-    Counting is a partial aggregate; numbering uses the distributed
-    ``global_index`` (no single-task window).  The result is checkpointed
-    to the shared folder (lineage cut), so the corpus is counted once."""
+def code_texts(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """X3, first step: texts as token numbers, with a dictionary per block of texts.
+
+    A block is what a task has at hand, up to ``BLOCK_TOKENS`` tokens (or one text).  One row per text,
+    ``(*keys, block, codes)``, where codes are numbers in the block's dictionary (null text: no code), and one
+    row per block with its distinct tokens and their counts.  Texts are split into tokens here and nowhere else;
+    the table is written once to the shared folder, since both the vocabulary and the encoding read it."""
+    from codelake.session import scratch_path
+
+    spark = texts.sparkSession
+    path = scratch_path(spark, "coded-texts")
+    tokenised = texts.select(*keys, F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("_tokens"))
+    own = texts.select(*keys).schema
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in own.fields), T.StructField("block", T.StringType()), T.StructField("codes", T.ArrayType(T.IntegerType())),
+                           T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = 0
+        for batch in batches:
+            sizes = np.asarray(pc.list_value_length(batch.column(n_keys))).astype(np.int64)
+            ends, i = np.cumsum(sizes), 0
+            while i < batch.num_rows:
+                before = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + BLOCK_TOKENS, side="right")))
+                part = batch.slice(i, j - i)
+                coded = part.column(n_keys).flatten().dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                n, seen = part.num_rows, len(coded.dictionary)
+                name = f"{TaskContext.get().partitionId()}-{block}"
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes[i:j])]).astype(np.int32), pa.array(codes, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:n_keys], pa.array([name] * n), lists, pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.nulls(1, c.type) for c in part.columns[:n_keys]), pa.array([name]), pa.nulls(1, pa.list_(pa.int32())),
+                     pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string())),
+                     pa.array([np.bincount(codes, minlength=seen).tolist()], pa.list_(pa.int64()))], names=schema.names)
+                i, block = j, block + 1
+
+    tokenised.mapInArrow(run, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _entries(coded: DataFrame) -> DataFrame:
+    """``(block, code, token, count)`` of all blocks' dictionaries."""
+    return coded.where("tokens is not null").select("block", F.posexplode(F.arrays_zip("tokens", "counts")).alias("code", "e")) \
+        .select("block", "code", F.col("e.tokens").alias("token"), F.col("e.counts").alias("count"))
+
+
+def vocabulary(coded: DataFrame) -> DataFrame:
+    """X3 vocabulary: ``(token, id, count)`` by descending count then token.
+
+    Counts are added up over blocks, a partial aggregate; numbering uses the distributed ``global_index`` (no
+    single-task window).  The result is checkpointed to the shared folder (lineage cut)."""
     from codelake.session import checkpoint_dir
 
-    counts = texts.select(F.explode(tokens(F.col(text_col))).alias("token")).groupBy("token").count()
+    counts = _entries(coded).groupBy("token").agg(F.sum("count").alias("count"))
     ranked = global_index(counts, [F.col("count").desc(), F.col("token").asc()], "rank")
     vocab = ranked.select("token", (F.col("rank") + FIRST_TOKEN_ID).cast("int").alias("id"), "count")
     # built once: every use reads the checkpoint in the shared folder
@@ -100,21 +158,37 @@ def build_vocab(texts: DataFrame, text_col: str) -> DataFrame:
     return vocab.checkpoint(eager=True)
 
 
-def encode(texts: DataFrame, keys: list[str], text_col: str, vocab: DataFrame) -> DataFrame:
+def encode_coded(coded: DataFrame, keys: list[str], vocab: DataFrame) -> DataFrame:
     """``(*keys, ids array<int>)`` in token order (unknown tokens → ``UNK_ID``).
 
-    A text's tokens are grouped before the join, so a token meets the vocabulary
-    once per text with all its positions, however often it occurs; the join's
-    strategy, and the splitting of a token that stands in very many texts, are
-    left to adaptive execution.
-    """
-    one = texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("pos", "token")).groupBy(*keys, "token").agg(F.collect_list("pos").alias("at"))
-    j = one.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
-    pairs = F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("pos"), F.col("id").alias("id")))))
-    enc = j.groupBy(*keys).agg(F.transform(F.array_sort(pairs), lambda s: s["id"]).alias("ids"))
-    # texts without a single token keep an empty sequence
-    return texts.select(*keys).join(enc, keys, "left").withColumn(
-        "ids", F.coalesce("ids", F.array().cast("array<int>")))
+    Only dictionary entries meet the vocabulary: a token once a block, however often it occurs there.  A
+    block's ids then meet the block's texts, which are translated by array look-up; no row is ever one token."""
+    found = _entries(coded).join(vocab.select("token", "id"), "token", "left").select(
+        F.col("block").alias("of"), "code", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+    rows = coded.where("tokens is null").select(*keys, "block", "codes")
+    out = rows.select(*keys).schema.add("ids", T.ArrayType(T.IntegerType()))
+
+    def translate(key: tuple[pa.Scalar, ...], texts: pa.Table, entries: pa.Table) -> pa.Table:
+        ids = np.full(entries.num_rows, UNK_ID, np.int32)
+        ids[entries.column("code").to_numpy()] = entries.column("id").to_numpy()
+        codes = texts.column("codes").combine_chunks()
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        flat = ids[codes.flatten().to_numpy(zero_copy_only=False)]
+        edges = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(codes)))]).astype(np.int32)
+        return pa.table({**{k: texts.column(k) for k in keys}, "ids": pa.ListArray.from_arrays(edges, pa.array(flat, pa.int32()))})
+
+    # a group is one block: bounded
+    return rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(translate, out)
+
+
+def build_vocab(texts: DataFrame, text_col: str) -> DataFrame:
+    """``vocabulary`` of a table of texts."""
+    return vocabulary(code_texts(texts, [], text_col))
+
+
+def encode(texts: DataFrame, keys: list[str], text_col: str, vocab: DataFrame) -> DataFrame:
+    """``encode_coded`` of a table of texts with a given vocabulary."""
+    return encode_coded(code_texts(texts, keys, text_col), keys, vocab)
 
 
 def encode_fixed(ids: Column, n: int = MAX_LEN, pad_id: int = PAD_ID) -> Column:

@@ -63,8 +63,8 @@ def sft_prompt(spark, sf_dir):
 
 def _encoded(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    vocab = TD.build_vocab(conv, "text")
-    return TD.encode(conv, ["conv_id", "turn"], "text", vocab)
+    coded = TD.code_texts(conv, ["conv_id", "turn"], "text")
+    return TD.encode_coded(coded, ["conv_id", "turn"], TD.vocabulary(coded))
 
 
 @query("sft_tokenize", f"""with {SQL_TOKENS}
@@ -105,10 +105,9 @@ select doc_id, pair_no, cast(w as integer) "window", array_to_string(input_ids,
 def sft_encode(spark, sf_dir):
     """Pairs (W3) → rendered prompts (F27) → ids (X3) → fixed windows over the whole text (F28) → masked labels."""
     keys = ["doc_id", "pair_no"]
-    path = scratch_path(spark, "sft-prompts")
-    _pairs(spark, sf_dir).select(*keys, TD.sft_prompt("instruction", "response").alias("prompt")).write.parquet(path)
-    prompts = spark.read.parquet(path)                 # counted and encoded: parsed once
-    enc = TD.encode(prompts, keys, "prompt", TD.build_vocab(prompts, "prompt"))
+    prompts = _pairs(spark, sf_dir).select(*keys, TD.sft_prompt("instruction", "response").alias("prompt"))
+    coded = TD.code_texts(prompts, keys, "prompt")     # parsed and split once, counted and encoded from there
+    enc = TD.encode_coded(coded, keys, TD.vocabulary(coded))
     win = enc.select(*keys, F.posexplode(TD.encode_windows(F.col("ids"))).alias("window", "ids"))
     return win.select(*keys, "window", F.array_join("ids", " ").alias("input_ids"),
                       F.array_join(TD.mask_labels(F.col("ids")), " ").alias("labels"))

@@ -236,3 +236,21 @@ def test_compile_flags_are_shell_words(spark):
 def _col_of(spark, values, fn):
     df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
     return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
+
+
+def test_coded_texts_share_dictionaries_by_block(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["a", "b", "c(", "dd", "é"]) for _ in range(rnd.randrange(12))) if i % 7 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(3)
+    monkeypatch.setattr(TD, "BLOCK_TOKENS", 10)
+    coded = TD.code_texts(df, ["k"], "text")
+    assert coded.where("tokens is not null").count() > 20
+    want = {k: re.findall(r"[A-Za-z0-9_]+|\S", t or "") for k, t in rows}
+    vocab = TD.vocabulary(coded)
+    ids = {r.token: r.id for r in vocab.collect()}
+    counts = {r.token: r["count"] for r in vocab.collect()}
+    assert counts == {t: sum(w.count(t) for w in want.values()) for t in ids}
+    some = vocab.where("token <> 'b'")                  # a token the vocabulary lacks
+    got = {r.k: list(r.ids) for r in TD.encode_coded(coded, ["k"], some).collect()}
+    assert got == {k: [TD.UNK_ID if t == "b" else ids[t] for t in w] for k, w in want.items()}
+    assert TD.encode_coded(TD.code_texts(df.limit(0), ["k"], "text"), ["k"], vocab).collect() == []
