@@ -16,8 +16,9 @@ from codelake.plans.conversation_q import SQL_COMMENTS, SQL_LATEST, sql_ts, ts_t
 from codelake.plans.prompts_q import _sql_classify, _sql_first_hit, sql_agent_instruction, sql_compiler_block, sql_mention
 from codelake.plans.registry import query
 from codelake.session import scratch_path
-from codelake.sources.tables import SCHEMAS
+from codelake.sources.tables import SCHEMAS, read_table
 from codelake.streaming import comments as ST
+from codelake.streaming import upserts as U
 
 
 def _stream_comments(spark, sf_dir, redeliver: bool = False):
@@ -54,12 +55,55 @@ def stream_dedupe(spark, sf_dir):
     return _run(spark, s, "dedupe").withColumn("created_at", ts_text("created_at"))
 
 
+def _slices(spark, sf_dir, parts: int = 4):
+    """``events`` landed in slices of event time, oldest first; yields the landing folder, the length of a slice
+    in seconds, and a function that lands slice ``i`` (with ``again``, the slice before once more)."""
+    ev = read_table(spark, sf_dir, "events")
+    root = scratch_path(spark, "landed-events")
+    r = ev.agg(F.min("ts").cast("timestamp").alias("lo"), F.max("ts").cast("timestamp").alias("hi")).first()
+    lo, hi = (x.timestamp() if x else 0.0 for x in (r["lo"], r["hi"]))
+    step = (hi - lo) / parts + 1
+    nth = F.least(F.lit(parts - 1), F.floor((F.col("ts").cast("timestamp").cast("double") - lo) / step)).cast("int")
+    ev = ev.withColumn("_nth", F.coalesce(nth, F.lit(0)))
+
+    def land(i: int, again: bool) -> None:
+        first = max(0, i - 1) if again else i
+        ev.where(F.col("_nth").between(first, i)).drop("_nth").write.mode("append").parquet(root)
+
+    return root, step, land
+
+
 @query("stream_latest", f"""with {SQL_COMMENTS}
 {SQL_LATEST}""")
 def stream_latest(spark, sf_dir):
-    """ST3: newest comment per pull request, maintained by a streaming aggregate."""
-    s = ST.latest_per_pr(_stream_comments(spark, sf_dir))
-    return _run(spark, s, "latest", mode="complete").withColumn("created_at", ts_text("created_at"))
+    """ST3: newest comment per pull request, kept up to date in update mode over four landings; each run
+    starts from the checkpoint of the one before and writes the requests that changed.  Folded once on the way."""
+    ST.disk_state(spark)
+    root, _, land = _slices(spark, sf_dir)
+    out, check = scratch_path(spark, "stream-latest"), scratch_path(spark, "stream-latest-ckpt")
+    for i in range(4):
+        land(i, False)
+        feed = CV.union_comments(D.d9_from_events(ST.comment_stream(spark, root, SCHEMAS["events"])))
+        ST.finished(U.sink_upserts(ST.latest_per_pr(feed), out, check))
+        if i == 1:
+            U.compact(spark, out, ["pr"])
+    return U.read_upserts(spark, out, ["pr"]).withColumn("created_at", ts_text("created_at"))
+
+
+@query("stream_seen", f"""with {SQL_COMMENTS}
+select distinct uid, pr, {sql_ts('created_at')} from comments""")
+def stream_seen(spark, sf_dir):
+    """ST2 with bounded state: four landings, each with the one before delivered again, and a watermark that
+    passes, so that old uids are evicted.  Every run restarts from the checkpoint; a comment is processed once."""
+    ST.disk_state(spark)
+    root, step, land = _slices(spark, sf_dir)
+    out, check = scratch_path(spark, "stream-seen"), scratch_path(spark, "stream-seen-ckpt")
+    for i in range(4):
+        land(i, True)
+        feed = CV.union_comments(D.d9_from_events(ST.comment_stream(spark, root, SCHEMAS["events"])))
+        seen = ST.dedupe_seen(feed, watermark=f"{max(1, int(step / 2))} seconds").select("uid", "pr", "created_at")
+        ST.run_to_parquet(seen, out, check)
+    return spark.read.parquet(out).withColumn("created_at", ts_text("created_at"))
 
 
 def _sql_mention_kind(intent: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelake.functions.text import pystrip
 from codelake.operators.ordering import global_index
+from codelake.sources.commit import read_once, write_once
 
 # State record fields (fixed values).
 DEFAULT_TOOL = "codelake"
@@ -39,6 +40,11 @@ def state_records(df: DataFrame, prompt_col: str, scaffold_type: str = "example"
              .withColumn("created_at", F.current_timestamp())
 
 
-def write_state_once(records: DataFrame, path: str) -> None:
-    """Write the state only when none exists (``mode("ignore")``)."""
-    records.write.mode("ignore").json(path)
+def write_state_once(records: DataFrame, path: str) -> bool:
+    """Publish the state unless one is published; of several writers one wins, whole.  Says whether this one did."""
+    return write_once(records, path)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The published state, or null."""
+    return read_once(spark, path)

@@ -9,9 +9,14 @@ processes only new files:
   ``processingTime`` trigger in service, ``availableNow`` in tests.
 * ST2 ``dedupe_seen``: ``dropDuplicates(["uid"])`` before the mention
   filter, so comments without a mention are marked seen too; the state is
-  checkpointed (survives restarts and lost executors).  A bounded variant
-  keeps uids for a watermark delay only.
-* ST3 ``latest_per_pr``: streaming ``max_by`` per pull request.
+  checkpointed (survives restarts and lost executors).  With a watermark the
+  state holds the uids of the last ``delay`` of event time only: older ones
+  are evicted, and a comment from before the watermark, delivered again or
+  for the first time, is dropped as late.  ``disk_state`` keeps state on
+  executors' disks with checkpoints in the shared folder, not in their heaps.
+* ST3 ``latest_per_pr``: streaming ``max_by`` per pull request, in update
+  mode kept up to date by ``upserts.sink_upserts``: a trigger writes the
+  requests that changed, nothing else.
 * ST4 ``triage``: the batch Column functions, unchanged, on the stream.
 * ST5 ``sink_responses``: ``foreachBatch`` writing each micro-batch to its
   own epoch folder with ``overwrite``, so a replayed batch is idempotent.
@@ -27,8 +32,10 @@ from pyspark.sql import functions as F
 
 from codelake.functions import prompts as P
 from codelake.functions import templates as T
-from codelake.operators.conversation import latest_comment, union_comments
+from codelake.operators.conversation import union_comments
 
+DEFAULT_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Poll intervals (fixed values): assistant 2 s, tool 10 s.
 ASSISTANT_POLL = "2 seconds"
 TOOL_POLL = "10 seconds"
@@ -61,8 +68,17 @@ def mentions(comments: DataFrame, marker: str = P.DEFAULT_MENTION) -> DataFrame:
 
 
 def latest_per_pr(comments: DataFrame) -> DataFrame:
-    """ST3: newest comment per pull request (update or complete mode)."""
-    return latest_comment(comments, "pr")
+    """ST3: newest comment per pull request (update or complete mode); ties as in ``latest_comment``."""
+    key = F.struct(F.col("created_at"), -F.col("feed_order"), -F.col("id"))
+    rec = F.struct("uid", "created_at", "body", "author", "source")
+    return comments.groupBy("pr").agg(F.max_by(rec, key).alias("c")).select("pr", "c.*")
+
+
+def disk_state(spark: SparkSession) -> None:
+    """State of queries started from now on lives on disk (set only where the cluster names no provider)."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name, DEFAULT_STATE) == DEFAULT_STATE:
+        spark.conf.set(name, DISK_STATE)
 
 
 def _mention_kind(intent: Column) -> Column:
@@ -109,8 +125,8 @@ def sink_responses(df: DataFrame, path: str, checkpoint: str, trigger: dict | No
 
 
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                   trigger: dict | None = None) -> None:
-    """Run a stream until the available input is consumed; results in ``path``.
+                   trigger: dict | None = None) -> list[dict]:
+    """Run a stream until the available input is consumed; results in ``path``.  Returns the progress of its triggers.
 
     ``append``: the file sink (exactly once via its commit log).
     ``complete``: ``foreachBatch`` overwriting ``path`` with the full result.
@@ -124,9 +140,15 @@ def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "appen
             batch.write.mode("overwrite").parquet(path)
         q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
                .outputMode(mode).trigger(**trig).start())
+    return finished(q)
+
+
+def finished(q) -> list[dict]:
+    """Wait for a query that ends by itself; the progress of its triggers, or its failure."""
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    return list(q.recentProgress)
 
 
 def start_watcher(spark: SparkSession, landed_root: str, replies_path: str, checkpoint: str,
@@ -140,6 +162,7 @@ def start_watcher(spark: SparkSession, landed_root: str, replies_path: str, chec
     """
     from codelake.sources.comments import read_comment_pages
 
+    disk_state(spark)
     feeds = [read_comment_pages(spark, landed_root, f, stream=True) for f in ("issue", "review", "submission")]
     pages = feeds[0].unionByName(feeds[1]).unionByName(feeds[2])
     replies = triage(dedupe_seen(union_comments(pages), dedupe_watermark), marker)

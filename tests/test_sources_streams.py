@@ -110,10 +110,11 @@ def test_jsonl_prompts_state(spark, tmp_dir):
     assert got == [(0, "first"), (1, "second"), (3, "fourth")]   # the empty file keeps index 2
     st = os.path.join(tmp_dir, "state")
     recs = SP.state_records(spark.createDataFrame([("make x",)], "p string"), "p")
-    SP.write_state_once(recs, st)
-    SP.write_state_once(SP.state_records(spark.createDataFrame([("other",)], "p string"), "p"), st)
+    assert SP.read_state(spark, st) is None
+    assert SP.write_state_once(recs, st)
+    assert not SP.write_state_once(SP.state_records(spark.createDataFrame([("other",)], "p string"), "p"), st)
     import hashlib
-    assert [r.prompt_hash for r in spark.read.json(st).collect()] == [hashlib.sha256(b"make x").hexdigest()]
+    assert [r.prompt_hash for r in SP.read_state(spark, st).collect()] == [hashlib.sha256(b"make x").hexdigest()]
 
 
 def _pages(spark, rows):
