@@ -8,12 +8,13 @@ over the sorted names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelake.functions.text import WS, pyrstrip, pystrip
 from codelake.operators.lineindex import line_starts, offset_of
 from codelake.operators.ordering import global_index
+from codelake.sources.commit import read_once, write_once
 
 # Patterns (fixed values; Java syntax).  (?U): Unicode \b and \w, as Python's re.
 NS_PREFIX = r"(?U)\bamrex::"
@@ -214,3 +215,13 @@ def write_eval_report(df: DataFrame, path: str) -> None:
     newline is dropped first: each file holds exactly the report."""
     value = F.regexp_replace(F.col("report"), "\n$", "")
     df.select("idx", value.alias("value")).write.mode("overwrite").partitionBy("idx").text(path)
+
+
+def publish_eval_reports(df: DataFrame, path: str) -> bool:
+    """S9 for a whole run: ``(idx, report)`` published at once, by one writer; says whether it was this one."""
+    return write_once(df.select("idx", "report"), path, "parquet")
+
+
+def read_eval_reports(spark: SparkSession, path: str) -> DataFrame | None:
+    """The published reports, or null."""
+    return read_once(spark, path, "parquet", "idx bigint, report string")

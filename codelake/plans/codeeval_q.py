@@ -15,6 +15,7 @@ from codelake.operators.lineindex import line_starts, position
 from codelake.plans import fixtures as D
 from codelake.plans import sqltext as S
 from codelake.plans.registry import query
+from codelake.session import scratch_path
 from codelake.sources.tables import read_table
 
 DIM = E.DEFAULT_DIM
@@ -344,7 +345,7 @@ def ast_span(spark, sf_dir):
                                            F.col("end_offset") - F.col("start_offset"))).alias("snippet"))
 
 
-@query("eval_report", f"""with {_SQL_CANON_D4},
+_SQL_REPORT = f"""with {_SQL_CANON_D4},
 t as (select item_id idx, d.gen, d.bench, c1.g1, c1.b1, c3.gen_canon gn, c3.bench_canon bn
   from c3 join c1 using (item_id) join {D.SQL_D4} d using (item_id)),
 gv as {S.sparse_hash('t', 'idx', 'gn', DIM)},
@@ -357,7 +358,10 @@ c as (select t.*, case when coalesce(gnrm.n, 0) * coalesce(bnrm.n, 0) = 0 then -
   from t left join gnrm using (idx) left join bnrm using (idx) left join dt using (idx))
 select cast(idx as bigint) idx, round(cos, 9) cos,
   {" || ".join(f"'{CE.section_head(h)}' || {c} || chr(10)" for h, c in zip(CE.REPORT_SECTIONS, ("gen", "g1", "gn", "bench", "b1", "bn")))}
-  || printf('Cosine similarity: %.4f', cos) || chr(10) report from c""")
+  || printf('Cosine similarity: %.4f', cos) || chr(10) report from c"""
+
+
+@query("eval_report", _SQL_REPORT)
 def eval_report(spark, sf_dir):
     """S9 + X1 + F1: both sides raw, cut out (F17), and normalised with canonical locals (F18, F19), with their cosine."""
     d4 = D.d4_eval_pairs(spark, sf_dir)
@@ -368,6 +372,15 @@ def eval_report(spark, sf_dir):
     return t.select("idx", F.round("cos", 9).alias("cos"), rep.alias("report"))
 
 
+@query("report_published", f"select idx, report from ({_SQL_REPORT})")
+def report_published(spark, sf_dir):
+    """S9 written and read back: all reports of a run appear at once, a run that comes second changes nothing."""
+    path, rep = scratch_path(spark, "reports"), eval_report(spark, sf_dir)
+    CE.publish_eval_reports(rep, path)
+    CE.publish_eval_reports(rep.where("idx < 0"), path)
+    return CE.read_eval_reports(spark, path)
+
+
 @query("eval_score", f"""with {_SQL_CANON_D4},
 p as (select printf('prompt_%06d.txt', item_id) prompt_name, item_id, {S.strip('gen')} prompt from {D.SQL_D4}),
 i as (select *, row_number() over (order by prompt_name) - 1 idx from p),

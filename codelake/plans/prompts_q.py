@@ -10,6 +10,7 @@ from codelake.functions.text import pystrip
 from codelake.plans import fixtures as D
 from codelake.plans import sqltext as S
 from codelake.plans.registry import query
+from codelake.session import scratch_path
 from codelake.sources import prompts as SP
 from codelake.sources.tables import read_table
 
@@ -221,6 +222,18 @@ def prompt_hash(spark, sf_dir):
         "conv_id", "turn", "prompt_hash", "intent")
 
 
+@query("state_once", f"""select conv_id, turn, sha256(body) prompt_hash, 'example' scaffold_type, true scaffolded
+  from {D2} where {_sql_classify('body', 'fortran')} = 'scaffolding'""")
+def state_once(spark, sf_dir):
+    """S10 written and read back: the first writer's records are published, a second writer's are not."""
+    d = D.d2_bodies(spark, sf_dir)
+    kind = P.classify_intent("body", "fortran")
+    path = scratch_path(spark, "state")
+    SP.write_state_once(SP.state_records(d.where(kind == "scaffolding"), "body"), path)
+    SP.write_state_once(SP.state_records(d, "body", scaffold_type="second"), path)
+    return SP.read_state(spark, path, "conv_id bigint, turn int, prompt_hash string, scaffold_type string, scaffolded boolean")
+
+
 def _sql_fields(dump: str) -> str:
     """F25 as DuckDB text: the member declarations of a dump, one per line."""
     from codelake.functions.text import WS

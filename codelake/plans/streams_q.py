@@ -144,10 +144,7 @@ def stream_triage(spark, sf_dir):
                  ST.reply_text(F.col("kind"), F.col("prompt")).alias("reply"))
     # ST5: replies land through foreachBatch, one folder per epoch (idempotent on replay)
     out = scratch_path(spark, "stream-replies")
-    q = ST.sink_responses(s, out, scratch_path(spark, "stream-replies-ckpt"))
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    ST.finished(ST.sink_responses(s, out, scratch_path(spark, "stream-replies-ckpt")))
     return spark.read.parquet(out).drop("epoch")
 
 
@@ -174,3 +171,24 @@ def stream_landed(spark, sf_dir):
         out = s if out is None else out.unionByName(s)
     s = ST.dedupe_seen(CV.union_comments(out), watermark="3650 days").select("uid", "pr", "created_at")
     return _run(spark, s, "landed").withColumn("created_at", ts_text("created_at"))
+
+
+@query("stream_replayed", SQL_TRIAGE.replace("select *, concat('### Assistant reply", "select uid, pr, kind, concat('### Assistant reply"))
+def stream_replayed(spark, sf_dir):
+    """ST5 after a failure: the sink stops once its first epoch is written but not yet committed; the service
+    starts again from the checkpoint, the epoch is replayed, and every reply stands there once."""
+    s = ST.triage(ST.dedupe_seen(_stream_comments(spark, sf_dir, redeliver=True)))
+    s = s.select("uid", "pr", "kind", ST.reply_text(F.col("kind"), F.col("prompt")).alias("reply"))
+    out, check = scratch_path(spark, "stream-replayed"), scratch_path(spark, "stream-replayed-ckpt")
+
+    def stops(batch, path, epoch):
+        ST.write_epoch(batch, path, epoch)
+        raise InterruptedError("stopped before the commit")
+
+    try:
+        ST.finished(ST.sink_responses(s, out, check, write=stops))
+    except Exception as e:  # noqa: BLE001 - only the stop above is expected
+        if "stopped before the commit" not in str(e):
+            raise
+    ST.finished(ST.sink_responses(s, out, check))
+    return spark.read.parquet(out).drop("epoch")

@@ -45,6 +45,6 @@ def write_state_once(records: DataFrame, path: str) -> bool:
     return write_once(records, path)
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+def read_state(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """The published state, or null."""
-    return read_once(spark, path)
+    return read_once(spark, path, schema=schema)

@@ -114,12 +114,14 @@ def reply_text(kind: Column, text: Column) -> Column:
     return F.concat(F.lit("### Assistant reply ("), kind, F.lit(")\n\n```\n"), text, F.lit("\n```"))
 
 
-def sink_responses(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """ST5: ``foreachBatch`` → one Parquet folder per epoch, overwritten on replay."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+def write_epoch(batch: DataFrame, path: str, epoch: int) -> None:
+    """The rows of one epoch in a folder of its own; an epoch replayed after a failure replaces it."""
+    batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
 
-    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def sink_responses(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, write=write_epoch):
+    """ST5: ``foreachBatch`` → one Parquet folder per epoch, overwritten on replay."""
+    w = df.writeStream.foreachBatch(lambda batch, epoch: write(batch, path, epoch)).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
