@@ -1,8 +1,9 @@
 """Scan a source tree into a file table.
 
-``spark.read.format("binaryFile")`` lists the tree in parallel; the path
-rule is a native predicate on ``path`` and ``content`` is only decoded for
-kept files.  Files that are not valid UTF-8 are skipped, as the reference
+The tree is listed first, paths only: the path rule is a native predicate on
+``path`` and no content is read.  What is left are the folders that hold kept
+files; contents are then read from those folders alone, so files under an
+excluded segment cost a listing entry and no byte.  Files that are not valid UTF-8 are skipped, as the reference
 skips unreadable files.  Exclusion is tested on the path *relative to the
 scanned root* (the reference tests the absolute path, so a root below a
 ``build`` folder would yield nothing).
@@ -51,6 +52,15 @@ def apply_path_rule(df: DataFrame, path_col: str, rule: PathRule = PathRule()) -
     return df.withColumn("name", name).withColumn("suffix", suffix).filter(keep)
 
 
+def kept_folders(spark: SparkSession, root: str, root_path: str, names: str, rule: PathRule) -> list[str]:
+    """The folders with files that the rule keeps.  Exclusion goes by folder, so a folder's matching files are kept or left together.
+
+    One entry a folder; Spark's own listing, which this reads, holds one a file."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root).select("path")
+    kept = apply_path_rule(paths.withColumn("_rel", F.expr(f"substring(path, {len(root_path) + 2})")), "_rel", rule)
+    return sorted(r[0] for r in kept.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().collect())
+
+
 def scan_code_corpus(spark: SparkSession, root: str, layout: str = "per_subdir",
                      rule: PathRule = PathRule(), language: str | None = None) -> DataFrame:
     """File table ``(example, relative_path, source_file, language, text)``.
@@ -66,8 +76,13 @@ def scan_code_corpus(spark: SparkSession, root: str, layout: str = "per_subdir",
     root_path = fs.makeQualified(given).toString().rstrip("/")
     # the glob keeps other files' contents from being read at all
     names = ",".join([f"*{s}" for s in rule.suffixes] + list(rule.names))
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "{" + names + "}").load(root).select("path", "content"))
+    names = "{" + names + "}"
+    folders = kept_folders(spark, root, root_path, names, rule)
+    if folders:
+        escaped = [re.sub(r"([\\{}\[\]*?^])", r"\\\1", f) for f in folders]         # a path, not a pattern
+        files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(escaped).select("path", "content")
+    else:
+        files = spark.createDataFrame([], "path string, content binary")
     files = files.withColumn("_rel_root", F.expr(f"substring(path, {len(root_path) + 2})"))
     files = apply_path_rule(files, "_rel_root", rule)
     if layout == "per_subdir":
