@@ -42,8 +42,8 @@ from codelake.llm._words import K1, K2, Words, grams, mix, pieces
 
 WINDOW = 50
 GRAM = 8
-HOT_DOCUMENTS = 2_000          # a prefix in more documents is lengthened to the full window
-GROUP_WINDOWS = 200_000        # windows in a group, about
+HOT_DOCUMENTS = 2_000          # a prefix in more places is lengthened to the full window
+GROUP_WINDOWS = 200_000        # windows in a group, about; a prefix with more is lengthened, too
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -79,7 +79,8 @@ class _Rows:
 
 
 def profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, n_words, sequence digest, SHA-256 of the words, and the prefixes its windows sample."""
+    """doc_id, n_words, sequence digest, SHA-256 of the words, and the prefixes its windows sample, with how many
+    windows in a row each time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,14 +90,16 @@ def profile(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 at = np.flatnonzero(x.starts)
                 fresh = np.ones(len(at), bool)
                 fresh[1:] = (x.prefix[at[1:]] != x.prefix[at[:-1]]) | (x.row[at[1:]] != x.row[at[:-1]])
+                windows = np.diff(np.append(np.flatnonzero(fresh), len(at)))
                 at = at[fresh]
                 edges = np.searchsorted(x.row[at], np.arange(x.w.rows + 1)).astype(np.int32)
-                found = pa.ListArray.from_arrays(edges, x.prefix[at].view(np.int64))
+                found = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(
+                    [pa.array(x.prefix[at].view(np.int64)), pa.array(windows.astype(np.int32))], ["prefix", "windows"]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(x.w.counts), pa.array(x.digest[0]), pa.array(x.digest[1]), pa.array(sha, pa.string()), found],
                     ["doc_id", "n", "d1", "d2", "sha", "found"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sha string, found array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sha string, found array<struct<prefix:bigint,windows:int>>")
 
 
 def _shared_windows(part: pa.RecordBatch, column: int, window: int, gram: int) -> tuple[_Rows, np.ndarray]:
@@ -138,7 +141,8 @@ def fragments(cand: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def full_depth(cand: DataFrame, window: int, gram: int) -> DataFrame:
-    """The windows of too frequent prefixes, named by their whole word sequence (128 bits)."""
+    """The windows of too frequent prefixes, named by their whole word sequence (128 bits with the prefix); equal ones
+    in a row, as runs of one word have, are one row with their number ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,14 +150,19 @@ def full_depth(cand: DataFrame, window: int, gram: int) -> DataFrame:
                 x, on = _shared_windows(part, 2, window, gram)
                 at = np.flatnonzero(on)
                 name = grams(x.h, window)
+                name = name[at] if len(at) else np.zeros(0, np.uint64)
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1]) | (x.row[at[1:]] != x.row[at[:-1]])
+                n = np.diff(np.append(np.flatnonzero(new), len(at)))
+                at, name = at[new], name[new]
                 r = x.row[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.prefix[at].view(np.int64)), pa.array(name[at].view(np.int64) if len(at) else np.zeros(0, np.int64)),
-                     part.column(0).take(pa.array(r)), pa.array(x.digest[0][r]), pa.array(at - x.w.first[r])],
-                    ["prefix", "name", "doc_id", "d1", "at"])
+                    [pa.array(x.prefix[at].view(np.int64)), pa.array(name.view(np.int64)),
+                     part.column(0).take(pa.array(r)), pa.array(x.digest[0][r]), pa.array(at - x.w.first[r]), pa.array(n)],
+                    ["prefix", "name", "doc_id", "d1", "at", "n"])
 
     return cand.select("doc_id", "text", "hot").where("size(hot) > 0") \
-        .mapInArrow(run, "prefix bigint, name bigint, doc_id bigint, d1 bigint, at bigint")
+        .mapInArrow(run, "prefix bigint, name bigint, doc_id bigint, d1 bigint, at bigint, n bigint")
 
 
 def _names(pairs: np.ndarray) -> np.ndarray:
@@ -230,18 +239,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     classes = landed(long.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
 
     sampled = long.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"]) \
-        .select("doc_id", F.explode("found").alias("prefix"))
-    shared = sampled.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("uses")) \
-        .where("lo < hi").select("prefix", "uses")
-    # the shared prefixes of each document (bounded by its length)
-    plain = F.col("uses") <= hot_documents
+        .select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    shared = sampled.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("uses"),
+                                           F.sum("windows").alias("all")).where("lo < hi").select("prefix", "uses", "all")
+    # the shared prefixes of each document (bounded by its length); a group takes a prefix only with all of its windows
+    plain = (F.col("uses") <= hot_documents) & (F.col("all") <= group_windows)
     of = landed(sampled.join(shared, "prefix").groupBy("doc_id").agg(
         F.collect_set(F.when(plain, F.col("prefix"))).alias("plain"),
-        F.collect_set(F.when(~plain, F.col("prefix"))).alias("hot")), "shared")
-    cand = landed(docs.join(of, "doc_id"), "candidates")
+        F.collect_set(F.when(~plain, F.col("prefix"))).alias("hot"), F.sum(F.when(plain, F.col("windows"))).alias("load")), "shared")
+    cand = landed(docs.join(of.drop("load"), "doc_id"), "candidates")
 
-    uses = of.agg(F.sum(F.size("plain"))).first()[0] or 0
-    groups = max(1, -(-uses * ((window - gram) // 2 + 1) // group_windows))
+    load = of.agg(F.sum("load")).first()[0] or 0
+    groups = max(1, -(-load // group_windows))
 
     def tree(key, group: pa.Table) -> pa.Table:
         doc = group.column("doc_id").to_numpy()
@@ -255,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     heads = nodes.groupBy("prefix", "name").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")) \
         .where("head < last").select("prefix", "name", "head")
     cuts = cuts.union(nodes.join(heads, ["prefix", "name"]).where("doc_id > head")
-                      .select("doc_id", "d1", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
+                      .select("doc_id", "d1", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (window - 1)).alias("hi")))
     cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "lo", "hi")).alias("cuts"))
     done = landed(_kept(cand.select("doc_id", "text").join(cuts, "doc_id")).distinct(), "kept")
     for t in (cand, of, nodes):
