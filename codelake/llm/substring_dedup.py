@@ -43,7 +43,8 @@ from codelake.llm._words import K1, K2, Words, grams, mix, pieces
 WINDOW = 50
 GRAM = 8
 HOT_DOCUMENTS = 2_000          # a prefix in more places is lengthened to the full window
-GROUP_WINDOWS = 200_000        # windows in a group, about; a prefix with more is lengthened, too
+HOT_WINDOWS = 2_000_000        # and one with more windows, as texts made of one line or word have (100 bytes each in a task)
+GROUP_WINDOWS = 200_000        # windows in a group, about
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -229,7 +230,7 @@ def _kept(cand: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_documents: int = HOT_DOCUMENTS,
-                   group_windows: int = GROUP_WINDOWS) -> DataFrame:
+                   group_windows: int = GROUP_WINDOWS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     gram = min(gram, window)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -243,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     shared = sampled.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("uses"),
                                            F.sum("windows").alias("all")).where("lo < hi").select("prefix", "uses", "all")
     # the shared prefixes of each document (bounded by its length); a group takes a prefix only with all of its windows
-    plain = (F.col("uses") <= hot_documents) & (F.col("all") <= group_windows)
+    plain = (F.col("uses") <= hot_documents) & (F.col("all") <= hot_windows)
     of = landed(sampled.join(shared, "prefix").groupBy("doc_id").agg(
         F.collect_set(F.when(plain, F.col("prefix"))).alias("plain"),
         F.collect_set(F.when(~plain, F.col("prefix"))).alias("hot"), F.sum(F.when(plain, F.col("windows"))).alias("load")), "shared")

@@ -196,8 +196,8 @@ def test_long_runs_of_one_word_make_no_large_group(docs_of):
     """Unlike texts with long runs of one word: runs count by their windows, and are few rows at full depth."""
     rows = [(i, f"start{i} " + "run " * (2_000 + i) + f"end{i}") for i in range(40)] + [(50 + i, ("w%d " % (i % 3)) * 300 + f"e{i}") for i in range(9)]
     want = brute.repeats_removed(rows)
-    for group in (substring_dedup.GROUP_WINDOWS, 500):
-        got = substring_dedup.remove_repeats(docs_of(rows), group_windows=group).collect()
+    for most in (substring_dedup.HOT_WINDOWS, 500):
+        got = substring_dedup.remove_repeats(docs_of(rows), hot_windows=most).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
     prof = substring_dedup.profile(docs_of(rows).select("doc_id", "text"), 50, 8).select("doc_id", F.explode("found").alias("f"))
     marks = prof.groupBy("doc_id").agg(F.collect_set("f.prefix").alias("hot"))
