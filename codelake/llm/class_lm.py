@@ -25,7 +25,7 @@ one end token (a class of its own, also the context of the first word).
 Tokens never cross the driver; dictionaries meet the word tables by shuffle
 in groups of bounded size, so nothing that grows with the corpus is broadcast.
 
-Defined cases: null text counts as empty and has the end token only; a null
+Defined cases: a very long text is worked on whole, in one task; null text counts as empty and has the end token only; a null
 doc_id counts as empty text for the fold; repeated rows are rows of their
 own; without training tokens all scores are 0; an empty table gives an
 empty result; other columns are ignored.

@@ -23,7 +23,7 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 Items are taken in blocks of at most ``BLOCK_WORDS`` words; a block's index
 is what a task is sent, and each block is one pass over the texts.
 
-Defined cases: null or wordless texts and items match nothing; equal items
+Defined cases: a very long text is worked on whole, in one task; null or wordless texts and items match nothing; equal items
 are found each under its own id; repeated rows give their findings each; an
 empty table gives an empty result; other columns are ignored.
 """

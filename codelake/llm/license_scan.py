@@ -15,7 +15,7 @@ probe); what is shuffled is one row per text and its few votes.
 The templates are a parameter; their grams are broadcast up to
 ``MAX_BROADCAST_GRAMS`` and joined by hash beyond that.
 
-Defined cases: null text counts as empty; empty texts give zeros, null word
+Defined cases: a very long text is worked on whole, in one task; null text counts as empty; empty texts give zeros, null word
 positions, empty labels and score 0; repeated rows give a row each; an
 empty table gives an empty result; other columns are ignored.
 """

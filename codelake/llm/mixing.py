@@ -15,7 +15,7 @@ seats, the divisors V/(M - n/2) and V/(M + n/2) give at most and at least M
 seats, and the two allocations differ by at most 2n seats.  Only those
 quotients are ranked; the result is the exact highest-quotient allocation.
 
-Defined cases: null or empty texts have size 0 and take 0; null sources
+Defined cases: a very long text is worked on whole, in one task; null or empty texts have size 0 and take 0; null sources
 form one source, last in order; repeated rows count as rows of their own;
 an empty table gives an empty result; other columns are ignored.
 """

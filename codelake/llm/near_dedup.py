@@ -31,7 +31,7 @@ candidate pairs.
 With 4 rows and 24 bands a pair at similarity 0.75 shares a bucket with
 probability 0.9999.
 
-Defined cases: null text counts as empty; documents without words have an
+Defined cases: a very long text is worked on whole, in one task; null text counts as empty; documents without words have an
 empty set and are linked with nothing; with fewer than five words the whole
 sequence is the one shingle; a row whose doc_id is null takes no part
 (component null, kept); rows with one doc_id are one document; an empty

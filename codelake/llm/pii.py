@@ -14,7 +14,7 @@ The trees are fitted on a bounded table of labelled spans (at most
 from notations of personal data and of what is mistaken for it; pass your
 own rows to ``train``.  Texts are searched whole, in their own row.
 
-Defined cases: null text counts as empty and gives no span; repeated rows
+Defined cases: a very long text is worked on whole, in one task; null text counts as empty and gives no span; repeated rows
 are rows of their own; an empty table gives an empty result; other columns
 are ignored.  Offsets are code points, ends exclusive.
 """

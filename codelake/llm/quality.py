@@ -16,7 +16,7 @@ Features come from the text alone, whole, in one pass of vector operations:
 shares of character and word classes, repetition of words and lines, word
 lengths.  Labels, lang, source and doc_id are never inputs of a score.
 
-Defined cases: null text counts as empty; an empty text has all features
+Defined cases: a very long text is worked on whole, in one task; null text counts as empty; an empty text has all features
 zero but its own indicator; repeated rows are rows of their own; several
 labels of one doc_id count as their minimum; with no training positives or
 no rows the score is the prior (0.5 if unknown); other columns are ignored.

@@ -17,7 +17,7 @@ tables hold none, so ``labelled_findings`` makes a bounded, seeded one from
 formats of secrets and of what is mistaken for them; pass your own to
 ``train`` instead.
 
-Defined cases: null text counts as empty and gives no finding; repeated
+Defined cases: a very long text is worked on whole, in one task; null text counts as empty and gives no finding; repeated
 rows give their findings each; a null source gives no path evidence; an
 empty table gives an empty result; other columns are ignored.
 """

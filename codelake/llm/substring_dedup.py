@@ -21,7 +21,7 @@ Copies of a whole document are settled first: when its word sequence is
 that of a smaller doc_id, every word of it is covered, and the smaller one
 stands for both as a source.
 
-Defined cases: null text counts as empty; documents shorter than the window
+Defined cases: a very long text is worked on whole, in one task; null text counts as empty; documents shorter than the window
 lose nothing; rows with one doc_id never remove each other's words; a row
 whose doc_id is null neither removes nor loses words; an empty table gives
 an empty result; other columns are ignored.
