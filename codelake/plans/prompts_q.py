@@ -231,7 +231,7 @@ def state_once(spark, sf_dir):
     path = scratch_path(spark, "state")
     SP.write_state_once(SP.state_records(d.where(kind == "scaffolding"), "body"), path)
     SP.write_state_once(SP.state_records(d, "body", scaffold_type="second"), path)
-    return SP.read_state(spark, path, "conv_id bigint, turn int, prompt_hash string, scaffold_type string, scaffolded boolean")
+    return SP.read_state(spark, path, "conv_id bigint, turn bigint, prompt_hash string, scaffold_type string, scaffolded boolean")
 
 
 def _sql_fields(dump: str) -> str:
