@@ -1,7 +1,7 @@
 """Exact vector retrieval: J1 score_pairs, W4 rank_chunks, T1 retrieve_topk, A6 context.
 
-Scoring is brute force, as in the reference: every query against every
-chunk, ``cos >= min_sim``, then the ``k`` best per query ordered by
+The result is that of brute force, as in the reference: every query against
+every chunk, ``cos >= min_sim``, then the ``k`` best per query ordered by
 ``(-sim, chunk order key)``.
 
 Physical plan (checked with ``explain``):
@@ -11,10 +11,10 @@ Physical plan (checked with ``explain``):
   ``BroadcastNestedLoopJoin`` whose condition holds the threshold, so pairs
   under ``min_sim`` are never materialised.  The corpus is scanned once,
   in place, with no shuffle.
-* above that bound the queries are cut into blocks of at most
-  ``max_broadcast_queries`` rows by a hash of their id: broadcast in turn
-  (``score_topk_numpy``), or met with salted parts of the corpus in an
-  equi-join (``score_pairs``).  The same scores, no unbounded broadcast.
+* above that bound ``retrieve_topk`` turns to ``cells``: the corpus in parts
+  with upper bounds, read a fixed number of times for any number of queries.
+  ``score_pairs`` meets blocks of queries with salted parts of the corpus in an
+  equi-join.  The same scores, no unbounded broadcast.
 * top-k is ``row_number() <= k`` over the query, which Spark plans as a
   partial ``WindowGroupLimit`` before the shuffle and a final one after, so
   a query that matches a third of the corpus ships only ``k`` rows per
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codelake.functions import vectors as V
+from codelake.operators.cells import score_topk_cells
 
 # Reference defaults (fixed values): k = 5, similarity threshold 0.3.
 DEFAULT_K = 5
@@ -106,7 +107,7 @@ def _exact(rows, cols):
         return np.where(size == 0, -1.0, dot / size)         # F1: zero norm scores -1.0
 
 
-def _batch_topk(C, Q, keys_pdf, k: int, min_sim: float, order_keys: list[str]):
+def batch_topk(C, Q, keys_pdf, k: int, min_sim: float, order_keys: list[str]):
     """The ``k`` best rows of a chunk batch per query, ties by the order keys.
 
     A matrix product picks candidates with a margin above its rounding; the
@@ -141,13 +142,13 @@ def score_topk_numpy(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
                      query_key: str = "qid", chunk_keys: list[str] | tuple[str, ...] = ("chunk_id",),
                      query_emb: str = "embedding", chunk_emb: str = "embedding",
                      max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """J1 + per-batch top-k, the queries taken in blocks of bounded size.
+    """J1 + per-batch top-k, the queries in one block of bounded size.
 
-    A block (at most about ``max_broadcast_queries`` rows and
-    ``MAX_BROADCAST_BYTES``) is fetched and broadcast, and the corpus is scored
-    against it in place, without a shuffle; blocks follow in turn.  The score of
-    a pair is the same whatever the block or batch.  Only the ``k`` best rows of
-    a batch per query leave a task; ``rank_topk`` merges them.
+    A block (at most ``max_broadcast_queries`` rows and ``MAX_BROADCAST_BYTES``)
+    is fetched and broadcast, and the corpus is scored against it in place,
+    without a shuffle.  More queries go through ``cells``, so the corpus is never
+    read once per block.  The score of a pair is the same either way.  Only the
+    ``k`` best rows of a batch per query leave a task; ``rank_topk`` merges them.
     """
     import numpy as np
 
@@ -156,37 +157,34 @@ def score_topk_numpy(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
     r = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_emb)).alias("d")).first()
     per_block = max(1, min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * max(1, r["d"] or 1))))
     blocks = max(1, -(-r["n"] // per_block))
+    if blocks > 1:
+        out = score_topk_cells(q, chunks, k=k, min_sim=min_sim, query_key=query_key, chunk_keys=chunk_keys,
+                               query_emb=query_emb, chunk_emb=chunk_emb)
+        q.unpersist()
+        return out
     spark = chunks.sparkSession
     out_schema = T.StructType([T.StructField("q_idx", T.LongType())] + list(chunks.select(*chunk_keys).schema.fields)
                               + [T.StructField("sim", T.DoubleType())])
-
-    def scored(block: int) -> DataFrame:
-        rows = q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block).collect()      # bounded: one block
-        Q = np.array([r[query_emb] for r in rows], dtype=np.float64)
-        bq = spark.sparkContext.broadcast(Q)
-
-        def run(batches):
-            for pdf in batches:
-                pdf = pdf[pdf[chunk_emb].notna()]
-                if len(pdf) == 0 or len(bq.value) == 0:
-                    continue
-                C = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[chunk_emb]])
-                if C.shape[1] != bq.value.shape[1]:
-                    raise ValueError("cosine: vectors of different length")
-                top = _batch_topk(C, bq.value, pdf[chunk_keys].reset_index(drop=True), k, min_sim, chunk_keys)
-                if top is not None:
-                    yield top[[f.name for f in out_schema.fields]]
-
-        ids = spark.createDataFrame([(i, r[query_key]) for i, r in enumerate(rows)],
-                                    T.StructType([T.StructField("q_idx", T.LongType()), q.schema[query_key]]))
-        # one row per query of the block: a bounded broadcast
-        return chunks.select(*chunk_keys, chunk_emb).mapInPandas(run, out_schema).join(F.broadcast(ids), "q_idx").drop("q_idx")
-
-    out = scored(0)
-    for b in range(1, blocks):
-        out = out.unionByName(scored(b))
+    rows = q.collect()                                                   # bounded: one block
     q.unpersist()
-    return out
+    bq = spark.sparkContext.broadcast(np.array([r[query_emb] for r in rows], dtype=np.float64))
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf[pdf[chunk_emb].notna()]
+            if len(pdf) == 0 or len(bq.value) == 0:
+                continue
+            C = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[chunk_emb]])
+            if C.shape[1] != bq.value.shape[1]:
+                raise ValueError("cosine: vectors of different length")
+            top = batch_topk(C, bq.value, pdf[chunk_keys].reset_index(drop=True), k, min_sim, chunk_keys)
+            if top is not None:
+                yield top[[f.name for f in out_schema.fields]]
+
+    ids = spark.createDataFrame([(i, r[query_key]) for i, r in enumerate(rows)],
+                                T.StructType([T.StructField("q_idx", T.LongType()), q.schema[query_key]]))
+    # one row per query of the block: a bounded broadcast
+    return chunks.select(*chunk_keys, chunk_emb).mapInPandas(run, out_schema).join(F.broadcast(ids), "q_idx").drop("q_idx")
 
 
 def rank_topk(scored: DataFrame, k: int, *, query_key: str = "qid",
@@ -209,14 +207,19 @@ def retrieve_topk(queries: DataFrame, chunks: DataFrame, *, k: int = DEFAULT_K,
     ``chunk_keys`` is also the tie-break order (the reference's list
     position), so give ``(file, pos)`` for a loaded index.
 
-    ``strategy="numpy"`` (default): query blocks of bounded size broadcast in
-    turn, candidates by a matrix product per Arrow batch, exact scores for the
-    candidates, final ``WindowGroupLimit``.  ``strategy="native"``: the cosine
+    ``strategy="numpy"`` (default): queries that fit one block are broadcast,
+    candidates by a matrix product per Arrow batch, exact scores for the
+    candidates, final ``WindowGroupLimit``; more queries go the way of
+    ``"cells"``.  ``"cells"``: parts of the corpus with upper bounds, each met
+    by the queries that need it (``operators.cells``).  ``"native"``: the cosine
     as JVM higher-order functions (no Python workers; slower, since lambdas are
-    interpreted).  Both sum a pair's products in component order, so ranks are
+    interpreted).  All sum a pair's products in component order, so ranks are
     the same.
     """
-    if strategy == "numpy":
+    if strategy == "cells":
+        scored = score_topk_cells(queries, chunks, k=k, min_sim=min_sim, query_key=query_key,
+                                  chunk_keys=chunk_keys, query_emb=query_emb, chunk_emb=chunk_emb)
+    elif strategy == "numpy":
         scored = score_topk_numpy(queries, chunks, k=k, min_sim=min_sim, query_key=query_key,
                                   chunk_keys=chunk_keys, query_emb=query_emb, chunk_emb=chunk_emb,
                                   max_broadcast_queries=max_broadcast_queries)

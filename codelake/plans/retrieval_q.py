@@ -39,17 +39,29 @@ def cosine_pairs(spark, sf_dir):
                     F.round(cos, 9).alias("cos"))
 
 
-@query("retrieve_topk", f"""with {_SQL_VEC},
+def _each_vector(spark, sf_dir, strategy: str):
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    top = R.retrieve_topk(e.withColumnRenamed("vec_id", "qid"), e, k=R.DEFAULT_K, min_sim=R.DEFAULT_MIN_SIM,
+                          query_key="qid", chunk_keys=["vec_id"], strategy=strategy)
+    return top.select("qid", "vec_id", "rank", F.round("sim", 9).alias("sim"))
+
+
+_SQL_TOPK = f"""with {_SQL_VEC},
 s as (select a.vec_id qid, b.vec_id, {_SQL_COS} sim from e a, e b),
 r as (select *, row_number() over (partition by qid order by sim desc, vec_id) rk from s where sim >= 0.3)
-select qid, vec_id, cast(rk as bigint) rank, round(sim, 9) sim from r where rk <= 5""")
+select qid, vec_id, cast(rk as bigint) rank, round(sim, 9) sim from r where rk <= 5"""
+
+
+@query("retrieve_topk", _SQL_TOPK)
 def retrieve_topk(spark, sf_dir):
     """Every vector is a query; its 5 nearest (cos >= 0.3) in the table."""
-    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.withColumnRenamed("vec_id", "qid")
-    top = R.retrieve_topk(q, e, k=R.DEFAULT_K, min_sim=R.DEFAULT_MIN_SIM,
-                          query_key="qid", chunk_keys=["vec_id"])
-    return top.select("qid", "vec_id", "rank", F.round("sim", 9).alias("sim"))
+    return _each_vector(spark, sf_dir, "numpy")
+
+
+@query("retrieve_cells", _SQL_TOPK)
+def retrieve_cells(spark, sf_dir):
+    """T1/J1 as ``retrieve_topk``, by cells of the table with upper bounds: the way of query tables beyond a block."""
+    return _each_vector(spark, sf_dir, "cells")
 
 
 @query("retrieve_single", f"""with {_SQL_VEC},
