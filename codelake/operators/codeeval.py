@@ -1,9 +1,9 @@
 """Code evaluation.
 
-All text work is native (regex and higher-order functions, row-local, no
-shuffle).  Brace matching (F17) is one ``aggregate`` pass with a struct
-accumulator; renaming locals (F19) folds a whole-word ``regexp_replace``
-over the sorted names.
+Text work is row-local, without a shuffle, and native (regex and higher-order
+functions) but for F19, a scan of tokens over Arrow batches
+(``functions.declarations``).  Brace matching (F17) is one ``aggregate`` pass
+with a struct accumulator.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelake.functions.declarations import canonicalize_locals  # noqa: F401
 from codelake.functions.text import WS, pyrstrip, pystrip
 from codelake.operators.lineindex import line_starts, offset_of
 from codelake.operators.ordering import global_index
@@ -22,12 +23,6 @@ INCLUDE = r"#include\s*<[^>]+>"
 SIGNATURE = r"(?U)\b\w+::\w+\s*\([^)]*\)\s*\{"
 MACROS = (r"(?U)\bAMREX_GPU_DEVICE\b", r"(?U)\bAMREX_FORCE_INLINE\b")
 PUNCT = r"([{}();,+\-*/=])"
-# F19 declaration rule (ours; the reference reads a syntax tree).
-# The character after the name is consumed, not looked ahead at: none of
-# ``= ; , [ (`` can start another declaration, so no match is lost.
-DECL = (r"\b(?:const\s+)?(?:unsigned\s+|signed\s+|long\s+)*"
-        r"(?:int|long|short|float|double|char|bool|auto|size_t|Real|std::\w+)\s*[*&]?\s+([A-Za-z_]\w*)\s*[=;,\[(]")
-PARAMS = r"\b\w+::\w+\s*\(([^)]*)\)"
 # F25 / F26 / P9 (fixed values).
 FIELD_BINDING = r'Binding for "f":\s*\n([^\n]+)'
 FIELD_DECL = r"^<FieldDecl[^>]*>\s*"
@@ -85,27 +80,6 @@ def normalize_code(code) -> Column:
     return pystrip(c)
 
 
-def canonicalize_locals(code) -> Column:
-    """F19 (approximation): locally declared names that are not parameters,
-    sorted by name, become ``VAR1..n`` by whole-word replacement in that order.
-
-    The reference finds declarations with a C++ syntax tree; here a
-    declaration regex finds ``type name`` followed by ``= ; , [ (``.
-    """
-    c = _c(code)
-    declared = F.array_distinct(F.regexp_extract_all(c, F.lit("(?U)" + DECL), 1))
-    plist = F.regexp_extract(c, "(?U)" + PARAMS, 1)
-    params = F.transform(F.split(plist, ",", -1),
-                         lambda p: F.element_at(F.split(pystrip(F.regexp_replace(p, r"=.*$", "")), r"[\s*&]+", -1), -1))
-    names = F.array_sort(F.array_except(declared, params))
-    idx = F.sequence(F.lit(1), F.greatest(F.size(names), F.lit(1)))
-    pairs = F.arrays_zip(names.alias("n"), idx.alias("k"))
-    return F.aggregate(
-        F.filter(pairs, lambda p: p["n"].isNotNull()), c,
-        lambda acc, p: F.regexp_replace(acc, F.concat(F.lit(r"(?U)\b"), p["n"], F.lit(r"\b")),
-                                        F.concat(F.lit("VAR"), p["k"].cast("string"))))
-
-
 def conflict_patch(code, start, end, new) -> Column:
     """replace ``[start, end)`` (0-based) by a conflict block; both sides right-stripped."""
     code, start, end, new = _c(code), _c(start), _c(end), _c(new)

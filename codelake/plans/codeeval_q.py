@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from codelake.functions import declarations as DC
 from codelake.functions import vectors as V
 from codelake.functions.once import once
 from codelake.functions.text import WS, pystrip
@@ -50,16 +51,29 @@ def _sql_clean(x: str) -> str:
                           from (select {c} c))))))"""
 
 
+_W = r"[\p{L}_][\p{L}\p{N}_]*"
+_sql_list = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
 def _sql_canon(x: str) -> str:
-    """F19 as DuckDB text: declared names minus parameters, sorted, folded
-    into whole-word ``VARn`` replacements."""
+    """F19 as DuckDB text for D4 (plain words, signs and strings in one function): strings out, statements by
+    ``;``, ``{``, ``}``; one that begins with type and name declares all its words but the type."""
+    kind = rf"^\s*(?:(?:else|do|try)\s+)*({_W})"
+    head = rf"{kind}[*&\s]*[*&\s]({_W})\s*[=,\[;]"
     no_default = S.strip("regexp_replace(p, '=.*$', '')")
-    params = (f"list_transform(string_split(regexp_extract({x}, '{CE.PARAMS}', 1), ','), "
-              f"lambda p: string_split_regex({no_default}, '[\\s*&]+')[-1])")
-    names = (f"list_sort(list_filter(list_distinct(regexp_extract_all({x}, '{CE.DECL}', 1)), "
-             f"lambda n: not list_contains({params}, n)))")
-    return (f"list_reduce(list_zip({names}, range(1, len({names}) + 1)), "
-            f"lambda acc, p: regexp_replace(acc, '\\b' || p[1] || '\\b', 'VAR' || cast(p[2] as varchar), 'g'), {x})")
+    return rf"""(select array_to_string(list_transform(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'),
+    lambda t: case when list_contains(names, t) then 'VAR' || cast(list_position(names, t) as varchar) else t end), '')
+  from (select x, list_sort(list_filter(list_distinct(flatten(list_transform(statements, lambda s:
+          list_filter(regexp_extract_all(substr(s, len(regexp_extract(s, '{kind}', 0)) + 1),
+            '[\p{{L}}\p{{N}}_]+'), lambda n: regexp_matches(n, '^[\p{{L}}_]') and not list_contains({_sql_list(DC.KEYWORD)}, n)))) ),
+        lambda n: not list_contains(params, n))) names
+    from (select x, list_filter(regexp_extract_all(regexp_replace(x, '"(?:\\.|[^"\\\n])*"?', '"', 'g'), '[^;{{}}]*[;{{}}]'), lambda s:
+              regexp_matches(s, '{head}')
+              and not list_contains({_sql_list(DC.KEYWORD - DC.BUILTIN)}, regexp_extract(s, '{head}', 1))
+              and not list_contains({_sql_list(DC.KEYWORD)}, regexp_extract(s, '{head}', 2))) statements,
+            list_transform(string_split(regexp_extract(x, '\b\w+::\w+\s*\(([^)]*)\)', 1), ','),
+              lambda p: string_split_regex({no_default}, '[\s*&]+')[-1]) params
+          from (select {x} x))))"""
 
 
 def _pair_cosine(df, keys: list[str], a: str, b: str, carry: tuple[str, ...] = ()):
@@ -157,7 +171,7 @@ c3 as (select item_id, {_sql_canon('b2')} bench_canon, {_sql_canon('g2')} gen_ca
 @query("canonicalize_locals", f"""with {_SQL_CANON_D4}
 select item_id, bench_canon, gen_canon from c3""")
 def canonicalize_locals(spark, sf_dir):
-    """F19 (declaration-regex approximation) on the cleaned D4 code."""
+    """F19 on both sides of D4, cut out (F17) and normalised."""
     d4 = D.d4_eval_pairs(spark, sf_dir)
     t = _canonical(d4, bench_canon="bench", gen_canon="gen")
     return t.select("item_id", "bench_canon", "gen_canon")
