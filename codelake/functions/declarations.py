@@ -37,10 +37,13 @@ HEADS = frozenset("for if while switch".split())
 LABELS = frozenset("case default public private protected".split())
 
 TOKEN = re.compile(r'''
-  (?P<skip> //[^\n]* | /\*.*?(?:\*/|\Z) | (?m:^)[ \t]*\#(?:\\\n|[^\n])* )
+  (?=\S)(?: (?P<word> [^\W\d]\w*+(?!["]) )
+| (?P<skip> //[^\n]* | /\*.*?(?:\*/|\Z) | (?m:^)\#(?:\\\n|[^\n])* )
 | (?P<text> (?:u8|[uUL])?R"(?P<mark>[^()\\\s"]{0,16})\(.*?(?:\)(?P=mark)"|\Z) | (?:u8|[uUL])?"(?:\\.|[^"\\\n])*"?
           | '(?:\\[^\n]{1,10}?|[^'\\\n]{1,4})' )
-| (?P<word> [^\W\d]\w* ) | (?P<number> \d(?:'?[\w.])* ) | (?P<sign> :: | -> | \S )''', re.S | re.X)
+| (?P<plain> [^\W\d]\w* ) | (?P<number> \d(?:'?[\w.])* ) | (?P<sign> :: | -> | \S ) )
+| (?P<line> (?m:^)[ \t]+\#(?:\\\n|[^\n])* )''', re.S | re.X)
+KINDS = {"plain": "word"}      # a word that only looks like the prefix of a string
 CLOSES = {")": "(", "]": "[", "}": "{"}
 
 
@@ -48,10 +51,12 @@ class Scan:
     """Names declared in a text (``declared``) and its parameters (``params``)."""
 
     def __init__(self, code: str) -> None:
-        tokens = [(m.lastgroup, m.group()) for m in TOKEN.finditer(code) if m.lastgroup != "skip"]
-        self.kind = [k for k, _ in tokens] + [""] * 3
-        self.w = [t for _, t in tokens] + [""] * 3          # reading a little past the end gives nothing
+        tokens = [(m.lastgroup, m[0]) for m in TOKEN.finditer(code)]
+        if any(k in ("skip", "line") for k, _ in tokens):
+            tokens = [t for t in tokens if t[0] not in ("skip", "line")]
         self.n = len(tokens)
+        self.kind = [KINDS.get(k, k) for k, _ in tokens] + [""] * 3
+        self.w = [t for _, t in tokens] + [""] * 3          # reading a little past the end gives nothing
         self.declared: set[str] = set()
         self.params: set[str] = set()
         self._match()
@@ -61,8 +66,9 @@ class Scan:
     def _match(self) -> None:
         """``close``: from an opening bracket (``<`` only where it closes as one) to its end, and ``open`` back."""
         self.close, self.open, held = {}, {}, []
-        for i in range(self.n):
-            t = self.w[i] if self.kind[i] == "sign" else ""
+        for i, t in enumerate(self.w[:self.n]):
+            if self.kind[i] != "sign":
+                continue
             if t in ("(", "[", "{", "<"):
                 held.append(i)
             elif t == ">" and held and self.w[held[-1]] == "<" and self.w[i - 1] != "-":
