@@ -7,13 +7,15 @@ the triangle inequality of angles bounds what any of them can score:
 
     angle(query, row) >= max(0, angle(query, centre) - largest, smallest - angle(query, centre)).
 
-A query meets only cells whose bound reaches both ``min_sim`` and its k-th
-best score among the sampled rows, which are rows of the corpus; every other
-cell provably holds none of its k best.  Centres and sample only steer the
-pruning; the result is that of brute force whatever they are.
+A first pass takes each query to one part of its best cell; the k-th best score
+there, or among the sampled rows, is a score that k rows of the corpus reach.
+In the second pass it meets the cells whose bound reaches that and ``min_sim``,
+and of these only rows that reach it leave a task; every other row is
+provably not among its k best.  Centres, sample and first pass only steer the
+pruning; the result is that of brute force whatever they give.
 
 * the corpus is read a fixed number of times (sample, cells) and shuffled
-  once, for any number of queries;
+  twice, for any number of queries;
 * a cell of more than ``part_rows`` rows is split: by angle, and where one range
   of angles still holds more (copies of one vector), by a hash of the keys;
 * a task holds the rows of one part and streams the queries that need it past
@@ -108,9 +110,14 @@ class Cells:
         s[~q.any(1)] = -1.0
         return np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], min_sim)
 
-    def wanted(self, q: np.ndarray, k: int, min_sim: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row of ``q``, part) of all that a search must look at."""
-        row, cell = np.nonzero(self.bounds(q) >= (self.reach(q, k, min_sim) - SLACK)[:, None])
+    def home(self, q: np.ndarray) -> np.ndarray:
+        """One part of each query's best cell."""
+        cell = self.bounds(q).argmax(1)
+        return self.first[cell] + np.arange(len(q)) % self.salts[cell]
+
+    def wanted(self, q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``q``, part) of all that can hold a score of ``floor``."""
+        row, cell = np.nonzero(self.bounds(q) >= (floor - SLACK)[:, None])
         n = self.salts[cell]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(row, n), np.repeat(self.first[cell], n) + at
@@ -172,16 +179,22 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
             part = cells.first[cell] + h % cells.salts[cell] if len(cell) else cell
             yield pa.RecordBatch.from_arrays([pa.array(part), *(b.column(x) for x in keys), b.column("vec")], kept.names)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, TILE // max(len(cells.centre), len(sample)))
-        for b in batches:
-            for i in range(0, b.num_rows, step):
-                some = b.slice(i, step)
-                row, part = cells.wanted(unit(matrix(some.column(1), d)), k, min_sim)
-                for j in range(0, len(row), 8192):
-                    at = pa.array(row[j:j + 8192])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part[j:j + 8192]), some.column(0).take(at), some.column(1).take(at)], ["part", "qkey", "vec"])
+    def route(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, TILE // max(len(cells.centre), len(sample)))
+            for b in batches:
+                for i in range(0, b.num_rows, step):
+                    some = b.slice(i, step)
+                    u = unit(matrix(some.column(1), d))
+                    floor = np.maximum(some.column(2).to_numpy(zero_copy_only=False), cells.reach(u, k, min_sim) - SLACK)
+                    row, part = (np.arange(len(u)), cells.home(u)) if first else cells.wanted(u, floor)
+                    for j in range(0, len(row), 8192):
+                        at = pa.array(row[j:j + 8192])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(part[j:j + 8192]), some.column(0).take(at), some.column(1).take(at),
+                             pa.array(floor[row[j:j + 8192]])], ["part", "qkey", "vec", "floor"])
+
+        return run
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []              # the rows of one part
@@ -206,7 +219,8 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
                     order["_row"] = np.arange(len(order))
                     ready = np.concatenate([matrix(x.column("vec"), d) for x in held]), ids, order
                 m, ids, order = ready
-                top = batch_topk(m, matrix(some.column("vec"), d), order, k, min_sim, keys)
+                top = batch_topk(m, matrix(some.column("vec"), d), order, k, min_sim, keys,
+                                 some.column("floor").to_numpy(zero_copy_only=False))
                 if top is not None and len(top):
                     t = ids.take(pa.array(top["_row"].to_numpy())).combine_chunks()
                     who = some.column("qkey").take(pa.array(top["q_idx"].to_numpy()))
@@ -215,9 +229,19 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
 
     none = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
     qkey = T.StructField("qkey", q.schema[query_key].dataType)
-    left = p.mapInArrow(to_parts, kept).select("part", F.lit(0).alias("side"), *keys, none(qkey), "vec")
-    right = q.mapInArrow(route, T.StructType([part_col, qkey, c.schema["vec"]])).select(
-        "part", F.lit(1).alias("side"), *[none(c.schema[x]) for x in keys], "qkey", "vec")
-    tasks = min(cells.parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return left.unionByName(right).repartition(max(1, tasks), "part").sortWithinPartitions("part", "side") \
-        .mapInArrow(score, out_schema)
+    tasks = max(1, min(cells.parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    floored = T.StructType([part_col, qkey, c.schema["vec"], T.StructField("floor", T.DoubleType())])
+
+    def passed(asked: DataFrame, first: bool) -> DataFrame:
+        """``asked``: key, vector and a score that ``k`` rows are known to reach."""
+        left = p.mapInArrow(to_parts, kept).select("part", F.lit(0).alias("side"), *keys, none(qkey), "vec",
+                                                   F.lit(None).cast("double").alias("floor"))
+        right = asked.mapInArrow(route(first), floored).select(
+            "part", F.lit(1).alias("side"), *[none(c.schema[x]) for x in keys], "qkey", "vec", "floor")
+        return left.unionByName(right).repartition(tasks, "part").sortWithinPartitions("part", "side").mapInArrow(score, out_schema)
+
+    least = F.lit(float(min_sim))
+    near = passed(q.select(query_key, "vec", least.alias("floor")), True)
+    reached = near.groupBy(query_key).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("s")).where(F.col("n") >= k)
+    asked = q.join(reached, query_key, "left").select(query_key, "vec", F.coalesce("s", least).alias("floor"))
+    return passed(asked, False)

@@ -107,8 +107,9 @@ def _exact(rows, cols):
         return np.where(size == 0, -1.0, dot / size)         # F1: zero norm scores -1.0
 
 
-def batch_topk(C, Q, keys_pdf, k: int, min_sim: float, order_keys: list[str]):
-    """The ``k`` best rows of a chunk batch per query, ties by the order keys.
+def batch_topk(C, Q, keys_pdf, k: int, min_sim: float, order_keys: list[str], floor=None):
+    """The ``k`` best rows of a chunk batch per query, ties by the order keys; with
+    ``floor``, only scores that reach it, a number per query.
 
     A matrix product picks candidates with a margin above its rounding; the
     candidates alone are scored exactly and ranked.  Queries are taken in tiles,
@@ -117,22 +118,23 @@ def batch_topk(C, Q, keys_pdf, k: int, min_sim: float, order_keys: list[str]):
     import pandas as pd
 
     n, found = len(C), []
+    least = np.full(len(Q), min_sim) if floor is None else np.maximum(floor, min_sim)
     unit = lambda M: M / np.maximum(np.linalg.norm(M, axis=1, keepdims=True), 1e-300)
     cu, qu = unit(C), unit(Q)
     tile = max(1, TILE_CELLS // max(n, 1))
     for a in range(0, len(Q), tile):
         S = cu @ qu[a:a + tile].T
         S[~cu.any(1)], S[:, ~qu[a:a + tile].any(1)] = -1.0, -1.0
-        cut = np.full(S.shape[1], min_sim)
+        cut = least[a:a + tile]
         if n > k:
-            cut = np.maximum(np.partition(S, n - k, axis=0)[n - k], min_sim)
+            cut = np.maximum(np.partition(S, n - k, axis=0)[n - k], cut)
         rows, cols = np.nonzero(S >= cut - MARGIN)
         if not len(rows):
             continue
         cand = keys_pdf.iloc[rows].reset_index(drop=True)
         cand.insert(0, "q_idx", (cols + a).astype("int64"))
         cand["sim"] = _exact(C[rows], Q[cols + a])
-        cand = cand[cand["sim"] >= min_sim].sort_values(
+        cand = cand[cand["sim"].to_numpy() >= least[cols + a]].sort_values(
             ["q_idx", "sim", *order_keys], ascending=[True, False] + [True] * len(order_keys), kind="mergesort")
         found.append(cand.groupby("q_idx", sort=False).head(k))
     return pd.concat(found) if found else None

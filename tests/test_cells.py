@@ -48,9 +48,10 @@ def test_bounds_hold_and_prune():
     best = np.full((100, len(cells.centre)), -2.0)
     np.maximum.at(best, (slice(None), of_row), q @ rows.T)
     assert (cells.bounds(q) >= best - X.SLACK).all()
-    row, part = cells.wanted(q[:50], 5, 0.3)
+    row, part = cells.wanted(q[:50], cells.reach(q[:50], 5, 0.3))
     assert len(row) < 0.3 * 50 * cells.parts and (part < cells.parts).all()
     assert (np.bincount(of_row) <= 30 * cells.salts).all()
+    assert (cells.home(q) < cells.parts).all()
 
 
 def test_empty_sides_and_unequal_lengths(spark):
