@@ -18,8 +18,10 @@ pruning; the result is that of brute force whatever they give.
   twice, for any number of queries;
 * a cell of more than ``part_rows`` rows is split: by angle, and where one range
   of angles still holds more (copies of one vector), by a hash of the keys;
-* a task holds the rows of one part and streams the queries that need it past
-  them, sorted behind it on disk; no side is broadcast or grouped whole;
+* a task holds a load, neighbouring parts of bounded size together, and streams a
+  block of the queries that need one of them past it, sorted behind it on disk; a
+  query is copied once a load, not once a part, and no side is broadcast or grouped whole;
+* within a load a query leaves out the parts whose bound is below its k-th best so far;
 * the routing table has one entry for each of at most ``MAX_CENTRES`` x ``BINS``
   cells, so it is bounded whatever the corpus.
 
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +49,10 @@ CELL_ROWS = 4096               # rows a centre stands for, while there are fewer
 MAX_CENTRES = 256
 SAMPLE_ROWS = 1024             # rows whose scores give the first lower bound of the k-th best
 BINS = 64                      # ranges of angles between 0 and pi
-PART_BYTES = 64 * 1024 * 1024  # vectors of one part, held by a task
+PART_ROWS = 4096               # rows of a part
+PART_BYTES = 64 * 1024 * 1024  # vectors of the parts that a task holds together
+TASKS_PER_CORE = 4
+TASK_PAIRS = 1 << 22           # pairs that are worth a task
 TILE = 1 << 20                 # bounds computed at a time
 SLACK = 1e-6                   # above the rounding of an arc cosine near 1
 
@@ -89,18 +95,28 @@ class Cells:
             self.of_bin[centre, b] = len(cells) - 1
         self.centre = np.array([c[0] for c in cells], np.int64)
         self.low, self.high = (np.array([c[i] for c in cells], float) for i in (1, 2))
-        self.salts = np.array([-(-c[3] // part_rows) for c in cells], np.int64)
+        self.rows = np.array([c[3] for c in cells], np.int64)
+        self.salts = -(-self.rows // part_rows)
         self.first = np.concatenate([[0], np.cumsum(self.salts)])[:-1].astype(np.int64)
         self.parts = int(self.salts.sum())
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """The largest score that a row of each cell can have, per query (unit or zero rows)."""
-        a = angles(q, self.centres)[:, np.maximum(self.centre, 0)]
-        b = np.cos(np.minimum(np.maximum(0, np.maximum(a - self.high, self.low - a)), np.pi))
-        b[:, self.centre < 0] = -1.0                 # the cell of zero vectors
+    def bounds(self, q: np.ndarray, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The largest score that a row of each (or some) cell can have, per query (unit or zero rows)."""
+        centre, low, high = self.centre[some], self.low[some], self.high[some]
+        a = angles(q, self.centres)[:, np.maximum(centre, 0)]
+        b = np.cos(np.minimum(np.maximum(0, np.maximum(a - high, low - a)), np.pi))
+        b[:, centre < 0] = -1.0                      # the cell of zero vectors
         b[~q.any(1)] = -1.0
         return b
 
+    def cell_of(self, part: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, part, side="right") - 1
+
+    def loads(self, rows: int) -> np.ndarray:
+        """Per part the number of its load: neighbouring parts of about ``rows`` rows together."""
+        size = np.repeat(-(-self.rows // self.salts), self.salts)
+        return np.unique((np.cumsum(size) - size) // rows, return_inverse=True)[1].ravel()
+
     def reach(self, q: np.ndarray, k: int, min_sim: float) -> np.ndarray:
         """The score that a row must have to matter to each query."""
         if len(self.sample) < k:
@@ -130,9 +146,8 @@ def placed(c: DataFrame, keys: list[str], centres: np.ndarray, d: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u = unit(matrix(b.column("vec"), d))
-            a = angles(u, centres)
-            near = a.argmin(1) if len(u) else np.zeros(0, int)
-            angle = a[np.arange(len(u)), near]
+            near = (s := u @ centres.T).argmax(1) if len(u) else np.zeros(0, int)
+            angle = np.arccos(np.clip(s[np.arange(len(u)), near], -1.0, 1.0)) if len(u) else np.zeros(0)
             near, angle = np.where(u.any(1), near, -1), np.where(u.any(1), angle, 0.0)
             bins = np.minimum((angle / np.pi * BINS).astype(np.int32), BINS - 1)
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +162,7 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
                      part_bytes: int = PART_BYTES) -> DataFrame:
     """``(query_key, *chunk_keys, sim)``: of each part of the corpus that a query needs, its ``k`` best rows
     with ``sim >= min_sim``.  ``retrieve.rank_topk`` merges them."""
-    from codelake.operators.retrieve import batch_topk
+    from codelake.operators.retrieve import best_rows, first_copies
 
     keys, spark = list(chunk_keys), chunks.sparkSession
     c = usable(chunks, keys, chunk_emb)
@@ -165,80 +180,100 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
     path = scratch_path(spark, "cells")
     placed(c, keys, centres, d).write.parquet(path)
     p = spark.read.parquet(path)
+    asking = scratch_path(spark, "cell-queries")     # both passes read them
+    q.select(query_key, "vec").write.parquet(asking)
+    q = spark.read.parquet(asking)
     # at most MAX_CENTRES x BINS rows, one per cell
     rows = p.groupBy("centre", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("angle"), F.max("angle")).collect()
-    cells = Cells(centres, sample, [tuple(r) for r in rows], max(1, part_bytes // (8 * d)))
+    load_rows = max(1, part_bytes // (8 * d))
+    cells = Cells(centres, sample, [tuple(r) for r in rows], min(load_rows, PART_ROWS))
+    # loads and blocks of queries in balance: little is copied, and there are tasks for all cores
+    wanted_tasks = max(1, min(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n * q.count() // TASK_PAIRS)))
+    load = cells.loads(-(-n // max(-(-n // load_rows), int(np.ceil(np.sqrt(wanted_tasks))))))
+    loads = int(load.max()) + 1
+    blocks = -(-wanted_tasks // loads)
 
-    part_col = T.StructField("part", T.LongType())
-    kept = T.StructType([part_col, *(c.schema[x] for x in keys), c.schema["vec"]])
+    part_cols = [T.StructField("load", T.LongType()), T.StructField("part", T.LongType())]
+    kept = T.StructType([*part_cols, *(c.schema[x] for x in keys), c.schema["vec"]])
 
     def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell = np.array([cells.of_bin[at] for at in zip(b.column("centre").to_pylist(), b.column("bin").to_pylist())], np.int64)
             h = b.column("hash").to_numpy()
             part = cells.first[cell] + h % cells.salts[cell] if len(cell) else cell
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(b.column(x) for x in keys), b.column("vec")], kept.names)
+            yield pa.RecordBatch.from_arrays([pa.array(load[part]), pa.array(part), *(b.column(x) for x in keys), b.column("vec")], kept.names)
 
     def route(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, TILE // max(len(cells.centre), len(sample)))
+            step = max(1, TILE // max(cells.parts, len(sample)))
             for b in batches:
                 for i in range(0, b.num_rows, step):
                     some = b.slice(i, step)
                     u = unit(matrix(some.column(1), d))
                     floor = np.maximum(some.column(2).to_numpy(zero_copy_only=False), cells.reach(u, k, min_sim) - SLACK)
-                    row, part = (np.arange(len(u)), cells.home(u)) if first else cells.wanted(u, floor)
+                    if first:
+                        row, part = np.arange(len(u)), cells.home(u)
+                        to = load[part]
+                    else:                            # once for each load that holds a part it needs
+                        row, part = cells.wanted(u, floor)
+                        row, to = np.divmod(np.unique(row * loads + load[part]), loads)
+                        part = np.full(len(row), -1)
                     for j in range(0, len(row), 8192):
                         at = pa.array(row[j:j + 8192])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(part[j:j + 8192]), some.column(0).take(at), some.column(1).take(at),
-                             pa.array(floor[row[j:j + 8192]])], ["part", "qkey", "vec", "floor"])
+                            [pa.array(to[j:j + 8192]), pa.array(part[j:j + 8192]), some.column(0).take(at), some.column(1).take(at),
+                             pa.array(floor[row[j:j + 8192]])], floored.names)
 
         return run
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []              # the rows of one part
-        ready, now = None, None
+        held: list[pa.RecordBatch] = []              # the rows of one load
+        ready = None
         for b in batches:
-            part, is_query = b.column("part").to_numpy(), b.column("side").to_numpy()
-            code = part * 2 + is_query
-            edges = np.concatenate([[0], np.nonzero(np.diff(code))[0] + 1, [len(code)]]) if len(code) else [0]
-            for a, e in zip(edges[:-1], edges[1:]):
-                some = b.slice(a, e - a)
-                if part[a] != now:
-                    held, ready, now = [], None, part[a]
-                if not is_query[a]:
-                    held.append(some)
-                    continue
-                if not held:
-                    continue
-                if ready is None:
-                    whole = pa.Table.from_batches(held).combine_chunks()
-                    ids = whole.select(keys)
-                    order = ids.to_pandas()
-                    order["_row"] = np.arange(len(order))
-                    ready = np.concatenate([matrix(x.column("vec"), d) for x in held]), ids, order
-                m, ids, order = ready
-                top = batch_topk(m, matrix(some.column("vec"), d), order, k, min_sim, keys,
-                                 some.column("floor").to_numpy(zero_copy_only=False))
-                if top is not None and len(top):
-                    t = ids.take(pa.array(top["_row"].to_numpy())).combine_chunks()
-                    who = some.column("qkey").take(pa.array(top["q_idx"].to_numpy()))
-                    yield from pa.Table.from_arrays([who, *t.columns, pa.array(top["sim"].to_numpy())],
-                                                    out_schema.names).to_batches()
+            corpus = int((b.column("side").to_numpy() == 0).sum())
+            if corpus:
+                held.append(b.slice(0, corpus))
+            some = b.slice(corpus)
+            if not some.num_rows or not held:
+                continue
+            if ready is None:
+                whole = pa.Table.from_batches(held)
+                ids, m = whole.select(keys), np.concatenate([matrix(x.column("vec"), d) for x in held])
+                order = pc.sort_indices(ids, sort_keys=[(x, "ascending") for x in keys], null_placement="at_start").to_numpy()
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                part = whole.column("part").to_numpy()
+                of = first_copies(m, place, k)
+                begins = np.concatenate([[0], np.nonzero(np.diff(part[of]))[0] + 1])
+                held = held[:1]                      # the matrix and the keys stand for them
+                ready = m[of], place[of], ids.take(pa.array(of)).combine_chunks(), part[of[begins]], list(zip(begins, [*begins[1:], len(of)]))
+            m, place, ids, parts, areas = ready
+            asked, home = matrix(some.column("vec"), d), some.column("part").to_numpy()
+            u = unit(asked)
+
+            def bounds(a: int, b: int) -> np.ndarray:
+                only = home[a:b, None]
+                return np.where((only < 0) | (only == parts), cells.bounds(u[a:b], cells.cell_of(parts)), -np.inf)
+
+            at, row, sim = best_rows(m, asked, place, k, np.array(some.column("floor")), areas, bounds)
+            if len(at):
+                yield from pa.Table.from_arrays([some.column("qkey").take(pa.array(at)), *ids.take(pa.array(row)).columns, pa.array(sim)],
+                                                out_schema.names).to_batches()
 
     none = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
     qkey = T.StructField("qkey", q.schema[query_key].dataType)
-    tasks = max(1, min(cells.parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    floored = T.StructType([part_col, qkey, c.schema["vec"], T.StructField("floor", T.DoubleType())])
+    floored = T.StructType([*part_cols, qkey, c.schema["vec"], T.StructField("floor", T.DoubleType())])
 
     def passed(asked: DataFrame, first: bool) -> DataFrame:
         """``asked``: key, vector and a score that ``k`` rows are known to reach."""
-        left = p.mapInArrow(to_parts, kept).select("part", F.lit(0).alias("side"), *keys, none(qkey), "vec",
-                                                   F.lit(None).cast("double").alias("floor"))
+        task = lambda block: (F.col("load") * blocks + block).cast("int").alias("task")
+        left = p.mapInArrow(to_parts, kept).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+            task(F.col("block")), "part", F.lit(0).alias("side"), *keys, none(qkey), "vec", F.lit(None).cast("double").alias("floor"))
         right = asked.mapInArrow(route(first), floored).select(
-            "part", F.lit(1).alias("side"), *[none(c.schema[x]) for x in keys], "qkey", "vec", "floor")
-        return left.unionByName(right).repartition(tasks, "part").sortWithinPartitions("part", "side").mapInArrow(score, out_schema)
+            task(F.pmod(F.xxhash64("qkey", "vec"), F.lit(blocks))), "part", F.lit(1).alias("side"), *[none(c.schema[x]) for x in keys],
+            "qkey", "vec", "floor")
+        return left.unionByName(right).repartitionById(loads * blocks, F.col("task")).sortWithinPartitions("side", "part") \
+            .drop("task").mapInArrow(score, out_schema)
 
     least = F.lit(float(min_sim))
     near = passed(q.select(query_key, "vec", least.alias("floor")), True)

@@ -64,3 +64,30 @@ def test_empty_sides_and_unequal_lengths(spark):
         _found(odd, c, strategy="cells")
     nan, _ = _tables(spark, [], [[float("nan"), 1.0], [float("inf"), 1.0]])
     assert _found(nan, c, strategy="cells", min_sim=-2.0) == []
+
+
+def test_many_equal_scores_stay_within_memory():
+    """Scaled copies of one vector all tie: candidates are scored and cut a part at a time, the first rows win."""
+    import tracemalloc
+
+    v = np.arange(1.0, 65.0)
+    rows = np.vstack([v * 2.0 ** (i % 40) for i in range(20000)])
+    asked = np.vstack([v + np.eye(64)[i % 64] for i in range(100)])
+    tracemalloc.start()
+    kept = R.first_copies(rows, np.arange(20000), 3)
+    q, r, s = R.best_rows(rows, asked, np.arange(20000), 3, np.full(100, 0.3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(kept) == 120 and (kept == np.arange(120)).all()
+    assert peak < 300e6 and (r == np.tile([0, 1, 2], 100)).all() and (q == np.repeat(np.arange(100), 3)).all()
+
+
+def test_a_load_takes_a_query_once():
+    rng = np.random.default_rng(9)
+    centres = X.unit(rng.standard_normal((16, 8)))
+    cells = X.Cells(centres, centres, [(c, b, 40, 0.05 * b, 0.05 * b + 0.05) for c in range(16) for b in range(10)], 50)
+    load = cells.loads(1600)
+    assert len(load) == cells.parts and load.max() < 6 and (np.diff(load) >= 0).all()
+    row, part = cells.wanted(X.unit(rng.standard_normal((20, 8))), np.full(20, -1.0))
+    assert len(row) == 20 * cells.parts and len(set(zip(row, load[part]))) == 20 * (load.max() + 1)
+    assert (cells.cell_of(cells.first) == np.arange(len(cells.first))).all()
