@@ -68,8 +68,47 @@ def hash_embed(text, dim: int = DEFAULT_DIM, max_chars: int | None = None) -> Co
     return F.when(t.isNull() | (pystrip(t) == F.lit("")), F.lit(None).cast("array<double>")).otherwise(vec)
 
 
-# Vector components that the table embedder holds at a time (32 MB).
+# Vector components, and tokens, that the table embedder holds at a time (32 MB, and about 30 MB).
 EMBED_CELLS = 1 << 22
+EMBED_TOKENS = 1 << 19
+
+
+def _count_vectors(words: pa.Array, dim: int) -> pa.Array:
+    """The bucket counts of lists of words; no word: null.  A slice shares its offsets with the array it is of."""
+    n = len(words)
+    offsets = np.asarray(words.offsets).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    bucket = np.array([-1 if not t else int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                       for t in coded.dictionary.to_pylist()] or [-1])
+    lengths = np.where(np.asarray(words.is_valid()), np.diff(offsets), 0)
+    b = bucket[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+    cell = (np.repeat(np.arange(n), lengths) * dim + b)[b >= 0]
+    counts = np.bincount(cell, minlength=n * dim).astype(float).reshape(n, dim)
+    some = counts.any(axis=1)
+    ends = np.concatenate([[0], np.cumsum(np.where(some, dim, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(counts[some].ravel()), mask=pa.array(~some))
+
+
+def hash_embed_arrow(text, dim: int = DEFAULT_DIM, max_chars: int | None = None) -> Column:
+    """X1 as an Arrow function of a text column, same vectors as ``hash_embed``.
+
+    The JVM splits the text into words; Python gets them and nothing else of the row.  Rows are taken
+    in slices of at most ``EMBED_TOKENS`` words (or one text), so memory follows the longest text, not the batch."""
+    src = clip_text(_c(text), max_chars) if max_chars else _c(text)
+    rows = max(1, EMBED_CELLS // dim)
+
+    @F.arrow_udf("array<double>")
+    def run(words: pa.Array) -> pa.Array:
+        ends, parts, i = np.asarray(words.offsets).astype(np.int64)[1:], [], 0
+        before = int(words.offsets[0].as_py()) if len(words) else 0
+        while i < len(words):
+            j = int(np.searchsorted(ends, before + EMBED_TOKENS, side="right"))
+            j = max(i + 1, min(j, i + rows))
+            parts.append(_count_vectors(words.slice(i, j - i), dim))
+            before, i = ends[j - 1], j
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+
+    return run(F.split(F.lower(src), WS + "+", -1))
 
 
 def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = DEFAULT_DIM,
@@ -78,36 +117,10 @@ def hash_embed_table(df: DataFrame, keys: list[str], text_col: str, dim: int = D
     """X1 for a whole table: ``(*keys, *keep, out_col)``; same vectors as ``hash_embed``.
 
     A text is one row, so it is embedded in place, without a shuffle: the JVM
-    splits it into tokens, and an Arrow function counts their buckets for a
-    batch at a time, hashing each distinct token of the batch once.
+    splits it into tokens, and an Arrow function counts their buckets for some
+    rows at a time, hashing each distinct token of them once.  Other columns stay in the JVM.
     """
-    keep = keep or []
-    src = clip_text(F.col(text_col), max_chars) if max_chars else F.col(text_col)
-    d = df.select(*keys, *keep, F.split(F.lower(src), WS + "+", -1).alias(out_col))
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-    rows = max(1, EMBED_CELLS // dim)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, rows):
-                batch = whole.slice(start, rows)
-                n = batch.num_rows
-                # a slice shares its offsets with the batch: count from its own first value
-                offsets = np.asarray(batch.column(len(schema) - 1).offsets).astype(np.int64)
-                coded = batch.column(len(schema) - 1).flatten().dictionary_encode()
-                bucket = np.array([-1 if not t else int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
-                                   for t in coded.dictionary.to_pylist()] or [-1])
-                valid = np.asarray(batch.column(len(schema) - 1).is_valid())
-                lengths = np.where(valid, np.diff(offsets), 0)
-                b = bucket[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
-                cell = (np.repeat(np.arange(n), lengths) * dim + b)[b >= 0]
-                counts = np.bincount(cell, minlength=n * dim).astype(float)
-                some = counts.reshape(n, dim).any(axis=1)
-                ends = np.concatenate([[0], np.cumsum(np.where(some, dim, 0))]).astype(np.int32)
-                vectors = pa.ListArray.from_arrays(ends, pa.array(counts.reshape(n, dim)[some].ravel()), mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.names)
-
-    return d.mapInArrow(run, schema)
+    return df.select(*keys, *(keep or []), hash_embed_arrow(text_col, dim, max_chars).alias(out_col))
 
 
 def sparse(vec_col: str, keep: list[str], df: DataFrame) -> DataFrame:
