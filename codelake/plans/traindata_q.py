@@ -108,9 +108,8 @@ def sft_encode(spark, sf_dir):
     prompts = _pairs(spark, sf_dir).select(*keys, TD.sft_prompt("instruction", "response").alias("prompt"))
     coded = TD.code_texts(prompts, keys, "prompt")     # parsed and split once, counted and encoded from there
     enc = TD.encode_coded(coded, keys, TD.vocabulary(coded))
-    win = enc.select(*keys, F.posexplode(TD.encode_windows(F.col("ids"))).alias("window", "ids"))
-    return win.select(*keys, "window", F.array_join("ids", " ").alias("input_ids"),
-                      F.array_join(TD.mask_labels(F.col("ids")), " ").alias("labels"))
+    win = enc.select(*keys, F.posexplode(TD.window_texts(F.col("ids"))).alias("window", "w"))
+    return win.select(*keys, "window", "w.input_ids", "w.labels")
 
 
 MODELS = ("small-model", "large-model", "missing-model")
