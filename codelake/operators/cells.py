@@ -7,7 +7,7 @@ the triangle inequality of angles bounds what any of them can score:
 
     angle(query, row) >= max(0, angle(query, centre) - largest, smallest - angle(query, centre)).
 
-A first pass takes each query to one part of its best cell; the k-th best score
+A first pass takes each query to its best centre's parts of one load; the k-th best score
 there, or among the sampled rows, is a score that k rows of the corpus reach.
 In the second pass it meets the cells whose bound reaches that and ``min_sim``,
 and of these only rows that reach it leave a task; every other row is
@@ -42,7 +42,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelake.functions import vectors as V
 from codelake.session import scratch_path
 
 CELL_ROWS = 4096               # rows a centre stands for, while there are fewer than MAX_CENTRES
@@ -74,9 +73,11 @@ def angles(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def usable(df: DataFrame, keys: list[str], emb: str) -> DataFrame:
-    """``keys`` and ``vec`` of the rows whose vector is there and finite."""
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return df.select(*keys, V.as_double(emb).alias("vec")).where("vec is not null").where(~F.exists("vec", bad))
+    """``keys`` and ``vec`` of the rows whose vector is there and finite (by generated code, without lambdas)."""
+    # false only without a NaN and without a null: with a null and no NaN the answer is null
+    whole = ~F.array_contains("vec", float("nan"))
+    finite = F.coalesce((F.array_max("vec") < float("inf")) & (F.array_min("vec") > float("-inf")), F.lit(True))
+    return df.select(*keys, F.col(emb).cast("array<double>").alias("vec")).where(whole & finite)
 
 
 class Cells:
@@ -173,7 +174,7 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
     if not len(sample):
         return spark.createDataFrame([], out_schema)
     sample = unit(sample)
-    d, n = sample.shape[1], c.count()
+    d, n = sample.shape[1], chunks.count()           # unusable rows count too: the number only steers sizes
     full = sample[sample.any(1)]
     centres = full[:max(1, min(MAX_CENTRES, -(-n // cell_rows)))] if len(full) else np.zeros((1, d))
 
@@ -187,9 +188,11 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
     rows = p.groupBy("centre", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("angle"), F.max("angle")).collect()
     load_rows = max(1, part_bytes // (8 * d))
     cells = Cells(centres, sample, [tuple(r) for r in rows], min(load_rows, PART_ROWS))
-    # loads and blocks of queries in balance: little is copied, and there are tasks for all cores
-    wanted_tasks = max(1, min(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n * q.count() // TASK_PAIRS)))
-    load = cells.loads(-(-n // max(-(-n // load_rows), int(np.ceil(np.sqrt(wanted_tasks))))))
+    # loads and blocks of queries in balance: few copies of rows (one a block) and of queries (one a load), and tasks for all cores
+    asking_rows = q.count()
+    wanted_tasks = max(1, min(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, -(-n * asking_rows // TASK_PAIRS)))
+    wanted_loads = min(wanted_tasks, int(np.ceil(np.sqrt(wanted_tasks * n / max(1, asking_rows)))))
+    load = cells.loads(-(-n // max(-(-n // load_rows), wanted_loads)))
     loads = int(load.max()) + 1
     blocks = -(-wanted_tasks // loads)
 
@@ -249,11 +252,12 @@ def score_topk_cells(queries: DataFrame, chunks: DataFrame, *, k: int, min_sim:
                 ready = m[of], place[of], ids.take(pa.array(of)).combine_chunks(), part[of[begins]], list(zip(begins, [*begins[1:], len(of)]))
             m, place, ids, parts, areas = ready
             asked, home = matrix(some.column("vec"), d), some.column("part").to_numpy()
-            u = unit(asked)
+            u, centre = unit(asked), cells.centre[cells.cell_of(home)]
 
             def bounds(a: int, b: int) -> np.ndarray:
-                only = home[a:b, None]
-                return np.where((only < 0) | (only == parts), cells.bounds(u[a:b], cells.cell_of(parts)), -np.inf)
+                cell = cells.cell_of(parts)
+                near = (home[a:b, None] < 0) | (centre[a:b, None] == cells.centre[cell])
+                return np.where(near, cells.bounds(u[a:b], cell), -np.inf)
 
             at, row, sim = best_rows(m, asked, place, k, np.array(some.column("floor")), areas, bounds)
             if len(at):

@@ -157,16 +157,17 @@ def chunk_cpp(lines: DataFrame, file_keys: list[str], fixed: dict[str, Column] |
         F.concat(F.lit("USER INTENT:\n"), intent, F.lit("\n\n")).alias("embedding_text"))
 
 
-def _cut(text: Column, head: str) -> tuple[Column, Column]:
-    """The heads found in a text, and the lines after each up to the next head."""
-    heads, pieces = F.regexp_extract_all(text, F.lit(head), F.lit(0)), F.split(text, head, -1)
-    n = F.size(pieces)
+def _cut(df: DataFrame, text_col: str, head: str) -> DataFrame:
+    """``df`` with ``_heads``, the heads found in a text, and ``_rest``, the lines after each up to the next head."""
+    text = F.col(text_col)
+    df = once(df, F.regexp_extract_all(text, F.lit(head), F.lit(0)).alias("_heads"), F.split(text, head, -1).alias("_pieces"))
+    n = F.size("_pieces")                            # a column: the lambda must not split the text again for each piece
 
     def lines(piece: Column, i: Column) -> Column:
         inner = F.when(i + 2 < n, F.substring(piece, F.lit(2), F.length(piece) - 2)).otherwise(F.substring(piece, 2, 1 << 30))
         return F.when((piece == "") | ((piece == "\n") & (i + 2 < n)), F.array().cast("array<string>")).otherwise(F.split(inner, "\n", -1))
 
-    return heads, F.transform(F.slice(pieces, 2, F.greatest(n - 1, F.lit(0))), lines)
+    return once(df, F.transform(F.slice("_pieces", 2, F.greatest(n - 1, F.lit(0))), lines).alias("_rest"))
 
 
 def chunk_cpp_files(files: DataFrame, file_keys: list[str], fixed: dict[str, Column] | None = None,
@@ -178,9 +179,8 @@ def chunk_cpp_files(files: DataFrame, file_keys: list[str], fixed: dict[str, Col
     fixed = fixed or {}
     df = files.select(*file_keys, F.array_join(lines_col, "\n").alias("_text"),
                       *[v.cast("string").alias(f"_fx_{k}") for k, v in fixed.items()])
-    heads, code = _cut(F.col("_text"), CPP_HEAD)
-    df = once(df, heads.alias("_heads"), code.alias("_code"))
-    df = df.select(*file_keys, *[f"_fx_{k}" for k in fixed], F.posexplode(F.arrays_zip("_heads", "_code")).alias("_i", "_c"))
+    df = _cut(df, "_text", CPP_HEAD)
+    df = df.select(*file_keys, *[f"_fx_{k}" for k in fixed], F.posexplode(F.arrays_zip("_heads", "_rest")).alias("_i", "_c"))
     meta = F.transform(F.slice(F.split("_c._heads", "\n", -1), 2, 1 << 30), lambda l: pystrip(F.ltrim(pystrip(l), F.lit("/"))))
     df = once(df, meta.alias("_meta"))
     intent = pystrip(F.array_join(F.regexp_extract_all(F.array_join("_meta", "\n"), F.lit(INTENT_BLOCK), F.lit(1)), ""))
@@ -194,7 +194,7 @@ def chunk_cpp_files(files: DataFrame, file_keys: list[str], fixed: dict[str, Col
     df = df.withColumn("chunk_no", (F.col("_i") + 1).cast("bigint"))
     return df.select(
         *file_keys, "chunk_no", chunk_id(fk, F.col("chunk_no")).alias("chunk_id"),
-        F.array_join(dedent_lines(F.col("_c._code")), "\n").alias("code"), "user_intent",
+        F.array_join(dedent_lines(F.col("_c._rest")), "\n").alias("code"), "user_intent",
         F.map_from_entries(F.concat(own, F.col("_kv"), F.array(entry("user_intent", F.col("user_intent"))))).alias("metadata"),
         F.concat(F.lit("USER INTENT:\n"), F.col("user_intent"), F.lit("\n\n")).alias("embedding_text"))
 
@@ -282,8 +282,7 @@ def chunk_fortran_files(files: DataFrame, file_keys: list[str], fixed: dict[str,
     fixed = fixed or {}
     df = files.select(*file_keys, F.array_join(lines_col, "\n").alias("_text"),
                       *[v.cast("string").alias(f"_fx_{k}") for k, v in fixed.items()])
-    heads, rest = _cut(F.col("_text"), FORTRAN_HEAD)
-    df = once(df, heads.alias("_heads"), rest.alias("_rest"))
+    df = _cut(df, "_text", FORTRAN_HEAD)
     df = df.select(*file_keys, *[f"_fx_{k}" for k in fixed], F.posexplode(F.arrays_zip("_heads", "_rest")).alias("_i", "_c"))
     stripped = F.transform("_c._rest", lambda l: pystrip(l))
     df = once(df, stripped.alias("_s"))

@@ -67,8 +67,15 @@ def _requests(spark, sf_dir, rules: str):
                      P.extract_class("body").alias("class_name"), P.extract_file("body").alias("file_name"))
 
 
+def _landed_requests(spark, sf_dir, rules: str):
+    """The requests, read from the texts once and written to the shared folder; embedding, styles and templates read them."""
+    path = scratch_path(spark, "requests")
+    _requests(spark, sf_dir, rules).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _answers(spark, sf_dir, rules: str, idx):
-    req = _requests(spark, sf_dir, rules).withColumn("qid", F.struct("conv_id", "turn"))
+    req = _landed_requests(spark, sf_dir, rules).withColumn("qid", F.struct("conv_id", "turn"))
     asks = req.where("style is not null")
     q = E.hash_embed_table(asks, ["conv_id", "turn"], "request", DIM).select(F.struct("conv_id", "turn").alias("qid"), "embedding")
     top = R.retrieve_topk(q, idx, query_key="qid", chunk_keys=["doc_id", "chunk_no"])
